@@ -1,0 +1,154 @@
+"""Secret spans: three fixed patterns, and tokens that a battery of randomness tests sets apart from words.
+
+Built-in functions alone. Spans are in code points, the end exclusive. Every long token is assigned the narrowest
+alphabet that holds it. Three statistics are compared with what ordinary words would give at that length: chi-squared
+distance from a uniform alphabet (words are far from it), the number of runs of one character class (words have few)
+and lag-one serial correlation of the character codes (random tokens have none; a large one is a veto). The first two
+p-values are joined by Fisher's rule, and the false-discovery rate is held by Benjamini and Hochberg's step-up rule
+within each alphabet and band of lengths, over counts of all tokens of the table by p-value.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sparkloom.llm.scratch import saved
+
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Kinds in the order in which spans that start together are listed.
+KINDS = ["assign", "access", "hex", "random"]
+#: Chi-squared contribution of a character of ordinary words, by size of the alphabet: the alphabet's size times the
+#: chance that two letters of a text are the same (0.07), less one.
+WORD_EXCESS = {size: size * 0.07 - 1 for size in (16, 32, 64)}
+#: Chance that a character of ordinary words is of another class (small, capital, digit, other) than the one before.
+WORD_CHANGE = 0.06
+#: p-values are counted in steps of this factor.
+STEPS_PER_E = 8
+MOST_STEPS = 50 * STEPS_PER_E
+
+
+def matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
+    """Array of (begin, kind, end, value) of the leftmost non-overlapping matches whose `group` has `least` characters.
+
+    The parts between matches, as split() gives them, and the matches themselves tell where each match begins.
+    """
+    parts = F.transform(F.split(text, pattern, -1), F.length)
+    found, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    rows = F.transform(F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("gap"), found.alias("all"), inner.alias("value")), lambda x: F.struct(x["gap"].alias("gap"), F.length(x["all"]).alias("long"), x["value"].alias("value")))
+    kind_no = F.lit(kind)
+
+    def add(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["gap"]
+        end = begin + x["long"]
+        span = F.array(F.struct(begin.alias("begin"), kind_no.alias("kind"), end.alias("end"), x["value"].alias("value")))
+        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none_found().alias("spans")), add)["spans"]
+
+
+def none_found() -> Column:
+    return F.array().cast("array<struct<begin:int,kind:int,end:int,value:string>>")
+
+
+def base_spans(text: Column) -> Column:
+    """All spans of the three patterns, by begin, then kind."""
+
+    def of(quick: Column, *how) -> Column:
+        return F.when(quick, matches(text, *how)).otherwise(none_found())
+
+    # Runs of [0-9a-f]+ and AKIA[A-Z0-9]+ are as long as they can be, so the length may be part of the pattern.
+    return F.array_sort(
+        F.concat(
+            of(text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"), ASSIGN, 0, 2, 8),
+            of(F.contains(text, F.lit("AKIA")), ACCESS, 1, 0, 16),
+            of(text.rlike(HEX), HEX, 2, 0, 32),
+        )
+    )
+
+
+def normal_below(z: Column) -> Column:
+    """The standard normal distribution function, by the logistic form with a cubic term (within 0.0002)."""
+    z = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(z * 1.5976 + z * z * z * 0.070566)))
+
+
+def alphabet(token: Column) -> Column:
+    """Size of the narrowest alphabet that holds the token."""
+    return F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16).when(token.rlike("^[A-Z2-7]+=*$"), 32).otherwise(64)
+
+
+def randomness(token: Column) -> Column:
+    """(size of the alphabet, joined p-value in steps) of a token; many steps mean little like words."""
+    chars = F.split(token, "")
+    length = F.length(token).cast("double")
+    size = alphabet(token)
+    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.length(token) - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
+    chi = size * squares / length - length
+    excess = F.coalesce(*(F.when(size == s, F.lit(x)) for s, x in WORD_EXCESS.items()))
+    z_chi = (chi - (size - 1 + length * excess)) / F.sqrt(2 * (size - 1) + 4 * length * F.greatest(excess, F.lit(0.1)))
+    p_chi = normal_below(z_chi)
+    classes = F.translate(token, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", "a" * 26 + "A" * 26 + "0" * 10 + "+" * 5)
+    runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")).cast("double")
+    mean, spread = (length - 1) * WORD_CHANGE, F.sqrt((length - 1) * WORD_CHANGE * (1 - WORD_CHANGE))
+    p_runs = normal_below((mean + 1.5 - runs) / spread)
+    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
+    sums = F.aggregate(codes, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy"), F.lit(None).cast("double").alias("last")), lambda s, c: F.struct((s["x"] + c).alias("x"), (s["xx"] + c * c).alias("xx"), (s["xy"] + F.coalesce(s["last"] * c, F.lit(0.0))).alias("xy"), c.alias("last")))
+    first, last = F.ascii(F.substring(token, 1, 1)), F.ascii(F.substring(token, -1, 1))
+    m = sums["x"] / length
+    joint = sums["xy"] - m * (2 * sums["x"] - first - last) + (length - 1) * m * m
+    serial = F.try_divide(joint, sums["xx"] - length * m * m) * F.sqrt(length)
+    fisher = -F.log(p_chi) - F.log(p_runs)
+    log_p = fisher - F.log(1 + fisher)
+    return F.struct(size.alias("size"), F.when(F.abs(F.coalesce(serial, F.lit(99.0))) > 4, 0).otherwise(F.least(F.floor(log_p * STEPS_PER_E), F.lit(MOST_STEPS))).cast("int").alias("steps"))
+
+
+def band(length: Column) -> Column:
+    """Lengths that are judged together: from 20, 28, 40, 64 and 128."""
+    return F.when(length < 28, 20).when(length < 40, 28).when(length < 64, 40).when(length < 128, 64).otherwise(128)
+
+
+def thresholds(tokens: DataFrame, rate: float) -> dict[tuple[int, int], int]:
+    """By alphabet and band, the least steps of a discovery: Benjamini and Hochberg's rule on counts by step.
+
+    At most 15 groups of 401 counts reach the driver, whatever the table.
+    """
+    counts: dict[tuple[int, int], dict[int, int]] = {}
+    for row in tokens.groupBy("size", "band", "steps").count().collect():
+        counts.setdefault((row["size"], row["band"]), {})[row["steps"]] = row["count"]
+    out = {}
+    for group, by in counts.items():
+        total, above = sum(by.values()), 0
+        for step in sorted(by, reverse=True):
+            above += by[step]
+            if math.exp(-step / STEPS_PER_E) <= rate * above / total:
+                out[group] = step
+    return out
+
+
+def find_secrets(docs: DataFrame, rate: float = 0.001) -> DataFrame:
+    """doc_id, base, spans: one row per document, spans as arrays of (begin, kind, end), sorted.
+
+    base has the patterns' spans; spans has those and the tokens that pass the tests at false-discovery rate `rate`
+    and touch no base span. A null text is empty and has none. Other columns are ignored; repeated rows stay.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), s["kind"].alias("kind"), s["end"].alias("end")))
+    tokens = F.when(text.rlike(TOKEN), matches(text, TOKEN, 3, 0, 20)).otherwise(none_found())
+    scanned = docs.select("doc_id", bare(base_spans(text)).alias("base"), tokens.alias("tokens"))
+    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["begin"] < t["end"]) & (t["begin"] < b["end"])))
+    judged = F.transform(free, lambda t: F.struct(t["begin"].alias("begin"), t["kind"].alias("kind"), t["end"].alias("end"), band(t["end"] - t["begin"]).alias("band"), randomness(t["value"]).alias("test")))
+    found = saved(scanned.select("doc_id", "base", judged.alias("tokens")))
+    least = thresholds(found.select(F.explode("tokens").alias("t")).select("t.test.size", "t.band", "t.test.steps"), rate)
+    passes = lambda t: F.coalesce(*(F.when((t["test"]["size"] == s) & (t["band"] == b), t["test"]["steps"] >= n) for (s, b), n in sorted(least.items())), F.lit(False))
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", bare(F.filter("tokens", passes)))).alias("spans"))
+
+
+def as_text(spans: Column) -> Column:
+    """kind:begin:end of each span, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["begin"].cast("string"), s["end"].cast("string"))), ",")
