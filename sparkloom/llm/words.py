@@ -79,6 +79,12 @@ class Words:
     end: np.ndarray
     data: np.ndarray
     text: np.ndarray
+    sums: np.ndarray
+    down: np.ndarray
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """A number for the first `size` bytes of each word, or for the whole of a shorter one."""
+        return mix((self.sums[np.minimum(self.begin + size, self.end)] - self.sums[self.begin]) * self.down[self.begin])
 
 
 def iter_words(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
@@ -121,8 +127,8 @@ def _words(low: int, high: int, data: np.ndarray, text: np.ndarray) -> Words:
         np.cumsum(_LETTER[data] * up, out=sums[1:])
         hashes = mix((sums[end] - sums[begin]) * down[begin])
     else:
-        hashes = np.zeros(0, np.uint64)
-    return Words(low, high, hashes, np.searchsorted(begin, text), begin, end, data, text)
+        hashes, sums, down = np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)
+    return Words(low, high, hashes, np.searchsorted(begin, text), begin, end, data, text, sums, down)
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
