@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, lines, packing, secrets, topk
+from sparkloom.llm import chat, lines, packing, quality, secrets, topk, toxicity
 from sparkloom.tables import table
 
 #: Where the vocabulary lies on the machines; queries pass it on as a parameter.
@@ -83,6 +83,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, folder, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -94,7 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_top_k": op5_top_k,
     "op6_chat_format": op6_chat_format,
+    "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op6_chat_format": OP6_SQL}

@@ -130,6 +130,23 @@ def common(*sets: Rows, least: int = 5) -> tuple[np.ndarray, list[Rows]]:
     return kept, out
 
 
+def telling(one: Rows, other: Rows, size: int, least_z: float) -> np.ndarray:
+    """Log ratios of how often a feature is found in the rows of `one` and of `other`; 0 where the two shares differ by less than `least_z` standard errors."""
+    a, b = (np.bincount(rows.buckets, minlength=size).astype(float) for rows in (one, other))
+    n, m = len(one), len(other)
+    both = (a + b) / (n + m)
+    z = (a / n - b / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
+    return np.where(np.abs(z) >= least_z, np.log((a + 1) / (n + 2)) - np.log((b + 1) / (m + 2)), 0.0)
+
+
+def select(rows: Rows, chosen: np.ndarray) -> Rows:
+    """The rows over the chosen features alone, numbered from 0."""
+    number = np.full(int(max(chosen.max(initial=0), rows.buckets.max(initial=0))) + 1, -1, np.int32)
+    number[chosen] = np.arange(len(chosen), dtype=np.int32)
+    new = number[rows.buckets]
+    return Rows(new[new >= 0], np.concatenate([[0], np.cumsum(new >= 0)])[rows.starts])
+
+
 def spread(kept: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weights of the kept buckets in the full table."""
     out = np.zeros(1 << BITS)

@@ -11,38 +11,39 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.sparse import BITS, Adagrad, Model, Rows, annotated, common, crc_share, feature_rows, sigmoid, spread
+from sparkloom.llm.sparse import BITS, Adagrad, Model, Rows, annotated, common, crc_share, feature_rows, select, sigmoid, spread, telling
 
 #: Bounds of the samples that the classifier is fitted on: confirmed toxic texts, and texts without labels.
 POSITIVES, UNLABELLED = 4_000, 12_000
 
 
-def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 12, rate: float = 0.2, decay: float = 1e-5, start: float = 1e-4, seed: int = 7) -> Model:
-    """A linear model with logistic loss; prior: the share of positives among the unlabelled."""
-    bias, bias_past = float(np.log(prior / (1 - prior))), 1e-2
+def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 300, rate: float = 0.2, decay: float = 1e-5, least_z: float = 4.0) -> Model:
+    """A linear model with logistic loss; prior: the share of positives among the unlabelled.
+
+    Only features whose share among positives and unlabelled texts differs by `least_z` standard errors take part, each
+    scaled by its log ratio, so that words met by chance carry no weight. Each step takes both samples whole.
+    """
+    bias = float(np.log(prior / (1 - prior)))
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(1 << BITS), bias, False)
     kept, (positive, unlabelled) = common(positive, unlabelled)
-    model, draw = Adagrad(len(kept), rate, decay, start), np.random.default_rng(seed)
-    batches = max(1, len(unlabelled) // 256)
-    for _ in range(epochs):
-        us = np.array_split(draw.permutation(len(unlabelled)), batches)
-        ps = np.array_split(draw.permutation(len(positive)), max(1, min(batches, len(positive) // 64)))
-        for i, u in enumerate(us):
-            rows_p, rows_u = positive.take(ps[i % len(ps)]), unlabelled.take(u)
-            sp, su = sigmoid(rows_p.dot(model.weights) + bias), sigmoid(rows_u.dot(model.weights) + bias)
-            negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-            sign = 1.0 if negative >= 0 else -1.0
-            gu = sign * su / len(su)
-            gp = (prior * (sp - 1) * (sign > 0) - sign * prior * sp) / len(sp)
-            gradient = np.zeros(len(kept))
-            rows_p.add_to(gradient, gp)
-            rows_u.add_to(gradient, gu)
-            model.step(gradient)
-            g = gu.sum() + gp.sum()
-            bias_past += g * g
-            bias -= rate * g / np.sqrt(bias_past)
-    return Model(spread(kept, model.weights), bias, False)
+    ratio = telling(positive, unlabelled, len(kept), least_z)
+    chosen = np.flatnonzero(ratio)
+    positive, unlabelled, scale = select(positive, chosen), select(unlabelled, chosen), ratio[chosen]
+    model = Adagrad(len(chosen) + 1, rate, decay, 1e-4)
+    model.weights[-1] = bias
+    for _ in range(steps):
+        w, bias = model.weights[:-1] * scale, model.weights[-1]
+        sp, su = sigmoid(positive.dot(w) + bias), sigmoid(unlabelled.dot(w) + bias)
+        negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
+        sign = 1.0 if negative >= 0 else -1.0
+        gu = sign * su / len(su)
+        gp = (prior * (sp - 1) * (sign > 0) - sign * prior * sp) / len(sp)
+        gradient = np.zeros(len(chosen))
+        positive.add_to(gradient, gp)
+        unlabelled.add_to(gradient, gu)
+        model.step(np.append(gradient * scale, gu.sum() + gp.sum()))
+    return Model(spread(kept[chosen], model.weights[:-1] * scale), float(model.weights[-1]), False)
 
 
 def first_rows(rows: DataFrame, n: int) -> DataFrame:
