@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,15 +36,30 @@ _CUT = re.compile(r"[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])| ?[^ \t\n\r\x0b\x0c
 _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]|<\\|")
 
 
+#: Fixed value: how the byte-level vocabulary's pre-tokenizer splits a text.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words over which every Unicode version classes characters alike, so that the faster encoder gives the same ids.
+_PLAIN = re.compile(r"[ \n]?[!-~¡-¬®-ÿ]*")
+
+
+def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """A byte-level vocabulary by bytes. Its letters stand for bytes: the printable ones for themselves, the others, in order, for 256 and on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {bytes(byte[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte for c in token)}
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded store of the ids of single words."""
 
     kept: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=_ranks(self.tokenizer.get_vocab(with_added_tokens=False)), special_tokens={})
         self.ids: dict[str, bytes] = {}
 
     @classmethod
@@ -53,7 +69,15 @@ class Encoder:
         return cls.kept[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids by key; words of other than plain characters go through the tokenizer itself."""
+        encode, plain = self.plain.encode_ordinary, _PLAIN.fullmatch
+        spelled = [(w, _spelled(w)) for w in words]
+        found = {w: array("I", encode(s)).tobytes() for w, s in spelled if plain(s)}
+        rest = [(w, s) for w, s in spelled if w not in found]
+        return found | dict(zip((w for w, _ in rest), self._encode([s for _, s in rest]), strict=True))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, the same as the tokenizer gives for the whole text."""
@@ -63,7 +87,7 @@ class Encoder:
             part = texts[low : low + 256]
             cut = [_cut(t) for t in part]
             new = list(set().union(*(words for words in cut if words is not None)) - self.ids.keys())
-            self.ids.update(zip(new, self._encode([_spelled(w) for w in new]), strict=True))
+            self.ids.update(self._words(new))
             look = self.ids.__getitem__
             for text, words in zip(part, cut, strict=True):
                 yield self._encode([text])[0] if words is None else b"".join(map(look, words))

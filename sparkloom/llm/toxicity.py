@@ -17,7 +17,7 @@ from sparkloom.llm.sparse import BITS, Adagrad, Model, Rows, annotated, common,
 POSITIVES, UNLABELLED = 4_000, 12_000
 
 
-def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 300, rate: float = 0.2, decay: float = 1e-5, least_z: float = 4.0) -> Model:
+def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 300, rate: float = 0.2, decay: float = 1e-5, least_z: float = 6.0) -> Model:
     """A linear model with logistic loss; prior: the share of positives among the unlabelled.
 
     Only features whose share among positives and unlabelled texts differs by `least_z` standard errors take part, each
