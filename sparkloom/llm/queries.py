@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, lines, packing, quality, secrets, topk, toxicity
+from sparkloom.llm import chat, chosenpath, lines, packing, quality, secrets, tiling, topk, toxicity
 from sparkloom.tables import table
 
 #: Where the vocabulary lies on the machines; queries pass it on as a parameter.
@@ -24,6 +24,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, folder, "documents"), vocabulary()))
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return chosenpath.similarity_classes(table(spark, folder, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = lines.dedup_lines(table(spark, folder, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -83,6 +87,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return tiling.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -99,9 +107,11 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_top_k": op5_top_k,
     "op6_chat_format": op6_chat_format,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
