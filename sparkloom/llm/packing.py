@@ -49,18 +49,35 @@ def _ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte for c in token)}
 
 
+class WordIds(dict):
+    """Ids by key, encoded when first asked for. Words of other than plain characters go through the tokenizer itself."""
+
+    def __init__(self, tokenizer):
+        import tiktoken
+
+        super().__init__()
+        self.tokenizer = tokenizer
+        ranks = _ranks(tokenizer.get_vocab(with_added_tokens=False))
+        self.plain = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, key: str) -> bytes:
+        word = _spelled(key)
+        self[key] = ids = array("I", self.plain(word)).tobytes() if _PLAIN.fullmatch(word) else self.whole(word)
+        return ids
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded store of the ids of single words."""
 
     kept: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=_ranks(self.tokenizer.get_vocab(with_added_tokens=False)), special_tokens={})
-        self.ids: dict[str, bytes] = {}
+        self.ids = WordIds(Tokenizer.from_file(path))
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -68,29 +85,14 @@ class Encoder:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids by key; words of other than plain characters go through the tokenizer itself."""
-        encode, plain = self.plain.encode_ordinary, _PLAIN.fullmatch
-        spelled = [(w, _spelled(w)) for w in words]
-        found = {w: array("I", encode(s)).tobytes() for w, s in spelled if plain(s)}
-        rest = [(w, s) for w, s in spelled if w not in found]
-        return found | dict(zip((w for w, _ in rest), self._encode([s for _, s in rest]), strict=True))
-
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, the same as the tokenizer gives for the whole text."""
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        for low in range(0, len(texts), 256):
-            part = texts[low : low + 256]
-            cut = [_cut(t) for t in part]
-            new = list(set().union(*(words for words in cut if words is not None)) - self.ids.keys())
-            self.ids.update(self._words(new))
-            look = self.ids.__getitem__
-            for text, words in zip(part, cut, strict=True):
-                yield self._encode([text])[0] if words is None else b"".join(map(look, words))
+        look = self.ids.__getitem__
+        for text in texts:
+            if len(self.ids) > CACHE_WORDS:
+                self.ids.clear()
+            words = _cut(text)
+            yield self.ids.whole(text) if words is None else b"".join(map(look, words))
 
 
 def _cut(text: str) -> list[str] | None:
