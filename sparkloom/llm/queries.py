@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, chosenpath, lines, packing, quality, secrets, tiling, topk, toxicity
+from sparkloom.llm import chat, chosenpath, lines, maxent, packing, quality, secretspans, tiling, topk, toxicity
 from sparkloom.tables import table
 
 #: Where the vocabulary lies on the machines; queries pass it on as a parameter.
@@ -24,6 +24,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, folder, "documents"), vocabulary()))
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.score_texts(table(spark, folder, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return chosenpath.similarity_classes(table(spark, folder, "documents"))
 
@@ -100,13 +104,14 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, folder, "documents"))
+    found = secretspans.find_secrets(table(spark, folder, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secretspans.as_text(F.col("base")), 256).alias("base_sha256"), secretspans.as_text(F.col("spans")).alias("spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_ngram_join": op3_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_top_k": op5_top_k,
