@@ -31,6 +31,35 @@ VIEWS = {
                CASE WHEN l_returnflag = 'A' THEN 'INSERT' WHEN l_returnflag = 'R' THEN 'DELETE'
                     WHEN l_linestatus = 'O' THEN 'UPDATE' ELSE 'SELECT' END AS operation
         FROM lineitem WHERE l_quantity <= 4""",
+    "access_log": """
+        SELECT event_id, ts, event_type, user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+               CAST(user_id % 5 AS INT) AS app_id, user_id AS method_id,
+               concat('m', CAST(user_id AS VARCHAR(20)), '()') AS method_signature,
+               concat('t', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 20 AS VARCHAR(20))) AS table_name,
+               CASE WHEN event_id % 17 = 0 THEN '*' ELSE concat('c', regexp_extract(props, '([0-9]+)', 1)) END AS column_name,
+               CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'purchase' THEN 'UPDATE' WHEN 'error' THEN 'DELETE' ELSE 'SELECT' END AS operation
+        FROM events""",
+    "captured_sql": """
+        SELECT event_id, ts, user_id, k,
+               CASE event_type
+                 WHEN 'view' THEN concat('SELECT ', table_name, '.c', k, ', u.name FROM ', table_name, ' JOIN users u ON u.id = ', table_name, '.uid WHERE u.id = ', user_id)
+                 WHEN 'click' THEN concat('WITH recent AS (SELECT id FROM "log', k, '") SELECT r.c', k, ' FROM recent r JOIN "', table_name, '" ON r.id = 1.5')
+                 WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN concat('INSERT INTO `', table_name, '` (c', k, ', name) VALUES (1, 2) ON DUPLICATE KEY UPDATE c', k, ' = 2')
+                                    ELSE concat('insert into ', table_name, ' (`c', k, '`, "name") values (1, 2)') END
+                 WHEN 'purchase' THEN concat('UPDATE public.', table_name, ' SET c', k, ' = 1, "price" = 2 WHERE id = ', user_id, ' RETURNING id, c', k)
+                 ELSE CASE WHEN k % 3 = 0 THEN concat('REPLACE INTO `shop`.`', table_name, '` VALUES (', k, ')') ELSE concat('DELETE FROM `', table_name, '` WHERE c', k, ' = 1') END
+               END AS sql_text,
+               CASE CAST(user_id % 6 AS INT) WHEN 0 THEN 'jdbc:mysql://db/x' WHEN 1 THEN 'jdbc:PostgreSQL://db/x' WHEN 2 THEN 'jdbc:db2://db/x'
+                    WHEN 3 THEN 'jdbc:oracle:thin:@db' WHEN 4 THEN 'jdbc:sqlserver://db' ELSE 'jdbc:h2:mem' END AS jdbc_url
+        FROM access_log""",
+    "call_texts": """
+        SELECT call_id, src, dst, call_type,
+               CASE CAST(dst % 4 AS INT)
+                 WHEN 0 THEN concat('restTemplate.postForObject("http://app-', dst % 5, '/api/m', dst, '", req)')
+                 WHEN 1 THEN concat('webClient.get(https://app-', dst % 5, '/api/m', dst, ',x)')
+                 WHEN 2 THEN concat('dubboService.m', dst, '(param)')
+                 ELSE concat('helper.m', dst, '()') END AS expression
+        FROM calls""",
 }
 
 
@@ -55,6 +84,16 @@ def graph(spark: SparkSession, folder: str) -> Graph:
     return Graph(*(spark.sql(VIEWS[name]) for name in ("methods", "calls", "accesses")))
 
 
+def views(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    """The named views as lazy frames; they may refer to tables and to views named before."""
+    register(spark, folder, "part", "lineitem", "events")
+    out = []
+    for name in names:
+        out.append(spark.sql(VIEWS[name]))
+        out[-1].createOrReplaceTempView(name)
+    return out
+
+
 def with_views(sql: str, *names: str) -> str:
     """`sql` after the named view definitions, as one statement."""
     return "WITH RECURSIVE " + ", ".join(f"{name} AS ({VIEWS[name]})" for name in names) + " " + sql
