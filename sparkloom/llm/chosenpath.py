@@ -28,7 +28,7 @@ from sparkloom.llm.words import distinct_per_text, iter_words, mix, shingles
 
 WIDTH, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
 #: Sets in a bucket that is compared at once, and in a block of a bucket that no further split made small.
-SMALL, BLOCK = 256, 512
+SMALL, BLOCK = 256, 2048
 #: A null doc_id while it is worked on.
 NO_ID = -(2**63)
 _WHOLE = float(2**64)
