@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import fact_queries, rule_queries
+from sparkloom.plans import fact_queries, graph_queries, rule_queries, text_queries
 
-MODULES = [fact_queries, rule_queries]
+MODULES = [fact_queries, graph_queries, rule_queries, text_queries]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
