@@ -86,7 +86,7 @@ def graph(spark: SparkSession, folder: str) -> Graph:
 
 def views(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     """The named views as lazy frames; they may refer to tables and to views named before."""
-    register(spark, folder, "part", "lineitem", "events")
+    register(spark, folder, "part", "lineitem", "events", "supplier")
     out = []
     for name in names:
         out.append(spark.sql(VIEWS[name]))
