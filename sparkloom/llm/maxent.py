@@ -44,12 +44,14 @@ WEIGHTS = CLASS_ROWS * CLASSES + WORD_ROWS * OUTPUTS
 #: Words whose counts are broadcast (16 bytes each).
 BROADCAST_WORDS = 1 << 18
 #: Distinct words that a task counts before it passes them on.
-COUNTED_AT_ONCE = 500_000
+COUNTED_AT_ONCE = 300_000
 #: Rounds, and steps of a task in a round: as many as keep a step between these numbers of tokens, 16 if both fit.
 ROUNDS, STEPS, STEP_TOKENS = 4, 16, (10_000, 100_000)
 #: Adagrad's rate, and the squared gradients that each weight is taken to have seen at first.
 RATE, START = 0.5, 1e-8
 BLOCK, FAN_IN = 4096, 64
+#: Tokens whose scores are computed at once; it bounds a task's memory.
+SCORED_AT_ONCE = 400_000
 END = b""
 
 _TWO = np.array([zlib.crc32(bytes([a, b])) % OTHERS for a in range(256) for b in range(256)], np.int64)
@@ -82,6 +84,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def least_count(counted: DataFrame, most: int = BROADCAST_WORDS) -> int:
+    """The least count for which at most `most` words have it or more. There are few distinct counts: their number grows with the root of the tokens."""
+    by = counted.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(most)
+    least, seen, above = None, 0, counted.agg(F.coalesce(F.max("c"), F.lit(0))).first()[0] + 1
+    for row in by.toLocalIterator():
+        seen += row["n"]
+        if seen > most:
+            break
+        least = row["c"]
+    return above if least is None else least
+
+
 @dataclass
 class Vocabulary:
     """What is broadcast of the counts: the most frequent words in the order of `keys` (hashes), with rank and count."""
@@ -99,8 +113,8 @@ class Vocabulary:
     @classmethod
     def of(cls, counted: DataFrame) -> "Vocabulary":
         totals = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        # a bounded number of rows: BROADCAST_WORDS at most
-        top = counted.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(BROADCAST_WORDS).toPandas().sort_values(["c", "word"], ascending=[False, True])
+        frequent = counted.where((F.length("word") > 0) & (F.col("c") >= least_count(counted))).select("word", "c")
+        top = frequent.toPandas().sort_values(["c", "word"], ascending=[False, True])  # BROADCAST_WORDS rows at most
         words, counts = [bytes(w) for w in top["word"]], top["c"].to_numpy(np.int64)
         hashes = np.concatenate([np.zeros(0, np.uint64), *(w.hashes for w in iter_words(pa.array(words, pa.binary())))])
         ends = counted.where(F.length("word") == 0).first()
@@ -357,7 +371,12 @@ def score_texts(docs: DataFrame, parts: int = 5, held: int = 1) -> DataFrame:
         weights, history = shared.value
         w = Weights(weights)
         for batch in batches:
-            scores = log_chances(batch.column(1).to_pylist(), history, w) if batch.num_rows else []
+            texts, scores = batch.column(1).to_pylist(), []
+            sizes = np.cumsum([len(t) // 2 for t in texts])
+            cuts = np.searchsorted(sizes, np.arange(SCORED_AT_ONCE, sizes[-1] if len(sizes) else 0, SCORED_AT_ONCE)).tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+                if high > low:
+                    scores += log_chances(texts[low:high], history, w).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "chance"])
 
     chances = texts.select("row", "symbols").mapInArrow(run, "row long, chance double")
