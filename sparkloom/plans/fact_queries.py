@@ -28,17 +28,17 @@ STATE = """state AS (SELECT method_id, table_name, column_name,
   count(*) AS access_count, min(ts) AS first_seen, max(ts) AS last_seen FROM access_log GROUP BY method_id, table_name, column_name)"""
 
 
-def _over_state(sql: str) -> str:
+def over_state(sql: str) -> str:
     return with_views("", "access_log").rstrip() + ", " + STATE + " " + sql
 
 
 ORACLES = {
-    "column_lineage": _over_state("SELECT * FROM state"),
-    "field_impact": _over_state("""SELECT table_name, column_name, method_id, method_signature, app_id,
+    "column_lineage": over_state("SELECT * FROM state"),
+    "field_impact": over_state("""SELECT table_name, column_name, method_id, method_signature, app_id,
         CASE WHEN bool_or(operation = 'DELETE') THEN 'DELETE' WHEN bool_or(operation = 'INSERT') THEN 'INSERT' WHEN bool_or(operation = 'UPDATE') THEN 'UPDATE' ELSE 'SELECT' END AS operation,
         CAST(sum(access_count) AS BIGINT) AS access_count FROM state GROUP BY ALL"""),
-    "columns_by_table": _over_state("SELECT DISTINCT table_name, column_name FROM state WHERE column_name <> '*'"),
-    "columns_by_method": _over_state("SELECT method_id, table_name, column_name, operation, access_count FROM state"),
-    "table_stats": _over_state("SELECT table_name, count(DISTINCT column_name) AS col_count, count(DISTINCT method_id) AS method_count, max(last_seen) AS last_access FROM state GROUP BY table_name"),
-    "dead_columns": _over_state(f"SELECT table_name, column_name, max(last_seen) AS last_access, CAST(sum(access_count) AS BIGINT) AS access_count FROM state GROUP BY table_name, column_name HAVING max(last_seen) < TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY"),
+    "columns_by_table": over_state("SELECT DISTINCT table_name, column_name FROM state WHERE column_name <> '*'"),
+    "columns_by_method": over_state("SELECT method_id, table_name, column_name, operation, access_count FROM state"),
+    "table_stats": over_state("SELECT table_name, count(DISTINCT column_name) AS col_count, count(DISTINCT method_id) AS method_count, max(last_seen) AS last_access FROM state GROUP BY table_name"),
+    "dead_columns": over_state(f"SELECT table_name, column_name, max(last_seen) AS last_access, CAST(sum(access_count) AS BIGINT) AS access_count FROM state GROUP BY table_name, column_name HAVING max(last_seen) < TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY"),
 }

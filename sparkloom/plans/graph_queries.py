@@ -192,4 +192,11 @@ ORACLES = {
     "trace_visit": _sql("SELECT seed, node AS method_id, depth FROM visited", _TRACE),
     "trace_edges": _sql(f"SELECT seed, src, dst, call_id FROM visited JOIN calls ON node = src AND call_type = 'INTERNAL' WHERE depth < {TRACE_DEPTH}", _TRACE),
     "trace_tables": _sql("SELECT seed, method_id, table_id, operation FROM visited JOIN accesses ON node = method_id", _TRACE),
+    "trace_graph": _sql(
+        f"""SELECT seed, 'node' AS part, concat('{{"id":"', method_id, '","type":"METHOD","label":"', class_name, '.', signature, '","comboId":"', class_name, '"}}') AS json FROM visited JOIN methods ON node = method_id
+        UNION ALL SELECT seed, 'node', concat('{{"id":"table:', table_id, '","type":"TABLE","label":"table:', table_id, '"}}') FROM visited JOIN accesses ON node = method_id
+        UNION ALL SELECT seed, 'edge', concat('{{"source":"', method_id, '","target":"table:', table_id, '","type":"ACCESSES"}}') FROM visited JOIN accesses ON node = method_id
+        UNION ALL SELECT seed, 'edge', concat('{{"source":"', src, '","target":"', dst, '","type":"CALLS"}}') FROM visited JOIN calls ON node = src AND call_type = 'INTERNAL' WHERE depth < {TRACE_DEPTH}""",
+        _TRACE,
+    ),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.fixture import VIEWS, views, with_views
 from sparkloom.operators import facts, report
-from sparkloom.plans.fact_queries import AS_OF, DAYS
+from sparkloom.plans.fact_queries import AS_OF, DAYS, over_state
 from sparkloom.plans.text_queries import ORACLES as TEXTS
 from sparkloom.streaming import capture
 
@@ -55,4 +55,11 @@ ORACLES = {
         FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, count(*) AS n_events, min(ts) AS started, max(ts) AS updated FROM events GROUP BY user_id) x""",
     "scan_history": "SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) x WHERE nth = 1",
     "event_messages": with_views("""SELECT 'lineage.access' AS topic, CAST(user_id AS VARCHAR) AS key, concat('{"event_id":', event_id, ',"user_id":', user_id, ',"table_name":"', table_name, '","operation":"', operation, '"}') AS value FROM access_log""", "access_log"),
+    "report_prompts": over_state(f"""SELECT k.table_name, concat('## Table ', k.table_name, chr(10), 'Columns in use (', n_columns, '): ', columns, chr(10), 'Methods that access it: ', n_methods, '; strongest operation: ', operation, chr(10),
+        'Columns without recent access: ', coalesce(dead, 'none'), chr(10), 'Say what a change of this table would touch, and what could be removed.') AS prompt
+        FROM (SELECT table_name, count(DISTINCT column_name) AS n_columns, string_agg(DISTINCT column_name, ', ' ORDER BY column_name) AS columns, count(DISTINCT method_id) AS n_methods,
+          CASE WHEN bool_or(operation = 'DELETE') THEN 'DELETE' WHEN bool_or(operation = 'INSERT') THEN 'INSERT' WHEN bool_or(operation = 'UPDATE') THEN 'UPDATE' ELSE 'SELECT' END AS operation
+          FROM state WHERE column_name <> '*' GROUP BY table_name) k
+        LEFT JOIN (SELECT table_name, string_agg(column_name, ', ' ORDER BY column_name) AS dead FROM (SELECT table_name, column_name FROM state GROUP BY table_name, column_name
+          HAVING max(last_seen) < TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY) x GROUP BY table_name) d ON k.table_name = d.table_name"""),
 }
