@@ -70,6 +70,13 @@ def features(words: Words, shaped: bool) -> tuple[np.ndarray, np.ndarray]:
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int32), starts
 
 
+def collected(texts: DataFrame, shaped: bool, label: str) -> dict[int, "Rows"]:
+    """The rows of a bounded sample by label, in order of doc_id."""
+    found = feature_rows(texts, shaped, ["doc_id", label]).toPandas().sort_values([label, "doc_id"], kind="stable")
+    packed = {int(k): Rows.of(g["packed"].tolist()) for k, g in found.groupby(label)}
+    return {k: packed.get(k, Rows.of([])) for k in (0, 1)}
+
+
 @dataclass
 class Rows:
     """Sparse 0/1 rows: the buckets of all rows, and where each row's begin (and the end)."""
@@ -92,8 +99,24 @@ class Rows:
         return Rows(self.buckets[at], starts)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(weights[self.buckets], dtype=np.float64)])
-        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+        """Each row's sum of weights, a thousand rows at a time."""
+        out = np.zeros(len(self))
+        for low in range(0, len(self), 1000):
+            at = self.starts[low : low + 1001]
+            sums = np.concatenate([[0.0], np.cumsum(weights[self.buckets[at[0] : at[-1]]], dtype=np.float64)])
+            out[low : low + 1000] = np.diff(sums[at - at[0]])
+        return out
+
+    def renumbered(self, number: np.ndarray) -> "Rows":
+        """The rows over the buckets with a number, by that number; -1 stands for none."""
+        kept, starts = [np.zeros(0, np.int32)], np.zeros(len(self.starts), np.int64)
+        for low in range(0, len(self), 1000):
+            at = self.starts[low : low + 1001]
+            new = number[self.buckets[at[0] : at[-1]]]
+            sums = np.concatenate([[0], np.cumsum(new >= 0)])
+            starts[low + 1 : low + 1001] = starts[low] + sums[at[1:] - at[0]]
+            kept.append(new[new >= 0])
+        return Rows(np.concatenate(kept), starts)
 
     def add_to(self, out: np.ndarray, by_row: np.ndarray) -> None:
         out += np.bincount(self.buckets, weights=np.repeat(by_row, np.diff(self.starts)), minlength=len(out))
@@ -122,12 +145,7 @@ def common(*sets: Rows, least: int = 5) -> tuple[np.ndarray, list[Rows]]:
     kept = np.flatnonzero(counts >= least)
     number = np.full(1 << BITS, -1, np.int32)
     number[kept] = np.arange(len(kept), dtype=np.int32)
-    out = []
-    for rows in sets:
-        new = number[rows.buckets]
-        starts = np.concatenate([[0], np.cumsum(new >= 0)])[rows.starts]
-        out.append(Rows(new[new >= 0], starts))
-    return kept, out
+    return kept, [rows.renumbered(number) for rows in sets]
 
 
 def telling(one: Rows, other: Rows, size: int, least_z: float) -> np.ndarray:
@@ -143,8 +161,7 @@ def select(rows: Rows, chosen: np.ndarray) -> Rows:
     """The rows over the chosen features alone, numbered from 0."""
     number = np.full(int(max(chosen.max(initial=0), rows.buckets.max(initial=0))) + 1, -1, np.int32)
     number[chosen] = np.arange(len(chosen), dtype=np.int32)
-    new = number[rows.buckets]
-    return Rows(new[new >= 0], np.concatenate([[0], np.cumsum(new >= 0)])[rows.starts])
+    return rows.renumbered(number)
 
 
 def spread(kept: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -11,10 +11,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.sparse import BITS, Adagrad, Model, Rows, annotated, common, crc_share, feature_rows, select, sigmoid, spread, telling
+from sparkloom.llm.sparse import BITS, Adagrad, Model, Rows, annotated, collected, common, crc_share, select, sigmoid, spread, telling
 
 #: Bounds of the samples that the classifier is fitted on: confirmed toxic texts, and texts without labels.
-POSITIVES, UNLABELLED = 4_000, 12_000
+POSITIVES, UNLABELLED = 3_000, 9_000
 
 
 def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 300, rate: float = 0.2, decay: float = 1e-5, least_z: float = 6.0) -> Model:
@@ -64,9 +64,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, positives: int =
     chosen = first_rows(marked.where("toxic = 1").select("doc_id"), positives).withColumn("kind", F.lit(1)).unionByName(first_rows(ids, unlabelled).withColumn("kind", F.lit(0)))
     # at most positives + unlabelled ids
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = feature_rows(texts, False, ["doc_id", "kind"]).toPandas().sort_values(["kind", "doc_id"], kind="stable")
-    of = lambda kind: Rows.of(rows.loc[rows["kind"] == kind, "packed"].tolist())
-    return fit_nnpu(of(1), of(0), prior)
+    rows = collected(texts, False, "kind")
+    return fit_nnpu(rows[1], rows[0], prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
