@@ -252,9 +252,8 @@ def _ascend(table: np.ndarray, past: np.ndarray, rows: np.ndarray, gradient: np.
     table[rows] += (RATE * gradient / np.sqrt(past[rows])).astype(np.float32)
 
 
-def train_on(docs: list[bytes], history: np.ndarray, start: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
-    """Weights after steps over these documents, and their number of tokens."""
-    w, past = Weights(start.copy()), Weights(np.full(WEIGHTS, START, np.float32))
+def train_on(docs: list[bytes], history: np.ndarray, w: Weights, past: Weights, seed: int) -> int:
+    """Change the weights by steps over these documents; `past` holds Adagrad's sums. Returns the number of tokens."""
     order = np.random.default_rng(seed).permutation(len(docs))
     symbols, one, two = histories([docs[i] for i in order], history)
     size = min(max(len(symbols) // STEPS, STEP_TOKENS[0]), STEP_TOKENS[1])
@@ -281,7 +280,20 @@ def train_on(docs: list[bytes], history: np.ndarray, start: np.ndarray, seed: in
         table, old = w.words.reshape(-1, IN_CLASS), past.words.reshape(-1, IN_CLASS)
         for r in (np.zeros(len(pair), np.int64), *rows):
             _ascend(table, old, *_summed(r * (OUTPUTS // IN_CLASS) + group, g))
-    return w.flat, len(symbols)
+    return len(symbols)
+
+
+def in_parts(texts: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    """The texts in lists of about `most` tokens."""
+    held, tokens = [], 0
+    for text in texts:
+        held.append(text)
+        tokens += len(text) // 2
+        if tokens >= most:
+            yield held
+            held, tokens = [], 0
+    if held:
+        yield held
 
 
 def _averaged(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -309,10 +321,12 @@ def train(texts: DataFrame, history: np.ndarray, flat: np.ndarray, rounds: int =
 
             task = TaskContext.get().partitionId()
             start, past = shared.value
-            docs = [d for batch in batches for d in batch.column(0).to_pylist()]
-            if docs:
-                end, tokens = train_on(docs, past, start, number)
-                change = np.append(end - start, np.zeros(-WEIGHTS % BLOCK, np.float32)).reshape(-1, BLOCK)
+            w, sums, tokens = Weights(start.copy()), Weights(np.full(WEIGHTS, START, np.float32)), 0
+            texts = (d for batch in batches for d in batch.column(0).to_pylist())
+            for docs in in_parts(texts, STEPS * STEP_TOKENS[1]):
+                tokens += train_on(docs, past, w, sums, number)
+            if tokens:
+                change = np.append(w.flat - start, np.zeros(-WEIGHTS % BLOCK, np.float32)).reshape(-1, BLOCK)
                 n = len(change)
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([tokens] * n, pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())], names=["block", "task", "tokens", "change"])
 
@@ -371,12 +385,9 @@ def score_texts(docs: DataFrame, parts: int = 5, held: int = 1) -> DataFrame:
         weights, history = shared.value
         w = Weights(weights)
         for batch in batches:
-            texts, scores = batch.column(1).to_pylist(), []
-            sizes = np.cumsum([len(t) // 2 for t in texts])
-            cuts = np.searchsorted(sizes, np.arange(SCORED_AT_ONCE, sizes[-1] if len(sizes) else 0, SCORED_AT_ONCE)).tolist()
-            for low, high in zip([0, *cuts], [*cuts, len(texts)], strict=True):
-                if high > low:
-                    scores += log_chances(texts[low:high], history, w).tolist()
+            scores = []
+            for some in in_parts(iter(batch.column(1).to_pylist()), SCORED_AT_ONCE):
+                scores += log_chances(some, history, w).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "chance"])
 
     chances = texts.select("row", "symbols").mapInArrow(run, "row long, chance double")
