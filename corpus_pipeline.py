@@ -17,16 +17,22 @@ from sparkloom.tables import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose doc_id (null too) is not among those of `gone`."""
+    ids = gone.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.select(COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["gone_id"]), "left_anti")
+
+
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; it is fitted on this stage's own input."""
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 1").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    return without(docs, scored.where("predicted = 1"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a later document repeats; those without such lines stay as they are."""
-    kept = lines.dedup_lines(docs).where("n_dropped > 0").select("doc_id", "kept")
-    joined = docs.join(kept, "doc_id", "left")
+    kept = lines.dedup_lines(docs).where("n_dropped > 0").select(F.col("doc_id").alias("kept_id"), "kept")
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left")
     text = F.coalesce("kept", "text")
     return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
 
@@ -34,13 +40,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id."""
     classes = chosenpath.similarity_classes(docs)
-    return docs.join(classes.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    return without(docs, classes.where("NOT (doc_id <=> class_id)"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark, whole or reordered."""
     found = tiling.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    return without(docs, found)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
