@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import fact_queries, graph_queries, resolve_queries, rule_queries, source_queries, stream_queries, text_queries
+from sparkloom.plans import fact_queries, graph_queries, listing_queries, resolve_queries, rule_queries, source_queries, stream_queries, text_queries
 
-MODULES = [fact_queries, graph_queries, resolve_queries, rule_queries, source_queries, stream_queries, text_queries]
+MODULES = [fact_queries, graph_queries, listing_queries, resolve_queries, rule_queries, source_queries, stream_queries, text_queries]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
