@@ -29,9 +29,11 @@ def class_files(spark, folder):
     rows = g.methods.join(lines, F.col("method_id") == F.col("src"), "left").join(uses, "method_id", "left")
     mid, kind = F.col("method_id"), F.when(F.col("class_name").contains("Controller"), "Controller").otherwise("Service")
     name = F.concat(F.lit("P"), mid, kind)
-    entry = F.when(F.col("is_entry"), F.concat(F.lit('    @GetMapping("/api/m'), mid, F.lit('")\n'))).otherwise("")
+    listens = F.when(mid % 13 == 0, F.lit('    @KafkaListener(topics = "t")\n')).otherwise("")
+    entry = F.concat(F.when(F.col("is_entry"), F.concat(F.lit('    @GetMapping("/api/m'), mid, F.lit('")\n'))).otherwise(""), listens)
+    mark = F.when(mid % 11 == 0, F.lit("@DubboService(version = 2)")).otherwise("@Component")
     content = F.concat(
-        F.lit("/* written from the graph\n * by Spark */\npackage com.shop.a"), F.col("app_id"), F.lit(";\n\nimport java.util.List;\n\n@Component\npublic class "), name, F.lit(" extends Base implements Shop"), mid % INTERFACES, F.lit(" {\n"),
+        F.lit("/* written from the graph\n * by Spark */\npackage com.shop.a"), F.col("app_id"), F.lit(";\n\nimport java.util.List;\n\n"), mark, F.lit("\npublic class "), name, F.lit(" extends Base implements Shop"), mid % INTERFACES, F.lit(" {\n"),
         F.coalesce("fields", F.lit("")), F.lit("\n    // the one method\n"), entry, F.lit("    @Override\n    public String m"), mid, F.lit("(Long id, List<String> names) {\n        if (id > "), mid % 7, F.lit(") {\n            id = new Long(1);\n        }\n"),
         F.coalesce("calls", F.lit("")), F.coalesce("uses", F.lit("")), F.lit('        return id == 0 ? "none" : names.stream();\n    }\n}\n'),
     )
@@ -79,6 +81,10 @@ def _java_methods(spark, folder):
     return found.select("class_name", "package", "signature", "return_type", F.array_join("param_types", ",").alias("params"), "is_abstract", "is_entry", "http_path", "http_method")
 
 
+def _entry_points(spark, folder):
+    return java.entry_points(class_files(spark, folder).select("path", "content"))
+
+
 def _java_calls(spark, folder):
     found = java.calls(class_files(spark, folder).select("path", "content"))
     return found.groupBy("caller", "scope", "name", "call_type", "kind").agg(F.count("*").alias("n"))
@@ -122,6 +128,7 @@ def _operations(spark, folder):
 
 QUERIES = {
     "java_methods": _java_methods,
+    "java_entry_points": _entry_points,
     "java_calls": _java_calls,
     "java_hierarchy": _java_hierarchy,
     "override_edges": _override_edges,
@@ -142,7 +149,7 @@ _FILES = f"""per AS (SELECT m.method_id, m.app_id, concat('src/', {_CLASS}, '.ja
   (SELECT count(*) FROM calls c WHERE c.src = m.method_id) AS n_calls,
   (SELECT count(DISTINCT a.table_id) FROM accesses a WHERE a.method_id = m.method_id) AS n_tables,
   (SELECT count(DISTINCT (a.table_id, a.operation)) FROM accesses a WHERE a.method_id = m.method_id) AS n_uses FROM methods m),
-metrics AS (SELECT path, app_id, CAST(19 + n_calls + n_tables + n_uses + CASE WHEN is_entry THEN 1 ELSE 0 END AS BIGINT) AS lines, CAST(3 AS BIGINT) AS comment_lines, CAST(1 AS BIGINT) AS n_classes, CAST(1 AS BIGINT) AS n_methods, CAST(2 AS BIGINT) AS complexity FROM per),
+metrics AS (SELECT path, app_id, CAST(19 + n_calls + n_tables + n_uses + CASE WHEN is_entry THEN 1 ELSE 0 END + CASE WHEN method_id % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lines, CAST(3 AS BIGINT) AS comment_lines, CAST(1 AS BIGINT) AS n_classes, CAST(1 AS BIGINT) AS n_methods, CAST(2 AS BIGINT) AS complexity FROM per),
 rates AS (SELECT app_id, floor(100.0 * (sum(n - 1)) / sum(n) * 10 + 0.5) / 10 AS duplication_rate FROM (SELECT app_id, concat('m', method_id % 100) AS s, count(*) AS n FROM methods GROUP BY 1, 2) d GROUP BY app_id),
 apps AS (SELECT m.app_id, CAST(sum(n_classes) AS BIGINT) AS class_count, CAST(sum(n_methods) AS BIGINT) AS method_count, CAST(sum(complexity) AS BIGINT) AS complexity, any_value(duplication_rate) AS duplication_rate, floor(100.0 * sum(comment_lines) / sum(lines) * 10 + 0.5) / 10 AS comment_coverage FROM metrics m JOIN rates r ON m.app_id = r.app_id GROUP BY m.app_id)"""
 
@@ -155,8 +162,11 @@ _USAGE = """used AS (SELECT DISTINCT concat('P', m.method_id, CASE WHEN class_na
   FROM accesses a JOIN methods m ON a.method_id = m.method_id JOIN supplier_tables s ON a.table_id = s.table_id)"""
 
 ORACLES = {
-    "java_methods": _sql(f"""SELECT {_CLASS} AS class_name, concat('com.shop.a', app_id) AS package, concat('m', method_id, '(Long, List<String>)') AS signature, 'String' AS return_type, 'Long,List<String>' AS params, false AS is_abstract, is_entry,
+    "java_methods": _sql(f"""SELECT {_CLASS} AS class_name, concat('com.shop.a', app_id) AS package, concat('m', method_id, '(Long, List<String>)') AS signature, 'String' AS return_type, 'Long,List<String>' AS params, false AS is_abstract, is_entry OR method_id % 13 = 0 OR method_id % 11 = 0 AS is_entry,
         CASE WHEN is_entry THEN concat('/api/m', method_id) END AS http_path, CASE WHEN is_entry THEN 'GET' END AS http_method FROM methods"""),
+    "java_entry_points": _sql(f"""SELECT {_CLASS} AS class_name, concat('m', method_id, '(Long, List<String>)') AS signature, d.framework, d.type,
+        CASE d.framework WHEN 'Dubbo' THEN {_CLASS} ELSE CASE WHEN is_entry THEN concat('/api/m', method_id) END END AS path, CASE d.framework WHEN 'Dubbo' THEN concat('m', method_id) ELSE CASE WHEN is_entry THEN 'GET' END END AS verb, d.framework = 'Dubbo' AS class_level
+        FROM methods JOIN (VALUES ('Spring', 'HTTP'), ('Dubbo', 'RPC'), ('Kafka', 'MQ')) d(framework, type) ON CASE d.framework WHEN 'Spring' THEN is_entry WHEN 'Dubbo' THEN method_id % 11 = 0 ELSE method_id % 13 = 0 END"""),
     "java_calls": _sql("""SELECT caller, scope, name, call_type, kind, count(*) AS n FROM (
         SELECT concat('m', src) AS caller, CASE WHEN call_type = 'EXTERNAL' THEN 'restTemplate' ELSE 'helper' END AS scope, CASE WHEN call_type = 'EXTERNAL' THEN 'post' ELSE concat('m', dst) END AS name, call_type, 'call' AS kind FROM calls JOIN methods ON src = method_id
         UNION ALL SELECT concat('m', method_id), concat('s', table_id, 'Mapper'), CASE operation WHEN 'INSERT' THEN 'insert' WHEN 'UPDATE' THEN 'updateById' WHEN 'DELETE' THEN 'deleteById' ELSE 'selectById' END, 'INTERNAL', 'call' FROM (SELECT DISTINCT a.* FROM accesses a JOIN methods m ON a.method_id = m.method_id) d

@@ -16,9 +16,16 @@ DECLARED = r"([\w<>\[\],.?]+)\s+(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w,. ]+)?\s*
 TYPE = r"\b(class|interface)\s+(\w+)"
 STRING = r'"(?:[^"\\]|\\.)*"'
 COMMENT = rf"({STRING})|(?s:/\*.*?\*/)|//[^\n]*"
-# What makes a scope external, what marks entries, and which annotations carry a path and verb.
+# What makes a scope external, which annotations mark entries of which framework (on a class, on a method),
+# and which carry a path and verb.
 EXTERNAL_SCOPES = r"restTemplate|webClient|feignClient|dubbo|httpClient|okHttp|RestTemplate|WebClient|FeignClient"
-ENTRY = r"@(?:RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|KafkaListener|Scheduled|GrpcMethod)\b"
+DETECTORS = [
+    ("Spring", "HTTP", "RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping", False, True),
+    ("Dubbo", "RPC", "DubboService|ShenyuDubboService", True, False),
+    ("ShenYu", "HTTP", "RestApi", False, True),
+    ("gRPC", "RPC", "GrpcService", True, True),
+    ("Kafka", "MQ", "KafkaListener", False, True),
+]
 PATH = r'@(?:Request|Get|Post|Put|Delete)Mapping\s*\(\s*"([^"]*)"'
 BRANCHES = r"\b(?:if|for|while|case|catch)\b|\?[^:;?]*:"
 
@@ -50,13 +57,32 @@ def _members(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split(marked, "\u0001")).alias("part", "text")).where("part > 0")
 
 
+def _entries(head: Column, text: Column, class_name: Column, name: Column) -> Column:
+    """All detections of a method: a class-level mark names the class as path and the method as verb."""
+    path, verb = F.nullif(F.regexp_extract(text, PATH, 1), F.lit("")), F.nullif(F.upper(F.regexp_extract(text, r"@(Get|Post|Put|Delete)Mapping\b", 1)), F.lit(""))
+    found = []
+    for framework, kind, marks, on_class, on_method in DETECTORS:
+        one = lambda at, p, v, whole, f=framework, k=kind, m=marks: F.when(at.rlike(rf"@(?:{m})\b"), F.struct(F.lit(f).alias("framework"), F.lit(k).alias("type"), p.alias("path"), v.alias("verb"), F.lit(whole).alias("class_level")))
+        found += [one(head, class_name, name, True)] * on_class + [one(text, path, verb, False)] * on_method
+    return F.array_compact(F.array(*found))
+
+
 def methods(files: DataFrame) -> DataFrame:
-    """path, package, class_name, name, signature, return_type, param_types, is_abstract, is_entry, http_path, http_method."""
+    """path, package, class_name, name, signature, return_type, param_types, is_abstract, is_entry, http_path, http_method, entries."""
     decl = lambda group: F.regexp_extract("text", DECLARED, group)
     params = F.filter(F.transform(F.split(decl(3), ","), lambda p: F.regexp_extract(F.trim(p), r"^(?:final\s+)?([\w<>\[\].?]+)\s+\w+$", 1)), lambda p: p != "")
     verb = F.upper(F.regexp_extract("text", r"@(Get|Post|Put|Delete)Mapping\b", 1))
-    rows = _members(files).select("path", "part", decl(1).alias("return_type"), decl(2).alias("name"), params.alias("param_types"), (decl(4) == ";").alias("is_abstract"), F.col("text").rlike(ENTRY).alias("is_entry"), F.nullif(F.regexp_extract("text", PATH, 1), F.lit("")).alias("http_path"), F.nullif(verb, F.lit("")).alias("http_method"))
-    return rows.join(types(files).select("path", "package", "class_name"), "path").withColumn("signature", F.concat(F.col("name"), F.lit("("), F.array_join("param_types", ", "), F.lit(")"))).drop("part")
+    rows = _members(files).select("path", "text", decl(1).alias("return_type"), decl(2).alias("name"), params.alias("param_types"), (decl(4) == ";").alias("is_abstract"), F.nullif(F.regexp_extract("text", PATH, 1), F.lit("")).alias("http_path"), F.nullif(verb, F.lit("")).alias("http_method"))
+    marks = F.regexp_replace(F.regexp_extract(_stripped(F.col("content")), rf"(?s)^(.*?)\b(?:class|interface)\s+\w+", 1), STRING, '""')
+    heads = types(files).join(files.select("path", marks.alias("head")), "path").select("path", "package", "class_name", "head")
+    joined = rows.join(heads, "path").withColumn("entries", _entries(F.col("head"), F.regexp_extract("text", rf"^(?:{ANNOTATION}\s*)*", 0), F.col("class_name"), F.col("name")))
+    signature = F.concat(F.col("name"), F.lit("("), F.array_join("param_types", ", "), F.lit(")"))
+    return joined.withColumn("signature", signature).withColumn("is_entry", F.size("entries") > 0).drop("text", "head")
+
+
+def entry_points(files: DataFrame) -> DataFrame:
+    """class_name, signature, framework, type, path, verb, class_level: every detection of every method."""
+    return methods(files).select("class_name", "signature", F.explode("entries").alias("e")).select("class_name", "signature", "e.*")
 
 
 def calls(files: DataFrame) -> DataFrame:
