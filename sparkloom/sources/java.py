@@ -18,7 +18,8 @@ STRING = r'"(?:[^"\\]|\\.)*"'
 COMMENT = rf"({STRING})|(?s:/\*.*?\*/)|//[^\n]*"
 # What makes a scope external, which annotations mark entries of which framework (on a class, on a method),
 # and which carry a path and verb.
-EXTERNAL_SCOPES = r"restTemplate|webClient|feignClient|dubbo|httpClient|okHttp|RestTemplate|WebClient|FeignClient"
+EXTERNAL_SCOPES = r"restTemplate|webClient|kafkaTemplate|rabbitTemplate|dubbo|feign|jdbcTemplate|redisTemplate|mongoTemplate"
+GENERATED = r"@(?:[\w.]+\.)?(?:Getter|Setter|Data|Value|Builder|ToString|EqualsAndHashCode|RequiredArgsConstructor|NoArgsConstructor|AllArgsConstructor|With|Accessors|Slf4j|Log|Log4j2|Generated)\b"
 DETECTORS = [
     ("Spring", "HTTP", "RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping", False, True),
     ("Dubbo", "RPC", "DubboService|ShenyuDubboService", True, False),
@@ -67,8 +68,19 @@ def _entries(head: Column, text: Column, class_name: Column, name: Column) -> Co
     return F.array_compact(F.array(*found))
 
 
+def _accessor(name: Column, n_params: Column, head: Column, text: Column) -> Column:
+    """A plain getter or setter: named so, and in a class with generated ones or with one line about its field."""
+    sets = (n_params == 1) & name.rlike("^set[A-Z]")
+    gets = (n_params == 0) & (F.length(name) > 3) & name.rlike("^(?:get|is)[A-Z]")
+    made = head.rlike(GENERATED)
+    return sets & (made | text.rlike(r"\{\s*this\.\w+\s*=\s*\w+\s*;\s*\}")) | gets & (made | text.rlike(r"\{\s*return\s+this\.\w+\s*;\s*\}"))
+
+
 def methods(files: DataFrame) -> DataFrame:
-    """path, package, class_name, name, signature, return_type, param_types, is_abstract, is_entry, http_path, http_method, entries."""
+    """path, package, class_name, name, signature, return_type, param_types, is_abstract, is_entry, http_path, http_method, entries.
+
+    Plain getters and setters are left out.
+    """
     decl = lambda group: F.regexp_extract("text", DECLARED, group)
     params = F.filter(F.transform(F.split(decl(3), ","), lambda p: F.regexp_extract(F.trim(p), r"^(?:final\s+)?([\w<>\[\].?]+)\s+\w+$", 1)), lambda p: p != "")
     verb = F.upper(F.regexp_extract("text", r"@(Get|Post|Put|Delete)Mapping\b", 1))
@@ -77,6 +89,7 @@ def methods(files: DataFrame) -> DataFrame:
     heads = types(files).join(files.select("path", marks.alias("head")), "path").select("path", "package", "class_name", "head")
     joined = rows.join(heads, "path").withColumn("entries", _entries(F.col("head"), F.regexp_extract("text", rf"^(?:{ANNOTATION}\s*)*", 0), F.col("class_name"), F.col("name")))
     signature = F.concat(F.col("name"), F.lit("("), F.array_join("param_types", ", "), F.lit(")"))
+    joined = joined.where(~_accessor(F.col("name"), F.size("param_types"), F.col("head"), F.col("text")))
     return joined.withColumn("signature", signature).withColumn("is_entry", F.size("entries") > 0).drop("text", "head")
 
 

@@ -32,6 +32,22 @@ def test_methods(spark):
     assert got["Api", "login(String, int)"]["is_abstract"]
 
 
+def test_accessors_are_left_out(spark):
+    body = "{\n private int a;\n public int getA() { return this.a; }\n public void setA(int a) { this.a = a; }\n public int getB() { return compute(); }\n public boolean isOn() { return on; }\n}"
+    frame = spark.createDataFrame([("P.java", "class P " + body), ("L.java", "@lombok.Data\nclass L " + body)], "path string, content string")
+    assert {(r["class_name"], r["name"]) for r in java.methods(frame).collect()} == {("P", "getB"), ("P", "isOn")}
+
+
+def test_entry_points(spark):
+    text = '@DubboService(version = "1")\nclass D implements A {\n @KafkaListener(topics = "t")\n public void on(String m) { }\n @GetMapping("/x")\n public String x() { return "@PostMapping"; }\n}'
+    frame = spark.createDataFrame([("D.java", text)], "path string, content string")
+    got = {tuple(r)[1:] for r in java.entry_points(frame).collect()}
+    assert got == {
+        ("on(String)", "Dubbo", "RPC", "D", "on", True), ("on(String)", "Kafka", "MQ", None, None, False),
+        ("x()", "Dubbo", "RPC", "D", "x", True), ("x()", "Spring", "HTTP", "/x", "GET", False),
+    }
+
+
 def test_calls(spark):
     got = {(r["caller"], r["scope"], r["name"], r["call_type"], r["kind"]) for r in java.calls(files(spark)).collect()}
     assert ("login", "service", "check", "INTERNAL", "call") in got
