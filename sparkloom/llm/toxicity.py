@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.sparse import BITS, Adagrad, Model, Rows, annotated, collected, common, crc_share, select, sigmoid, spread, telling
 
 #: Bounds of the samples that the classifier is fitted on: confirmed toxic texts, and texts without labels.
-POSITIVES, UNLABELLED = 3_000, 9_000
+POSITIVES, UNLABELLED = 2_000, 6_000
 
 
 def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 300, rate: float = 0.2, decay: float = 1e-5, least_z: float = 6.0) -> Model:
