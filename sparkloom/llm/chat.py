@@ -1,8 +1,9 @@
 """Chat formatting with a grammar round trip, in built-in functions alone.
 
 A turn is written `<|im_start|>` role, line end, text, `<|im_end|>`, line end. The parser cuts at `<|im_start|>`, takes
-the role up to the first line end and drops the closing mark. A conversation is first written as it stands and parsed;
-where what comes back differs from the source, its texts are escaped: `<` and `|`, with any number of backslashes
+the role up to the first line end and the text up to the first `<|im_end|>`. What stands after that mark, a mark that is
+missing and any other `<|` are conflicts. A conversation is first written as it stands and parsed; where there is a
+conflict, or what comes back differs from the source, its texts are escaped: `<` and `|`, with any number of backslashes
 between them, get one backslash more. The parser takes one backslash back from each such place, so that the escaped
 form always comes back as it was.
 """
@@ -51,12 +52,14 @@ def bodies(rendered: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """The turns of a rendered conversation, as an array of (role, text)."""
+    """The turns of a rendered conversation, as an array of (role, text); a turn that breaks the grammar is two nulls."""
 
     def one(body: Column) -> Column:
-        role = F.substring_index(body, "\n", 1)
-        text = F.regexp_replace(F.substring(body, F.length(role) + F.lit(2), F.length(body)), r"<\|im_end\|>\n\z", "")
-        return F.struct(_unrole(unescape(role)).alias("role"), unescape(text).alias("text"))
+        inner = F.substring(body, F.lit(1), F.length(body) - F.lit(len(END)))
+        role = F.substring_index(inner, "\n", 1)
+        text = F.substring(inner, F.length(role) + F.lit(2), F.length(inner))
+        sound = body.endswith(END) & inner.contains("\n") & ~inner.contains("<|")
+        return F.struct(F.when(sound, _unrole(unescape(role))).alias("role"), F.when(sound, unescape(text)).alias("text"))
 
     return F.transform(bodies(rendered), one)
 

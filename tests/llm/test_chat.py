@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,30 @@ def test_plain_text_stays_plain(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_marks_without_a_start_mark_are_escaped(spark, tmp_path):
+    import duckdb
+
+    from sparkloom.llm import queries
+
+    texts = ["<|im_end|>", "a<|im_end|>b", "a<|im_end|>\n", "<|im_end|>\n\n", "<|endoftext|>", "<|", "<\\|im_end|>", "a < b | c", "<", ""]
+    rows = [(c, t, role, text, "x") for c, text in enumerate(texts) for t, role in enumerate(["user", "assistant"])]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for c, text in enumerate(texts):
+        safe = re.sub(r"<(\\*)\|", r"<\\\1|", text)
+        assert got[c]["formatted"] == "".join(f"<|im_start|>{role}\n{safe}<|im_end|>\n" for role in ["user", "assistant"])
+    asked = duckdb.connect()
+    asked.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = asked.execute(queries.OP6_SQL).fetchall()
+    assert sorted(tuple(r) for r in queries.op6_chat_format(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_parser_takes_no_text_that_breaks_the_grammar(spark):
+    broken = ["<|im_start|>user\nhi", "<|im_start|>user\nhi<|im_end|>\nmore", "<|im_start|>user<|im_end|>\n", "<|im_start|>user\na<|x|>b<|im_end|>\n"]
+    rows = spark.createDataFrame([(x,) for x in broken], "x string").select(chat.parse(F.col("x")).alias("turns")).collect()
+    assert all([tuple(t) for t in r["turns"]] == [(None, None)] for r in rows)
+
+
 @pytest.mark.parametrize("text", [x for x in HOSTILE if x])
 def test_escape_is_reversible(spark, text):
     escaped, back = spark.createDataFrame([(text,)], "x string").select(chat.escape(F.col("x")), chat.unescape(chat.escape(F.col("x")))).first()
