@@ -94,9 +94,8 @@ def _java_hierarchy(spark, folder):
     return java.hierarchy(class_files(spark, folder).select("path", "content"))
 
 
-def _override_edges(spark, folder):
-    files = class_files(spark, folder).select("path", "content").unionByName(interface_files(spark, folder))
-    return java.override_edges(files)
+def _with_interfaces(spark, folder):
+    return class_files(spark, folder).select("path", "content").unionByName(interface_files(spark, folder))
 
 
 def _java_metrics(spark, folder):
@@ -131,7 +130,8 @@ QUERIES = {
     "java_entry_points": _entry_points,
     "java_calls": _java_calls,
     "java_hierarchy": _java_hierarchy,
-    "override_edges": _override_edges,
+    "override_edges": lambda spark, folder: java.override_edges(_with_interfaces(spark, folder)),
+    "package_override_edges": lambda spark, folder: java.package_override_edges(_with_interfaces(spark, folder)),
     "java_metrics": _java_metrics,
     "governance": _governance,
     "governance_summary": lambda spark, folder: govern.summary(_governance(spark, folder)),

@@ -110,20 +110,39 @@ def calls(files: DataFrame) -> DataFrame:
     return found.withColumn("call_type", F.when((F.col("kind") != "new") & F.col("scope").rlike(EXTERNAL_SCOPES), "EXTERNAL").otherwise("INTERNAL"))
 
 
+def _links(files: DataFrame) -> DataFrame:
+    """child_package, child, parent (simple name), relation: implements or extends."""
+    found = types(files).withColumnsRenamed({"package": "child_package", "class_name": "child", "parent": "extended"})
+    a = found.select("child_package", "child", F.explode("interfaces").alias("parent"), F.lit("implements").alias("relation"))
+    return a.unionByName(found.where("extended IS NOT NULL").select("child_package", "child", F.col("extended").alias("parent"), F.lit("extends").alias("relation")))
+
+
 def hierarchy(files: DataFrame) -> DataFrame:
     """child, parent (simple names), relation: implements or extends."""
-    found = types(files)
-    a = found.select(F.col("class_name").alias("child"), F.explode("interfaces").alias("parent"), F.lit("implements").alias("relation"))
-    return a.unionByName(found.where("parent IS NOT NULL").select(F.col("class_name").alias("child"), "parent", F.lit("extends").alias("relation")))
+    return _links(files).select("child", "parent", "relation")
+
+
+def package_override_edges(files: DataFrame) -> DataFrame:
+    """parent_package, parent_class, child_package, child_class, signature: abstract methods (or of no return type) and those of like signature in types below them.
+
+    A parent is the type of that name in the child's package; where the package has none, the types of that name
+    anywhere, of which each signature is taken from the smallest package.
+    """
+    found = methods(files).select("package", "class_name", "signature", (F.col("is_abstract") | (F.coalesce("return_type", F.lit("")) == "")).alias("is_abstract")).distinct()
+    links = _links(files).select("child_package", "child", "parent").distinct()
+    known = types(files).select(F.col("package").alias("child_package"), F.col("class_name").alias("parent")).distinct()
+    near = links.join(known, ["child_package", "parent"], "left_semi").withColumn("parent_package", F.col("child_package"))
+    far = links.join(known, ["child_package", "parent"], "left_anti")
+    above = found.where("is_abstract").select(F.col("package").alias("parent_package"), F.col("class_name").alias("parent"), "signature")
+    first = above.groupBy("parent", "signature").agg(F.min("parent_package").alias("parent_package"))
+    below = found.select(F.col("package").alias("child_package"), F.col("class_name").alias("child"), "signature")
+    edges = near.join(above, ["parent_package", "parent"]).unionByName(far.join(first, "parent")).join(below, ["child_package", "child", "signature"])
+    return edges.select("parent_package", F.col("parent").alias("parent_class"), "child_package", F.col("child").alias("child_class"), "signature").distinct()
 
 
 def override_edges(files: DataFrame) -> DataFrame:
-    """parent_class, child_class, signature: abstract methods and the methods of like signature in classes below them."""
-    found = methods(files)
-    down = hierarchy(files)
-    above = found.where("is_abstract").select(F.col("class_name").alias("parent"), "signature")
-    below = found.where("NOT is_abstract").select(F.col("class_name").alias("child"), "signature")
-    return down.join(above, "parent").join(below, ["child", "signature"]).select(F.col("parent").alias("parent_class"), F.col("child").alias("child_class"), "signature")
+    """parent_class, child_class, signature of `package_override_edges`, a row for each edge."""
+    return package_override_edges(files).select("parent_class", "child_class", "signature")
 
 
 def metrics(files: DataFrame) -> DataFrame:

@@ -64,6 +64,16 @@ def test_hierarchy_and_overrides(spark):
     assert [tuple(r) for r in java.override_edges(files(spark)).collect()] == [("Api", "UserController", "login(String, int)")]
 
 
+def test_overrides_keep_to_the_package(spark):
+    texts = [f"package pkg{i};\ninterface Foo {{\n String bar();\n}}" for i in (1, 2)] + [f"package pkg{i};\nclass FooImpl implements Foo {{\n public String bar() {{ return x; }}\n}}" for i in (1, 2, 3)]
+    texts += ["package pkg1;\nabstract class Step {\n abstract void run();\n}", "package pkg2;\nclass Step {\n void run() { go(); }\n}", "package pkg2;\nclass Last extends Step {\n void run() { go(); }\n}"]
+    frame = spark.createDataFrame([(f"{i}.java", t) for i, t in enumerate(texts)], "path string, content string")
+    assert [tuple(r) for r in java.override_edges(frame).collect()] == [("Foo", "FooImpl", "bar()")] * 3
+    got = sorted(tuple(r) for r in java.package_override_edges(frame).collect())
+    # pkg3 has no Foo of its own; pkg2's Step is not abstract
+    assert got == [("pkg1", "Foo", "pkg1", "FooImpl", "bar()"), ("pkg1", "Foo", "pkg3", "FooImpl", "bar()"), ("pkg2", "Foo", "pkg2", "FooImpl", "bar()")]
+
+
 def test_mappers(spark):
     texts = [
         ("M.java", "interface UserMapper extends BaseMapper<UserPO> {}"),
