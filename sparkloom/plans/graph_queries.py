@@ -88,10 +88,16 @@ def _findings(spark, folder):
 
 
 def _digest(spark, folder):
+    """The digest of three of the five rules, as its SQL has it; `_digest_all` takes all."""
     found = rules.findings(graph(spark, folder), ["god-method", "layer-violation", "orphan-code"]).withColumn("created", F.col("method_id"))
     return rules.digest(found)
 
 
+def _digest_all(spark, folder):
+    """The digest of the findings of all rules."""
+    return rules.digest(rules.findings(graph(spark, folder)).withColumn("created", F.col("method_id")))
+
+
 def _rule_listing(spark, folder):
     """The registered rules with the number of their findings."""
     listed = spark.createDataFrame([(r.id, r.severity, r.category) for r in rules.RULES], "rule_id string, severity string, category string")
@@ -114,6 +120,7 @@ QUERIES = {
     "layer_violation": _on(rules.layer_violation),
     "findings": _findings,
     "findings_digest": _digest,
+    "findings_digest_all": _digest_all,
     "rule_listing": _rule_listing,
     "upstream_entry_points": _upstream,
     "impact": _impact,
@@ -184,6 +191,7 @@ ORACLES = {
     "layer_violation": _sql(_LAYER),
     "findings": _sql("SELECT * FROM found", _CYCLE, _TRAILS, _rendered()),
     "findings_digest": _sql("""SELECT string_agg(line, chr(10) ORDER BY method_id DESC, title) AS digest, count(*) AS n FROM (SELECT method_id, title, concat('- [', severity, '] ', title) AS line FROM found WHERE rule_id IN ('god-method', 'layer-violation', 'orphan-code') ORDER BY method_id DESC, title LIMIT 15) x""", _CYCLE, _TRAILS, _rendered()),
+    "findings_digest_all": _sql("""SELECT string_agg(line, chr(10) ORDER BY method_id DESC, title) AS digest, count(*) AS n FROM (SELECT method_id, title, concat('- [', severity, '] ', title) AS line FROM found ORDER BY method_id DESC, title LIMIT 15) x""", _CYCLE, _TRAILS, _rendered()),
     "rule_listing": _sql("SELECT r.rule_id, r.severity, r.category, count(f.rule_id) AS n FROM (VALUES " + ", ".join(f"('{r.id}', '{r.severity}', '{r.category}')" for r in rules.RULES) + ") r(rule_id, severity, category) LEFT JOIN found f ON r.rule_id = f.rule_id GROUP BY ALL", _CYCLE, _TRAILS, _rendered()),
     "upstream_entry_points": _sql("""SELECT start, entry, depth FROM (SELECT r.seed AS start, r.node AS entry, r.depth, row_number() OVER (PARTITION BY r.seed ORDER BY r.node) AS n
         FROM up r JOIN methods s ON r.seed = s.method_id JOIN methods e ON r.node = e.method_id WHERE r.depth > 0 AND e.is_entry AND e.app_id = s.app_id) x WHERE n <= 50""", _reach("up", "SELECT DISTINCT method_id AS seed FROM accesses", "dst", "src", 6)),
