@@ -62,25 +62,36 @@ def _trace_paths(spark, folder):
 
 
 def _trace_tree(spark, folder):
+    return _tree(_trace(spark, folder)[1][1])
+
+
+def _tree(paths):
     """Per seed: the root, all paths as one JSON array, and their number."""
-    paths = _trace(spark, folder)[1][1]
     by = paths.groupBy("seed").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     return by.select("seed", F.col("paths")[0][0].alias("root"), F.to_json("paths").alias("paths"), F.size("paths").cast("long").alias("total_paths"))
 
 
+def _edge(a, b, kind, subtype=None):
+    more = [] if subtype is None else [subtype.alias("subType")]
+    return F.to_json(F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), *more))
+
+
 def _trace_graph(spark, folder):
-    """Nodes and edges of every trace as JSON for drawing: methods with their class as the group, tables, calls and accesses."""
     g, (visits, _) = _trace(spark, folder)
+    calls = visits.where(F.col("depth") < TRACE_DEPTH).join(g.calls.where("call_type = 'INTERNAL'"), F.col("node") == F.col("src"))
+    return _drawn(g, visits, calls.select("seed", F.lit("edge").alias("part"), _edge(F.col("src").cast("string"), F.col("dst").cast("string"), "CALLS").alias("json")))
+
+
+def _drawn(g, visits, calls):
+    """Nodes and edges of every trace as JSON for drawing: methods with their class as the group, tables, calls (as given) and accesses."""
     known = visits.join(g.methods, F.col("node") == F.col("method_id"))
     node = lambda i, kind, label, group: F.to_json(F.struct(i.alias("id"), F.lit(kind).alias("type"), label.alias("label"), group.alias("comboId")))
-    edge = lambda a, b, kind: F.to_json(F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type")))
     table = F.concat(F.lit("table:"), F.col("table_id").cast("string"))
     methods = known.select("seed", F.lit("node").alias("part"), node(F.col("method_id").cast("string"), "METHOD", F.concat_ws(".", "class_name", "signature"), F.col("class_name")).alias("json"))
     hits = visits.join(g.accesses, F.col("node") == F.col("method_id"))
     tables = hits.select("seed", F.lit("node").alias("part"), node(table, "TABLE", table, F.lit(None).cast("string")).alias("json"))
-    uses = hits.select("seed", F.lit("edge").alias("part"), edge(F.col("method_id").cast("string"), table, "ACCESSES").alias("json"))
-    calls = visits.where(F.col("depth") < TRACE_DEPTH).join(g.calls.where("call_type = 'INTERNAL'"), F.col("node") == F.col("src"))
-    return methods.unionByName(tables).unionByName(uses).unionByName(calls.select("seed", F.lit("edge").alias("part"), edge(F.col("src").cast("string"), F.col("dst").cast("string"), "CALLS").alias("json")))
+    uses = hits.select("seed", F.lit("edge").alias("part"), _edge(F.col("method_id").cast("string"), table, "ACCESSES").alias("json"))
+    return methods.unionByName(tables).unionByName(uses).unionByName(calls)
 
 
 def _findings(spark, folder):
@@ -98,6 +109,60 @@ def _digest_all(spark, folder):
     return rules.digest(rules.findings(graph(spark, folder)).withColumn("created", F.col("method_id")))
 
 
+def _full_trace(spark, folder):
+    """A trace from every entry over all calls, at the operator's own depth and hop cap."""
+    g = graph(spark, folder)
+    return g, traverse.trace(g, _entries(g))
+
+
+def _full_trace_visit(spark, folder):
+    return _full_trace(spark, folder)[1][0].select("seed", F.col("node").alias("method_id"), "depth")
+
+
+def _full_trace_edges(spark, folder):
+    """All calls of every method that a trace visits, followed or not, with their call type."""
+    g, (visits, _) = _full_trace(spark, folder)
+    return visits.join(g.calls, F.col("node") == F.col("src")).select("seed", "src", "dst", "call_id", "call_type")
+
+
+def _full_trace_tree(spark, folder):
+    return _tree(_full_trace(spark, folder)[1][1])
+
+
+def _full_trace_graph(spark, folder):
+    """Nodes and edges of every full trace, all calls of its methods with their call type as the subtype."""
+    g, (visits, _) = _full_trace(spark, folder)
+    calls = visits.join(g.calls, F.col("node") == F.col("src"))
+    return _drawn(g, visits, calls.select("seed", F.lit("edge").alias("part"), _edge(F.col("src").cast("string"), F.col("dst").cast("string"), "CALLS", F.col("call_type")).alias("json")))
+
+
+def _full_trace_tables(spark, folder):
+    g, (visits, _) = _full_trace(spark, folder)
+    return visits.join(g.accesses, F.col("node") == F.col("method_id")).select("seed", "method_id", "table_id", "operation")
+
+
+def _full_trace_paths(spark, folder):
+    return _full_trace(spark, folder)[1][1].select("seed", F.array_join("path", ">").alias("path"), "end")
+
+
+def _full_trace_target(spark, folder):
+    """All paths of every entry with a target: the largest method that its trace visits, so that a target is within reach."""
+    g, (visits, _) = _full_trace(spark, folder)
+    goal = visits.where("depth > 0").groupBy("seed").agg(F.max("node").alias("target"))
+    paths = traverse.trace(g, _entries(g), target=goal)[1]
+    return paths.join(goal, "seed", "left").select("seed", "target", F.array_join("path", ">").alias("path"), "end")
+
+
+def _full_impact(spark, folder):
+    g = graph(spark, folder)
+    return traverse.impact(g, g.accesses.where("operation <> 'SELECT'").select("method_id").distinct())
+
+
+def _full_downstream(spark, folder):
+    g = graph(spark, folder)
+    return traverse.impact(g, _entries(g), upstream=False)
+
+
 def _rule_listing(spark, folder):
     """The registered rules with the number of their findings."""
     listed = spark.createDataFrame([(r.id, r.severity, r.category) for r in rules.RULES], "rule_id string, severity string, category string")
@@ -131,6 +196,15 @@ QUERIES = {
     "trace_paths": _trace_paths,
     "trace_tree": _trace_tree,
     "trace_graph": _trace_graph,
+    "full_trace_visit": _full_trace_visit,
+    "full_trace_edges": _full_trace_edges,
+    "full_trace_tree": _full_trace_tree,
+    "full_trace_graph": _full_trace_graph,
+    "full_trace_tables": _full_trace_tables,
+    "full_trace_paths": _full_trace_paths,
+    "full_trace_target": _full_trace_target,
+    "full_impact": _full_impact,
+    "full_impact_downstream": _full_downstream,
 }
 
 _DEG = """deg AS (SELECT m.*, coalesce(o.n, 0) AS out_deg, coalesce(i.n, 0) AS in_deg FROM methods m

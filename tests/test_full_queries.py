@@ -1,9 +1,11 @@
 """Queries over the whole job of their operators."""
 
+from collections import deque
 from pathlib import Path
 
 import pytest
 
+from sparkloom.fixture import graph
 from sparkloom.plans import registry
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -14,3 +16,84 @@ pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
 def test_digest_has_findings_of_costly_rules(spark):
     got = registry.queries()["findings_digest_all"](spark, str(FOLDER)).first()
     assert got["n"] == 15 and "[HIGH] Circular dependency" in got["digest"] and "[HIGH] N+1 risk" in got["digest"]
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    g = graph(spark, str(FOLDER))
+    apps = {r["method_id"]: r["app_id"] for r in g.methods.collect()}
+    calls = sorted((r["call_id"], r["src"], r["dst"], r["call_type"]) for r in g.calls.collect())
+    known = [c for c in calls if c[1] in apps and c[2] in apps]
+    accesses = [tuple(r) for r in g.accesses.collect()]
+    return apps, calls, known, accesses, [r["method_id"] for r in g.methods.where("is_entry").collect()]
+
+
+def by_queue(small, entry, target=None, most=10, hops=3):
+    """Visits and paths of the queue-based trace over all calls, three of them into other apps."""
+    apps, _, calls, accesses, _ = small
+    queue, seen, visits, paths, crossed = deque([(entry, 0, [])]), set(), [], [], 0
+    while queue:
+        node, depth, path = queue.popleft()
+        path = [*path, node]
+        if depth > most:
+            continue
+        if node == target:
+            paths.append((entry, ">".join(map(str, path)), "target"))
+            continue
+        if node in seen:
+            paths.append((entry, ">".join(map(str, path)), "seen"))
+            continue
+        seen.add(node)
+        visits.append((entry, node, depth))
+        for _, _, to, kind in (c for c in calls if c[1] == node):
+            if kind == "INTERNAL":
+                queue.append((to, depth + 1, path))
+            elif apps[node] != apps[to] and crossed < hops:
+                crossed += 1
+                queue.append((to, depth + 1, path))
+        paths += [(entry, ">".join(map(str, path)) + f">table:{a[1]}", "table") for a in accesses if a[0] == node]
+    return visits, paths
+
+
+def run(spark, name):
+    return sorted(tuple(r) for r in registry.queries()[name](spark, str(FOLDER)).collect())
+
+
+def test_full_traces_equal_the_queue(spark, small):
+    _, calls, _, accesses, entries = small
+    visits, paths = (sum(x, []) for x in zip(*(by_queue(small, e) for e in entries), strict=True))
+    assert max(v[2] for v in visits) > 3
+    assert run(spark, "full_trace_visit") == sorted(visits)
+    assert run(spark, "full_trace_paths") == sorted(paths)
+    assert run(spark, "full_trace_edges") == sorted((s, c[1], c[2], c[0], c[3]) for s, n, _ in visits for c in calls if c[1] == n)
+    assert run(spark, "full_trace_tables") == sorted((s, *a) for s, n, _ in visits for a in accesses if a[0] == n)
+    tree = registry.queries()["full_trace_tree"](spark, str(FOLDER)).collect()
+    assert sum(r["total_paths"] for r in tree) == len(paths) and all(str(r["seed"]) == r["root"] for r in tree)
+    drawn = [r[2] for r in run(spark, "full_trace_graph")]
+    assert sum('"subType":"EXTERNAL"' in d for d in drawn) == sum(c[3] == "EXTERNAL" for s, n, _ in visits for c in calls if c[1] == n) > 0
+
+
+def test_full_traces_to_a_target_equal_the_queue(spark, small):
+    want = []
+    for e in small[4]:
+        target = max((n for _, n, depth in by_queue(small, e)[0] if depth > 0), default=None)
+        want += [(s, target, p, end) for s, p, end in by_queue(small, e, target)[1]]
+    key = lambda r: (r[0], r[1] or -1, *r[2:])
+    assert any(r[3] == "target" for r in want)
+    got = [tuple(r) for r in registry.queries()["full_trace_target"](spark, str(FOLDER)).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_full_impact_goes_six_calls(spark, small):
+    apps, calls, _, accesses, entries = small
+    for name, seeds, a, b in (("full_impact", {x[0] for x in accesses if x[2] != "SELECT"}, 2, 1), ("full_impact_downstream", set(entries), 1, 2)):
+        want = []
+        for seed in seeds:
+            seen = near = {seed}
+            for _ in range(6):
+                near = {c[b] for c in calls if c[a] in near} - seen
+                seen = seen | near
+            reached = [m for m in seen if m != seed and m in apps]
+            if reached:
+                want.append((seed, len(reached), sum(m in set(entries) for m in reached)))
+        assert run(spark, name) == sorted(want)
