@@ -34,11 +34,26 @@ NO_ID = -(2**63)
 _WHOLE = float(2**64)
 
 
-def runs_for(recall: float, depth: int) -> int:
+def survival(depth: int) -> float:
+    """The chance of a pair at the threshold to survive `depth` levels of a run."""
     chance = 1.0
     for _ in range(depth):
         chance = 1 - math.exp(-chance)
-    return math.ceil(math.log(1 - recall) / math.log(1 - chance))
+    return chance
+
+
+def runs_for(recall: float, depth: int) -> int:
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
+
+
+def least_met(runs: int, recall: float, depth: int) -> int:
+    """How many first buckets a candidate must share, 3 at most: as many as the chance left over by the runs allows.
+
+    A pair at the threshold meets in a Poisson number of the first buckets, of mean `runs`. 1 loses nothing.
+    """
+    left = 1 - recall - (1 - survival(depth)) ** runs
+    fewer = lambda k: math.exp(-runs) * sum(runs**i / math.factorial(i) for i in range(k))
+    return next((k for k in (3, 2) if fewer(k) <= left), 1)
 
 
 def limits(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -228,9 +243,12 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     reps = saved(sets_of)
     level = shared_keys(reps.select("rep", F.explode(F.array_distinct("keys")).alias("key")))
     # A pair at the threshold meets in as many of the first buckets as there are runs, on average; sets that share fewer
-    # than three buckets with anyone (chance 4e-5 for 15 runs) are no candidates.
-    often = level.groupBy("rep").agg(F.count("*").alias("met")).where(F.col("met") >= 3).select("rep")
-    level = saved(shared_keys(level.join(often, "rep").select("key", "rep")))
+    # than `least` buckets with anyone (three for 15 runs: chance 4e-5) are no candidates.
+    least = least_met(runs, recall, depth)
+    if least > 1:
+        often = level.groupBy("rep").agg(F.count("*").alias("met")).where(F.col("met") >= least).select("rep")
+        level = shared_keys(level.join(often, "rep").select("key", "rep"))
+    level = saved(level)
     active = level.select("rep").distinct()
     sets = saved(set_rows(docs.join(active, docs["doc_id"] == active["rep"], "left_semi").dropDuplicates(["doc_id"])))
     found = level.where(F.col("in_bucket") <= SMALL)

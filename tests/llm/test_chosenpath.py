@@ -59,6 +59,20 @@ def test_runs_reach_the_recall():
     assert chosenpath.runs_for(0.999, 1) == 7 and chosenpath.runs_for(0.999, 3) > 7
 
 
+def test_few_runs_keep_their_recall(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        text = words(rng, 29).split()  # 25 runs of five words, and the 20 first of them: just the threshold
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:24]))]
+    got = chosenpath.similarity_classes(frame(spark, rows), recall=0.9).where("n_links > 0").count()
+    assert got >= 0.95 * len(rows)
+
+
+def test_least_count_follows_the_runs():
+    assert chosenpath.least_met(15, 0.999, 3) == 3 and chosenpath.least_met(5, 0.9, 3) == 1 and chosenpath.least_met(7, 0.999, 1) == 1
+
+
 @pytest.mark.parametrize("n", [3, 40])
 def test_common_counts(n):
     rng = np.random.default_rng(n)
