@@ -78,6 +78,19 @@ def upstream_entries(graph, starts: DataFrame, most: int = 6, per_start: int = 5
     return ranked.where(F.col("rank") <= per_start).select(F.col("seed").alias("start"), F.col("node").alias("entry"), "depth")
 
 
+def impacted_endpoints(graph, facts: DataFrame) -> DataFrame:
+    """table_name, column_name, entry, via_method, depth: entry methods upstream of the methods that access a column.
+
+    facts: table_name, column_name, method_id, access_count. An entry is named once a column, by the method of the most
+    accesses (then the smallest id) that it reaches.
+    """
+    facts = facts.select("table_name", "column_name", "method_id", "access_count")
+    found = upstream_entries(graph, facts.select("method_id").distinct()).withColumnRenamed("start", "method_id")
+    first = Window.partitionBy("table_name", "column_name", "entry").orderBy(F.desc("access_count"), "method_id")
+    ranked = facts.join(found, "method_id").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return ranked.select("table_name", "column_name", "entry", F.col("method_id").alias("via_method"), "depth")
+
+
 def impact(graph, changed: DataFrame, most: int = 6, upstream: bool = True) -> DataFrame:
     """changed, n_methods, n_entries: how many methods a change reaches, upstream (who calls it) or downstream."""
     a, b = ("dst", "src") if upstream else ("src", "dst")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.fixture import views, with_views
-from sparkloom.operators import facts
+from sparkloom.fixture import graph, views, with_views
+from sparkloom.operators import facts, traverse
 
 AS_OF, DAYS = "2024-01-30 00:00:00", 3
 
@@ -17,6 +17,7 @@ def _state(spark, folder):
 QUERIES = {
     "column_lineage": _state,
     "field_impact": lambda spark, folder: facts.field_impact(_state(spark, folder)),
+    "impacted_endpoints": lambda spark, folder: traverse.impacted_endpoints(graph(spark, folder), facts.field_impact(_state(spark, folder))),
     "columns_by_table": lambda spark, folder: facts.columns_by_table(_state(spark, folder)),
     "columns_by_method": lambda spark, folder: facts.columns_by_method(_state(spark, folder)),
     "table_stats": lambda spark, folder: facts.table_stats(_state(spark, folder)),

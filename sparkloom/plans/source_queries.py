@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.fixture import VIEWS, graph, views, with_views
 from sparkloom.operators import govern
-from sparkloom.sources import java, mappers
+from sparkloom.sources import java, listings, mappers
 
 INTERFACES = 50
 
@@ -37,7 +37,7 @@ def class_files(spark, folder):
         F.coalesce("fields", F.lit("")), F.lit("\n    // the one method\n"), entry, F.lit("    @Override\n    public String m"), mid, F.lit("(Long id, List<String> names) {\n        if (id > "), mid % 7, F.lit(") {\n            id = new Long(1);\n        }\n"),
         F.coalesce("calls", F.lit("")), F.coalesce("uses", F.lit("")), F.lit('        return id == 0 ? "none" : names.stream();\n    }\n}\n'),
     )
-    return rows.select(F.concat(F.lit("src/"), name, F.lit(".java")).alias("path"), content.alias("content"), "app_id", "method_id")
+    return listings.java_files(rows.select(F.concat(F.lit("src/"), name, F.lit(".java")).alias("path"), content.alias("content"), "app_id", "method_id"))
 
 
 #: The mapper method that stands for each operation.
@@ -58,7 +58,7 @@ def mapper_files(spark, folder):
     t = F.col("table_id")
     mapper = tables.select(F.concat(F.lit("src/S"), t, F.lit("Mapper.java")).alias("path"), F.concat(F.lit("package com.shop;\n@Mapper\npublic interface S"), t, F.lit("Mapper extends BaseMapper<S"), t, F.lit("Row> {}\n")).alias("content"))
     row = tables.select(F.concat(F.lit("src/S"), t, F.lit("Row.java")).alias("path"), F.concat(F.lit('package com.shop;\n@TableName("s_'), t, F.lit('")\npublic class S'), t, F.lit("Row {\n    private static final long serialVersionUID = 1L;\n    private Long id;\n    private String name"), t, F.lit(";\n    private Double acctbal;\n}\n")).alias("content"))
-    return mapper.unionByName(row)
+    return listings.without_tests(mapper.unionByName(row))
 
 
 def xml_files(spark, folder):

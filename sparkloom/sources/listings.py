@@ -14,6 +14,17 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where("had IS NULL OR has IS NULL OR NOT (old <=> new)").select("path", kind.alias("change"))
 
 
+def without_tests(files: DataFrame) -> DataFrame:
+    """The files that lie in no folder named test."""
+    return files.where(~F.col("path").contains("/test/"))
+
+
+def java_files(files: DataFrame, named: list[str] | None = None) -> DataFrame:
+    """The Java files to scan: those named, or all outside of folders named test."""
+    java = files.where(F.col("path").endswith(".java"))
+    return without_tests(java) if named is None else java.where(F.col("path").isin(named))
+
+
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order, whatever the partitions; all columns stay."""
     by = Window.partitionBy(*keys).orderBy(*order)

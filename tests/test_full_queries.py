@@ -97,3 +97,8 @@ def test_full_impact_goes_six_calls(spark, small):
             if reached:
                 want.append((seed, len(reached), sum(m in set(entries) for m in reached)))
         assert run(spark, name) == sorted(want)
+
+
+def test_impacted_endpoints_name_each_entry_once_a_column(spark):
+    got = registry.queries()["impacted_endpoints"](spark, str(FOLDER)).collect()
+    assert got and len({tuple(r)[:3] for r in got}) == len(got)

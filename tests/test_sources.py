@@ -1,4 +1,4 @@
-from sparkloom.sources import java, mappers
+from sparkloom.sources import java, listings, mappers
 
 CONTROLLER = '''package com.demo;
 /* class Fake { } */
@@ -94,3 +94,9 @@ def test_xml(spark):
     xml = '<mapper namespace="a.UserMapper"><select id="get" resultType="x">SELECT * FROM users <where>id = 1</where></select><resultMap id="r">FROM maps</resultMap></mapper>'
     got = {(r["source"], r["operation"], r["table_name"]) for r in mappers.xml_statements(spark.createDataFrame([("m.xml", xml)], "path string, content string")).collect()}
     assert got == {("a.UserMapper.get", "SELECT", "users"), ("a.UserMapper.r", "SELECT", "maps")}
+
+
+def test_test_folders_are_not_scanned(spark):
+    frame = spark.createDataFrame([("src/main/A.java", API), ("src/test/B.java", API), ("src/main/a.xml", "")], "path string, content string")
+    assert [r["path"] for r in listings.java_files(frame).collect()] == ["src/main/A.java"]
+    assert [r["path"] for r in listings.java_files(frame, ["src/test/B.java", "src/main/a.xml", "none.java"]).collect()] == ["src/test/B.java"]

@@ -78,3 +78,10 @@ def test_cycles_and_reach(spark):
     edges = g.calls.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     found = traverse.reach(spark.createDataFrame([(1, 1)], "seed long, node long"), edges, 2)
     assert {(r["node"], r["depth"]) for r in found.collect()} == {(1, 0), (2, 1), (3, 2)}
+
+
+def test_endpoints_are_named_by_the_method_of_most_accesses(spark):
+    g = graph_of(spark, [("a", 1, 2), ("b", 1, 3), ("c", 2, 4)])
+    facts = spark.createDataFrame([("t", "c", 2, 5), ("t", "c", 3, 9), ("t", "c", 4, 9), ("t", "d", 4, 1), ("t", "e", 1, 1)], "table_name string, column_name string, method_id long, access_count long")
+    got = sorted(tuple(r) for r in traverse.impacted_endpoints(g, facts).collect())
+    assert got == [("t", "c", 1, 3, 1), ("t", "d", 1, 4, 2)]
