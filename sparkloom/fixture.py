@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from sparkloom.tables import table
 
@@ -84,6 +85,16 @@ def graph(spark: SparkSession, folder: str) -> Graph:
     return Graph(*(spark.sql(VIEWS[name]) for name in ("methods", "calls", "accesses")))
 
 
+def whole_graph(spark: SparkSession, folder: str) -> Graph:
+    """The graph with a call and an access of every line item; repeats of a call's id are numbered, so that ids stay unique."""
+    register(spark, folder, "part", "lineitem")
+    every = {name: VIEWS[name].rsplit(" WHERE l_quantity", 1)[0] for name in ("calls", "accesses")}
+    calls = spark.sql(every["calls"])
+    nth = F.row_number().over(Window.partitionBy("call_id").orderBy("src", "dst", "call_type", "line_number"))
+    calls = calls.withColumn("nth", nth).withColumn("call_id", F.concat("call_id", F.lit("-"), F.col("nth").cast("string"))).drop("nth")
+    return Graph(spark.sql(VIEWS["methods"]), calls, spark.sql(every["accesses"]))
+
+
 def views(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     """The named views as lazy frames; they may refer to tables and to views named before."""
     register(spark, folder, "part", "lineitem", "events", "supplier")

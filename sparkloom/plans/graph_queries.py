@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.fixture import graph, with_views
+from sparkloom.fixture import graph, whole_graph, with_views
 from sparkloom.operators import rules, topology, traverse
 
 TRACE_DEPTH = 3
@@ -14,6 +14,10 @@ def _on(operator):
     return lambda spark, folder: operator(graph(spark, folder))
 
 
+def _whole(operator):
+    return lambda spark, folder: operator(whole_graph(spark, folder))
+
+
 def _entries(g):
     return g.methods.where("is_entry").select("method_id")
 
@@ -196,6 +200,14 @@ QUERIES = {
     "trace_paths": _trace_paths,
     "trace_tree": _trace_tree,
     "trace_graph": _trace_graph,
+    "whole_graph_counts": _whole(topology.graph_counts),
+    "whole_degrees": _whole(lambda g: topology.degrees(g).select("method_id", "out_deg", "in_deg")),
+    "whole_value_labels": _whole(topology.value_labels),
+    "whole_topology": _whole(topology.topology),
+    "whole_god_method": _whole(rules.god_method),
+    "whole_n_plus_one": _whole(rules.n_plus_one),
+    "whole_orphan_code": _whole(rules.orphan_code),
+    "whole_layer_violation": _whole(rules.layer_violation),
     "full_trace_visit": _full_trace_visit,
     "full_trace_edges": _full_trace_edges,
     "full_trace_tree": _full_trace_tree,

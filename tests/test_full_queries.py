@@ -1,11 +1,11 @@
 """Queries over the whole job of their operators."""
 
-from collections import deque
+from collections import Counter, defaultdict, deque
 from pathlib import Path
 
 import pytest
 
-from sparkloom.fixture import graph
+from sparkloom.fixture import graph, whole_graph
 from sparkloom.plans import registry
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -102,3 +102,28 @@ def test_full_impact_goes_six_calls(spark, small):
 def test_impacted_endpoints_name_each_entry_once_a_column(spark):
     got = registry.queries()["impacted_endpoints"](spark, str(FOLDER)).collect()
     assert got and len({tuple(r)[:3] for r in got}) == len(got)
+
+
+def test_whole_queries_take_every_line_item(spark):
+    lines = spark.read.parquet(str(FOLDER / "lineitem.parquet")).count()
+    g = whole_graph(spark, str(FOLDER))
+    calls, accesses = [tuple(r) for r in g.calls.select("call_id", "src", "dst", "call_type").collect()], [tuple(r) for r in g.accesses.collect()]
+    methods = {r["method_id"]: r for r in g.methods.collect()}
+    assert len(calls) == len(accesses) == len({c[0] for c in calls}) == lines
+    counts = {r["kind"]: r["n"] for r in registry.queries()["whole_graph_counts"](spark, str(FOLDER)).collect()}
+    assert (counts["calls"], counts["accesses"]) == (lines, lines)
+    out, into, tables = Counter(c[1] for c in calls), Counter(c[2] for c in calls), defaultdict(set)
+    for m, t, _ in accesses:
+        tables[m].add(t)
+    assert run(spark, "whole_degrees") == sorted((m, out[m], into[m]) for m in methods)
+    assert [(r[0], r[4]) for r in run(spark, "whole_god_method")] == sorted((m, len(t)) for m, t in tables.items() if len(t) >= 5 and m in methods)
+    assert [r[0] for r in run(spark, "whole_orphan_code")] == sorted(m for m, r in methods.items() if not r["is_entry"] and not into[m])
+    bad = [a for a in accesses if a[0] in methods and methods[a[0]]["is_entry"] and "Controller" in methods[a[0]]["class_name"]]
+    assert sorted((r[0], r[3], r[4]) for r in run(spark, "whole_layer_violation")) == sorted(bad)
+    crossing = Counter((methods[c[1]]["app_id"], methods[c[2]]["app_id"]) for c in calls if c[3] == "EXTERNAL" and c[1] in methods and c[2] in methods)
+    assert {(r["src_app"], r["dst_app"]): r["n_calls"] for r in registry.queries()["whole_topology"](spark, str(FOLDER)).collect()} == {k: n for k, n in crossing.items() if k[0] != k[1]}
+    next_to = defaultdict(set)
+    for c in calls:
+        next_to[c[1]].add(c[2])
+    looping = {m for m in next_to if m in next_to[m] or any(m in next_to[b] or any(m in next_to[c] for c in next_to[b]) for b in next_to[m])}
+    assert sorted((r[0], r[3], r[4]) for r in run(spark, "whole_n_plus_one")) == sorted(a for a in accesses if a[0] in looping and a[0] in methods)
