@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 
 from sparkloom.llm import lines
@@ -41,10 +40,33 @@ def test_empty_table_and_null_ids(spark):
     assert got == [(False, 0), (False, 1), (False, 1), (False, 1), (False, 1), (True, 1)]
 
 
-@pytest.mark.parametrize("n", [1, 1000])
-def test_filter_has_no_false_negatives(n):
-    digests = np.random.default_rng(n).integers(0, 2**63, (n, 2)).astype(np.uint64)
-    bloom = lines.Bloom(1 << 14)
-    bloom.add(digests)
-    assert bloom.has(digests).all()
-    assert lines.Bloom(1 << 14).has(digests).sum() == 0
+@pytest.mark.parametrize("held", [0, 100])
+def test_rows_of_one_document_count_once(spark, held):
+    line = "z" * 60
+    four = [(1, line)] * 4 + [(2, line)]
+    assert {r["n_dropped"] for r in lines.dedup_lines(frame(spark, four), held_keys=held).collect()} == {0}
+    five = [(i, f"{line}\nmine {i}") for i in range(1, 6)] + [(2, line), (5, line)]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(frame(spark, five), held_keys=held).collect())
+    assert got == [(1, 2, 1), (2, 1, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1), (5, 1, 0), (5, 2, 0)]
+
+
+def test_joined_keys_full_filters_and_other_columns(spark):
+    """The same results where keys are joined instead of broadcast and where the filter is so small that it suspects all."""
+    common = "a line that stands on many of the pages of this table"
+    rows = [(i, f"{common}\nnumber {i} of the lines that stand alone in one document {i}\nend") for i in range(40)] + [(None, common), (99, common), (100, None)]
+    docs = frame(spark, rows)
+    want = sorted(map(str, lines.dedup_lines(docs).collect()))
+    assert sorted(map(str, lines.dedup_lines(docs, held_keys=0).collect())) == want
+    assert sorted(map(str, lines.dedup_lines(docs, most_bits=1 << 16).collect())) == want
+    kept = lines.dedup_lines(docs, keep=["lang", "digest", "n_chars"])
+    assert kept.columns == ["doc_id", "n_lines", "n_dropped", "kept", "lang", "digest", "n_chars"]
+    assert {r["n_chars"] for r in kept.where("doc_id = 100").collect()} == {0}
+
+
+def test_filter_suspects_repeats_alone(spark):
+    rows = [(i, f"line number {i} that nobody else has in this table of lines\n" + ("common " * 10 if i % 50 == 0 else "")) for i in range(2000)]
+    words = lines.seen_twice(frame(spark, rows), 40)
+    found = lines.suspected(frame(spark, rows), words, 40)
+    assert 40 <= found.count() <= 60
+    digests = [lines.line_keys("common " * 10, 40)[0][1]]
+    assert lines.holds(words, lines.as_numbers(digests)).all()
