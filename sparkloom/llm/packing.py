@@ -3,7 +3,8 @@
 Pieces of at most `capacity` tokens are dealt to partitions of bounded size and packed by best-fit decreasing. Each
 partition computes a lower bound from dual feasible functions; where the bound meets the bin count, the packing is
 proven optimal and stays. A certified partition hands on the pieces of its emptiest bin alone, any other those of all
-bins with gaps; what was handed on is dealt anew to fewer partitions and packed again, until one partition is left.
+bins with gaps; what was handed on is dealt anew and packed again, until the bound over all pieces is met or one
+partition is left.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ PIECES_PER_PARTITION = 20_000
 #: Words whose ids a Python worker keeps.
 CACHE_WORDS = 1_200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, open boolean"
+PLACED_SCHEMA = PIECE_SCHEMA + ", row long, sequence_id long, offset long, open boolean"
 
 #: The byte-level vocabulary never joins across a single blank or line end between two other characters, so texts
 #: are cut there and the pieces' ids kept by piece.
@@ -122,7 +123,11 @@ def cut_pieces(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize doc_id, text and cut to pieces. A document is its ids and one id 0; a null text is empty, so one id."""
+    """Tokenize doc_id, text and cut to pieces. A document is its ids and one id 0; a null text is empty, so one id.
+
+    Every row counts, repeated ones and those of a null doc_id too; a text of any length is encoded whole, by one task.
+    An empty table gives an empty one; other columns are ignored, whatever their names.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -151,9 +156,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     Used are the identity; for each threshold t the function that rounds sizes over capacity - t up to a whole bin and
     those below t down to none; and the rounding x -> floor((k + 1) x) / k away from multiples of 1 / (k + 1).
     """
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """lower_bound() of pieces given as how many there are of each length."""
     sizes = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int(counts @ sizes) // capacity)
     below = np.concatenate([[0], np.cumsum(counts)])
@@ -198,48 +205,63 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.asarray(gaps, np.int64)
 
 
-def pack_group(group: pd.DataFrame, capacity: int, round_no: int) -> pd.DataFrame:
-    """Pack one partition's pieces; `open` marks those of the bins to be handed on."""
-    part = int(group["part"].iloc[0])
-    group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-    lengths = group["length"].to_numpy(np.int64)
+def pack_group(group: pa.Table, capacity: int, round_no: int, few: bool) -> pa.Table:
+    """Pack one partition's pieces; `open` marks those of the bins to be handed on: the emptiest bin alone of a certified partition or where `few` is asked for, else all bins with gaps."""
+    part = group.column("part")[0].as_py()
+    group = group.take(pc.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")]))
+    lengths = group.column("length").to_numpy()
     bins, offsets, gaps = best_fit_decreasing(lengths, capacity)
-    certified = len(gaps) == lower_bound(lengths, capacity)
-    again = np.zeros(len(gaps), bool)
-    if certified:
-        again[int(gaps.argmax())] = gaps.max() > 0
-    else:
-        again = gaps > 0
-    return group[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=(round_no << 56) | (part << 20) | bins, offset=offsets, open=again[bins])
+    again = gaps > 0
+    if few or len(gaps) == lower_bound(lengths, capacity):
+        again &= np.arange(len(gaps)) == int(gaps.argmax())
+    columns = [group.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row")]
+    made = [pa.array((round_no << 56) | (part << 28) | bins), pa.array(offsets), pa.array(again[bins])]
+    return pa.table([*columns, *made], names=["doc_id", "piece", "start", "length", "ids_crc32", "row", "sequence_id", "offset", "open"])
+
+
+def _packed(todo: DataFrame, parts: int, round_no: int, capacity: int, few: bool) -> DataFrame:
+    """One round: deal the pieces to `parts` partitions by a hash of their row numbers and pack each."""
 
+    def one(group: pa.Table) -> pa.Table:
+        return pack_group(group, capacity, round_no, few)
 
-def _packed(todo: DataFrame, parts: int, round_no: int, capacity: int) -> DataFrame:
-    """One round: deal the pieces to `parts` partitions by a hash and pack each."""
+    dealt = todo.withColumn("part", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(parts)).cast("int"))
+    return dealt.groupBy("part").applyInArrow(one, PLACED_SCHEMA)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        return pack_group(group, capacity, round_no)
 
-    dealt = todo.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.lit(parts)).cast("int"))
-    return dealt.groupBy("part").applyInPandas(one, PLACED_SCHEMA)
+def least_sequences(cut: DataFrame, capacity: int) -> int:
+    """Sequences that any packing of all pieces needs; Spark counts the lengths, of which there are `capacity` at most."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in cut.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    return bound_of_counts(counts, capacity)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
-    """Place pieces (PIECE_SCHEMA) into sequences of at most `capacity`.
+    """Place pieces (PIECE_SCHEMA; other columns are ignored) into sequences of at most `capacity`.
 
     Returns the pieces with sequence_id (unique numbers, not consecutive) and offset; no sequence has a gap before its
-    end. Ties are broken by doc_id and piece. An empty table gives an empty one. Rounds end with one partition, or when
-    a round hands on so much that another one cannot gain.
+    end. Repeated rows, and those of a null doc_id, are pieces of their own and dealt evenly. Ties are broken by doc_id
+    and piece. An empty table gives an empty one. Rounds end when all sequences together are as few as the bound over
+    all pieces, or with one partition. After a round that frees fewer sequences than it has partitions, each partition
+    hands on its emptiest sequence alone, to half as many partitions at most, until one is left.
     """
-    todo, done = saved(cut), []
-    n, round_no, ending = todo.count(), 0, False
+    todo, done = saved(cut.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("row", F.monotonically_increasing_id())), []
+    bound, finished, before, few = least_sequences(todo, capacity), 0, None, False
+    parts, round_no = max(1, -(-todo.count() // per_partition)), 0
     while True:
-        parts = max(1, -(-n // per_partition))
-        now = _packed(todo, parts, round_no, capacity)
-        if parts == 1 or ending:
-            done.append(now.drop("open"))
-            return reduce(DataFrame.unionByName, done)
-        now = saved(now)
-        done.append(now.where("NOT open").drop("open"))
-        todo = now.where("open").select("doc_id", "piece", "start", "length", "ids_crc32")
-        left = todo.count()
-        ending, n, round_no = left > 0.9 * n, left, round_no + 1
+        now = _packed(todo, parts, round_no, capacity, few)
+        if parts > 1:
+            now = saved(now)
+            first = F.col("offset") == 0
+            counts = now.agg(F.count(F.when(first, 1)).alias("all"), F.count(F.when(first & ~F.col("open"), 1)).alias("closed"), F.count(F.when(F.col("open"), 1)).alias("left")).first()
+            total = finished + counts["all"]
+        if parts == 1 or total == bound or not counts["left"]:
+            done.append(now)
+            return reduce(DataFrame.unionByName, done).drop("open", "row")
+        done.append(now.where("NOT open"))
+        todo = now.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", "row")
+        few = few or (before is not None and before - total < parts)
+        finished, before, round_no = finished + counts["closed"], total, round_no + 1
+        needed = max(1, -(-counts["left"] // per_partition))
+        parts = min(needed, max(1, parts // 2)) if few else needed

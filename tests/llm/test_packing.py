@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import packing
 from sparkloom.llm.queries import vocabulary
@@ -86,3 +87,26 @@ def test_empty_and_repeated_rows(spark):
     assert packing.pack(packing.pieces(frame(spark, []), vocabulary())).count() == 0
     got = packing.pack(packing.pieces(frame(spark, [(1, "a b"), (1, "a b"), (None, "c")]), vocabulary())).toPandas()
     assert len(got) == 3 and got["sequence_id"].nunique() == 1
+
+
+def random_pieces(spark, n, low, high, doc_id="id"):
+    rng = np.random.default_rng(5)
+    sizes = spark.createDataFrame([(i, int(s)) for i, s in enumerate(rng.integers(low, high, n))], "id long, length long")
+    return sizes.selectExpr(f"{doc_id} AS doc_id", "0 AS piece", "0L AS start", "length", "1L AS ids_crc32", "'x' AS row", "true AS open")
+
+
+@pytest.mark.parametrize(("low", "high", "more"), [(520, 820, 3), (1, 60, 3), (300, 2048, 70), (2000, 2048, 0)])
+def test_many_partitions_come_near_one(spark, low, high, more):
+    """Twenty partitions of 200 pieces; sizes that fit few others lose some 3 % in so small partitions."""
+    cut = random_pieces(spark, 4000, low, high)
+    n = lambda per: packing.pack(cut, per_partition=per).select("sequence_id").distinct().count()
+    one, many = n(10_000), n(200)
+    assert one <= many <= one + more
+
+
+def test_rows_without_ids_are_dealt_evenly(spark):
+    cut = random_pieces(spark, 3000, 100, 900, "CAST(NULL AS LONG)")
+    dealt = packing._packed(cut.drop("row").withColumn("row", F.monotonically_increasing_id()), 10, 0, 2048, False)
+    sizes = [r["count"] for r in dealt.groupBy(F.shiftright("sequence_id", 28)).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 400
+    assert packing.pack(cut, per_partition=300).count() == 3000
