@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, repeated lines, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-documents; texts that a stage rewrites get a new n_chars. doc_id is unique in documents, as in its table.
+documents; texts that a stage rewrites get a new n_chars. Other columns of documents are left out, whatever their names.
+Empty tables go through all stages. A null or empty text is kept by every stage but may be a copy of none. Rows of one
+doc_id are judged together where a stage drops documents (copies, leaks) and each on its own text for toxicity and lines;
+rows of a null doc_id are one such group. Of equal or near-equal texts the one of the least doc_id stays.
 """
 
 from __future__ import annotations
@@ -15,26 +18,28 @@ from sparkloom.scratch import saved
 from sparkloom.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+OTHERS = ["lang", "source", "n_chars"]
+#: Document ids that are broadcast to leave their rows out (a few dozen bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose doc_id (null too) is not among those of `gone`."""
-    ids = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.select(COLUMNS).join(ids, docs["doc_id"].eqNullSafe(ids["gone_id"]), "left_anti")
+    ids = saved(gone.select(F.col("doc_id").alias("gone_id")).distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(COLUMNS).join(few, docs["doc_id"].eqNullSafe(ids["gone_id"]), "left_anti")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; it is fitted on this stage's own input."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return without(docs, scored.where("predicted = 1"))
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), keep=["text", *OTHERS]).where("predicted = 0").select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a later document repeats; those without such lines stay as they are."""
-    kept = lines.dedup_lines(docs).where("n_dropped > 0").select(F.col("doc_id").alias("kept_id"), "kept")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left")
-    text = F.coalesce("kept", "text")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
+    done = lines.dedup_lines(docs, keep=["text", *OTHERS])
+    changed = F.col("n_dropped") > 0
+    return done.select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
