@@ -165,8 +165,7 @@ def compact_rows(rows: DataFrame, chosen: np.ndarray, n_rows: int, shaped: bool,
 
     parts = max(1, -(-n_rows // rows_in_part))
     made = rows.select("flag", "text").mapInArrow(run, "flag boolean, packed binary")
-    dealt = made.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
-    return saved(dealt.select("part", "flag", "packed").repartition(min(parts, 2000), "part").sortWithinPartitions("part"))
+    return saved(made.repartition(parts).select(F.spark_partition_id().alias("part"), "flag", "packed"))
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, "Rows"]]:
