@@ -1,7 +1,7 @@
 """Queries over Java and XML source texts, which Spark writes from the graph before it reads them back.
 
-Each part gives a class file with one method, its calls and its mapper fields; each app and residue gives an interface
-that those classes implement; each accessed table gives a mapper, a row type and a mapper XML file. What the scans read
+Each part gives a class file with a constructor, overloaded methods, an accessor, a nested class and an enum, whose main
+method has its calls and uses its mappers; each residue gives an interface that those classes implement; each accessed table gives a mapper, a row type and a mapper XML file. What the scans read
 must be what the tables say, so the oracles ask the tables.
 """
 
@@ -29,17 +29,34 @@ def class_files(spark, folder):
     rows = g.methods.join(lines, F.col("method_id") == F.col("src"), "left").join(uses, "method_id", "left")
     mid, kind = F.col("method_id"), F.when(F.col("class_name").contains("Controller"), "Controller").otherwise("Service")
     name = F.concat(F.lit("P"), mid, kind)
+    taken = mid % 5 == 0  # mappers are parameters of the constructor, not fields
+    fields = F.when(taken, "").otherwise(F.coalesce("fields", F.lit("")))
+    params = F.when(taken, F.regexp_replace(F.coalesce("fields", F.lit("")), r"    private final (\w+ \w+);\n", "$1, ")).otherwise("")
     listens = F.when(mid % 13 == 0, F.lit('    @KafkaListener(topics = "t")\n')).otherwise("")
     entry = F.concat(F.when(F.col("is_entry"), F.concat(F.lit('    @GetMapping("/api/m'), mid, F.lit('")\n'))).otherwise(""), listens)
-    mark = F.when(mid % 11 == 0, F.lit("@DubboService(version = 2)")).otherwise("@Component")
+    mark = F.when(mid % 11 == 0, F.lit("@DubboService(version = 2, tags = {\"a\", \"b\"})")).otherwise("@Component")
+    audit = F.when(mid % 2 == 0, F.lit("        try { helper.audit(id); } catch (Exception e) { /* none( */ }\n")).otherwise("")
     content = F.concat(
-        F.lit("/* written from the graph\n * by Spark */\npackage com.shop.a"), F.col("app_id"), F.lit(";\n\nimport java.util.List;\n\n"), mark, F.lit("\npublic class "), name, F.lit(" extends Base implements Shop"), mid % INTERFACES, F.lit(" {\n"),
-        F.coalesce("fields", F.lit("")), F.lit("\n    // the one method\n"), entry, F.lit("    @Override\n    public String m"), mid, F.lit("(Long id, List<String> names) {\n        if (id > "), mid % 7, F.lit(") {\n            id = new Long(1);\n        }\n"),
-        F.coalesce("calls", F.lit("")), F.coalesce("uses", F.lit("")), F.lit('        return id == 0 ? "none" : names.stream();\n    }\n}\n'),
+        F.lit("/* written from the graph\n * by Spark */\npackage com.shop.a"), F.col("app_id"), F.lit(";\n\nimport java.util.List;\n\n"), mark, F.lit("\npublic class "), name, F.lit(" extends Base<Long> implements Shop"), mid % INTERFACES, F.lit(", java.io.Serializable {\n"),
+        fields, F.lit("    private final Helper helper;\n\n    public "), name, F.lit("("), params, F.lit("Helper helper) {\n        this.helper = helper;\n        register(\"} // none(\", helper.name());\n    }\n\n    // the main method\n"),
+        entry, F.lit("    @Override\n    public "), _written(RETURNS), F.lit(" m"), mid, F.lit("("), _written(WRITTEN), F.lit(") {\n        if (id > "), mid % 7, F.lit(") {\n            id = new Long(1);\n        }\n"),
+        audit, F.coalesce("calls", F.lit("")), F.coalesce("uses", F.lit("")), F.lit('        return id == 0 ? "none" : names.copy().stream();\n    }\n\n    private int m'), mid, F.lit("(int... more) {\n        return more.length > 1 ? 1 : sum(more);\n    }\n\n"),
+        F.lit("    public Helper getHelper() { return this.helper; }\n\n    static class Part {\n        int size(List<? extends Number> all) { for (Number n : all) { count(n); } return 0; }\n    }\n\n"),
+        F.lit("    enum Mode { ON, OFF { int rank() { return 2; } }; int rank() { return 1; } }\n}\n"),
     )
     return listings.java_files(rows.select(F.concat(F.lit("src/"), name, F.lit(".java")).alias("path"), content.alias("content"), "app_id", "method_id"))
 
 
+#: The main method's parameters as they are written and as types, and its return type, by method_id modulo their number.
+WRITTEN = ["Long id, List<String> names", '@PathVariable("id") Long id, @RequestParam(value = "n", required = false) Map<String, Integer> names', "final Long id, List<String>[] names"]
+PARAMETERS = ["Long, List<String>", "Long, Map<String, Integer>", "Long, List<String>[]"]
+RETURNS = ["String", "Map<String, List<Integer>>"]
+
+
+def _written(options):
+    return F.element_at(F.array(*map(F.lit, options)), (F.col("method_id") % len(options) + 1).cast("int"))
+
+
 #: The mapper method that stands for each operation.
 OPERATIONS = {"INSERT": "insert", "UPDATE": "updateById", "DELETE": "deleteById", "SELECT": "selectById"}
 
@@ -47,7 +64,7 @@ OPERATIONS = {"INSERT": "insert", "UPDATE": "updateById", "DELETE": "deleteById"
 def interface_files(spark, folder):
     """The interfaces, each with the methods of its residue of method_id."""
     g = graph(spark, folder)
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list("method_id")), lambda m: F.concat(F.lit("    String m"), m, F.lit("(Long id, List<String> names);\n"))), "")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("method_id")), lambda m: F.concat(F.element_at(F.array(*map(F.lit, [f"    {r} m" for r in RETURNS])), (m % len(RETURNS) + 1).cast("int")), m, F.lit("("), F.element_at(F.array(*map(F.lit, WRITTEN)), (m % len(WRITTEN) + 1).cast("int")), F.lit(");\n"))), "")
     by = g.methods.groupBy((F.col("method_id") % INTERFACES).alias("k")).agg(lines.alias("lines"))
     return by.select(F.concat(F.lit("src/Shop"), "k", F.lit(".java")).alias("path"), F.concat(F.lit("package com.shop;\n\npublic interface Shop"), "k", F.lit(" {\n"), "lines", F.lit("}\n")).alias("content"))
 
@@ -111,7 +128,7 @@ def _governance(spark, folder):
 
 
 def _mapper_usage(spark, folder):
-    return mappers.usage(class_files(spark, folder).select("path", "content"), mappers.discovered(mapper_files(spark, folder)))
+    return mappers.usage(class_files(spark, folder).select("path", "content"), mappers.discovered(mapper_files(spark, folder))).drop("package")
 
 
 def _mapper_stubs(spark, folder):
@@ -125,6 +142,16 @@ def _operations(spark, folder):
     return mappers.operation_of_calls(java.calls(files), used).select("caller", "operation")
 
 
+def _mapper_relations(spark, folder):
+    """Tables by method of each class, with operations of the methods that call mappers, and the mappers nobody uses."""
+    files = class_files(spark, folder).select("path", "content")
+    found = mappers.discovered(mapper_files(spark, folder))
+    used = mappers.usage(files, found)
+    methods = java.methods(files).select(F.concat_ws(":", "path", "signature").alias("method_id"), F.concat_ws(".", "package", "class_name").alias("class_name"))
+    by_method = mappers.operation_of_calls(java.calls(files).withColumn("caller", F.concat_ws(":", "path", "signature")), used)
+    return mappers.relations(methods, by_method.select(F.col("caller").alias("method_id"), "operation"), used, found)
+
+
 QUERIES = {
     "java_methods": _java_methods,
     "java_entry_points": _entry_points,
@@ -140,16 +167,20 @@ QUERIES = {
     "mapper_usage": _mapper_usage,
     "mapper_stubs": _mapper_stubs,
     "operation_inference": _operations,
+    "mapper_relations": _mapper_relations,
     "xml_statements": lambda spark, folder: mappers.xml_statements(xml_files(spark, folder)).select("source", "operation", "table_name"),
 }
 
 _ALL = ("methods", "calls", "accesses")
 _CLASS = "concat('P', method_id, CASE WHEN class_name LIKE '%Controller%' THEN 'Controller' ELSE 'Service' END)"
+_TYPES = "CASE method_id % 3 WHEN 0 THEN 'Long, List<String>' WHEN 1 THEN 'Long, Map<String, Integer>' ELSE 'Long, List<String>[]' END"
+_MAIN = f"concat('m', method_id, '(', {_TYPES}, ')')"
+_OVER = "concat('m', method_id, '(int...)')"
 _FILES = f"""per AS (SELECT m.method_id, m.app_id, concat('src/', {_CLASS}, '.java') AS path, m.is_entry,
   (SELECT count(*) FROM calls c WHERE c.src = m.method_id) AS n_calls,
   (SELECT count(DISTINCT a.table_id) FROM accesses a WHERE a.method_id = m.method_id) AS n_tables,
   (SELECT count(DISTINCT (a.table_id, a.operation)) FROM accesses a WHERE a.method_id = m.method_id) AS n_uses FROM methods m),
-metrics AS (SELECT path, app_id, CAST(19 + n_calls + n_tables + n_uses + CASE WHEN is_entry THEN 1 ELSE 0 END + CASE WHEN method_id % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lines, CAST(3 AS BIGINT) AS comment_lines, CAST(1 AS BIGINT) AS n_classes, CAST(1 AS BIGINT) AS n_methods, CAST(2 AS BIGINT) AS complexity FROM per),
+metrics AS (SELECT path, app_id, CAST(37 + n_calls + CASE WHEN method_id % 5 = 0 THEN 0 ELSE n_tables END + n_uses + CASE WHEN is_entry THEN 1 ELSE 0 END + CASE WHEN method_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN method_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lines, CAST(3 AS BIGINT) AS comment_lines, CAST(2 AS BIGINT) AS n_classes, CAST(6 AS BIGINT) AS n_methods, CAST(4 + CASE WHEN method_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS complexity FROM per),
 rates AS (SELECT app_id, floor(100.0 * (sum(n - 1)) / sum(n) * 10 + 0.5) / 10 AS duplication_rate FROM (SELECT app_id, concat('m', method_id % 100) AS s, count(*) AS n FROM methods GROUP BY 1, 2) d GROUP BY app_id),
 apps AS (SELECT m.app_id, CAST(sum(n_classes) AS BIGINT) AS class_count, CAST(sum(n_methods) AS BIGINT) AS method_count, CAST(sum(complexity) AS BIGINT) AS complexity, any_value(duplication_rate) AS duplication_rate, floor(100.0 * sum(comment_lines) / sum(lines) * 10 + 0.5) / 10 AS comment_coverage FROM metrics m JOIN rates r ON m.app_id = r.app_id GROUP BY m.app_id)"""
 
@@ -158,22 +189,29 @@ def _sql(sql: str, *more: str) -> str:
     return with_views("", *_ALL, "supplier_tables").rstrip() + "".join(", " + m for m in more) + " " + sql
 
 
-_USAGE = """used AS (SELECT DISTINCT concat('P', m.method_id, CASE WHEN class_name LIKE '%Controller%' THEN 'Controller' ELSE 'Service' END) AS class_name, concat('s', a.table_id, 'Mapper') AS variable, concat('S', a.table_id, 'Mapper') AS mapper, concat('s_', a.table_id) AS table_name, m.method_id
+_USAGE = """used AS (SELECT DISTINCT concat('P', m.method_id, CASE WHEN class_name LIKE '%Controller%' THEN 'Controller' ELSE 'Service' END) AS class_name, CASE WHEN m.method_id % 5 <> 0 THEN concat('s', a.table_id, 'Mapper') END AS variable, concat('S', a.table_id, 'Mapper') AS mapper, concat('s_', a.table_id) AS table_name, m.method_id
   FROM accesses a JOIN methods m ON a.method_id = m.method_id JOIN supplier_tables s ON a.table_id = s.table_id)"""
 
 ORACLES = {
-    "java_methods": _sql(f"""SELECT {_CLASS} AS class_name, concat('com.shop.a', app_id) AS package, concat('m', method_id, '(Long, List<String>)') AS signature, 'String' AS return_type, 'Long,List<String>' AS params, false AS is_abstract, is_entry OR method_id % 13 = 0 OR method_id % 11 = 0 AS is_entry,
-        CASE WHEN is_entry THEN concat('/api/m', method_id) END AS http_path, CASE WHEN is_entry THEN 'GET' END AS http_method FROM methods"""),
-    "java_entry_points": _sql(f"""SELECT {_CLASS} AS class_name, concat('m', method_id, '(Long, List<String>)') AS signature, d.framework, d.type,
+    "java_methods": _sql(f"""SELECT p AS class_name, package, {_MAIN} AS signature, CASE method_id % 2 WHEN 0 THEN 'String' ELSE 'Map<String, List<Integer>>' END AS return_type, CASE method_id % 3 WHEN 0 THEN 'Long,List<String>' WHEN 1 THEN 'Long,Map<String, Integer>' ELSE 'Long,List<String>[]' END AS params, false AS is_abstract, is_entry OR method_id % 13 = 0 OR method_id % 11 = 0 AS is_entry,
+          CASE WHEN is_entry THEN concat('/api/m', method_id) END AS http_path, CASE WHEN is_entry THEN 'GET' END AS http_method FROM spring
+        UNION ALL SELECT p, package, {_OVER}, 'int', 'int...', false, method_id % 11 = 0, NULL, NULL FROM spring
+        UNION ALL SELECT 'Part', package, 'size(List<? extends Number>)', 'int', 'List<? extends Number>', false, false, NULL, NULL FROM spring
+        UNION ALL SELECT 'Mode', package, 'rank()', 'int', '', false, false, NULL, NULL FROM spring, range(2)""", f"spring AS (SELECT *, {_CLASS} AS p, concat('com.shop.a', app_id) AS package FROM methods)"),
+    "java_entry_points": _sql(f"""SELECT {_CLASS} AS class_name, {_MAIN} AS signature, d.framework, d.type,
         CASE d.framework WHEN 'Dubbo' THEN {_CLASS} ELSE CASE WHEN is_entry THEN concat('/api/m', method_id) END END AS path, CASE d.framework WHEN 'Dubbo' THEN concat('m', method_id) ELSE CASE WHEN is_entry THEN 'GET' END END AS verb, d.framework = 'Dubbo' AS class_level
-        FROM methods JOIN (VALUES ('Spring', 'HTTP'), ('Dubbo', 'RPC'), ('Kafka', 'MQ')) d(framework, type) ON CASE d.framework WHEN 'Spring' THEN is_entry WHEN 'Dubbo' THEN method_id % 11 = 0 ELSE method_id % 13 = 0 END"""),
+        FROM methods JOIN (VALUES ('Spring', 'HTTP'), ('Dubbo', 'RPC'), ('Kafka', 'MQ')) d(framework, type) ON CASE d.framework WHEN 'Spring' THEN is_entry WHEN 'Dubbo' THEN method_id % 11 = 0 ELSE method_id % 13 = 0 END
+        UNION ALL SELECT {_CLASS}, {_OVER}, 'Dubbo', 'RPC', {_CLASS}, concat('m', method_id), true FROM methods WHERE method_id % 11 = 0"""),
     "java_calls": _sql("""SELECT caller, scope, name, call_type, kind, count(*) AS n FROM (
         SELECT concat('m', src) AS caller, CASE WHEN call_type = 'EXTERNAL' THEN 'restTemplate' ELSE 'helper' END AS scope, CASE WHEN call_type = 'EXTERNAL' THEN 'post' ELSE concat('m', dst) END AS name, call_type, 'call' AS kind FROM calls JOIN methods ON src = method_id
         UNION ALL SELECT concat('m', method_id), concat('s', table_id, 'Mapper'), CASE operation WHEN 'INSERT' THEN 'insert' WHEN 'UPDATE' THEN 'updateById' WHEN 'DELETE' THEN 'deleteById' ELSE 'selectById' END, 'INTERNAL', 'call' FROM (SELECT DISTINCT a.* FROM accesses a JOIN methods m ON a.method_id = m.method_id) d
         UNION ALL SELECT concat('m', method_id), 'Long', '<init>', 'INTERNAL', 'new' FROM methods
-        UNION ALL SELECT concat('m', method_id), 'names', 'stream', 'INTERNAL', 'call' FROM methods) x GROUP BY ALL"""),
-    "java_hierarchy": _sql(f"SELECT {_CLASS} AS child, concat('Shop', method_id % {INTERFACES}) AS parent, 'implements' AS relation FROM methods UNION ALL SELECT {_CLASS}, 'Base', 'extends' FROM methods"),
-    "override_edges": _sql(f"SELECT concat('Shop', method_id % {INTERFACES}) AS parent_class, {_CLASS} AS child_class, concat('m', method_id, '(Long, List<String>)') AS signature FROM methods"),
+        UNION ALL SELECT concat('m', method_id), unnest(['names', 'names.copy()', 'this']), unnest(['copy', 'stream', 'sum']), 'INTERNAL', 'call' FROM methods
+        UNION ALL SELECT concat('m', method_id), 'helper', 'audit', 'INTERNAL', 'call' FROM methods WHERE method_id % 2 = 0
+        UNION ALL SELECT 'size', 'this', 'count', 'INTERNAL', 'call' FROM methods) x GROUP BY ALL"""),
+    "java_hierarchy": _sql(f"SELECT {_CLASS} AS child, concat('Shop', method_id % {INTERFACES}) AS parent, 'implements' AS relation FROM methods UNION ALL SELECT {_CLASS}, 'Serializable', 'implements' FROM methods UNION ALL SELECT {_CLASS}, 'Base', 'extends' FROM methods"),
+    "override_edges": _sql(f"SELECT concat('Shop', method_id % {INTERFACES}) AS parent_class, {_CLASS} AS child_class, {_MAIN} AS signature FROM methods"),
+    "package_override_edges": _sql(f"SELECT 'com.shop' AS parent_package, concat('Shop', method_id % {INTERFACES}) AS parent_class, concat('com.shop.a', app_id) AS child_package, {_CLASS} AS child_class, {_MAIN} AS signature FROM methods"),
     "java_metrics": _sql("SELECT path, lines, comment_lines, n_classes, n_methods, complexity FROM metrics", _FILES),
     "governance": _sql("SELECT * FROM apps", _FILES),
     "governance_summary": _sql("SELECT count(*) AS apps, CAST(sum(class_count) AS BIGINT) AS classes, CAST(sum(method_count) AS BIGINT) AS methods, CAST(sum(complexity) AS BIGINT) AS complexity, floor(avg(duplication_rate) * 10 + 0.5) / 10 AS avg_duplication, floor(avg(comment_coverage) * 10 + 0.5) / 10 AS avg_comments FROM apps", _FILES),
@@ -183,5 +221,9 @@ ORACLES = {
     "mapper_stubs": _sql("SELECT concat('S', table_id, 'Mapper') AS mapper, concat('s_', table_id) AS table_name FROM supplier_tables WHERE concat('s_', table_id) NOT IN (SELECT table_name FROM used)", _USAGE),
     "operation_inference": _sql("""SELECT concat('m', m.method_id) AS caller, CASE WHEN bool_or(operation = 'INSERT') THEN 'INSERT' WHEN bool_or(operation = 'DELETE') THEN 'DELETE' WHEN bool_or(operation = 'UPDATE') THEN 'UPDATE' ELSE 'SELECT' END AS operation
         FROM accesses a JOIN methods m ON a.method_id = m.method_id WHERE a.operation IN (SELECT operation FROM accesses x JOIN supplier_tables s ON x.table_id = s.table_id) GROUP BY m.method_id"""),
+    "mapper_relations": _sql(f"""SELECT concat('src/', u.class_name, '.java:', m.signature) AS source, u.table_name, m.operation, concat('acctbal,name', substr(u.table_name, 3)) AS columns, u.mapper
+        FROM used u JOIN (SELECT method_id, {_MAIN} AS signature, CASE WHEN bool_or(operation = 'INSERT') THEN 'INSERT' WHEN bool_or(operation = 'DELETE') THEN 'DELETE' WHEN bool_or(operation = 'UPDATE') THEN 'UPDATE' ELSE 'SELECT' END AS operation FROM methods d JOIN accesses a USING (method_id) GROUP BY method_id
+          UNION ALL SELECT method_id, {_OVER}, 'SELECT' FROM methods) m ON u.method_id = m.method_id
+        UNION ALL SELECT concat('mapper:S', table_id, 'Mapper'), concat('s_', table_id), 'SELECT', concat('acctbal,name', table_id), concat('S', table_id, 'Mapper') FROM supplier_tables WHERE concat('s_', table_id) NOT IN (SELECT table_name FROM used)""", _USAGE),
     "xml_statements": _sql("SELECT DISTINCT concat('com.shop.a', m.app_id, '.S', a.table_id, 'Mapper.m', a.method_id) AS source, a.operation, concat('s_', a.table_id) AS table_name FROM accesses a JOIN methods m ON a.method_id = m.method_id"),
 }

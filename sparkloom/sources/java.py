@@ -1,25 +1,26 @@
-"""Methods, calls, class hierarchy and metrics of Java source files, read off their text by patterns.
+"""Methods, calls, class hierarchy and metrics of Java source files.
 
-A file is cut where a member declaration begins; what follows up to the next one is that method's text. Everything is
-built-in functions over a frame of (path, content), so Spark splits the files and no parser leaves the engine. Texts are
-first freed of comments, and for calls of string literals.
+A scan maps a small token reader over the files, so Spark splits the files and no text is shuffled; it leaves a row a
+file with all its types and methods. Everything else is built-in functions and joins over those rows. Comments and
+string literals hold no declarations and no calls; constructors are no methods; types within types have methods of
+their own, and methods of anonymous classes belong to the type around them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANNOTATION = r"@\w+(?:\s*\((?:[^()\"]|\"[^\"]*\")*\))?"
-MEMBER = rf"(?:{ANNOTATION}\s*)*(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*\b(?!return\b|new\b|else\b|throw\b)[\w<>\[\],.?]+\s+\w+\s*\([^()]*\)\s*(?:throws\s+[\w,. ]+)?\s*[{{;]"
-DECLARED = r"([\w<>\[\],.?]+)\s+(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w,. ]+)?\s*([{;])"
-TYPE = r"\b(class|interface)\s+(\w+)"
-STRING = r'"(?:[^"\\]|\\.)*"'
-COMMENT = rf"({STRING})|(?s:/\*.*?\*/)|//[^\n]*"
-# What makes a scope external, which annotations mark entries of which framework (on a class, on a method),
-# and which carry a path and verb.
+from sparkloom.scratch import saved
+from sparkloom.sources.javascan import Scanner
+
+# What makes a scope external, which class annotations bring getters and setters along, which annotations
+# mark entries of which framework (on a class, on a method), and which carry a path and verb, first to last.
 EXTERNAL_SCOPES = r"restTemplate|webClient|kafkaTemplate|rabbitTemplate|dubbo|feign|jdbcTemplate|redisTemplate|mongoTemplate"
-GENERATED = r"@(?:[\w.]+\.)?(?:Getter|Setter|Data|Value|Builder|ToString|EqualsAndHashCode|RequiredArgsConstructor|NoArgsConstructor|AllArgsConstructor|With|Accessors|Slf4j|Log|Log4j2|Generated)\b"
+GENERATED = r"^(?:[\w.]+\.)?(?:Getter|Setter|Data|Value|Builder|ToString|EqualsAndHashCode|RequiredArgsConstructor|NoArgsConstructor|AllArgsConstructor|With|Accessors|Slf4j|Log|Log4j2|Generated)$"
 DETECTORS = [
     ("Spring", "HTTP", "RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping", False, True),
     ("Dubbo", "RPC", "DubboService|ShenyuDubboService", True, False),
@@ -27,116 +28,149 @@ DETECTORS = [
     ("gRPC", "RPC", "GrpcService", True, True),
     ("Kafka", "MQ", "KafkaListener", False, True),
 ]
-PATH = r'@(?:Request|Get|Post|Put|Delete)Mapping\s*\(\s*"([^"]*)"'
-BRANCHES = r"\b(?:if|for|while|case|catch)\b|\?[^:;?]*:"
+PATHS = ["PostMapping", "GetMapping", "RequestMapping", "PutMapping", "DeleteMapping"]
+VERBS = {"PostMapping": "POST", "GetMapping": "GET", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
+
+_NAMED = [("name", pa.string()), ("value", pa.string())]
+_PARAM = [("type", pa.string()), ("name", pa.string())]
+_CALL = [("kind", pa.string()), ("scope", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("expression", pa.string())]
+_WORDS = pa.list_(pa.string())
+_TYPE = [("name", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("annotations", _WORDS), ("extends", _WORDS), ("implements", _WORDS)]
+_METHOD = [
+    ("class_name", pa.string()), ("class_annotations", _WORDS), ("name", pa.string()), ("return_type", pa.string()), ("params", pa.list_(pa.struct(_PARAM))),
+    ("annotations", pa.list_(pa.struct(_NAMED))), ("line", pa.int32()), ("has_body", pa.bool_()), ("body", pa.string()), ("calls", pa.list_(pa.struct(_CALL))),
+]
+_FILE = [("package", pa.string()), ("branches", pa.int64()), ("types", pa.list_(pa.struct(_TYPE))), ("methods", pa.list_(pa.struct(_METHOD)))]
+
+
+def _ddl(kind: pa.DataType) -> str:
+    if pa.types.is_list(kind):
+        return f"array<{_ddl(kind.value_type)}>"
+    if pa.types.is_struct(kind):
+        return "struct<" + ", ".join(f"{f.name}: {_ddl(f.type)}" for f in kind) + ">"
+    return {pa.string(): "string", pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean"}[kind]
+
+
+SCAN = "path string, " + ", ".join(f"{name} {_ddl(kind)}" for name, kind in _FILE)
+
+
+def _read(text: str | None) -> tuple:
+    """A file that nests too deeply to be read, like an empty one, has nothing in it."""
+    try:
+        found = Scanner(text or "")
+    except RecursionError:
+        found = Scanner("")
+    return found.package, found.branches(), found.types, found.methods
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """SCAN: a row for each file of path, content; a null content is empty."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_read(text) for text in batch.column(1).to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in _FILE]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, (_, t) in zip(columns, _FILE, strict=True))], names=["path", *(n for n, _ in _FILE)])
 
-def _stripped(content: Column) -> Column:
-    """Without comments; marks inside string literals start none."""
-    return F.regexp_replace(content, COMMENT, "$1")
+    return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, SCAN)
+
+
+def _types(scanned: DataFrame) -> DataFrame:
+    rows = scanned.select("path", "package", F.explode("types").alias("t"))
+    return rows.select("path", "package", F.col("t.name").alias("class_name"), "t.kind", "t.line", "t.annotations", F.get("t.extends", F.lit(0)).alias("parent"), F.col("t.implements").alias("interfaces"))
 
 
 def types(files: DataFrame) -> DataFrame:
-    """path, package, class_name, kind, parent (first extended), interfaces (array): the first type of each file."""
-    text = _stripped(F.col("content"))
-    head = F.regexp_extract(text, r"(?s)\b((?:class|interface)\s+\w+[^{]*)\{", 1)
-    listed = F.regexp_extract(head, r"\bimplements\s+([\w\s,.<>]+)$", 1)
-    return files.select(
-        "path",
-        F.regexp_extract(text, r"package\s+([\w.]+)\s*;", 1).alias("package"),
-        F.regexp_extract(text, TYPE, 2).alias("class_name"),
-        F.regexp_extract(text, TYPE, 1).alias("kind"),
-        F.nullif(F.regexp_extract(head, r"\bextends\s+(\w+)", 1), F.lit("")).alias("parent"),
-        F.filter(F.transform(F.split(listed, ","), lambda i: F.trim(i)), lambda i: i != "").alias("interfaces"),
-    )
-
-
-def _members(files: DataFrame) -> DataFrame:
-    """path, part (from 1), text: each method's declaration with what follows it."""
-    body = F.regexp_replace(_stripped(F.col("content")), rf"(?s)^.*?\b(?:class|interface)\s+\w+[^{{]*\{{", "")
-    marked = F.regexp_replace(body, f"({MEMBER})", "\u0001$1")
-    return files.select("path", F.posexplode(F.split(marked, "\u0001")).alias("part", "text")).where("part > 0")
-
-
-def _entries(head: Column, text: Column, class_name: Column, name: Column) -> Column:
+    """path, package, class_name, kind, line, annotations, parent (first extended), interfaces (array): every type of each file."""
+    return _types(scan(files))
+
+
+def _entries(class_marks: Column, marks: Column, path: Column, verb: Column, class_name: Column, name: Column) -> Column:
     """All detections of a method: a class-level mark names the class as path and the method as verb."""
-    path, verb = F.nullif(F.regexp_extract(text, PATH, 1), F.lit("")), F.nullif(F.upper(F.regexp_extract(text, r"@(Get|Post|Put|Delete)Mapping\b", 1)), F.lit(""))
     found = []
-    for framework, kind, marks, on_class, on_method in DETECTORS:
-        one = lambda at, p, v, whole, f=framework, k=kind, m=marks: F.when(at.rlike(rf"@(?:{m})\b"), F.struct(F.lit(f).alias("framework"), F.lit(k).alias("type"), p.alias("path"), v.alias("verb"), F.lit(whole).alias("class_level")))
-        found += [one(head, class_name, name, True)] * on_class + [one(text, path, verb, False)] * on_method
-    return F.array_compact(F.array(*found))
+    for framework, kind, wanted, on_class, on_method in DETECTORS:
+
+        def seen(at: Column, p: Column, v: Column, whole: bool, f: str = framework, k: str = kind, w: str = wanted) -> Column:
+            one = F.struct(F.lit(f).alias("framework"), F.lit(k).alias("type"), p.alias("path"), v.alias("verb"), F.lit(whole).alias("class_level"))
+            return F.transform(F.filter(at, lambda mark: mark.rlike(rf"^(?:{w})$")), lambda _: one)
 
+        found += [seen(class_marks, class_name, name, True)] * on_class + [seen(marks, path, verb, False)] * on_method
+    return F.concat(*found)
 
-def _accessor(name: Column, n_params: Column, head: Column, text: Column) -> Column:
+
+def _accessor(name: Column, n_params: Column, class_marks: Column, body: Column) -> Column:
     """A plain getter or setter: named so, and in a class with generated ones or with one line about its field."""
+    made = F.exists(class_marks, lambda a: a.rlike(GENERATED))
     sets = (n_params == 1) & name.rlike("^set[A-Z]")
     gets = (n_params == 0) & (F.length(name) > 3) & name.rlike("^(?:get|is)[A-Z]")
-    made = head.rlike(GENERATED)
-    return sets & (made | text.rlike(r"\{\s*this\.\w+\s*=\s*\w+\s*;\s*\}")) | gets & (made | text.rlike(r"\{\s*return\s+this\.\w+\s*;\s*\}"))
+    return sets & (made | body.rlike(r"^this\.\w+ = \w+;$")) | gets & (made | body.rlike(r"^return this\.\w+;$"))
+
+
+def _methods(scanned: DataFrame) -> DataFrame:
+    rows = scanned.select("path", "package", F.explode("methods").alias("m")).select("path", "package", "m.*")
+    rows = rows.where(~_accessor(F.col("name"), F.size("params"), F.col("class_annotations"), F.col("body")))
+    marks = F.transform("annotations", lambda a: a["name"])
+    said = lambda wanted: F.get(F.filter("annotations", lambda a: a["name"] == wanted), F.lit(0))
+    path = F.coalesce(*(F.when(said(n).isNotNull(), F.struct(said(n)["value"].alias("v"))) for n in PATHS))["v"]
+    verb = F.coalesce(*(F.when(F.array_contains(marks, n), v) for n, v in VERBS.items()))
+    kinds = F.transform("params", lambda p: p["type"])
+    rows = rows.withColumns({"http_path": path, "http_method": verb, "param_types": kinds})
+    return rows.select(
+        "path", "package", "class_name", "name", F.concat("name", F.lit("("), F.array_join("param_types", ", "), F.lit(")")).alias("signature"), "return_type", "param_types", "params",
+        F.concat("class_annotations", marks).alias("annotations"), "line", (~F.col("has_body")).alias("is_abstract"), "http_path", "http_method", "calls",
+        _entries(F.col("class_annotations"), marks, F.col("http_path"), F.col("http_method"), F.col("class_name"), F.col("name")).alias("entries"),
+    ).withColumn("is_entry", F.size("entries") > 0).withColumn("id", F.concat(F.when(F.col("package") == "", "").otherwise(F.concat("package", F.lit("."))), "class_name", F.lit("."), "name", F.lit("("), F.array_join("param_types", ","), F.lit(")")))
 
 
 def methods(files: DataFrame) -> DataFrame:
-    """path, package, class_name, name, signature, return_type, param_types, is_abstract, is_entry, http_path, http_method, entries.
+    """path, package, class_name, name, signature, return_type, param_types, params, annotations (the class's, then its own), line, is_abstract, http_path, http_method, entries, is_entry, id.
 
-    Plain getters and setters are left out.
+    Plain getters and setters are left out. id is package.class.name(types), to which an app is put in front.
     """
-    decl = lambda group: F.regexp_extract("text", DECLARED, group)
-    params = F.filter(F.transform(F.split(decl(3), ","), lambda p: F.regexp_extract(F.trim(p), r"^(?:final\s+)?([\w<>\[\].?]+)\s+\w+$", 1)), lambda p: p != "")
-    verb = F.upper(F.regexp_extract("text", r"@(Get|Post|Put|Delete)Mapping\b", 1))
-    rows = _members(files).select("path", "text", decl(1).alias("return_type"), decl(2).alias("name"), params.alias("param_types"), (decl(4) == ";").alias("is_abstract"), F.nullif(F.regexp_extract("text", PATH, 1), F.lit("")).alias("http_path"), F.nullif(verb, F.lit("")).alias("http_method"))
-    marks = F.regexp_replace(F.regexp_extract(_stripped(F.col("content")), rf"(?s)^(.*?)\b(?:class|interface)\s+\w+", 1), STRING, '""')
-    heads = types(files).join(files.select("path", marks.alias("head")), "path").select("path", "package", "class_name", "head")
-    joined = rows.join(heads, "path").withColumn("entries", _entries(F.col("head"), F.regexp_extract("text", rf"^(?:{ANNOTATION}\s*)*", 0), F.col("class_name"), F.col("name")))
-    signature = F.concat(F.col("name"), F.lit("("), F.array_join("param_types", ", "), F.lit(")"))
-    joined = joined.where(~_accessor(F.col("name"), F.size("param_types"), F.col("head"), F.col("text")))
-    return joined.withColumn("signature", signature).withColumn("is_entry", F.size("entries") > 0).drop("text", "head")
+    return _methods(scan(files)).drop("calls")
 
 
 def entry_points(files: DataFrame) -> DataFrame:
     """class_name, signature, framework, type, path, verb, class_level: every detection of every method."""
-    return methods(files).select("class_name", "signature", F.explode("entries").alias("e")).select("class_name", "signature", "e.*")
+    return _methods(scan(files)).select("class_name", "signature", F.explode("entries").alias("e")).select("class_name", "signature", "e.*")
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """path, caller, scope, name, call_type, kind: `call` (scope.name or this.name), `reference` (scope::name), `new`."""
-    bare = F.regexp_replace("text", STRING, '""')
-    inner = F.regexp_replace(bare, rf"^{MEMBER}", "")
-    both = lambda pattern: F.arrays_zip(F.regexp_extract_all("inner", F.lit(pattern), F.lit(1)).alias("scope"), F.regexp_extract_all("inner", F.lit(pattern), F.lit(2)).alias("name"))
-    members = _members(files).select("path", F.regexp_extract("text", DECLARED, 2).alias("caller"), inner.alias("inner"))
-    of = lambda kind, pattern: members.select("path", "caller", F.lit(kind).alias("kind"), F.explode(both(pattern)).alias("x")).select("path", "caller", "kind", "x.scope", "x.name")
-    plain = of("call", r"(?:\b(\w+)\.)?(?<!new )\b(?!if\b|for\b|while\b|switch\b|catch\b|return\b|new\b)(\w+)\s*\((?!\s*\{)").where(~F.col("name").rlike("^[A-Z]"))
-    found = plain.withColumn("scope", F.when(F.col("scope") == "", "this").otherwise(F.col("scope"))).unionByName(of("reference", r"\b(\w+)::(\w+)")).unionByName(of("new", r"\bnew\s+(\w+)()\s*\(").withColumn("name", F.lit("<init>")))
-    return found.withColumn("call_type", F.when((F.col("kind") != "new") & F.col("scope").rlike(EXTERNAL_SCOPES), "EXTERNAL").otherwise("INTERNAL"))
-
-
-def _links(files: DataFrame) -> DataFrame:
-    """child_package, child, parent (simple name), relation: implements or extends."""
-    found = types(files).withColumnsRenamed({"package": "child_package", "class_name": "child", "parent": "extended"})
-    a = found.select("child_package", "child", F.explode("interfaces").alias("parent"), F.lit("implements").alias("relation"))
+    """path, class_name, caller, signature, scope, name, kind, line, expression, call_type: `call` (scope.name or this.name), `reference` (scope::name), `new`."""
+    rows = _methods(scan(files)).select("path", "class_name", F.col("name").alias("caller"), "signature", F.explode("calls").alias("c"))
+    outside = (F.col("kind") != "new") & F.col("scope").rlike(EXTERNAL_SCOPES)
+    return rows.select("path", "class_name", "caller", "signature", "c.scope", "c.name", "c.kind", "c.line", "c.expression").withColumn("call_type", F.when(outside, "EXTERNAL").otherwise("INTERNAL"))
+
+
+def _links(scanned: DataFrame) -> DataFrame:
+    """child_package, child, parent (simple name), relation: implements (of classes) or extends (the first)."""
+    found = _types(scanned).where("kind IN ('class', 'interface')").withColumnsRenamed({"package": "child_package", "class_name": "child", "parent": "extended"})
+    a = found.where("kind = 'class'").select("child_package", "child", F.explode("interfaces").alias("parent"), F.lit("implements").alias("relation"))
     return a.unionByName(found.where("extended IS NOT NULL").select("child_package", "child", F.col("extended").alias("parent"), F.lit("extends").alias("relation")))
 
 
 def hierarchy(files: DataFrame) -> DataFrame:
     """child, parent (simple names), relation: implements or extends."""
-    return _links(files).select("child", "parent", "relation")
+    return _links(scan(files)).select("child", "parent", "relation")
 
 
 def package_override_edges(files: DataFrame) -> DataFrame:
-    """parent_package, parent_class, child_package, child_class, signature: abstract methods (or of no return type) and those of like signature in types below them.
+    """parent_package, parent_class, child_package, child_class, signature: abstract methods and those of like signature in types below them.
 
     A parent is the type of that name in the child's package; where the package has none, the types of that name
     anywhere, of which each signature is taken from the smallest package.
     """
-    found = methods(files).select("package", "class_name", "signature", (F.col("is_abstract") | (F.coalesce("return_type", F.lit("")) == "")).alias("is_abstract")).distinct()
-    links = _links(files).select("child_package", "child", "parent").distinct()
-    known = types(files).select(F.col("package").alias("child_package"), F.col("class_name").alias("parent")).distinct()
-    near = links.join(known, ["child_package", "parent"], "left_semi").withColumn("parent_package", F.col("child_package"))
-    far = links.join(known, ["child_package", "parent"], "left_anti")
+    scanned = saved(scan(files))
+    found = _methods(scanned).select("package", "class_name", "signature", "is_abstract").distinct()
+    links = _links(scanned).select("child_package", "child", "parent").distinct()
+    known = _types(scanned).select(F.col("package").alias("child_package"), F.col("class_name").alias("parent"), F.lit(True).alias("near")).distinct()
     above = found.where("is_abstract").select(F.col("package").alias("parent_package"), F.col("class_name").alias("parent"), "signature")
     first = above.groupBy("parent", "signature").agg(F.min("parent_package").alias("parent_package"))
     below = found.select(F.col("package").alias("child_package"), F.col("class_name").alias("child"), "signature")
-    edges = near.join(above, ["parent_package", "parent"]).unionByName(far.join(first, "parent")).join(below, ["child_package", "child", "signature"])
+    asked = links.join(known, ["child_package", "parent"], "left").join(below, ["child_package", "child"])
+    near = asked.where("near").withColumn("parent_package", F.col("child_package")).join(above, ["parent_package", "parent", "signature"])
+    far = asked.where("near IS NULL").join(first, ["parent", "signature"])
+    edges = near.unionByName(far, allowMissingColumns=True)
     return edges.select("parent_package", F.col("parent").alias("parent_class"), "child_package", F.col("child").alias("child_class"), "signature").distinct()
 
 
@@ -146,10 +180,10 @@ def override_edges(files: DataFrame) -> DataFrame:
 
 
 def metrics(files: DataFrame) -> DataFrame:
-    """path, lines, comment_lines, n_classes, n_methods, complexity (branches: if, for, while, case, catch, ?:)."""
+    """path, lines, comment_lines, n_classes (interfaces too), n_methods (accessors too), complexity: if, for, while, catch, switch entries and conditional expressions."""
     rows = F.split("content", "\n")
     comment = F.size(F.filter(rows, lambda x: F.trim(x).rlike(r"^(//|/\*|\*)")))
-    bare = F.regexp_replace(_stripped(F.col("content")), STRING, '""')
-    counts = _members(files).groupBy("path").agg(F.count("*").alias("n_methods"))
-    base = files.select("path", F.size(rows).cast("long").alias("lines"), comment.cast("long").alias("comment_lines"), F.regexp_count(bare, F.lit(TYPE)).cast("long").alias("n_classes"), F.regexp_count(bare, F.lit(BRANCHES)).cast("long").alias("complexity"))
-    return base.join(counts, "path", "left").withColumn("n_methods", F.coalesce("n_methods", F.lit(0)))
+    base = files.select("path", F.size(rows).cast("long").alias("lines"), comment.cast("long").alias("comment_lines"))
+    kinds = F.filter("types", lambda t: t["kind"].isin("class", "interface"))
+    counts = scan(files).select("path", F.size(kinds).cast("long").alias("n_classes"), F.size("methods").cast("long").alias("n_methods"), F.col("branches").alias("complexity"))
+    return base.join(counts, "path")

@@ -11,6 +11,7 @@ from sparkloom.functions import names, sqltext
 MAPPER = r"interface\s+(\w+)\s+extends\s+BaseMapper<\s*(\w+)\s*>"
 TABLE = r'@TableName\s*\(\s*(?:value\s*=\s*)?"([^"]+)"'
 FIELD = r"(?:private|protected|public)\s+(?:final\s+)?(\w+Mapper)\s+(\w+)"
+PARAMETER = r"(\w+Mapper)\s+\w+\s*[,\)]"
 ROW_FIELD = r"private\s+\S+\s+(\w+)\s*;"
 CLASS = r"(?:class|interface|record)\s+(\w+)"
 SKIPPED = ["serialVersionUID", "id"]
@@ -28,12 +29,49 @@ def discovered(files: DataFrame) -> DataFrame:
 
 
 def usage(files: DataFrame, found: DataFrame) -> DataFrame:
-    """class_name, variable, mapper, table_name: fields of classes that hold a known mapper, by its simple name."""
+    """package, class_name, variable, mapper, table_name: classes that hold a known mapper, by its simple name, in a field or (variable null) take it as a parameter alone."""
     text = F.col("content")
     fields = F.arrays_zip(F.regexp_extract_all(text, F.lit(FIELD), F.lit(1)).alias("mapper"), F.regexp_extract_all(text, F.lit(FIELD), F.lit(2)).alias("variable"))
-    held = files.select(F.regexp_extract(text, CLASS, 1).alias("class_name"), F.explode(fields).alias("f")).select("class_name", "f.mapper", "f.variable")
-    known = found.select(names.simple_name(F.col("mapper")).alias("mapper"), "table_name")
-    return held.distinct().join(known, "mapper").select("class_name", "variable", "mapper", "table_name")
+    taken = F.array_except(F.regexp_extract_all(text, F.lit(PARAMETER), F.lit(1)), F.transform(fields, lambda f: f["mapper"]))
+    all_of = F.concat(fields, F.transform(taken, lambda m: F.struct(m.alias("mapper"), F.lit(None).cast("string").alias("variable"))))
+    held = files.select(F.regexp_extract(text, r"package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract(text, CLASS, 1).alias("class_name"), F.explode(all_of).alias("f"))
+    held = held.select("package", "class_name", "f.mapper", "f.variable").where("class_name <> ''").distinct()
+    known = found.select(names.simple_name(F.col("mapper")).alias("mapper"), "table_name", F.col("row_type").alias("skipped"))
+    rows = held.join(known, "mapper").join(known.select(F.col("skipped").alias("class_name")).distinct(), "class_name", "left_anti")
+    return rows.select("package", "class_name", "variable", "mapper", "table_name")
+
+
+def mappers_of(methods: DataFrame, used: DataFrame) -> DataFrame:
+    """method_id, mapper, table_name: the mappers that each method's class (method_id, class_name) uses.
+
+    class_name names a class in full, else the end of one after a dot, else a simple name; of several classes that a
+    name ends, the first by name counts.
+    """
+    full = F.when(F.col("package") == "", F.col("class_name")).otherwise(F.concat_ws(".", "package", "class_name"))
+    held = used.select(full.alias("full"), "mapper", "table_name").distinct()
+    classes = held.select("full").distinct()
+    exact = methods.select("class_name").distinct().join(classes, F.col("class_name") == F.col("full")).select("class_name", "full")
+    parts = F.split("full", r"\.")
+    ends = classes.select("full", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))).alias("class_name"))
+    by_end = methods.select("class_name").distinct().join(exact, "class_name", "left_anti").join(ends, "class_name").groupBy("class_name").agg(F.min("full").alias("full"))
+    return methods.join(exact.unionByName(by_end), "class_name").join(held, "full").select("method_id", "mapper", "table_name").distinct()
+
+
+def relations(methods: DataFrame, operations: DataFrame, used: DataFrame, found: DataFrame) -> DataFrame:
+    """source, table_name, operation, columns, mapper: a row for each method and table of its class, and one of source `mapper:...` for each mapper whose table no method has.
+
+    methods: method_id, class_name; operations: method_id, operation (SELECT where a method has none).
+    """
+    hits = mappers_of(methods, used).join(operations, "method_id", "left")
+    columns = found.select("table_name", "mapper", "columns")
+    rows = hits.join(columns, ["table_name", "mapper"], "left").select(F.col("method_id").cast("string").alias("source"), "table_name", F.coalesce("operation", F.lit("SELECT")).alias("operation"), "columns", "mapper")
+    unused = found.join(hits.select("table_name").distinct(), "table_name", "left_anti")
+    return rows.unionByName(unused.select(F.concat(F.lit("mapper:"), "mapper").alias("source"), "table_name", F.lit("SELECT").alias("operation"), "columns", "mapper"))
+
+
+def without_stubs(rows: DataFrame) -> DataFrame:
+    """The relations that come from methods."""
+    return rows.where(~F.col("source").startswith("mapper:"))
 
 
 def stubs(found: DataFrame, used: DataFrame) -> DataFrame:
@@ -43,7 +81,8 @@ def stubs(found: DataFrame, used: DataFrame) -> DataFrame:
 
 def operation_of_calls(calls: DataFrame, used: DataFrame) -> DataFrame:
     """path, caller, operation: for methods that call mappers, INSERT over DELETE over UPDATE over SELECT by the called names."""
-    signatures = calls.join(used.select(F.col("variable").alias("scope")).distinct(), "scope").select("name").distinct()
+    scopes = used.select(F.explode(F.array("variable", names.simple_name(F.col("mapper")))).alias("scope")).where("scope IS NOT NULL").distinct()
+    signatures = calls.join(scopes, "scope").select("name").distinct()
     hits = calls.join(signatures, "name")
     name = F.lower("name")
     rank = F.when(name.isin(INSERTS), 3).when(name.isin(DELETES), 2).when(name.isin(UPDATES), 1).otherwise(0)
@@ -57,8 +96,8 @@ def xml_operation(tag: Column) -> Column:
 
 
 def xml_statements(files: DataFrame) -> DataFrame:
-    """source, operation, table_name, sql: statements of mapper XML files (path, content), a row for each table of each."""
-    text = F.col("content")
+    """source, operation, table_name, sql: statements of mapper XML files (path, content), a row for each table of each; files whose path has no `mapper` in it, or another ending, are none."""
+    files, text = files.where(F.col("path").contains("mapper") & F.col("path").endswith(".xml")), F.col("content")
     got = lambda g: F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(g))
     body = F.regexp_replace(text, r"(?s)^.*?<mapper\b[^>]*>", "")
     zipped = F.arrays_zip(got(1).alias("tag"), got(2).alias("id"), got(3).alias("sql"))

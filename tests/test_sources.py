@@ -92,7 +92,7 @@ def test_mappers(spark):
 
 def test_xml(spark):
     xml = '<mapper namespace="a.UserMapper"><select id="get" resultType="x">SELECT * FROM users <where>id = 1</where></select><resultMap id="r">FROM maps</resultMap></mapper>'
-    got = {(r["source"], r["operation"], r["table_name"]) for r in mappers.xml_statements(spark.createDataFrame([("m.xml", xml)], "path string, content string")).collect()}
+    got = {(r["source"], r["operation"], r["table_name"]) for r in mappers.xml_statements(spark.createDataFrame([("mapper/m.xml", xml), ("other/m.xml", xml)], "path string, content string")).collect()}
     assert got == {("a.UserMapper.get", "SELECT", "users"), ("a.UserMapper.r", "SELECT", "maps")}
 
 
@@ -100,3 +100,80 @@ def test_test_folders_are_not_scanned(spark):
     frame = spark.createDataFrame([("src/main/A.java", API), ("src/test/B.java", API), ("src/main/a.xml", "")], "path string, content string")
     assert [r["path"] for r in listings.java_files(frame).collect()] == ["src/main/A.java"]
     assert [r["path"] for r in listings.java_files(frame, ["src/test/B.java", "src/main/a.xml", "none.java"]).collect()] == ["src/test/B.java"]
+
+
+HARD = """package com.x;
+@RestController
+public class C<T extends Foo> extends Base<T> implements A<Map<String, Integer>>, b.c.D {
+  private final Svc svc = new Svc() { public int run(int q) { return go(q); } };
+  enum Color { RED("r") { String x() { return "}"; } }, BLUE; String label() { return name(); } }
+  public record P(int a, String b) { P { check(a); } int sum() { return a + b.length(); } }
+  public C(Svc svc) { this.svc = svc; svc.init(); }
+  @GetMapping("/x/{id}")
+  public Map<String, List<Integer>> get(@PathVariable("id") Long id, @Valid(value = {1, 2}) final Map<String, Integer> q, int... more) throws IOException {
+     // foo(x)
+     String s = "a { b( }"; char c = '}';
+     if (id > 3 ? true : false) { a.b().c(q.get("x")); }
+     do { x(); } while (y);
+     list.forEach(Printer::print); Collections.<String>emptyList().size();
+     switch (z) { case 1: break; default: foo(); }
+     return super.get(id);
+  }
+  abstract <R> R gen(List<? extends R> in);
+  static class Inner { void in1() { helper(); } }
+}
+interface Second extends Up<String>, Other { int two(String s); }
+"""
+
+
+def test_ordinary_java(spark):
+    """Annotated and generic parameters, constructors, nested and second types, records, enums, anonymous classes, chained calls."""
+    frame = spark.createDataFrame([("C.java", HARD), ("bad.java", "class { ( [ } ) @"), ("deep.java", "class D { void m() { " + "{" * 3000), ("e.java", "")], "path string, content string")
+    found = {(r["class_name"], r["signature"]): r for r in java.methods(frame).collect()}
+    assert set(found) == {
+        ("C", "run(int)"), ("Color", "x()"), ("Color", "label()"), ("P", "sum()"), ("C", "get(Long, Map<String, Integer>, int...)"), ("C", "gen(List<? extends R>)"), ("Inner", "in1()"), ("Second", "two(String)"), ("D", "m()"),
+    }
+    get = found["C", "get(Long, Map<String, Integer>, int...)"]
+    assert (get["http_path"], get["http_method"], get["return_type"], get["line"], get["is_abstract"]) == ("/x/{id}", "GET", "Map<String, List<Integer>>", 9, False)
+    assert [p["name"] for p in get["params"]] == ["id", "q", "more"] and get["annotations"] == ["RestController", "GetMapping"]
+    assert get["id"] == "com.x.C.get(Long,Map<String, Integer>,int...)"
+    assert found["C", "gen(List<? extends R>)"]["is_abstract"] and not found["C", "run(int)"]["is_entry"]
+    said = {(r["scope"], r["name"]) for r in java.calls(frame).where("caller = 'get'").collect()}
+    assert said == {("a", "b"), ("a.b()", "c"), ("q", "get"), ("this", "x"), ("list", "forEach"), ("Printer", "print"), ("Collections", "emptyList"), ("Collections.<String> emptyList()", "size"), ("this", "foo"), ("super", "get")}
+    down = {(r["child"], r["parent"], r["relation"]) for r in java.hierarchy(frame).collect()}
+    assert down == {("C", "Base", "extends"), ("C", "A", "implements"), ("C", "D", "implements"), ("Second", "Up", "extends")}
+    row = next(r for r in java.metrics(frame).collect() if r["path"] == "C.java")
+    assert (row["complexity"], row["n_classes"], row["n_methods"]) == (4, 3, 8)
+
+
+def test_layered_project(spark):
+    """A controller, a service and a mapper with its implementation: two entries and at least four internal calls."""
+    texts = [
+        'package e.c;\n@RestController\npublic class UserController {\n private final UserService userService = new UserService();\n @GetMapping("/api/users/{id}")\n public UserDTO getUser(@PathVariable Long id) {\n  return userService.getUser(id);\n }\n @PostMapping("/api/users")\n public UserDTO createUser(@RequestBody Request req) {\n  return userService.createUser(req);\n }\n}',
+        "package e.s;\npublic class UserService {\n private final UserMapper userMapper = new UserMapperImpl();\n public UserDTO getUser(Long id) {\n  return userMapper.selectById(id);\n }\n public UserDTO createUser(Request req) {\n  userMapper.insert(req.getName(), req.getEmail());\n  return userMapper.selectByEmail(req.getEmail());\n }\n}",
+        "package e.m;\npublic interface UserMapper {\n UserDTO selectById(Long id);\n UserDTO selectByEmail(String email);\n int insert(String name, String email);\n}",
+        "package e.m;\npublic class UserMapperImpl implements UserMapper {\n public UserDTO selectById(Long id) {\n  // SELECT * FROM users WHERE id = #{id}\n  return new UserDTO();\n }\n public UserDTO selectByEmail(String email) { return new UserDTO(); }\n public int insert(String name, String email) { return 1; }\n}",
+    ]
+    frame = spark.createDataFrame([(f"{i}.java", t) for i, t in enumerate(texts)], "path string, content string")
+    assert {(r["http_method"], r["http_path"], r["signature"]) for r in java.methods(frame).where("is_entry").collect()} == {("GET", "/api/users/{id}", "getUser(Long)"), ("POST", "/api/users", "createUser(Request)")}
+    assert java.calls(frame).where("call_type = 'INTERNAL'").count() >= 4
+    assert {r["signature"] for r in java.override_edges(frame).collect()} == {"selectById(Long)", "selectByEmail(String)", "insert(String, String)"}
+
+
+def test_mappers_taken_by_constructors_and_by_class_names(spark):
+    texts = [
+        ("M.java", "package a;\ninterface OMapper extends BaseMapper<OPO> {}"),
+        ("P.java", '@TableName("orders")\nclass OPO {\n private String name;\n}'),
+        ("S.java", "package a.b;\nclass S {\n public S(OMapper om) {}\n void run() {}\n}"),
+        ("T.java", "package z;\nclass S {\n private OMapper o;\n}"),
+    ]
+    frame = spark.createDataFrame(texts, "path string, content string")
+    found = mappers.discovered(frame)
+    used = mappers.usage(frame, found)
+    assert {(r["package"], r["class_name"], r["variable"]) for r in used.collect()} == {("a.b", "S", None), ("z", "S", "o")}
+    assert mappers.stubs(found, used).count() == 0
+    methods = spark.createDataFrame([(1, "a.b.S"), (2, "b.S"), (3, "S"), (4, "X")], "method_id long, class_name string")
+    assert {r["method_id"] for r in mappers.mappers_of(methods, used).collect()} == {1, 2, 3}
+    none = spark.createDataFrame([], "method_id long, operation string")
+    rows = mappers.relations(methods.where("method_id = 4"), none, used, found)
+    assert [(r["source"], r["columns"]) for r in rows.collect()] == [("mapper:OMapper", "name")] and mappers.without_stubs(rows).count() == 0
