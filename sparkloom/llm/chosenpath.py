@@ -29,6 +29,8 @@ from sparkloom.scratch import saved
 WIDTH, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
 #: Sets in a bucket that is compared at once, and in a block of a bucket that no further split made small.
 SMALL, BLOCK = 256, 2048
+#: Shingles of a block, about (32 MB): buckets of very long texts are cut to more blocks.
+BLOCK_SHINGLES = 4_000_000
 #: A null doc_id while it is worked on.
 NO_ID = -(2**63)
 _WHOLE = float(2**64)
@@ -46,16 +48,6 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
 
 
-def least_met(runs: int, recall: float, depth: int) -> int:
-    """How many first buckets a candidate must share, 3 at most: as many as the chance left over by the runs allows.
-
-    A pair at the threshold meets in a Poisson number of the first buckets, of mean `runs`. 1 loses nothing.
-    """
-    left = 1 - recall - (1 - survival(depth)) ** runs
-    fewer = lambda k: math.exp(-runs) * sum(runs**i / math.factorial(i) for i in range(k))
-    return next((k for k in (3, 2) if fewer(k) <= left), 1)
-
-
 def limits(sizes: np.ndarray, threshold: float) -> np.ndarray:
     """The hash up to which a set of this size picks a shingle."""
     return np.minimum(_WHOLE / (threshold * np.maximum(sizes, 1)), _WHOLE - 4096).astype(np.uint64)
@@ -235,6 +227,8 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     with, copies included; class_id is the least doc_id that links lead to, by any number of steps. A text without words
     (null and empty ones too) is linked with none and is its own class. doc_id should be unique; a null one counts as
     the smallest. Links of a pair at the threshold are found with chance `recall` at least, others with a higher one.
+    Rows of one doc_id count as copies or links of their own. A text of any length is taken whole. An empty table gives
+    an empty one; other columns are ignored, whatever their names.
     """
     runs = runs_for(recall, depth)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -242,12 +236,6 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     sets_of = sketched.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
     reps = saved(sets_of)
     level = shared_keys(reps.select("rep", F.explode(F.array_distinct("keys")).alias("key")))
-    # A pair at the threshold meets in as many of the first buckets as there are runs, on average; sets that share fewer
-    # than `least` buckets with anyone (three for 15 runs: chance 4e-5) are no candidates.
-    least = least_met(runs, recall, depth)
-    if least > 1:
-        often = level.groupBy("rep").agg(F.count("*").alias("met")).where(F.col("met") >= least).select("rep")
-        level = shared_keys(level.join(often, "rep").select("key", "rep"))
     level = saved(level)
     active = level.select("rep").distinct()
     sets = saved(set_rows(docs.join(active, docs["doc_id"] == active["rep"], "left_semi").dropDuplicates(["doc_id"])))
@@ -260,11 +248,11 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
         found = found.unionByName(level if step == depth - 1 else level.where(F.col("in_bucket") <= SMALL))
     # of buckets with the same members one is enough
     member = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
-    signed = found.groupBy("key").agg(member.alias("a"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("b"), F.count("*").alias("c"))
-    unlike = signed.groupBy("a", "b", "c").agg(F.min("key").alias("key")).select("key")
+    signed = found.join(reps.select("rep", "n"), "rep").groupBy("key").agg(member.alias("a"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("b"), F.count("*").alias("c"), F.sum("n").alias("shingles_in"))
+    unlike = signed.groupBy("a", "b", "c").agg(F.min("key").alias("key"), F.min("shingles_in").alias("shingles_in")).select("key", "shingles_in")
     buckets = saved(found.join(unlike, "key"))
     listed = buckets.groupBy("rep").agg(F.collect_list("key").alias("keys")).join(reps.select("rep", "copies"), "rep").join(sets, "rep")
-    blocks = F.when(F.col("in_bucket") <= SMALL, 1).otherwise(F.ceil(F.col("in_bucket") / BLOCK)).cast("int")
+    blocks = F.greatest(F.when(F.col("in_bucket") <= SMALL, 1).otherwise(F.ceil(F.col("in_bucket") / BLOCK)), F.least(F.ceil(F.col("shingles_in") / BLOCK_SHINGLES), F.col("in_bucket"))).cast("int")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = buckets.withColumn("blocks", blocks).withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep")

@@ -69,8 +69,12 @@ def test_few_runs_keep_their_recall(spark):
     assert got >= 0.95 * len(rows)
 
 
-def test_least_count_follows_the_runs():
-    assert chosenpath.least_met(15, 0.999, 3) == 3 and chosenpath.least_met(5, 0.9, 3) == 1 and chosenpath.least_met(7, 0.999, 1) == 1
+def test_blocks_of_long_texts_lose_no_link(spark, monkeypatch):
+    """The same links where every bucket is cut to blocks of a few sets."""
+    docs = frame(spark, awkward())
+    want = sorted(map(tuple, chosenpath.similarity_classes(docs).collect()))
+    monkeypatch.setattr(chosenpath, "BLOCK_SHINGLES", 150)
+    assert sorted(map(tuple, chosenpath.similarity_classes(docs).collect())) == want
 
 
 @pytest.mark.parametrize("n", [3, 40])
