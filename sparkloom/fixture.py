@@ -6,6 +6,8 @@ Only integer arithmetic is used, so any SQL engine derives the same rows from th
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -58,7 +60,7 @@ VIEWS = {
                CASE CAST(dst % 4 AS INT)
                  WHEN 0 THEN concat('restTemplate.postForObject("http://app-', dst % 5, '/api/m', dst, '", req)')
                  WHEN 1 THEN concat('webClient.get(https://app-', dst % 5, '/api/m', dst, ',x)')
-                 WHEN 2 THEN concat('dubboService.m', dst, '(param)')
+                 WHEN 2 THEN concat('dubboService.', CASE WHEN dst % 3 = 0 THEN 'PROMOCont' WHEN dst % 3 = 1 THEN 'RGEServ' ELSE concat('m', dst) END, '(param)')
                  ELSE concat('helper.m', dst, '()') END AS expression
         FROM calls""",
 }
@@ -73,36 +75,52 @@ class Graph:
     accesses: DataFrame
 
 
-def register(spark: SparkSession, folder: str, *names: str) -> None:
-    """Temporary views of the named input tables."""
+class Scope:
+    """Named frames of one query, as temporary views that no other query sees."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.prefix, self.names = spark, f"loom_{uuid.uuid4().hex[:12]}_", set()
+
+    def put(self, name: str, frame: DataFrame) -> DataFrame:
+        frame.createOrReplaceTempView(self.prefix + name)
+        self.names.add(name)
+        return frame
+
+    def sql(self, query: str) -> DataFrame:
+        """The query with the names of this scope after FROM and JOIN."""
+        return self.spark.sql(re.sub(r"\b(FROM|JOIN)(\s+)(\w+)\b", lambda m: m[1] + m[2] + (self.prefix if m[3] in self.names else "") + m[3], query))
+
+
+def tables(spark: SparkSession, folder: str, *names: str) -> Scope:
+    """A scope of the named input tables."""
+    scope = Scope(spark)
     for name in names:
-        table(spark, folder, name).createOrReplaceTempView(name)
+        scope.put(name, table(spark, folder, name))
+    return scope
 
 
 def graph(spark: SparkSession, folder: str) -> Graph:
     """The fixture's graph; each frame is lazy."""
-    register(spark, folder, "part", "lineitem")
-    return Graph(*(spark.sql(VIEWS[name]) for name in ("methods", "calls", "accesses")))
+    scope = tables(spark, folder, "part", "lineitem")
+    return Graph(*(scope.sql(VIEWS[name]) for name in ("methods", "calls", "accesses")))
 
 
 def whole_graph(spark: SparkSession, folder: str) -> Graph:
     """The graph with a call and an access of every line item; repeats of a call's id are numbered, so that ids stay unique."""
-    register(spark, folder, "part", "lineitem")
+    scope = tables(spark, folder, "part", "lineitem")
     every = {name: VIEWS[name].rsplit(" WHERE l_quantity", 1)[0] for name in ("calls", "accesses")}
-    calls = spark.sql(every["calls"])
+    calls = scope.sql(every["calls"])
     nth = F.row_number().over(Window.partitionBy("call_id").orderBy("src", "dst", "call_type", "line_number"))
     calls = calls.withColumn("nth", nth).withColumn("call_id", F.concat("call_id", F.lit("-"), F.col("nth").cast("string"))).drop("nth")
-    return Graph(spark.sql(VIEWS["methods"]), calls, spark.sql(every["accesses"]))
+    return Graph(scope.sql(VIEWS["methods"]), calls, scope.sql(every["accesses"]))
 
 
-def views(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
-    """The named views as lazy frames; they may refer to tables and to views named before."""
-    register(spark, folder, "part", "lineitem", "events", "supplier")
-    out = []
-    for name in names:
-        out.append(spark.sql(VIEWS[name]))
-        out[-1].createOrReplaceTempView(name)
-    return out
+def views(spark: SparkSession, folder: str, *names: str, **given: DataFrame) -> list[DataFrame]:
+    """The named views as lazy frames; they may refer to tables, to views named before, and to frames given by name, which stand for tables."""
+    scope = tables(spark, folder, "part", "lineitem", "events", "supplier")
+    for name, frame in given.items():
+        scope.put(name, frame)
+    return [scope.put(name, scope.sql(VIEWS[name])) for name in names]
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -18,10 +18,15 @@ QUALIFIED = r"(?i)(\w+)\.(\w+)"
 INSERT_COLUMNS = r"(?is)INSERT\s+(?:INTO\s+)?\w+\s*\((.+?)\)\s*(?:VALUES|SELECT|SET)"
 SET_COLUMNS = r"(?is)SET\s+(.+?)(?:\s+WHERE|$)"
 KEYWORDS = (
-    "SELECT FROM WHERE JOIN LEFT RIGHT INNER OUTER ON AND OR NOT IN EXISTS BETWEEN LIKE INSERT UPDATE DELETE INTO VALUES SET "
-    "ORDER BY GROUP HAVING LIMIT OFFSET AS DISTINCT CASE WHEN THEN ELSE END UNION ALL NULL TRUE FALSE IS ASC DESC "
-    "COUNT SUM AVG MAX MIN COALESCE CAST WITH RECURSIVE RETURNING DUAL"
-).split()
+    "SELECT", "FROM", "WHERE", "JOIN", "LEFT", "RIGHT", "INNER", "OUTER", "ON", "AND", "OR", "NOT", "IN", "EXISTS", "BETWEEN", "LIKE", "INSERT", "UPDATE", "DELETE", "INTO", "VALUES", "SET",
+    "ORDER", "BY", "GROUP", "HAVING", "LIMIT", "OFFSET", "AS", "DISTINCT", "CASE", "WHEN", "THEN", "ELSE", "END", "UNION", "ALL", "NULL", "TRUE", "FALSE", "IS", "ASC", "DESC",
+    "COUNT", "SUM", "AVG", "MAX", "MIN", "COALESCE", "CAST", "WITH", "RECURSIVE", "RETURNING", "DUAL",
+)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), the value worked out once however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def found(sql: Column, pattern: str, group: int = 1) -> Column:
@@ -30,7 +35,7 @@ def found(sql: Column, pattern: str, group: int = 1) -> Column:
 
 
 def is_name(word: Column) -> Column:
-    return (word != "") & ~F.upper(word).isin(KEYWORDS)
+    return (word != "") & ~F.upper(word).isin(list(KEYWORDS))
 
 
 def _bare(name: Column, marks: str) -> Column:
@@ -50,9 +55,8 @@ def mysql_tables(sql: Column) -> Column:
 def mysql_schemas(sql: Column) -> Column:
     """Map of table to schema for `schema`.`table`; of repeated tables the last counts."""
     tables, schemas = F.regexp_extract_all(sql, F.lit(SCHEMA_TABLES), F.lit(2)), F.regexp_extract_all(sql, F.lit(SCHEMA_TABLES), F.lit(1))
-    pairs = F.arrays_zip(tables.alias("t"), schemas.alias("s"))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["t"]), p["t"]))
-    return F.map_from_arrays(F.transform(last, lambda p: p["t"]), F.transform(last, lambda p: p["s"]))
+    last = once(F.arrays_zip(tables.alias("t"), schemas.alias("s")), lambda pairs: F.filter(pairs, lambda p, i: ~F.array_contains(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["t"]), p["t"])))
+    return once(last, lambda kept: F.map_from_arrays(F.transform(kept, lambda p: p["t"]), F.transform(kept, lambda p: p["s"])))
 
 
 def cte_names(sql: Column) -> Column:
@@ -81,16 +85,16 @@ def column_refs(sql: Column) -> Column:
     """Array of (table, column, source), each table.column once: qualified names, then INSERT lists, then SET lists."""
     sql = F.trim(sql)
     row = lambda t, c, s: F.struct(t.alias("table"), c.alias("column"), F.lit(s).alias("source"))
-    both = F.arrays_zip(F.regexp_extract_all(sql, F.lit(QUALIFIED), F.lit(1)).alias("t"), F.regexp_extract_all(sql, F.lit(QUALIFIED), F.lit(2)).alias("c"))
-    qualified = F.transform(F.filter(both, lambda p: is_name(p["t"]) & is_name(p["c"])), lambda p: row(p["t"], p["c"], "SQL_SELECT"))
+    parts = lambda x: (F.substring_index(x, ".", 1), F.substring_index(x, ".", -1))
+    both = F.regexp_extract_all(sql, F.lit(QUALIFIED), F.lit(0))
+    qualified = F.transform(F.filter(both, lambda x: is_name(parts(x)[0]) & is_name(parts(x)[1])), lambda x: row(*parts(x), "SQL_SELECT"))
     none = F.lit(None).cast("string")
     lists = F.flatten(F.transform(F.regexp_extract_all(sql, F.lit(INSERT_COLUMNS), F.lit(1)), lambda x: F.split(x, ",")))
     inserted = F.transform(F.filter(F.transform(lists, lambda c: _bare(F.trim(c), "`\"'[]")), is_name), lambda c: row(none, c, "SQL_INSERT"))
     pairs = F.flatten(F.transform(F.regexp_extract_all(sql, F.lit(SET_COLUMNS), F.lit(1)), lambda x: F.split(x, ",")))
     updated = F.transform(F.filter(F.transform(pairs, lambda c: _bare(F.split(F.trim(c), r"\s*=\s*")[0], "`\"'[]")), is_name), lambda c: row(none, c, "SQL_UPDATE"))
-    every = F.concat(qualified, inserted, updated)
-    key = lambda r: F.concat_ws(".", r["table"], r["column"])
-    return F.filter(every, lambda r, i: ~F.exists(F.slice(every, F.lit(1), i), lambda q: key(q) == key(r)))
+    same = lambda q, r: (q["column"] == r["column"]) & q["table"].eqNullSafe(r["table"])
+    return once(F.concat(qualified, inserted, updated), lambda every: F.filter(every, lambda r, i: ~F.exists(F.slice(every, F.lit(1), i), lambda q: same(q, r))))
 
 
 def columns_of(refs: Column, table: Column) -> Column:

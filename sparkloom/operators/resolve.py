@@ -6,21 +6,62 @@ occur, and a substring test one on windows of a few characters, checked afterwar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import names
+from sparkloom.scratch import saved
 
 
 def by_prefix(wanted: DataFrame, methods: DataFrame, most: int | None = 50) -> DataFrame:
     """name, method_id, app_id: for each name the first `most` methods, by id, whose signature starts with it."""
-    prefixes = methods.select("method_id", "app_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("signature")), lambda n: F.substring(F.col("signature"), F.lit(1), n))).alias("name"))
-    found = wanted.select("name").distinct().join(prefixes, "name")
+    wanted = wanted.select("name").where("name <> ''").distinct()
+    lengths = [r[0] for r in wanted.select(F.length("name")).distinct().collect()]  # lengths of names: a few dozen
+    starts = F.array_distinct(F.array(*(F.substring("signature", 1, n) for n in lengths))) if lengths else F.array().cast("array<string>")
+    found = wanted.join(methods.select("method_id", "app_id", F.explode(starts).alias("name")), "name")
     if most is None:
         return found
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("method_id"))).where(F.col("nth") <= most).drop("nth")
 
 
+def containing(wanted: DataFrame, held: DataFrame, window: int = 6) -> DataFrame:
+    """text, whole: all pairs of a `text` of `wanted` and a `whole` of `held` that contains it.
+
+    Both are joined on one window of each text, the one that the fewest wholes have, so that a beginning that all names
+    share brings nothing together. An empty text is in none.
+    """
+    wanted, held = saved(wanted.select("text").where("text <> ''").distinct()), held.select("whole").where("whole IS NOT NULL").distinct()
+    size = F.least(F.length("text"), F.lit(window))
+    sizes = [r[0] for r in wanted.select(size).distinct().collect()]  # `window` at most
+    if not sizes:
+        return wanted.select("text", F.lit(None).cast("string").alias("whole"))
+
+    def cut(c: str, n: Column) -> Column:
+        """All windows of n characters; none of a shorter text."""
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.flatten(F.array(*(cut("whole", F.lit(n)) for n in sizes))))
+    keys = saved(held.select("whole", F.explode(every).alias("key")))
+    asked = wanted.select("text", F.explode(F.array_distinct(cut("text", size))).alias("key"))
+    often = keys.groupBy("key").agg(F.count("*").alias("n"))
+    # a window that no whole has gives its text none
+    best = asked.join(often, "key", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("best"))
+    rare = best.where("best.n > 0").select("text", F.col("best.key").alias("key"))
+    return rare.join(keys, "key").where(F.contains("whole", "text")).select("text", "whole")
+
+
+def by_id(wanted: DataFrame, methods: DataFrame) -> DataFrame:
+    """The methods whose full_id is one of `wanted` (full_id)."""
+    return methods.join(wanted.select("full_id").distinct(), "full_id", "left_semi")
+
+
+def resolve_callers(raw: DataFrame, methods: DataFrame) -> DataFrame:
+    """call_id, src, how of raw calls (call_id, source): the method of that full_id, else the first by id, of any app, whose signature starts with the source's name."""
+    exact = raw.join(methods.select(F.col("method_id").alias("src"), F.col("full_id").alias("source")), "source").select("call_id", "src", F.lit("exact").alias("how"))
+    rest = raw.join(exact, "call_id", "left_anti").withColumn("name", names.method_name(F.col("source")))
+    return exact.unionByName(rest.join(by_prefix(rest, methods, 1), "name").select("call_id", F.col("method_id").alias("src"), F.lit("prefix").alias("how")))
+
+
 def resolve_calls(raw: DataFrame, methods: DataFrame) -> DataFrame:
     """call_id, src, dst, how: raw calls (call_id, src, target, call_type) whose target names a known method.
 
@@ -65,25 +106,25 @@ def accesses_capture(captured: DataFrame, methods: DataFrame, window: int = 6) -
     if lengths:
         ends = methods.select("method_id", F.explode(F.array(*(F.expr(f"right(full_id, {n})") for n in lengths))).alias("caller_method"))
         out = out.unionByName(wanted.join(ends, "caller_method").select(keep))
-    sizes = [r[0] for r in wanted.select(F.least(F.length("text"), F.lit(window))).distinct().collect()]  # at most `window`
-    for size in sizes:
-        parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("full_id") - size + 1, F.lit(1))), lambda i: F.substring(F.col("full_id"), i, F.lit(size))))
-        windows = methods.select("method_id", "full_id", F.explode(parts).alias("key"))
-        some = wanted.where(F.least(F.length("text"), F.lit(window)) == size).withColumn("key", F.substring("text", 1, size))
-        out = out.unionByName(some.join(windows, "key").where(F.contains("full_id", "text")).select(keep))
-    return out.distinct()
+    inside = containing(wanted.select("text"), methods.select(F.col("full_id").alias("whole")), window)
+    within = wanted.join(inside, "text").join(methods.select("method_id", F.col("full_id").alias("whole")), "whole")
+    return out.unionByName(within.select(keep)).distinct()
 
 
 def resolve_external(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """call_id, dst, protocol: where external calls (call_id, src, expression) lead.
 
     An address resolves to the first entry method, by id, of another app with that path (HTTP); with an address in the
-    text nothing else is tried. A dubbo name resolves to the first method of another app with that name (RPC).
+    text nothing else is tried. A dubbo name resolves to the first entry method, by id, of another app whose class name
+    contains it (Dubbo).
     """
     app = methods.select(F.col("method_id").alias("src"), F.col("app_id").alias("src_app"))
-    texts = calls.join(app, "src").withColumn("path", names.url_path(F.col("expression"))).withColumn("name", names.rpc_method(F.col("expression")))
+    texts = saved(calls.join(app, "src").select("call_id", "src_app", names.url_path(F.col("expression")).alias("path"), names.rpc_method(F.col("expression")).alias("name")))
     http = texts.where("path IS NOT NULL").join(methods.where("is_entry").select("method_id", "app_id", "path"), "path")
-    rpc = texts.where("path IS NULL AND name IS NOT NULL").join(methods.select("method_id", "app_id", names.method_name(F.col("signature")).alias("name")), "name")
+    named = texts.where("path IS NULL AND name IS NOT NULL")
+    classes = methods.where("is_entry").groupBy("class_name", "app_id").agg(F.min("method_id").alias("method_id"))  # the first of a class in an app is enough
+    pairs = containing(named.select(F.col("name").alias("text")), classes.select(F.col("class_name").alias("whole")))
+    rpc = named.join(pairs.withColumnRenamed("text", "name"), "name").join(classes.withColumnRenamed("class_name", "whole"), "whole").select("call_id", "src_app", "app_id", "method_id")
     first = Window.partitionBy("call_id").orderBy("method_id")
     pick = lambda rows, kind: rows.where("app_id <> src_app").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("call_id", F.col("method_id").alias("dst"), F.lit(kind).alias("protocol"))
-    return pick(http, "HTTP").unionByName(pick(rpc, "RPC"))
+    return pick(http, "HTTP").unionByName(pick(rpc, "Dubbo"))

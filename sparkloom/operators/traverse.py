@@ -20,6 +20,8 @@ def reach(seeds: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     for depth in range(1, most + 1):
         new = frontier.join(hops, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
         frontier = saved(new.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found
 

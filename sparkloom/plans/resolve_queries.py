@@ -18,6 +18,9 @@ VIEWS.update(
         SELECT concat(a.method_id, '-', a.table_id, '-', a.operation) AS access_id, m.app_id,
                CASE WHEN a.method_id % 2 = 0 THEN m.full_id ELSE concat('shop.Mapper.m', a.method_id) END AS source
         FROM (SELECT DISTINCT method_id, table_id, operation FROM accesses) a JOIN named_methods m ON a.method_id = m.method_id""",
+    raw_callers="""
+        SELECT c.call_id, CASE WHEN c.src % 3 = 0 THEN m.full_id WHEN c.src % 3 = 1 THEN concat('shop.helper.m', c.src, '(a)') ELSE 'shop.Other.run()' END AS source
+        FROM calls c JOIN named_methods m ON c.src = m.method_id""",
     captures="""
         SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'ECONOMYService' ELSE concat('shop.C', user_id) END AS caller_class,
                CASE WHEN user_id % 2 = 0 THEN concat('m', user_id, '()') ELSE concat('m', user_id) END AS caller_method FROM access_log""",
@@ -52,6 +55,8 @@ QUERIES = {
     "accesses_capture": _query(resolve.accesses_capture, "access_log", "captures"),
     "external_resolved": _query(_external_only, "call_texts"),
     "method_lookup": _query(_first_of_prefix),
+    "methods_by_id": _query(lambda calls, methods: resolve.by_id(calls.select(F.col("target").alias("full_id")), methods).select("method_id", "full_id", "signature"), "raw_calls"),
+    "callers_resolved": _query(resolve.resolve_callers, "raw_callers"),
 }
 
 def _sql(sql: str, *names: str) -> str:
@@ -77,7 +82,10 @@ ORACLES = {
     + """, parts AS (SELECT t.call_id, s.app_id AS src_app, CASE WHEN expression LIKE '%http://%' THEN regexp_extract(expression, 'http://[^/]*(/[^"]*)"', 1) WHEN expression LIKE '%https://%' THEN regexp_extract(expression, 'https://[^/]*(/[^,]*),', 1) END AS path,
         CASE WHEN expression LIKE '%dubbo%' THEN regexp_extract(expression, '\\.([^.(]*)\\([^.]*$', 1) END AS name FROM call_texts t JOIN methods s ON t.src = s.method_id WHERE call_type = 'EXTERNAL'),
     hits AS (SELECT p.call_id, m.method_id AS dst, 'HTTP' AS protocol FROM parts p JOIN named_methods m ON p.path = m.path AND m.is_entry AND m.app_id <> p.src_app
-      UNION ALL SELECT p.call_id, m.method_id, 'RPC' FROM parts p JOIN named_methods m ON p.path IS NULL AND concat(p.name, '()') = m.signature AND m.app_id <> p.src_app)
+      UNION ALL SELECT p.call_id, m.method_id, 'Dubbo' FROM parts p JOIN named_methods m ON p.path IS NULL AND contains(m.class_name, p.name) AND m.is_entry AND m.app_id <> p.src_app)
     SELECT call_id, min(dst) AS dst, protocol FROM hits GROUP BY call_id, protocol""",
+    "methods_by_id": _sql("SELECT method_id, full_id, signature FROM named_methods WHERE full_id IN (SELECT target FROM raw_calls)", "raw_calls"),
+    "callers_resolved": _sql("""SELECT call_id, m.method_id AS src, 'exact' AS how FROM raw_callers JOIN named_methods m ON source = full_id
+        UNION ALL SELECT call_id, min(m.method_id), 'prefix' FROM raw_callers r JOIN named_methods m ON starts_with(m.signature, regexp_extract(source, '([^.(]*)\\(', 1)) WHERE source NOT IN (SELECT full_id FROM named_methods) GROUP BY call_id""", "raw_callers"),
     "method_lookup": _sql("SELECT left(signature, 2) AS name, min(method_id) AS method_id FROM named_methods GROUP BY 1"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.fixture import VIEWS, views, with_views
+from sparkloom.fixture import views, with_views
 from sparkloom.operators import facts, report
 from sparkloom.plans.fact_queries import AS_OF, DAYS, over_state
 from sparkloom.plans.text_queries import ORACLES as TEXTS
@@ -13,11 +13,7 @@ from sparkloom.streaming import capture
 
 def _captured_stream(spark, folder):
     """The events as a stream of captured SQL."""
-    capture.event_stream(spark, folder).createOrReplaceTempView("events")
-    for name in ("access_log", "captured_sql"):
-        frame = spark.sql(VIEWS[name])
-        frame.createOrReplaceTempView(name)
-    return frame
+    return views(spark, folder, "access_log", "captured_sql", events=capture.event_stream(spark, folder))[1]
 
 
 def _prompts(spark, folder):

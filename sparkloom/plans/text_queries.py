@@ -45,9 +45,14 @@ def _dialect(sql, url):
     return {"db_type": kind, "tables": _joined(sqltext.dialect_tables(kind, sql)), "sql_500": F.substring(sql, 1, 500)}
 
 
+#: How the names of methods begin, by method_id, and the operation that each stands for.
+BEGINNINGS = {"": "SELECT", "remove_": "DELETE", "Update": "UPDATE", "saveAll": "INSERT", "find": "SELECT", "create": "INSERT", "modify": "UPDATE", "delete": "DELETE", "add": "INSERT"}
+
+
 def _name_parts(spark, folder):
     methods = views(spark, folder, "methods")[0]
-    full = F.concat(F.lit("app-"), F.col("app_id"), F.lit(":shop."), F.translate("class_name", " ", "_"), F.lit("."), F.col("signature"))
+    begin = F.element_at(F.array(*map(F.lit, BEGINNINGS)), (F.col("method_id") % len(BEGINNINGS) + 1).cast("int"))
+    full = F.concat(F.lit("app-"), F.col("app_id"), F.lit(":shop."), F.translate("class_name", " ", "_"), F.lit("."), begin, F.col("signature"))
     name = names.method_name(F.col("id"))
     return methods.withColumn("id", full).select("method_id", names.app_of(F.col("id")).alias("app"), name.alias("name"), names.signature_of(F.col("id")).alias("sig"), sqltext.operation_of_name(name).alias("operation"))
 
@@ -65,9 +70,9 @@ QUERIES = {
     "name_parts": _name_parts,
 }
 
-_TABLES = """list_filter(list_distinct(list_transform(regexp_extract_all(trim(sql_text), '(?i)(?:FROM|JOIN|INTO|UPDATE|INSERT\\s+INTO)\\s+`?"?([\\w.]+)`?"?', 1), lambda t: replace(replace(t, '`', ''), '"', ''))), lambda t: upper(t) <> 'DUAL')"""
-_MYSQL = """list_distinct(list_concat({}, regexp_extract_all(sql_text, '(?i)(?:FROM|JOIN|INTO|UPDATE|INSERT\\s+(?:IGNORE\\s+)?INTO|REPLACE\\s+INTO)\\s+`(\\w+)`', 1)))""".format(_TABLES)
-_PG = """list_filter(list_distinct(list_concat({}, regexp_extract_all(sql_text, '(?i)(?:FROM|JOIN|INTO|UPDATE|INSERT\\s+INTO)\\s+"?(\\w+)"?', 1))), lambda t: upper(t) <> 'DUAL' AND NOT list_contains(list_transform(regexp_extract_all(sql_text, '(?i)WITH\\s+(\\w+)\\s+AS\\s*\\(', 1), lambda c: lower(c)), t))""".format(_TABLES)
+_TABLES = f"""list_filter(list_distinct(list_transform(regexp_extract_all(trim(sql_text), '{sqltext.TABLES}', 1), lambda t: replace(replace(t, '`', ''), '"', ''))), lambda t: upper(t) <> 'DUAL')"""
+_MYSQL = """list_distinct(list_concat({}, regexp_extract_all(sql_text, '{}', 1)))""".format(_TABLES, sqltext.BACKTICK_TABLES)
+_PG = """list_filter(list_distinct(list_concat({}, regexp_extract_all(sql_text, '{}', 1))), lambda t: upper(t) <> 'DUAL' AND NOT list_contains(list_transform(regexp_extract_all(sql_text, '{}', 1), lambda c: lower(c)), t))""".format(_TABLES, sqltext.PG_TABLES, sqltext.CTE_NAMES)
 _SORTED = "array_to_string(list_sort({}), ',')"
 _OPERATION = """CASE WHEN regexp_matches(trim(sql_text), '(?i)^(INSERT|REPLACE|UPSERT)') THEN 'INSERT' WHEN regexp_matches(trim(sql_text), '(?i)^(UPDATE|MERGE)') THEN 'UPDATE'
   WHEN regexp_matches(trim(sql_text), '(?i)^(DELETE|TRUNCATE)') THEN 'DELETE' ELSE 'SELECT' END"""
@@ -75,10 +80,10 @@ _DB_TYPE = """CASE WHEN lower(jdbc_url) LIKE '%mysql%' THEN 'MYSQL' WHEN lower(j
   WHEN lower(jdbc_url) LIKE '%db2%' THEN 'DB2' WHEN lower(jdbc_url) LIKE '%oracle%' THEN 'ORACLE' WHEN lower(jdbc_url) LIKE '%sqlserver%' THEN 'SQLSERVER' ELSE 'GENERIC' END"""
 _KEYWORDS = ", ".join(f"'{k}'" for k in sqltext.KEYWORDS)
 _REFS = f"""refs AS (
-  SELECT event_id, 1 AS src, unnest(regexp_extract_all(sql_text, '(\\w+)\\.(\\w+)', 1)) AS t, unnest(regexp_extract_all(sql_text, '(\\w+)\\.(\\w+)', 2)) AS c FROM captured_sql
+  SELECT event_id, 1 AS src, unnest(regexp_extract_all(sql_text, '{sqltext.QUALIFIED}', 1)) AS t, unnest(regexp_extract_all(sql_text, '{sqltext.QUALIFIED}', 2)) AS c FROM captured_sql
   UNION ALL SELECT event_id, src, NULL, unnest(string_split(list, ',')) FROM (
-    SELECT event_id, 2 AS src, unnest(regexp_extract_all(sql_text, '(?is)INSERT\\s+(?:INTO\\s+)?\\w+\\s*\\((.+?)\\)\\s*(?:VALUES|SELECT|SET)', 1)) AS list FROM captured_sql
-    UNION ALL SELECT event_id, 3, unnest(regexp_extract_all(sql_text, '(?is)SET\\s+(.+?)(?:\\s+WHERE|$)', 1)) FROM captured_sql) lists),
+    SELECT event_id, 2 AS src, unnest(regexp_extract_all(sql_text, '{sqltext.INSERT_COLUMNS}', 1)) AS list FROM captured_sql
+    UNION ALL SELECT event_id, 3, unnest(regexp_extract_all(sql_text, '{sqltext.SET_COLUMNS}', 1)) FROM captured_sql) lists),
 cleaned AS (SELECT event_id, src, t, CASE WHEN src = 1 THEN c ELSE regexp_replace(regexp_replace(trim(c), '\\s*=.*$', '', 's'), '[`"''\\[\\]]', '', 'g') END AS c FROM refs),
 kept AS (SELECT event_id, t, c, min(src) AS src FROM cleaned WHERE c <> '' AND upper(c) NOT IN ({_KEYWORDS}) AND (t IS NULL OR upper(t) NOT IN ({_KEYWORDS})) GROUP BY event_id, t, c)"""
 
@@ -108,5 +113,5 @@ ORACLES = {
     "sql_by_dialect": _sql(f"{_DB_TYPE} AS db_type, CASE {_DB_TYPE} WHEN 'MYSQL' THEN {_SORTED.format(_MYSQL)} WHEN 'POSTGRESQL' THEN {_SORTED.format(_PG)} ELSE {_SORTED.format(_TABLES)} END AS tables, left(sql_text, 500) AS sql_500"),
     "url_path": _calls("""CASE WHEN expression LIKE '%http://%' THEN regexp_extract(expression, 'http://[^/]*(/[^"]*)"', 1) WHEN expression LIKE '%https://%' THEN regexp_extract(expression, 'https://[^/]*(/[^,]*),', 1) END AS path"""),
     "rpc_method": _calls("CASE WHEN expression LIKE '%dubbo%' THEN regexp_extract(expression, '\\.([^.(]*)\\([^.]*$', 1) END AS method"),
-    "name_parts": with_views("SELECT method_id, concat('app-', app_id) AS app, concat('m', method_id) AS name, signature AS sig, 'SELECT' AS operation FROM methods", "methods"),
+    "name_parts": with_views(f"SELECT method_id, concat('app-', app_id) AS app, concat(b, 'm', method_id) AS name, concat(b, signature) AS sig, o AS operation FROM methods JOIN (VALUES {', '.join(f"({i}, '{b}', '{o}')" for i, (b, o) in enumerate(BEGINNINGS.items()))}) x(i, b, o) ON method_id % {len(BEGINNINGS)} = i", "methods"),
 }
