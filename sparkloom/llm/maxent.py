@@ -242,21 +242,21 @@ def _before(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: in
 
 
 def histories(docs: list[Text], history: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The symbols of all documents, one after the other, the two history symbols before each, and the marks with the two before each."""
+    """The symbols of all documents, one after the other, the two history symbols before each, and the marks with the two before each; 18 bytes a token."""
     sizes = np.array([len(d) // 2 for d, _ in docs])
     starts = np.cumsum(sizes) - sizes
-    symbols = np.frombuffer(b"".join(d for d, _ in docs), np.uint16).astype(np.int64)
-    marks = np.frombuffer(b"".join(m for _, m in docs), np.uint32).astype(np.uint64)
-    return symbols, *_before(history[symbols], starts, sizes, BEGIN), marks, *_before(marks, starts, sizes, BEGIN_MARK)
+    symbols = np.frombuffer(b"".join(d for d, _ in docs), np.uint16)
+    marks = np.frombuffer(b"".join(m for _, m in docs), np.uint32)
+    return symbols, *_before(history.astype(np.uint16)[symbols], starts, sizes, BEGIN), marks, *_before(marks, starts, sizes, BEGIN_MARK)
 
 
 def digit_rows(level: int, group: np.ndarray, marks: np.ndarray, one: np.ndarray, two: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The digit of this level (0 or 1) of each word's leaf, and the rows of its features: the class (with the digit before) alone, with the word before, and with the one before that."""
-    first = (marks & np.uint64(DIGIT - 1)).astype(np.int64)
-    second = ((marks >> np.uint64(4)) & np.uint64(DIGIT - 1)).astype(np.int64)
+    first = (marks & np.uint32(DIGIT - 1)).astype(np.int64)
+    second = ((marks >> np.uint32(4)) & np.uint32(DIGIT - 1)).astype(np.int64)
     node, nodes, digit = (group, OTHERS, first) if not level else (group * DIGIT + first, OTHERS * DIGIT, second)
     salted = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    hashed = [nodes + (mix((word + np.uint64(k << 40)) ^ salted) & np.uint64(rows - 1)).astype(np.int64) for k, word in enumerate((one, two))]
+    hashed = [nodes + (mix((word.astype(np.uint64) + np.uint64(k << 40)) ^ salted) & np.uint64(rows - 1)).astype(np.int64) for k, word in enumerate((one, two))]
     return digit, [node, *hashed]
 
 
@@ -323,8 +323,8 @@ def train_on(docs: list[Text], history: np.ndarray, w: Weights, past: Weights, s
     size = min(max(len(symbols) // STEPS, STEP_TOKENS[0]), STEP_TOKENS[1])
     for low in range(0, len(symbols), size):
         part = slice(low, low + size)
-        s, n = symbols[part], len(symbols[part])
-        context, place = np.unique(two[part] * HISTORIES + one[part], return_inverse=True)
+        s, n = symbols[part].astype(np.int64), len(symbols[part])
+        context, place = np.unique(two[part].astype(np.int64) * HISTORIES + one[part], return_inverse=True)
         seen = np.bincount(place * CLASSES + classes_of(s), minlength=len(context) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
         logits, rows = w.class_logits(context)
         chances, _ = softmax_parts(logits)
@@ -406,9 +406,11 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rows: int, rounds: int = ROU
             for docs in in_parts(texts, STEPS * STEP_TOKENS[1]):
                 tokens += train_on(docs, past, w, sums, number)
             if tokens:
-                change = np.append(w.flat - start, np.zeros(-size % BLOCK, np.float32)).astype(np.float16).reshape(-1, BLOCK)
-                for low in range(0, len(change), 256):
-                    some = change[low : low + 256]
+                del sums
+                for low in range(0, -(-size // BLOCK), 256):
+                    part = slice(low * BLOCK, (low + 256) * BLOCK)
+                    some = (w.flat[part] - start[part]).astype(np.float16)
+                    some = np.append(some, np.zeros(-len(some) % BLOCK, np.float16)).reshape(-1, BLOCK)
                     n = len(some)
                     yield pa.RecordBatch.from_arrays([pa.array(range(low, low + n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([tokens] * n, pa.int64()), pa.array([c.tobytes() for c in some], pa.binary())], names=["block", "task", "tokens", "change"])
 
@@ -430,8 +432,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rows: int, rounds: int = ROU
 def log_chances(docs: list[Text], history: np.ndarray, w: Weights) -> np.ndarray:
     """By document, the sum of log10 chances of classes, and within them of words that are outputs of their own and of all others' leaves."""
     symbols, one, two, marks, mark_one, mark_two = histories(docs, history)
-    out = np.zeros(len(symbols))
-    context, place = np.unique(two * HISTORIES + one, return_inverse=True)
+    symbols, out = symbols.astype(np.int64), np.zeros(len(symbols))
+    context, place = np.unique(two.astype(np.int64) * HISTORIES + one, return_inverse=True)
     order = np.argsort(place, kind="stable")
     group = classes_of(symbols)
     for low in range(0, len(context), 16_384):
