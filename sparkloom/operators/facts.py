@@ -25,30 +25,32 @@ def strongest(operation: Column) -> Column:
 
 
 def field_impact(state: DataFrame, table: str | None = None, column: str | None = None) -> DataFrame:
-    """Methods by column that they access, with their strongest operation and their accesses; all columns by default."""
+    """Methods by column that they access, with their strongest operation and their accesses, the most accesses first; all columns by default."""
     if table is not None:
         state = state.where(F.col("table_name") == table)
     if column is not None:
         state = state.where(F.col("column_name") == column)
-    return state.groupBy("table_name", "column_name", "method_id", "method_signature", "app_id").agg(strongest(F.col("operation")).alias("operation"), F.sum("access_count").alias("access_count"))
+    return state.groupBy("table_name", "column_name", "method_id", "method_signature", "app_id").agg(strongest(F.col("operation")).alias("operation"), F.sum("access_count").alias("access_count")).orderBy("table_name", "column_name", F.desc("access_count"), "method_id")
 
 
 def columns_by_table(state: DataFrame) -> DataFrame:
-    return state.where("column_name <> '*'").select("table_name", "column_name").distinct()
+    """Columns of each table, `*` aside, by name."""
+    return state.where("column_name <> '*'").select("table_name", "column_name").distinct().orderBy("table_name", "column_name")
 
 
 def columns_by_method(state: DataFrame) -> DataFrame:
-    return state.select("method_id", "table_name", "column_name", "operation", "access_count")
+    """Columns of each method, the most accesses first."""
+    return state.select("method_id", "table_name", "column_name", "operation", "access_count").orderBy("method_id", F.desc("access_count"), "table_name", "column_name")
 
 
-def table_stats(state: DataFrame, app: int | None = None) -> DataFrame:
-    """Columns (`*` counts) and methods by table, and the last access; app None means all."""
-    if app is not None:
+def table_stats(state: DataFrame, app: int | str | None = None) -> DataFrame:
+    """Columns (`*` counts) and methods by table, and the last access, the most methods first; app None or `%` means all."""
+    if app is not None and app != "%":
         state = state.where(F.col("app_id") == app)
-    return state.groupBy("table_name").agg(F.countDistinct("column_name").alias("col_count"), F.countDistinct("method_id").alias("method_count"), F.max("last_seen").alias("last_access"))
+    return state.groupBy("table_name").agg(F.countDistinct("column_name").alias("col_count"), F.countDistinct("method_id").alias("method_count"), F.max("last_seen").alias("last_access")).orderBy(F.desc("method_count"), "table_name")
 
 
 def dead_columns(state: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """Columns by table whose last access is more than `days` days before `as_of`."""
+    """Columns by table whose last access is more than `days` days before `as_of`, the longest unused first."""
     by = state.groupBy("table_name", "column_name").agg(F.max("last_seen").alias("last_access"), F.sum("access_count").alias("access_count"))
-    return by.where(F.col("last_access") < as_of - F.make_interval(days=F.lit(days)))
+    return by.where(F.col("last_access") < as_of - F.make_interval(days=F.lit(days))).orderBy("last_access", "table_name", "column_name")

@@ -15,6 +15,21 @@ Columns without recent access: {{dead}}
 Say what a change of this table would touch, and what could be removed."""
 
 
+TEMPLATES = {"table": TABLE_PROMPT}
+
+
+def template(name: str) -> str:
+    """A prompt by its name."""
+    if name not in TEMPLATES:
+        raise KeyError(f"no template {name}; there are {', '.join(sorted(TEMPLATES))}")
+    return TEMPLATES[name]
+
+
+def as_document(rows: DataFrame, key: str) -> DataFrame:
+    """key, document: each row as an indented JSON text for a language model."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns), {"pretty": "true"}).alias("document"))
+
+
 def fill(template: str, values: dict[str, Column]) -> Column:
     """The template with every {{name}} replaced; all names that have no value are told at once."""
     parts = template.replace("}}", "{{").split("{{")
@@ -32,7 +47,7 @@ def table_prompts(state: DataFrame, as_of: Column, days: int) -> DataFrame:
     dead = facts.dead_columns(state, as_of, days).groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_list("column_name")), ", ").alias("dead"))
     rows = known.join(dead, "table_name", "left")
     values = {"table": F.col("table_name"), "n_columns": F.size("columns"), "columns": F.array_join("columns", ", "), "n_methods": F.col("n_methods"), "operation": F.col("operation"), "dead": F.coalesce("dead", F.lit("none"))}
-    return rows.select("table_name", fill(TABLE_PROMPT, values).alias("prompt"))
+    return rows.select("table_name", fill(template("table"), values).alias("prompt"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -74,8 +74,13 @@ def render(template: str) -> Column:
     return F.concat(*parts)
 
 
-def findings(graph: Graph, ids: list[str] | None = None) -> DataFrame:
-    """Findings of the named rules (all by default), in order of rule id; unknown ids give none."""
+def register(rule: Rule) -> None:
+    """Add a rule to those that `findings` runs, in order of id; one of the same id is replaced."""
+    RULES[:] = sorted([r for r in RULES if r.id != rule.id] + [rule], key=lambda r: r.id)
+
+
+def findings(graph: Graph, ids: list[str] | None = None, app: int | None = None) -> DataFrame:
+    """Findings of the named rules (all by default) on methods of `app` (all by default), in order of rule id; unknown ids give none."""
     chosen = [r for r in RULES if ids is None or r.id in ids]
     out = None
     for rule in chosen:
@@ -87,7 +92,7 @@ def findings(graph: Graph, ids: list[str] | None = None) -> DataFrame:
         out = one if out is None else out.unionByName(one)
     if out is None:
         return graph.methods.sparkSession.createDataFrame([], "rule_id string, severity string, category string, method_id long, title string, description string, suggestion string, evidence string")
-    return out
+    return out if app is None else out.join(graph.methods.where(F.col("app_id") == app).select("method_id"), "method_id", "left_semi").select(out.columns)
 
 
 def digest(found: DataFrame, latest: int = 50, shown: int = 15) -> DataFrame:

@@ -45,7 +45,18 @@ def topology(graph) -> DataFrame:
 
 
 def methods_per_app(graph) -> DataFrame:
-    return graph.methods.groupBy("app_id").agg(F.count("*").alias("n_methods"))
+    """Methods by app, the most first."""
+    return graph.methods.groupBy("app_id").agg(F.count("*").alias("n_methods")).orderBy(F.desc("n_methods"), "app_id")
+
+
+def scan_stats(graph) -> DataFrame:
+    """app_id, entries, methods, relations, sql_relations, tables: what a scan of each app has found."""
+    apps = graph.methods.groupBy("app_id").agg(F.count_if("is_entry").alias("entries"), F.count("*").alias("methods"))
+    owner = graph.methods.select("method_id", "app_id")
+    calls = graph.calls.join(owner, F.col("src") == F.col("method_id")).groupBy("app_id").agg(F.count("*").alias("relations"))
+    uses = graph.accesses.join(owner, "method_id").groupBy("app_id").agg(F.count("*").alias("sql_relations"), F.countDistinct("table_id").alias("tables"))
+    counts = ["relations", "sql_relations", "tables"]
+    return apps.join(calls, "app_id", "left").join(uses, "app_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
 
 
 def graph_counts(graph) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.fixture import graph, whole_graph, with_views
-from sparkloom.operators import rules, topology, traverse
+from sparkloom.operators import rules, sinks, topology, traverse
 
 TRACE_DEPTH = 3
 
@@ -99,7 +99,30 @@ def _drawn(g, visits, calls):
 
 
 def _findings(spark, folder):
-    return rules.findings(graph(spark, folder)).drop("evidence")
+    return rules.findings(graph(spark, folder))
+
+
+def _findings_of_apps(spark, folder):
+    """The ten newest findings of each app, by the newest method."""
+    g = graph(spark, folder)
+    found = rules.findings(g).join(g.methods.select("method_id", "app_id"), "method_id")
+    top = sinks.newest_of_each(found, ["app_id"], 10, [F.desc("method_id"), F.asc("title"), F.asc("description")])
+    return top.select("app_id", "rule_id", "method_id", "title", "description")
+
+
+def _upserted(spark, folder):
+    """A second scan brings new signatures for some of the first scan's methods, and some methods more."""
+    g = graph(spark, folder)
+    first = g.methods.where("method_id % 2 = 0").select("method_id", "app_id", "signature")
+    second = g.methods.where("method_id % 3 = 0").select("method_id", "app_id", F.concat(F.lit("v2_"), "signature").alias("signature"))
+    return sinks.upsert(first, second, ["method_id"])
+
+
+def _to_scan(spark, folder):
+    """Classes of an app stand for apps: those without an entry method are still to be scanned."""
+    g = graph(spark, folder)
+    named = g.methods.select(F.concat_ws(":", F.col("app_id").cast("string"), "class_name").alias("app_id"), (F.col("is_entry") & (F.col("method_id") % 10 == 0)).alias("is_entry"))
+    return sinks.apps_to_scan(named.select("app_id").distinct(), named)
 
 
 def _digest(spark, folder):
@@ -188,6 +211,12 @@ QUERIES = {
     "orphan_code": _on(rules.orphan_code),
     "layer_violation": _on(rules.layer_violation),
     "findings": _findings,
+    "findings_of_apps": _findings_of_apps,
+    "findings_of_app": lambda spark, folder: rules.findings(graph(spark, folder), app=3).select("rule_id", "method_id", "title", "description"),
+    "methods_upsert": _upserted,
+    "apps_to_scan": _to_scan,
+    "scan_stats": _on(topology.scan_stats),
+    "callers": _on(lambda g: g.calls.join(g.methods, F.col("src") == F.col("method_id")).select("call_id", "src", "dst", "signature", "class_name")),
     "findings_digest": _digest,
     "findings_digest_all": _digest_all,
     "rule_listing": _rule_listing,
@@ -252,12 +281,24 @@ _ORPHAN = "SELECT method_id, signature, class_name FROM methods WHERE NOT is_ent
 _LAYER = "SELECT m.method_id, m.signature, m.class_name, a.table_id, a.operation FROM methods m JOIN accesses a ON m.method_id = a.method_id WHERE m.is_entry AND m.class_name LIKE '%Controller%'"
 
 
+def _json(*columns: str) -> str:
+    """The inside of a JSON object, numbers (first mark #) bare."""
+    return ", ',', ".join(f"""'"{c.lstrip("#")}":', {c[1:] if c[0] == "#" else f"""'"', {c}, '"'"""}""" for c in columns)
+
+
+_ACCESS = _json("#method_id", "signature", "class_name", "#table_id", "operation")
+_EVIDENCE = {
+    "god-method": _json("#method_id", "signature", "class_name", "tables", "#n_tables"), "n-plus-one": _ACCESS, "layer-violation": _ACCESS,
+    "circular-dep": _json("#method_id", "signature", "class_name", "cycle", "#depth"), "orphan-code": _json("#method_id", "signature", "class_name"),
+}
+
+
 def _rendered() -> str:
     out = []
     for rule in rules.RULES:
         text = lambda t: "concat(" + ", ".join(p if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(t.replace("}", "{").split("{"))) + ")"
         rows = {"god-method": _GOD, "n-plus-one": _NPLUS, "circular-dep": _CIRC, "orphan-code": _ORPHAN, "layer-violation": _LAYER}[rule.id]
-        out.append(f"SELECT '{rule.id}' AS rule_id, '{rule.severity}' AS severity, '{rule.category}' AS category, method_id, {text(rule.title)} AS title, {text(rule.description)} AS description, {text(rule.suggestion)} AS suggestion FROM ({rows}) r")
+        out.append(f"SELECT '{rule.id}' AS rule_id, '{rule.severity}' AS severity, '{rule.category}' AS category, method_id, {text(rule.title)} AS title, {text(rule.description)} AS description, {text(rule.suggestion)} AS suggestion, concat('{{', {_EVIDENCE[rule.id]}, '}}') AS evidence FROM ({rows}) r")
     return "found AS (" + " UNION ALL ".join(out) + ")"
 
 
@@ -276,6 +317,13 @@ ORACLES = {
     "orphan_code": _sql(_ORPHAN),
     "layer_violation": _sql(_LAYER),
     "findings": _sql("SELECT * FROM found", _CYCLE, _TRAILS, _rendered()),
+    "findings_of_apps": _sql("""SELECT app_id, rule_id, method_id, title, description FROM (SELECT f.*, m.app_id, row_number() OVER (PARTITION BY m.app_id ORDER BY f.method_id DESC, title, description) AS nth FROM found f JOIN methods m ON f.method_id = m.method_id) x WHERE nth <= 10""", _CYCLE, _TRAILS, _rendered()),
+    "findings_of_app": _sql("SELECT rule_id, f.method_id, title, description FROM found f JOIN methods m ON f.method_id = m.method_id WHERE app_id = 3", _CYCLE, _TRAILS, _rendered()),
+    "methods_upsert": _sql("SELECT method_id, app_id, CASE WHEN method_id % 3 = 0 THEN concat('v2_', signature) ELSE signature END AS signature FROM methods WHERE method_id % 2 = 0 OR method_id % 3 = 0"),
+    "apps_to_scan": _sql("SELECT concat(app_id, ':', class_name) AS app_id FROM methods GROUP BY 1 HAVING NOT bool_or(is_entry AND method_id % 10 = 0)"),
+    "scan_stats": _sql("""SELECT app_id, count(*) FILTER (WHERE is_entry) AS entries, count(*) AS methods, CAST(sum((SELECT count(*) FROM calls WHERE src = method_id)) AS BIGINT) AS relations, CAST(sum((SELECT count(*) FROM accesses a WHERE a.method_id = m.method_id)) AS BIGINT) AS sql_relations,
+        (SELECT count(DISTINCT table_id) FROM accesses a JOIN methods o ON a.method_id = o.method_id WHERE o.app_id = m.app_id) AS tables FROM methods m GROUP BY app_id"""),
+    "callers": _sql("SELECT call_id, src, dst, signature, class_name FROM calls JOIN methods ON src = method_id"),
     "findings_digest": _sql("""SELECT string_agg(line, chr(10) ORDER BY method_id DESC, title) AS digest, count(*) AS n FROM (SELECT method_id, title, concat('- [', severity, '] ', title) AS line FROM found WHERE rule_id IN ('god-method', 'layer-violation', 'orphan-code') ORDER BY method_id DESC, title LIMIT 15) x""", _CYCLE, _TRAILS, _rendered()),
     "findings_digest_all": _sql("""SELECT string_agg(line, chr(10) ORDER BY method_id DESC, title) AS digest, count(*) AS n FROM (SELECT method_id, title, concat('- [', severity, '] ', title) AS line FROM found ORDER BY method_id DESC, title LIMIT 15) x""", _CYCLE, _TRAILS, _rendered()),
     "rule_listing": _sql("SELECT r.rule_id, r.severity, r.category, count(f.rule_id) AS n FROM (VALUES " + ", ".join(f"('{r.id}', '{r.severity}', '{r.category}')" for r in rules.RULES) + ") r(rule_id, severity, category) LEFT JOIN found f ON r.rule_id = f.rule_id GROUP BY ALL", _CYCLE, _TRAILS, _rendered()),

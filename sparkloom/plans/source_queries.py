@@ -152,6 +152,11 @@ def _mapper_relations(spark, folder):
     return mappers.relations(methods, by_method.select(F.col("caller").alias("method_id"), "operation"), used, found)
 
 
+def _sql_relations(spark, folder):
+    """Relations of mapper XML, of entity annotations (none) and of mapper interfaces, together."""
+    return mappers.all_relations(mappers.xml_statements(xml_files(spark, folder)), mappers.from_annotations(mapper_files(spark, folder)), _mapper_relations(spark, folder))
+
+
 QUERIES = {
     "java_methods": _java_methods,
     "java_entry_points": _entry_points,
@@ -168,6 +173,7 @@ QUERIES = {
     "mapper_stubs": _mapper_stubs,
     "operation_inference": _operations,
     "mapper_relations": _mapper_relations,
+    "sql_relations": _sql_relations,
     "xml_statements": lambda spark, folder: mappers.xml_statements(xml_files(spark, folder)).select("source", "operation", "table_name"),
 }
 
@@ -192,6 +198,12 @@ def _sql(sql: str, *more: str) -> str:
 _USAGE = """used AS (SELECT DISTINCT concat('P', m.method_id, CASE WHEN class_name LIKE '%Controller%' THEN 'Controller' ELSE 'Service' END) AS class_name, CASE WHEN m.method_id % 5 <> 0 THEN concat('s', a.table_id, 'Mapper') END AS variable, concat('S', a.table_id, 'Mapper') AS mapper, concat('s_', a.table_id) AS table_name, m.method_id
   FROM accesses a JOIN methods m ON a.method_id = m.method_id JOIN supplier_tables s ON a.table_id = s.table_id)"""
 
+_PLUS = f"""SELECT concat('src/', u.class_name, '.java:', m.signature) AS source, u.table_name, m.operation, concat('acctbal,name', substr(u.table_name, 3)) AS columns, u.mapper
+        FROM used u JOIN (SELECT method_id, {_MAIN} AS signature, CASE WHEN bool_or(operation = 'INSERT') THEN 'INSERT' WHEN bool_or(operation = 'DELETE') THEN 'DELETE' WHEN bool_or(operation = 'UPDATE') THEN 'UPDATE' ELSE 'SELECT' END AS operation FROM methods d JOIN accesses a USING (method_id) GROUP BY method_id
+          UNION ALL SELECT method_id, {_OVER}, 'SELECT' FROM methods) m ON u.method_id = m.method_id
+        UNION ALL SELECT concat('mapper:S', table_id, 'Mapper'), concat('s_', table_id), 'SELECT', concat('acctbal,name', table_id), concat('S', table_id, 'Mapper') FROM supplier_tables WHERE concat('s_', table_id) NOT IN (SELECT table_name FROM used)"""
+_XML = """SELECT DISTINCT concat('com.shop.a', m.app_id, '.S', a.table_id, 'Mapper.m', a.method_id) AS source, a.operation, concat('s_', a.table_id) AS table_name FROM accesses a JOIN methods m ON a.method_id = m.method_id"""
+
 ORACLES = {
     "java_methods": _sql(f"""SELECT p AS class_name, package, {_MAIN} AS signature, CASE method_id % 2 WHEN 0 THEN 'String' ELSE 'Map<String, List<Integer>>' END AS return_type, CASE method_id % 3 WHEN 0 THEN 'Long,List<String>' WHEN 1 THEN 'Long,Map<String, Integer>' ELSE 'Long,List<String>[]' END AS params, false AS is_abstract, is_entry OR method_id % 13 = 0 OR method_id % 11 = 0 AS is_entry,
           CASE WHEN is_entry THEN concat('/api/m', method_id) END AS http_path, CASE WHEN is_entry THEN 'GET' END AS http_method FROM spring
@@ -221,9 +233,7 @@ ORACLES = {
     "mapper_stubs": _sql("SELECT concat('S', table_id, 'Mapper') AS mapper, concat('s_', table_id) AS table_name FROM supplier_tables WHERE concat('s_', table_id) NOT IN (SELECT table_name FROM used)", _USAGE),
     "operation_inference": _sql("""SELECT concat('m', m.method_id) AS caller, CASE WHEN bool_or(operation = 'INSERT') THEN 'INSERT' WHEN bool_or(operation = 'DELETE') THEN 'DELETE' WHEN bool_or(operation = 'UPDATE') THEN 'UPDATE' ELSE 'SELECT' END AS operation
         FROM accesses a JOIN methods m ON a.method_id = m.method_id WHERE a.operation IN (SELECT operation FROM accesses x JOIN supplier_tables s ON x.table_id = s.table_id) GROUP BY m.method_id"""),
-    "mapper_relations": _sql(f"""SELECT concat('src/', u.class_name, '.java:', m.signature) AS source, u.table_name, m.operation, concat('acctbal,name', substr(u.table_name, 3)) AS columns, u.mapper
-        FROM used u JOIN (SELECT method_id, {_MAIN} AS signature, CASE WHEN bool_or(operation = 'INSERT') THEN 'INSERT' WHEN bool_or(operation = 'DELETE') THEN 'DELETE' WHEN bool_or(operation = 'UPDATE') THEN 'UPDATE' ELSE 'SELECT' END AS operation FROM methods d JOIN accesses a USING (method_id) GROUP BY method_id
-          UNION ALL SELECT method_id, {_OVER}, 'SELECT' FROM methods) m ON u.method_id = m.method_id
-        UNION ALL SELECT concat('mapper:S', table_id, 'Mapper'), concat('s_', table_id), 'SELECT', concat('acctbal,name', table_id), concat('S', table_id, 'Mapper') FROM supplier_tables WHERE concat('s_', table_id) NOT IN (SELECT table_name FROM used)""", _USAGE),
-    "xml_statements": _sql("SELECT DISTINCT concat('com.shop.a', m.app_id, '.S', a.table_id, 'Mapper.m', a.method_id) AS source, a.operation, concat('s_', a.table_id) AS table_name FROM accesses a JOIN methods m ON a.method_id = m.method_id"),
+    "mapper_relations": _sql(_PLUS, _USAGE),
+    "sql_relations": _sql(f"SELECT source, table_name, operation FROM ({_XML}) x UNION ALL SELECT source, table_name, operation FROM ({_PLUS}) p", _USAGE),
+    "xml_statements": _sql(_XML),
 }

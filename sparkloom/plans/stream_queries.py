@@ -31,6 +31,12 @@ def _event_json(spark, folder):
     return report.as_messages(log.select("event_id", "user_id", "table_name", "operation"), "user_id", "event_id").select("topic", "key", "value")
 
 
+def _documents(spark, folder):
+    """What is known of each table, as an indented JSON document."""
+    stats = facts.table_stats(facts.column_lineage(views(spark, folder, "access_log")[0])).drop("last_access")
+    return report.as_document(stats, "table_name")
+
+
 QUERIES = {
     "capture_stream": lambda spark, folder: capture.column_access(_captured_stream(spark, folder)),
     "capture_tables": lambda spark, folder: capture.seen_tables(_captured_stream(spark, folder)),
@@ -38,6 +44,7 @@ QUERIES = {
     "scan_history": _scan_history,
     "event_messages": _event_json,
     "report_prompts": _prompts,
+    "table_documents": _documents,
 }
 
 _PARSED = TEXTS["sql_parsed"]
@@ -51,6 +58,7 @@ ORACLES = {
         FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, count(*) AS n_events, min(ts) AS started, max(ts) AS updated FROM events GROUP BY user_id) x""",
     "scan_history": "SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) x WHERE nth = 1",
     "event_messages": with_views("""SELECT 'lineage.access' AS topic, CAST(user_id AS VARCHAR) AS key, concat('{"event_id":', event_id, ',"user_id":', user_id, ',"table_name":"', table_name, '","operation":"', operation, '"}') AS value FROM access_log""", "access_log"),
+    "table_documents": over_state("""SELECT table_name, concat('{', chr(10), '  "table_name" : "', table_name, '",', chr(10), '  "col_count" : ', count(DISTINCT column_name), ',', chr(10), '  "method_count" : ', count(DISTINCT method_id), chr(10), '}') AS document FROM state GROUP BY table_name"""),
     "report_prompts": over_state(f"""SELECT k.table_name, concat('## Table ', k.table_name, chr(10), 'Columns in use (', n_columns, '): ', columns, chr(10), 'Methods that access it: ', n_methods, '; strongest operation: ', operation, chr(10),
         'Columns without recent access: ', coalesce(dead, 'none'), chr(10), 'Say what a change of this table would touch, and what could be removed.') AS prompt
         FROM (SELECT table_name, count(DISTINCT column_name) AS n_columns, string_agg(DISTINCT column_name, ', ' ORDER BY column_name) AS columns, count(DISTINCT method_id) AS n_methods,

@@ -29,8 +29,3 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     """The first row of each key in the given order, whatever the partitions; all columns stay."""
     by = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("nth", F.row_number().over(by)).where("nth = 1").drop("nth")
-
-
-def percent_done(stage: Column, done: Column, total: Column) -> Column:
-    """100 for ended scans, else the share done, 99 at most; 0 where nothing is to do yet."""
-    return F.when(stage.isin("COMPLETED", "FAILED"), 100).when(total == 0, 0).otherwise(F.least(F.lit(99), F.floor(done * 100 / total))).cast("int")
