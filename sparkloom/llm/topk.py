@@ -4,19 +4,30 @@ For a vector cut to segments of equal length, <q, v> <= sum over segments of len
 spread_v, where spread is the norm of what is left without the mean (the standard deviation times the root of the
 length). In terms of distance, |q - v|^2 = |q|^2 + |v|^2 - 2 <q, v>, this is the usual lower bound. Bounds are computed
 from one segment to ever more; only candidates whose bound reaches the k-th best exact score so far go on.
+
+Queries are taken in blocks of a bounded size. A block is broadcast and all candidates are scanned where they lie; no
+candidate is shuffled. A first scan over a share of the candidates gives each query a k-th best score that all tasks
+of the whole scan begin with; a task then keeps the k best of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-QUERIES_IN_BLOCK = 2048
-CANDIDATES_IN_BLOCK = 16_384
+from sparkloom.scratch import saved
+
+#: Bytes of the queries of a block (8 a component), and candidates of the first look, about.
+BLOCK_BYTES, FIRST_LOOK = 1 << 25, 4096
+#: Queries and components of candidates that are compared at once; they bound a task's memory.
+QUERIES_AT_ONCE, COMPONENTS_AT_ONCE = 256, 1 << 20
 OUT = "query_id long, vec_id long, score long"
+NONE = -(2**63)
 
 
 def features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -25,7 +36,7 @@ def features(x: np.ndarray, segments: int) -> np.ndarray:
     out = np.empty((len(x), 2 * len(cuts)))
     for i, cut in enumerate(cuts):
         part = x[:, cut].astype(float)
-        mean = part.mean(axis=1)
+        mean = part.mean(axis=1) if len(cut) else np.zeros(len(x))
         out[:, 2 * i] = mean * np.sqrt(len(cut))
         out[:, 2 * i + 1] = np.sqrt(np.maximum(((part - mean[:, None]) ** 2).sum(axis=1), 0))
     return out
@@ -40,64 +51,114 @@ def resolutions(dims: int) -> list[int]:
     return out or [1]
 
 
-def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query, the ids and scores of its k best rows of the block, its own left out; ties to smaller ids."""
-    order = np.argsort(ids, kind="stable")
-    rows, ids = rows[order], ids[order]
-    size = float(max(np.abs(queries).max(initial=0), 1)) * float(max(np.abs(rows).max(initial=0), 1)) * rows.shape[1]
-    kind = np.float64 if size < 2**52 else np.int64  # floats are exact below; whole numbers are slower
-    q, v = queries.astype(kind), rows.astype(kind)
-    levels = [(features(queries, s), features(rows, s)) for s in resolutions(rows.shape[1])]
-    slack = 1e-9 * size + 1e-6
-    out = []
-    for i in range(len(q)):
-        left = np.flatnonzero(ids != query_ids[i])
-        for fq, fv in levels:
-            if len(left) <= k:
-                break
-            bound = fv[left] @ fq[i] + slack
-            first = left[np.argpartition(-bound, k - 1)[:k]]
-            least = (v[first] @ q[i]).min()  # k rows score at least this, so a lower bound is out
-            left = left[bound >= least]
-        score = v[left] @ q[i]
-        best = np.lexsort((ids[left], -score))[:k]
-        out.append((ids[left][best], score[best].astype(np.int64)))
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of `dims` whole numbers: longer lists are cut, shorter ones filled up with 0."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    sizes = np.minimum(np.diff(offsets), dims)
+    inside = np.arange(dims)[None, :] < sizes[:, None]
+    out = np.zeros((len(sizes), dims), np.int64)
+    out[inside] = values[(offsets[:-1, None] + np.arange(dims)[None, :])[inside]]
     return out
 
 
-def _block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    found = block_top(np.stack(left["vector"].to_numpy()), left["vec_id"].to_numpy(), np.stack(right["vector"].to_numpy()), right["vec_id"].to_numpy(), k)
-    return pd.DataFrame({"query_id": np.repeat(left["vec_id"].to_numpy(), [len(x) for x, _ in found]), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([s for _, s in found])})
+class Best:
+    """The k best candidates so far of every query of a block."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int):
+        self.queries, self.ids, self.k, self.least = queries, ids, k, least.copy()
+        self.levels = [(s, features(queries, s)) for s in resolutions(queries.shape[1])]
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        self.largest = float(max(np.abs(queries).max(initial=0), 1))
+
+    def look(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        """Compare these candidates with all queries."""
+        size = self.largest * float(max(np.abs(rows).max(initial=0), 1)) * max(rows.shape[1], 1)
+        kind = np.float64 if size < 2**52 else np.int64  # floats are exact below; whole numbers are slower
+        slack, v = 1e-9 * size + 1e-6, rows.astype(kind)
+        marks = [features(rows, s) for s, _ in self.levels]
+        for low in range(0, len(self.ids), QUERIES_AT_ONCE):
+            mine = slice(low, low + QUERIES_AT_ONCE)
+            left, mask = np.arange(len(ids)), self.ids[mine, None] != ids[None, :]
+            for (_, fq), fv in zip(self.levels, marks, strict=True):
+                mask = mask & (fq[mine] @ fv[left].T + slack >= self.least[mine, None])
+                some = mask.any(axis=0)
+                left, mask = left[some], mask[:, some]
+            if not len(left):
+                continue
+            score = self.queries[mine].astype(kind) @ v[left].T
+            mask &= score >= self.least[mine, None]
+            for i in np.flatnonzero(mask.any(axis=1)).tolist():
+                self.keep(low + i, score[i, mask[i]].astype(np.int64), ids[left[mask[i]]])
+
+    def keep(self, query: int, score: np.ndarray, ids: np.ndarray) -> None:
+        score, ids = np.append(self.found[query][0], score), np.append(self.found[query][1], ids)
+        best = np.lexsort((ids, -score))[: self.k]
+        self.found[query] = score[best], ids[best]
+        if len(best) == self.k:  # k candidates score at least this, so one of a lower bound is out
+            self.least[query] = max(self.least[query], score[best[-1]])
+
+    def batch(self) -> pa.RecordBatch:
+        many = [len(s) for s, _ in self.found]
+        columns = (np.repeat(self.ids, many), np.concatenate([i for _, i in self.found]), np.concatenate([s for s, _ in self.found]))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
-    """vec_id, vector: components as floor(1024 * x); vectors that are null, empty or hold null or non-finite components go."""
+    """vec_id, vector: components as floor(1024 * x); vectors that are null or hold null or non-finite components go, and those of a null vec_id."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    fine = F.size("embedding") > 0
-    fine &= ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 1024)).alias("vector"))
+    odd = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~odd).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 1024)).alias("vector"))
+
+
+def scanned(rows: DataFrame, queries: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int) -> DataFrame:
+    """OUT: each task's k best candidates of every query that score at least `least`."""
+    shared = rows.sparkSession.sparkContext.broadcast((queries, ids, least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, ids, least = shared.value
+        best, dims = Best(queries, ids, least, k), queries.shape[1]
+        at_once = max(1, COMPONENTS_AT_ONCE // max(dims, 1))
+        for batch in batches:
+            for low in range(0, batch.num_rows, at_once):
+                part = batch.slice(low, at_once)
+                best.look(matrix(part.column(1), dims), part.column(0).to_numpy())
+        yield best.batch()
 
+    return rows.select("vec_id", "vector").mapInArrow(run, OUT)
 
-def exact_top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query row with all rows of other ids.
 
-    Queries and candidates are dealt by a hash to blocks of bounded size and every query block meets every candidate
-    block of vectors of as many dimensions, in a task of its own. Vectors of other dimensions are no candidates. Blocks
-    return their k best; ties go to the smaller vec_id. Repeated rows count each.
+    vectors: vec_id, embedding. Missing components of the shorter of two vectors count as 0, so an empty vector scores 0
+    with all. Ties go to the smaller vec_id. Repeated rows count each as candidates; as queries, rows of one vec_id are
+    one, that of the smallest vector. A vector may have any number of components. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    rows = whole_numbers(vectors).withColumn("dims", F.size("vector"))
-    queries = rows.where(is_query)
-    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    many, few = max(1, -(-counts["n"] // CANDIDATES_IN_BLOCK)), max(1, -(-counts["q"] // QUERIES_IN_BLOCK))
-    key = F.xxhash64("vec_id")
-    left = queries.withColumn("qb", F.pmod(key, F.lit(few)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    right = rows.withColumn("cb", F.pmod(key, F.lit(many)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(few - 1))))
-
-    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _block(a, b, k)
-
-    found = left.groupBy("dims", "qb", "cb").cogroup(right.groupBy("dims", "qb", "cb")).applyInPandas(both, OUT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark, rows = vectors.sparkSession, saved(whole_numbers(vectors))
+    dims = F.size("vector")
+    queries = saved(rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    n, counts = rows.count(), queries.agg(F.count("*").alias("n"), F.coalesce(F.max(dims), F.lit(0)).alias("dims")).first()
+    blocks = max(1, -(-counts["n"] * max(counts["dims"], 1) * 8 // BLOCK_BYTES))
+    some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(max(1, n // FIRST_LOOK))) == 0)
+    out = []
+    for block in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "vector").toArrow()  # BLOCK_BYTES, about
+        if not mine.num_rows:
+            continue
+        ids = mine.column("vec_id").to_numpy()
+        q = matrix(mine.column("vector").combine_chunks(), max(len(x) for x in mine.column("vector").to_pylist()))
+        order = np.argsort(ids)
+        ids, q = ids[order], q[order]
+        least = np.full(len(ids), NONE)
+        if n > FIRST_LOOK:
+            first = ranked(scanned(some, q, ids, least, k), k).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row a query
+            least[np.searchsorted(ids, first.column("query_id").to_numpy())] = first.column("score").to_numpy()
+        out.append(scanned(rows, q, ids, least, k))
+    if not out:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return ranked(reduce(DataFrame.unionByName, out), k).select("query_id", "rank", "vec_id", "score")
