@@ -126,3 +126,11 @@ def views(spark: SparkSession, folder: str, *names: str, **given: DataFrame) ->
 def with_views(sql: str, *names: str) -> str:
     """`sql` after the named view definitions, as one statement."""
     return "WITH RECURSIVE " + ", ".join(f"{name} AS ({VIEWS[name]})" for name in names) + " " + sql
+
+
+def with_whole_views(sql: str) -> str:
+    """A statement of with_views() over the calls and accesses of every line item, as whole_graph() has them."""
+    calls = VIEWS["calls"].rsplit(" WHERE l_quantity", 1)[0]
+    numbered = f"""
+        SELECT concat(call_id, '-', row_number() OVER (PARTITION BY call_id ORDER BY src, dst, call_type, line_number)) AS call_id, src, dst, call_type, line_number FROM ({calls}) every"""
+    return sql.replace(VIEWS["calls"], numbered).replace(VIEWS["accesses"], VIEWS["accesses"].rsplit(" WHERE l_quantity", 1)[0])

@@ -104,14 +104,19 @@ def impact(graph, changed: DataFrame, most: int = 6, upstream: bool = True) -> D
 
 
 def trace(graph, entries: DataFrame, most: int = 10, target: DataFrame | None = None, hops: int = 3) -> tuple[DataFrame, DataFrame]:
-    """A breadth-first trace from every entry: (visits, paths).
+    """(visits, paths) of trace_with_hops()."""
+    return trace_with_hops(graph, entries, most, target, hops)[:2]
+
+
+def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame | None = None, hops: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A breadth-first trace from every entry: (visits, paths, followed).
 
     visits: seed, node, depth, rank (in order of visit within a depth). paths: seed, path (methods, a table last where it
     ends in one, as `table:<id>`), end (`seen`, `target` or `table`). A method is expanded on its first visit alone; each
     later arrival, at any depth, ends a path. Arrivals beyond `most` calls are dropped without a path. Where `target`
     (seed, target) names a method, arrivals there end a path and it is not visited. Calls into other apps are followed
     for the first `hops` of them in order of visit, per seed; internal calls always. Ties inside a depth are in order
-    of the caller's rank, then call_id. most <= 0 counts as 10.
+    of the caller's rank, then call_id. most <= 0 counts as 10. followed: seed, call_id of the calls into other apps.
     """
     most = most if most > 0 else 10
     goal = target if target is not None else entries.select(F.col("method_id").alias("seed"), F.lit(None).cast("long").alias("target"))
@@ -120,7 +125,7 @@ def trace(graph, entries: DataFrame, most: int = 10, target: DataFrame | None =
     calls = saved(calls.select("call_id", "src", "dst", ((F.col("call_type") == "EXTERNAL") & (F.col("from_app") != F.col("to_app"))).alias("crosses"), (F.col("call_type") == "INTERNAL").alias("internal")))
     level = entries.select(F.col("method_id").alias("seed"), F.col("method_id").alias("node"), F.array("method_id").alias("path"), F.lit(1).alias("rank"), F.lit(0).alias("crossed"))
     level = level.join(goal, "seed", "left")
-    visits = paths = None
+    visits = paths = followed = None
     for depth in range(most + 1):
         level = saved(level)
         at_goal = F.coalesce(F.col("node") == F.col("target"), F.lit(False))
@@ -147,6 +152,8 @@ def trace(graph, entries: DataFrame, most: int = 10, target: DataFrame | None =
         out = fresh.withColumnRenamed("rank", "parent_rank").join(calls.where("internal OR crosses"), F.col("node") == F.col("src"))
         so_far = F.sum(F.col("crosses").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out = out.withColumn("so_far", so_far + F.col("crossed")).where(F.col("internal") | (F.col("so_far") <= hops))
+        went = out.where("crosses").select("seed", "call_id")
+        followed = went if followed is None else followed.unionByName(went)
         crossed = F.max(F.least("so_far", F.lit(hops))).over(Window.partitionBy("seed"))
         level = out.withColumn("now", crossed).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.row_number().over(order).alias("rank"), F.col("now").cast("int").alias("crossed"), "target")
-    return visits, paths
+    return visits, paths, followed

@@ -43,3 +43,12 @@ ORACLES = {
     "table_stats": over_state("SELECT table_name, count(DISTINCT column_name) AS col_count, count(DISTINCT method_id) AS method_count, max(last_seen) AS last_access FROM state GROUP BY table_name"),
     "dead_columns": over_state(f"SELECT table_name, column_name, max(last_seen) AS last_access, CAST(sum(access_count) AS BIGINT) AS access_count FROM state GROUP BY table_name, column_name HAVING max(last_seen) < TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY"),
 }
+
+ORACLES["impacted_endpoints"] = with_views("", "methods", "calls", "accesses", "access_log").rstrip() + ", " + STATE + """,
+    used AS (SELECT DISTINCT method_id AS seed FROM state),
+    walk AS (SELECT seed, seed AS node, 0 AS depth FROM used UNION SELECT w.seed, c.src, w.depth + 1 FROM walk w JOIN calls c ON w.node = c.dst WHERE w.depth < 6),
+    up AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node),
+    hits AS (SELECT seed, node, depth, row_number() OVER (PARTITION BY seed ORDER BY node) AS n FROM up JOIN methods s ON seed = s.method_id JOIN methods e ON node = e.method_id WHERE depth > 0 AND e.is_entry AND e.app_id = s.app_id),
+    impact AS (SELECT table_name, column_name, method_id, sum(access_count) AS access_count FROM state GROUP BY ALL)
+    SELECT table_name, column_name, entry, via_method, depth FROM (SELECT table_name, column_name, node AS entry, method_id AS via_method, depth, row_number() OVER (PARTITION BY table_name, column_name, node ORDER BY access_count DESC, method_id) AS nth
+      FROM impact JOIN hits ON seed = method_id WHERE n <= 50) x WHERE nth = 1"""

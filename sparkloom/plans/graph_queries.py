@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.fixture import graph, whole_graph, with_views
-from sparkloom.operators import rules, sinks, topology, traverse
+from sparkloom.fixture import Graph, graph, views, whole_graph, with_views, with_whole_views
+from sparkloom.operators import drawing, rules, sinks, topology, traverse
 
 TRACE_DEPTH = 3
 
@@ -180,6 +180,23 @@ def _full_trace_target(spark, folder):
     return paths.join(goal, "seed", "left").select("seed", "target", F.array_join("path", ">").alias("path"), "end")
 
 
+def _resolved(spark, folder):
+    """A trace from every entry whose external calls go where their expressions lead: graph, resolved calls, visits, paths, followed."""
+    methods, calls, accesses, named, texts = views(spark, folder, "methods", "calls", "accesses", "named_methods", "call_texts")
+    g, found = drawing.through_resolver(Graph(methods, calls, accesses), texts, named)
+    return g, found, *traverse.trace_with_hops(g, _entries(g))
+
+
+def _resolved_graph(spark, folder):
+    g, found, visits, _, followed = _resolved(spark, folder)
+    return drawing.draw(g, visits, followed, found)
+
+
+def _resolved_raw(spark, folder):
+    g, found, visits, paths, followed = _resolved(spark, folder)
+    return drawing.raw(drawing.draw(g, visits, followed, found), paths)
+
+
 def _full_impact(spark, folder):
     g = graph(spark, folder)
     return traverse.impact(g, g.accesses.where("operation <> 'SELECT'").select("method_id").distinct())
@@ -244,6 +261,8 @@ QUERIES = {
     "full_trace_tables": _full_trace_tables,
     "full_trace_paths": _full_trace_paths,
     "full_trace_target": _full_trace_target,
+    "resolved_trace_graph": _resolved_graph,
+    "resolved_trace_raw": _resolved_raw,
     "full_impact": _full_impact,
     "full_impact_downstream": _full_downstream,
 }
@@ -275,6 +294,7 @@ def _reach(name: str, seeds: str, a: str, b: str, most: int, where: str = "true"
 _TRACE = _reach("visited", "SELECT method_id AS seed FROM methods WHERE is_entry", "src", "dst", TRACE_DEPTH, "c.call_type = 'INTERNAL'")
 _GOD = """SELECT m.method_id, m.signature, m.class_name, t.tables, t.n_tables FROM methods m JOIN (SELECT method_id, string_agg(CAST(table_id AS VARCHAR), ',' ORDER BY table_id) AS tables, count(*) AS n_tables
   FROM (SELECT DISTINCT method_id, table_id FROM accesses) d GROUP BY method_id HAVING count(*) >= 5) t ON m.method_id = t.method_id"""
+GOD_METHOD = _sql(_GOD)
 _NPLUS = "SELECT m.method_id, m.signature, m.class_name, a.table_id, a.operation FROM methods m JOIN accesses a ON m.method_id = a.method_id WHERE m.method_id IN (SELECT method_id FROM looping)"
 _CIRC = "SELECT m.method_id, m.signature, m.class_name, t.cycle, t.depth FROM trails t JOIN methods m ON t.start = m.method_id WHERE t.start = t.at AND t.depth BETWEEN 2 AND 5"
 _ORPHAN = "SELECT method_id, signature, class_name FROM methods WHERE NOT is_entry AND method_id NOT IN (SELECT dst FROM calls)"
@@ -342,3 +362,17 @@ ORACLES = {
         _TRACE,
     ),
 }
+
+_IMPACT = "SELECT seed AS changed, count(*) AS n_methods, count(*) FILTER (WHERE is_entry) AS n_entries FROM {0} JOIN methods ON node = method_id WHERE node <> seed GROUP BY seed"
+ORACLES |= {
+    "full_impact": _sql(_IMPACT.format("up"), _reach("up", "SELECT DISTINCT method_id AS seed FROM accesses WHERE operation <> 'SELECT'", "dst", "src", 6)),
+    "full_impact_downstream": _sql(_IMPACT.format("down"), _reach("down", "SELECT method_id AS seed FROM methods WHERE is_entry", "src", "dst", 6)),
+    "whole_graph_counts": with_whole_views(ORACLES["graph_counts"]),
+    "whole_degrees": with_whole_views(ORACLES["degrees"]),
+    "whole_value_labels": with_whole_views(ORACLES["value_labels"]),
+    "whole_topology": with_whole_views(ORACLES["topology"]),
+    "whole_god_method": with_whole_views(GOD_METHOD),
+    "whole_orphan_code": with_whole_views(ORACLES["orphan_code"]),
+    "whole_layer_violation": with_whole_views(ORACLES["layer_violation"]),
+    "whole_n_plus_one": with_whole_views(ORACLES["n_plus_one"]),
+}

@@ -1,19 +1,11 @@
-"""Queries over the analysis rules."""
+"""The flagship query: methods that touch many tables."""
 
 from __future__ import annotations
 
-from sparkloom.fixture import graph, with_views
+from sparkloom.fixture import graph
 from sparkloom.operators import rules
+from sparkloom.plans.graph_queries import GOD_METHOD
 
-QUERIES = {
-    "god_method": lambda spark, folder: rules.god_method(graph(spark, folder)),
-}
+QUERIES = {"god_method": lambda spark, folder: rules.god_method(graph(spark, folder))}
 
-ORACLES = {
-    "god_method": with_views(
-        """SELECT m.method_id, m.signature, m.class_name, t.tables, t.n_tables FROM methods m JOIN (
-        SELECT method_id, string_agg(CAST(table_id AS VARCHAR), ',' ORDER BY table_id) AS tables, count(*) AS n_tables
-        FROM (SELECT DISTINCT method_id, table_id FROM accesses) d GROUP BY method_id HAVING count(*) >= 5) t ON m.method_id = t.method_id""",
-        "methods", "accesses",
-    ),
-}
+ORACLES = {"god_method": GOD_METHOD}

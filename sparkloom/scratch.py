@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of our own, which is then set."""
+    """The folder in spark.checkpoint.dir. Where it is unset and Spark runs on this machine alone, one of our own is made and set; on a cluster executors could not reach that."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
