@@ -3,14 +3,17 @@
 Built-in functions alone. Spans are in code points, the end exclusive. Every long token is assigned the narrowest
 alphabet that holds it. Three statistics are compared with what ordinary words would give at that length: chi-squared
 distance from a uniform alphabet (words are far from it), the number of runs of one character class (words have few)
-and lag-one serial correlation of the character codes (random tokens have none; a large one is a veto). The first two
-p-values are joined by Fisher's rule, and the false-discovery rate is held by Benjamini and Hochberg's step-up rule
+and the size of the lag-one serial correlation of the character codes (that of a sequence is large). What ordinary words
+give is taken from the table itself: how often two letters are the same, how often the class changes within words, and
+the serial correlations of tokens of small letters alone. The three are standard scores for randomness, which may
+be negative, and are joined by Stouffer's rule. The false-discovery rate is held by Benjamini and Hochberg's step-up rule
 within each alphabet and band of lengths, over counts of all tokens of the table by p-value.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +25,13 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "random"]
-#: Chi-squared contribution of a character of ordinary words, by size of the alphabet: the alphabet's size times the
-#: chance that two letters of a text are the same (0.07), less one.
-WORD_EXCESS = {size: size * 0.07 - 1 for size in (16, 32, 64)}
-#: Chance that a character of ordinary words is of another class (small, capital, digit, other) than the one before.
-WORD_CHANGE = 0.06
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Small letters alone, and marks between them: a token of words.
+WORDY = "^[a-z_/=+-]+$"
+#: Word-like tokens below which the serial correlations of a table say too little, and what is taken then: mean and spread of their sizes for independent characters.
+LEAST_WORDY, SERIAL = 100, (0.8, 0.6)
+#: Matches that are placed at once.
+BLOCK = 256
 #: p-values are counted in steps of this factor.
 STEPS_PER_E = 8
 MOST_STEPS = 50 * STEPS_PER_E
@@ -48,7 +53,17 @@ def matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Co
         span = F.array(F.struct(begin.alias("begin"), kind_no.alias("kind"), end.alias("end"), x["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none_found().alias("spans")), add)["spans"]
+    def block(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none_found().alias("spans")), add)
+
+    # matches are placed in blocks first, so that appending spans costs little in a text of very many
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: block(F.slice(rows, i + 1, F.lit(BLOCK))))
+
+    def shifted(state: Column, part: Column) -> Column:
+        moved = F.transform(part["spans"], lambda t: F.struct((t["begin"] + state["at"]).alias("begin"), t["kind"].alias("kind"), (t["end"] + state["at"]).alias("end"), t["value"].alias("value")))
+        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["spans"], moved).alias("spans"))
+
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none_found().alias("spans")), shifted)["spans"]
 
 
 def none_found() -> Column:
@@ -82,29 +97,64 @@ def alphabet(token: Column) -> Column:
     return F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16).when(token.rlike("^[A-Z2-7]+=*$"), 32).otherwise(64)
 
 
-def randomness(token: Column) -> Column:
-    """(size of the alphabet, joined p-value in steps) of a token; many steps mean little like words."""
+def statistics(token: Column) -> Column:
+    """(size of the alphabet, length, squares: sum of squared character counts, inner: letters and digits, runs: of one class among those, serial: correlation of codes times the root of the length, 0 where all are the same, wordy)."""
     chars = F.split(token, "")
     length = F.length(token).cast("double")
-    size = alphabet(token)
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.length(token) - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    chi = size * squares / length - length
-    excess = F.coalesce(*(F.when(size == s, F.lit(x)) for s, x in WORD_EXCESS.items()))
-    z_chi = (chi - (size - 1 + length * excess)) / F.sqrt(2 * (size - 1) + 4 * length * F.greatest(excess, F.lit(0.1)))
-    p_chi = normal_below(z_chi)
-    classes = F.translate(token, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", "a" * 26 + "A" * 26 + "0" * 10 + "+" * 5)
+    inner = F.regexp_replace(token, "[^A-Za-z0-9]", "")
+    classes = F.translate(inner, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
     runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")).cast("double")
-    mean, spread = (length - 1) * WORD_CHANGE, F.sqrt((length - 1) * WORD_CHANGE * (1 - WORD_CHANGE))
-    p_runs = normal_below((mean + 1.5 - runs) / spread)
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
     sums = F.aggregate(codes, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy"), F.lit(None).cast("double").alias("last")), lambda s, c: F.struct((s["x"] + c).alias("x"), (s["xx"] + c * c).alias("xx"), (s["xy"] + F.coalesce(s["last"] * c, F.lit(0.0))).alias("xy"), c.alias("last")))
     first, last = F.ascii(F.substring(token, 1, 1)), F.ascii(F.substring(token, -1, 1))
     m = sums["x"] / length
     joint = sums["xy"] - m * (2 * sums["x"] - first - last) + (length - 1) * m * m
-    serial = F.try_divide(joint, sums["xx"] - length * m * m) * F.sqrt(length)
-    fisher = -F.log(p_chi) - F.log(p_runs)
-    log_p = fisher - F.log(1 + fisher)
-    return F.struct(size.alias("size"), F.when(F.abs(F.coalesce(serial, F.lit(99.0))) > 4, 0).otherwise(F.least(F.floor(log_p * STEPS_PER_E), F.lit(MOST_STEPS))).cast("int").alias("steps"))
+    serial = F.coalesce(F.try_divide(joint, sums["xx"] - length * m * m), F.lit(0.0)) * F.sqrt(length)
+    return F.struct(
+        alphabet(token).alias("size"), length.alias("length"), squares.alias("squares"), F.length(inner).cast("double").alias("inner"), runs.alias("runs"), serial.alias("serial"), token.rlike(WORDY).alias("wordy")
+    )
+
+
+@dataclass(frozen=True)
+class WordFigures:
+    """What ordinary words of a table are like: the chance that two letters are the same, that a character is of another class than the one before, and mean and spread of the size of serial correlations."""
+
+    same: float = 0.07
+    change: float = 0.06
+    serial_mean: float = SERIAL[0]
+    serial_spread: float = SERIAL[1]
+
+
+def letter_figures(texts: DataFrame) -> tuple[float, float]:
+    """(same, change) over all texts (column text); those of WordFigures where there are no letters.
+
+    `same` is that of natural languages at most: in a table of few letters a word of many is no secret.
+    """
+    low, text = F.lower("text"), F.col("text")
+    counts = [F.sum(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).alias(c) for c in LETTERS]
+    runs = F.sum(F.regexp_count(text, F.lit("[A-Za-z0-9]+"))).alias("runs")
+    inner = F.sum(F.length(text) - F.length(F.translate(text, LETTERS + LETTERS.upper() + "0123456789", ""))).alias("inner")
+    changes = F.sum(F.regexp_count(text, F.lit("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"))).alias("changes")
+    row = texts.agg(*counts, runs, inner, changes).first()
+    letters = sum(row[c] or 0 for c in LETTERS)
+    pairs = (row["inner"] or 0) - (row["runs"] or 0)
+    same = sum((row[c] / letters) ** 2 for c in LETTERS) if letters else WordFigures.same
+    return min(same, WordFigures.same), min(max((row["changes"] or 0) / pairs, 0.001), 0.5) if pairs > 0 else WordFigures.change
+
+
+def joined_steps(test: Column, words: WordFigures) -> Column:
+    """The joined p-value of a token's statistics, as -log(p) in steps; many steps mean little like words."""
+    size, length = test["size"], test["length"]
+    excess = size * words.same - 1
+    chi = size * test["squares"] / length - length
+    z_chi = ((size - 1 + length * excess) - chi) / F.sqrt(2 * (size - 1) + 4 * length * F.greatest(excess, F.lit(0.1)))
+    pairs = F.greatest(test["inner"] - 1, F.lit(1.0))
+    z_runs = (test["runs"] - (pairs * words.change + 1.5)) / F.sqrt(pairs * words.change * (1 - words.change))
+    z_serial = (words.serial_mean - F.abs(test["serial"])) / words.serial_spread
+    bound = lambda z: F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
+    z = (bound(z_chi) + bound(z_runs) + bound(z_serial)) / math.sqrt(3)
+    return F.least(F.floor(-F.log(normal_below(-z)) * STEPS_PER_E), F.lit(MOST_STEPS)).cast("int")
 
 
 def band(length: Column) -> Column:
@@ -134,17 +184,23 @@ def find_secrets(docs: DataFrame, rate: float = 0.001) -> DataFrame:
     """doc_id, base, spans: one row per document, spans as arrays of (begin, kind, end), sorted.
 
     base has the patterns' spans; spans has those and the tokens that pass the tests at false-discovery rate `rate`
-    and touch no base span. A null text is empty and has none. Other columns are ignored; repeated rows stay.
+    and touch no base span. A null text is empty and has none; a text of any length is searched whole. Other columns are
+    ignored, whatever their names; repeated rows stay, and each counts. An empty table gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), s["kind"].alias("kind"), s["end"].alias("end")))
     tokens = F.when(text.rlike(TOKEN), matches(text, TOKEN, 3, 0, 20)).otherwise(none_found())
     scanned = docs.select("doc_id", bare(base_spans(text)).alias("base"), tokens.alias("tokens"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["begin"] < t["end"]) & (t["begin"] < b["end"])))
-    judged = F.transform(free, lambda t: F.struct(t["begin"].alias("begin"), t["kind"].alias("kind"), t["end"].alias("end"), band(t["end"] - t["begin"]).alias("band"), randomness(t["value"]).alias("test")))
+    judged = F.transform(free, lambda t: F.struct(t["begin"].alias("begin"), t["kind"].alias("kind"), t["end"].alias("end"), band(t["end"] - t["begin"]).alias("band"), statistics(t["value"]).alias("test")))
     found = saved(scanned.select("doc_id", "base", judged.alias("tokens")))
-    least = thresholds(found.select(F.explode("tokens").alias("t")).select("t.test.size", "t.band", "t.test.steps"), rate)
-    passes = lambda t: F.coalesce(*(F.when((t["test"]["size"] == s) & (t["band"] == b), t["test"]["steps"] >= n) for (s, b), n in sorted(least.items())), F.lit(False))
+    each = found.select(F.explode("tokens").alias("t")).select("t.band", "t.test")
+    words = WordFigures(*letter_figures(docs.select(text.alias("text"))))
+    wordy = each.where("test.wordy").agg(F.count("*").alias("n"), F.avg(F.abs("test.serial")).alias("mean"), F.stddev(F.abs("test.serial")).alias("spread")).first()
+    if wordy["n"] >= LEAST_WORDY:
+        words = replace(words, serial_mean=wordy["mean"], serial_spread=max(wordy["spread"], 0.1))
+    least = thresholds(each.select("test.size", "band", joined_steps(F.col("test"), words).alias("steps")), rate)
+    passes = lambda t: F.coalesce(*(F.when((t["test"]["size"] == s) & (t["band"] == b), joined_steps(t["test"], words) >= n) for (s, b), n in sorted(least.items())), F.lit(False))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", bare(F.filter("tokens", passes)))).alias("spans"))
 
 

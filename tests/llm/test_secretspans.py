@@ -1,6 +1,9 @@
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sparkloom.llm import secretspans
 from tests.llm.helpers import awkward, frame, words
 
@@ -34,3 +37,69 @@ def test_empty_and_repeated(spark):
     rows = [(1, "token=abcdefgh12"), (1, "token=abcdefgh12"), (None, None)]
     got = secretspans.find_secrets(frame(spark, rows))
     assert sorted(r["t"] for r in got.select(secretspans.as_text(got["spans"]).alias("t")).collect()) == ["", "assign:0:16", "assign:0:16"]
+
+
+def by_hand(token):
+    n, codes = len(token), [ord(c) for c in token]
+    m = sum(codes) / n
+    spread = sum((c - m) ** 2 for c in codes)
+    serial = sum((a - m) * (b - m) for a, b in zip(codes, codes[1:], strict=False)) / spread * math.sqrt(n) if spread else 0.0
+    inner = [c for c in token if c.isalnum()]
+    kind = ["a" if c.islower() else "A" if c.isupper() else "0" for c in inner]
+    runs = sum(a != b for a, b in zip([None, *kind], kind, strict=False))
+    size = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else 32 if re.fullmatch("[A-Z2-7]+=*", token) else 64
+    return size, float(n), float(sum(token.count(c) ** 2 for c in set(token))), float(len(inner)), float(runs), serial, re.fullmatch("[a-z_/=+-]+", token) is not None
+
+
+def test_statistics_equal_those_by_hand(spark):
+    rng = random.Random(4)
+    tokens = ["".join(rng.choice(pool) for _ in range(rng.randint(20, 90))) for pool in ("0123456789abcdef", "ABCDEFGH234567", "abcXYZ019+/_=-", "abcdefghijkl-", "a", "-") for _ in range(10)]
+    got = spark.createDataFrame([(t,) for t in tokens], "token string").select("token", secretspans.statistics(F.col("token")).alias("s")).collect()
+    for row in got:
+        want = by_hand(row["token"])
+        assert row["s"][0] == want[0] and row["s"][6] == want[6]
+        assert all(abs(a - b) < 1e-6 for a, b in zip(list(row["s"])[1:6], want[1:6], strict=True)), row["token"]
+
+
+def test_joined_value_and_step_up(spark):
+    words = secretspans.WordFigures(0.065, 0.05, 0.9, 0.7)
+    rng = random.Random(5)
+    random_ones = ["".join(rng.choice("ABCDEFabcdefghijkXYZ0123456789") for _ in range(40)) for _ in range(20)]
+    plain = ["-".join(rng.choice(["ordinary", "words", "of", "the", "table"]) for _ in range(8))[:40] for _ in range(200)]
+    sequences = ["abcdefghijklmnopqrstuvwxyz0123456789ABCD"] * 5
+    frame = spark.createDataFrame([(t,) for t in random_ones + plain + sequences], "token string")
+    got = {r["token"]: r["n"] for r in frame.select("token", secretspans.joined_steps(secretspans.statistics(F.col("token")), words).alias("n")).collect()}
+
+    def steps(token):
+        size, n, squares, inner, runs, serial, _ = by_hand(token)
+        excess = size * 0.065 - 1
+        z = [((size - 1 + n * excess) - (size * squares / n - n)) / math.sqrt(2 * (size - 1) + 4 * n * max(excess, 0.1)), (runs - ((inner - 1) * 0.05 + 1.5)) / math.sqrt((inner - 1) * 0.05 * 0.95), (0.9 - abs(serial)) / 0.7]
+        total = max(min(sum(max(min(x, 8), -8) for x in z) / math.sqrt(3), 8), -8)
+        return min(math.floor(math.log(1 + math.exp(1.5976 * total + 0.070566 * total**3)) * 8), 400)
+
+    assert all(abs(got[t] - steps(t)) <= 1 for t in got)
+    assert min(got[t] for t in random_ones) > 150 > max(got[t] for t in plain + sequences)
+    # the step-up rule, p-value by p-value
+    counts = [(64, 40, rng.choice([0, 1, 3, 8, 40, 90, 200])) for _ in range(500)]
+    ranked = sorted((math.exp(-s / 8) for _, _, s in counts))
+    cut = max((p for i, p in enumerate(ranked, 1) if p <= 0.01 * i / len(ranked)), default=None)
+    least = secretspans.thresholds(spark.createDataFrame(counts, "size int, band int, steps int"), 0.01)
+    assert math.exp(-least[64, 40] / 8) == cut
+
+
+def test_figures_of_the_words_of_a_table(spark):
+    text = "Some quick words jump by a vexing frozen lake 12ab too"
+    same, change = secretspans.letter_figures(spark.createDataFrame([(text,), ("",)], "text string"))
+    letters = [c for c in text.lower() if c.isalpha()]
+    assert abs(same - min(0.07, sum((letters.count(c) / len(letters)) ** 2 for c in set(letters)))) < 1e-9
+    pairs = [(a, b) for a, b in zip(text, text[1:], strict=False) if a.isalnum() and b.isalnum()]
+    kind = lambda c: (c.islower(), c.isupper())
+    assert abs(change - sum(kind(a) != kind(b) for a, b in pairs) / len(pairs)) < 1e-9
+    empty = secretspans.letter_figures(spark.createDataFrame([], "text string"))
+    assert empty == (secretspans.WordFigures.same, secretspans.WordFigures.change)
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"token={'x' * 8}{i}" for i in range(3000))
+    row = secretspans.find_secrets(frame(spark, [(1, text), (2, None), (3, "")])).where("doc_id = 1").first()
+    assert [(b["begin"], b["end"]) for b in row["base"]] == [m.span() for m in re.finditer(r"token=x+\d+", text)]
