@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 
-from sparkloom.fixture import graph, whole_graph
+from sparkloom.fixture import Graph, graph, whole_graph
+from sparkloom.operators import drawing, traverse
 from sparkloom.plans import registry
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -127,3 +128,26 @@ def test_whole_queries_take_every_line_item(spark):
         next_to[c[1]].add(c[2])
     looping = {m for m in next_to if m in next_to[m] or any(m in next_to[b] or any(m in next_to[c] for c in next_to[b]) for b in next_to[m])}
     assert sorted((r[0], r[3], r[4]) for r in run(spark, "whole_n_plus_one")) == sorted(a for a in accesses if a[0] in looping and a[0] in methods)
+
+
+def test_traces_through_the_resolver(spark):
+    """a.entry calls a.help and, by address, b.serve; a name that nothing has and a fourth hop end in placeholders."""
+    import json
+
+    methods = spark.createDataFrame([(1, "a", True, "A", "entry()", "/a", "a:A.entry()"), (2, "a", False, "A", "help()", None, "a:A.help()"), *((10 + i, "b", True, "B", f"serve{i}()", f"/b{i}", f"b:B.serve{i}()") for i in range(4))], "method_id long, app_id string, is_entry boolean, class_name string, signature string, path string, full_id string")
+    texts = [("c0", 1, "INTERNAL", "help()"), *((f"c{i + 1}", 1, "EXTERNAL", f'rest.get("http://b/b{i}", x)') for i in range(4)), ("c9", 2, "EXTERNAL", 'rest.get("http://b/none", x)')]
+    texts = spark.createDataFrame(texts, "call_id string, src long, call_type string, expression string")
+    calls = texts.selectExpr("call_id", "src", "CASE WHEN call_type = 'INTERNAL' THEN 2L ELSE 99L END AS dst", "call_type", "1 AS line_number")
+    accesses = spark.createDataFrame([(11, 7, "SELECT")], "method_id long, table_id int, operation string")
+    g, found = drawing.through_resolver(Graph(methods, calls, accesses), texts, methods)
+    visits, paths, followed = traverse.trace_with_hops(g, methods.where("method_id = 1").select("method_id"))
+    assert {r["node"] for r in visits.collect()} == {1, 2, 10, 11, 12}  # three hops into other apps
+    assert {r["call_id"] for r in followed.collect()} == {"c1", "c2", "c3"}
+    drawn = [(r["part"], r["kind"], json.loads(r["json"])) for r in drawing.draw(g, visits, followed, found).collect()]
+    labels = {j["label"] for part, _, j in drawn if part == "node"}
+    assert labels == {"A.entry()", "A.help()", "B.serve0()", "B.serve1()", "B.serve2()", "[b] B.serve0()", "[b] B.serve1()", "[b] B.serve2()", "unresolved:call:c4", "unresolved:call:c9", "table:7"}
+    assert {j["id"] for part, _, j in drawn if part == "combo"} == {"A", "B", "app:b"}
+    assert {j["target"] for part, kind, j in drawn if kind == "CALLS"} == {"2", "10", "11", "12", "call:c4", "call:c9"}
+    assert [j["style"] for part, kind, j in drawn if kind == "CALLS" and j["target"] == "2"] == [{"stroke": "#666", "lineWidth": 1}]
+    raw = drawing.raw(drawing.draw(g, visits, followed, found), paths).first()
+    assert len(json.loads(raw["methods"])) == 10 and len(json.loads(raw["calls"])) == 6 and json.loads(raw["paths"]) == [["1", "11", "table:7"]]
