@@ -188,8 +188,8 @@ def to_symbols(docs: DataFrame, vocabulary: Vocabulary, held_out: Column) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for w in iter_words(batch.column(2)):
+            for w in iter_words(batch.column(2)):  # a record batch a slice, so that memory does not follow the batch
+                out: list[list] = [[] for _ in range(9)]
                 at = np.minimum(np.searchsorted(v.keys, w.hashes), max(len(v.keys) - 1, 0))
                 hit = v.keys[at] == w.hashes if len(v.keys) else np.zeros(len(w.hashes), bool)
                 rank = np.where(hit, v.ranks[at] if len(v.keys) else 0, BROADCAST_WORDS + 1)
@@ -221,8 +221,9 @@ def to_symbols(docs: DataFrame, vocabulary: Vocabulary, held_out: Column) -> Dat
                 out[3] += (count + (v.end_count > 0)).tolist()
                 out[4] += (base_sum + end).tolist()
                 out[5] += within_sum.tolist()
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "held_out", "n_tokens", "symbols", "marks", "known", "base", "within", "words", "times", "leaves"])
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                same = [batch.column(i).slice(w.low, w.high - w.low) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "held_out", "n_tokens", "symbols", "marks", "known", "base", "within", "words", "times", "leaves"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, symbols binary, marks binary, known long, base double, within double, words array<binary>, times array<int>, leaves array<long>")
     return rows.withColumn("row", F.monotonically_increasing_id())
@@ -270,9 +271,25 @@ def feature_rows(context: np.ndarray, rows: int, both: bool) -> list[np.ndarray]
 def softmax_parts(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chances, and the logarithm of each row's sum, by row."""
     top = logits.max(axis=1, keepdims=True)
-    e = np.exp(logits - top)
+    e = logits - top
+    np.exp(e, out=e)
     total = e.sum(axis=1, keepdims=True)
-    return e / total, np.log(total) + top
+    e /= total
+    return e, np.log(total) + top
+
+
+def _added(table: np.ndarray, out: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    for r in rows:
+        out += table[r]
+    return out
+
+
+def _gradient(chances: np.ndarray, place: np.ndarray, outcome: np.ndarray, n: int) -> np.ndarray:
+    """By row of chances: how often each outcome was seen at it (place, outcome), less what the chances say, by n; the chances are overwritten."""
+    chances *= -np.bincount(place, minlength=len(chances)).astype(np.float32)[:, None]
+    np.add.at(chances, (place, outcome), np.float32(1))
+    chances /= np.float32(n)
+    return chances
 
 
 class Weights:
@@ -288,11 +305,11 @@ class Weights:
 
     def digit_logits(self, level: int, found: list[np.ndarray]) -> np.ndarray:
         table = self.digits[level]
-        return table[found[0]] + table[found[1]] + table[found[2]]
+        return _added(table, table[found[0]], found[1:])
 
     def class_logits(self, context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         rows = feature_rows(context, CLASS_ROWS, True)
-        return self.classes[0] + self.classes[rows[0]] + self.classes[rows[1]] + self.classes[rows[2]], rows
+        return _added(self.classes, self.classes[rows[0]] + self.classes[0], rows[1:]), rows
 
     def word_logits(self, context: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         rows = feature_rows(context, WORD_ROWS, False)
@@ -325,10 +342,9 @@ def train_on(docs: list[Text], history: np.ndarray, w: Weights, past: Weights, s
         part = slice(low, low + size)
         s, n = symbols[part].astype(np.int64), len(symbols[part])
         context, place = np.unique(two[part].astype(np.int64) * HISTORIES + one[part], return_inverse=True)
-        seen = np.bincount(place * CLASSES + classes_of(s), minlength=len(context) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
         logits, rows = w.class_logits(context)
-        chances, _ = softmax_parts(logits)
-        g = (seen - seen.sum(axis=1, keepdims=True) * chances) / n
+        g = _gradient(softmax_parts(logits)[0], place, classes_of(s), n)
+        del logits
         _ascend(w.classes, past.classes, np.array([0]), g.sum(axis=0, keepdims=True))
         for r in rows:
             _ascend(w.classes, past.classes, *_summed(r, g))
@@ -336,24 +352,29 @@ def train_on(docs: list[Text], history: np.ndarray, w: Weights, past: Weights, s
         other = np.flatnonzero(~own)
         for level in (0, 1):
             digit, rows = digit_rows(level, s[other] - OUTPUTS, marks[part][other], mark_one[part][other], mark_two[part][other], w.rows)
-            g = -softmax_parts(w.digit_logits(level, rows))[0]
-            g[np.arange(len(g)), digit] += 1
+            g = _gradient(softmax_parts(w.digit_logits(level, rows))[0], np.arange(len(other)), digit, n)
             for r in rows if len(g) else []:
-                _ascend(w.digits[level], past.digits[level], *_summed(r, g / np.float32(n)))
+                _ascend(w.digits[level], past.digits[level], *_summed(r, g))
         pair, at = np.unique(context[place[own]] * (OUTPUTS // IN_CLASS) + s[own] // IN_CLASS, return_inverse=True)
         if not len(pair):
             continue
-        seen = np.bincount(at * IN_CLASS + s[own] % IN_CLASS, minlength=len(pair) * IN_CLASS).reshape(-1, IN_CLASS).astype(np.float32)
         group = pair % (OUTPUTS // IN_CLASS)
         logits, rows = w.word_logits(pair // (OUTPUTS // IN_CLASS), group)
-        chances, _ = softmax_parts(logits)
-        g = (seen - seen.sum(axis=1, keepdims=True) * chances) / n
+        g = _gradient(softmax_parts(logits)[0], at, s[own] % IN_CLASS, n)
         table, old = w.words.reshape(-1, IN_CLASS), past.words.reshape(-1, IN_CLASS)
         for r in (np.zeros(len(pair), np.int64), *rows):
             _ascend(table, old, *_summed(r * (OUTPUTS // IN_CLASS) + group, g))
     return len(symbols)
 
 
+def texts_of(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[Text]:
+    """The texts in the columns from `first`, without holding those of a whole batch as objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            yield from zip(part.column(first).to_pylist(), part.column(first + 1).to_pylist(), strict=True)
+
+
 def in_parts(texts: Iterator[Text], most: int) -> Iterator[list[Text]]:
     """The texts in lists of about `most` tokens."""
     held, tokens = [], 0
@@ -402,8 +423,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rows: int, rounds: int = ROU
             task = TaskContext.get().partitionId()
             start, past = shared.value
             w, sums, tokens = Weights(start.copy(), rows), Weights(np.full(size, START, np.float32), rows), 0
-            texts = (d for batch in batches for d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for docs in in_parts(texts, STEPS * STEP_TOKENS[1]):
+            for docs in in_parts(texts_of(batches, 0), STEPS * STEP_TOKENS[1]):
                 tokens += train_on(docs, past, w, sums, number)
             if tokens:
                 del sums
@@ -483,7 +503,7 @@ def score_texts(docs: DataFrame, parts: int = 5, held: int = 1, tokens_per_row:
         w = Weights(weights, rows)
         for batch in batches:
             scores = []
-            for some in in_parts(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), SCORED_AT_ONCE):
+            for some in in_parts(texts_of([batch], 1), SCORED_AT_ONCE):
                 scores += log_chances(some, history, w).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "chance"])
 
