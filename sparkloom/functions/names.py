@@ -21,6 +21,13 @@ def signature_of(method_id: Column) -> Column:
     return F.substring_index(method_id, ".", -1)
 
 
+def class_of(method_id: Column) -> Column:
+    """The name before the method's, without app, package and parameters; the whole where there is no dot."""
+    after = F.when(F.instr(method_id, ":") > 1, F.substring(method_id, F.instr(method_id, ":") + 1, F.length(method_id))).otherwise(method_id)
+    parts = F.split(F.substring_index(after, "(", 1), r"\.")
+    return F.coalesce(F.when(F.size(parts) >= 2, F.get(parts, F.size(parts) - 2)).otherwise(parts[0]), F.lit(""))
+
+
 def simple_name(class_name: Column) -> Column:
     return F.substring_index(class_name, ".", -1)
 

@@ -88,6 +88,11 @@ def accesses_exact(raw: DataFrame, methods: DataFrame) -> DataFrame:
     return raw.join(methods.select("method_id", F.col("full_id").alias("source")), "source").select("access_id", "method_id")
 
 
+def access_tables(raw: DataFrame) -> DataFrame:
+    """table_id (`table:` app `:` table), table_name of raw accesses (app_id, table_name): every accessed table, whether a method is known for the access or not."""
+    return raw.select(F.concat_ws(":", F.lit("table"), F.col("app_id").cast("string"), "table_name").alias("table_id"), "table_name").distinct()
+
+
 def accesses_prefix(raw: DataFrame, methods: DataFrame) -> DataFrame:
     """As accesses_exact(), or whose signature, in the same app, starts with the source's name; every such method."""
     equal = raw.join(methods.select("method_id", F.col("full_id").alias("source"), F.col("app_id").alias("app")), "source").where("app = app_id")

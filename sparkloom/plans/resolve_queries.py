@@ -15,7 +15,7 @@ VIEWS.update(
         SELECT c.call_id, c.src, c.call_type, CASE WHEN c.dst % 2 = 0 THEN m.full_id ELSE concat('shop.helper.m', c.dst, '(a)') END AS target
         FROM calls c JOIN named_methods m ON c.dst = m.method_id""",
     raw_accesses="""
-        SELECT concat(a.method_id, '-', a.table_id, '-', a.operation) AS access_id, m.app_id,
+        SELECT concat(a.method_id, '-', a.table_id, '-', a.operation) AS access_id, m.app_id, concat('t', a.table_id) AS table_name,
                CASE WHEN a.method_id % 2 = 0 THEN m.full_id ELSE concat('shop.Mapper.m', a.method_id) END AS source
         FROM (SELECT DISTINCT method_id, table_id, operation FROM accesses) a JOIN named_methods m ON a.method_id = m.method_id""",
     raw_callers="""
@@ -51,6 +51,7 @@ def _first_of_prefix(methods, _):
 QUERIES = {
     "calls_resolved": _query(resolve.resolve_calls, "raw_calls"),
     "accesses_exact": _query(resolve.accesses_exact, "raw_accesses"),
+    "access_tables": _query(lambda raw, methods: resolve.access_tables(raw), "raw_accesses"),
     "accesses_prefix": _query(resolve.accesses_prefix, "raw_accesses"),
     "accesses_capture": _query(resolve.accesses_capture, "access_log", "captures"),
     "external_resolved": _query(_external_only, "call_texts"),
@@ -74,6 +75,7 @@ ORACLES = {
     chosen AS (SELECT call_id, src, dst, row_number() OVER (PARTITION BY call_id ORDER BY rank, dst) AS nth FROM ranked WHERE rank IS NOT NULL)
     SELECT call_id, src, dst, 'exact' AS how FROM exact UNION ALL SELECT call_id, src, dst, 'prefix' FROM chosen WHERE nth = 1""",
     "accesses_exact": _sql("SELECT access_id, method_id FROM raw_accesses JOIN named_methods ON source = full_id", "raw_accesses"),
+    "access_tables": _sql("SELECT DISTINCT concat('table:', app_id, ':', table_name) AS table_id, table_name FROM raw_accesses", "raw_accesses"),
     "accesses_prefix": _sql("""SELECT DISTINCT r.access_id, m.method_id FROM raw_accesses r JOIN named_methods m ON r.app_id = m.app_id AND (r.source = m.full_id
         OR starts_with(m.signature, CASE WHEN r.source LIKE '%(%' THEN regexp_extract(r.source, '([^.(]*)\\(', 1) ELSE regexp_extract(r.source, '([^.]*)$', 1) END))""", "raw_accesses"),
     "accesses_capture": _sql("""SELECT DISTINCT caller_class, caller_method, method_id FROM captures c JOIN named_methods m

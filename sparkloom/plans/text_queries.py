@@ -54,7 +54,7 @@ def _name_parts(spark, folder):
     begin = F.element_at(F.array(*map(F.lit, BEGINNINGS)), (F.col("method_id") % len(BEGINNINGS) + 1).cast("int"))
     full = F.concat(F.lit("app-"), F.col("app_id"), F.lit(":shop."), F.translate("class_name", " ", "_"), F.lit("."), begin, F.col("signature"))
     name = names.method_name(F.col("id"))
-    return methods.withColumn("id", full).select("method_id", names.app_of(F.col("id")).alias("app"), name.alias("name"), names.signature_of(F.col("id")).alias("sig"), sqltext.operation_of_name(name).alias("operation"))
+    return methods.withColumn("id", full).select("method_id", names.app_of(F.col("id")).alias("app"), name.alias("name"), names.class_of(F.col("id")).alias("class"), names.signature_of(F.col("id")).alias("sig"), sqltext.operation_of_name(name).alias("operation"))
 
 
 QUERIES = {
@@ -113,5 +113,5 @@ ORACLES = {
     "sql_by_dialect": _sql(f"{_DB_TYPE} AS db_type, CASE {_DB_TYPE} WHEN 'MYSQL' THEN {_SORTED.format(_MYSQL)} WHEN 'POSTGRESQL' THEN {_SORTED.format(_PG)} ELSE {_SORTED.format(_TABLES)} END AS tables, left(sql_text, 500) AS sql_500"),
     "url_path": _calls("""CASE WHEN expression LIKE '%http://%' THEN regexp_extract(expression, 'http://[^/]*(/[^"]*)"', 1) WHEN expression LIKE '%https://%' THEN regexp_extract(expression, 'https://[^/]*(/[^,]*),', 1) END AS path"""),
     "rpc_method": _calls("CASE WHEN expression LIKE '%dubbo%' THEN regexp_extract(expression, '\\.([^.(]*)\\([^.]*$', 1) END AS method"),
-    "name_parts": with_views(f"SELECT method_id, concat('app-', app_id) AS app, concat(b, 'm', method_id) AS name, concat(b, signature) AS sig, o AS operation FROM methods JOIN (VALUES {', '.join(f"({i}, '{b}', '{o}')" for i, (b, o) in enumerate(BEGINNINGS.items()))}) x(i, b, o) ON method_id % {len(BEGINNINGS)} = i", "methods"),
+    "name_parts": with_views(f"SELECT method_id, concat('app-', app_id) AS app, concat(b, 'm', method_id) AS name, replace(class_name, ' ', '_') AS class, concat(b, signature) AS sig, o AS operation FROM methods JOIN (VALUES {', '.join(f"({i}, '{b}', '{o}')" for i, (b, o) in enumerate(BEGINNINGS.items()))}) x(i, b, o) ON method_id % {len(BEGINNINGS)} = i", "methods"),
 }

@@ -65,3 +65,11 @@ def test_names(spark):
     assert value(spark, "app:pkg.C.f(java.util.List)", names.signature_of) == "List)"
     assert value(spark, "pkg.C.f", names.app_of) == "unknown"
     assert value(spark, "deleteAll", sqltext.operation_of_name) == "DELETE"
+
+
+def test_class_of_ids(spark):
+    from sparkloom.functions import names
+
+    ids = {"app:a.b.C.run(x.Y)": "C", "C.run()": "C", "run()": "run", "app:C.run": "C", "": "", None: ""}
+    got = {r["i"]: r["c"] for r in spark.createDataFrame([(i,) for i in ids], "i string").select("i", names.class_of(F.col("i")).alias("c")).collect()}
+    assert got == ids
