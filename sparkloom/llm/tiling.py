@@ -115,8 +115,10 @@ def word_rows(frame: DataFrame, key: str) -> DataFrame:
 def covered_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = WORDS_IN_BLOCK) -> DataFrame:
     """OUT: for every document row and benchmark item with a tile, how many of the item's words the tiles cover.
 
-    docs: doc_id, text; benchmark: item_id, text. Null and empty texts have no words and no tiles; an item of fewer than
-    `width` words has one tile or none. Repeated items count once. Either table may be empty.
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored, whatever their names. Null and empty texts
+    have no words and no tiles; an item of fewer than `width` words has one tile or none. Repeated items count once, rows
+    of one doc_id each, a null doc_id or item_id like any other. A text of any length is tiled whole, by one task. Either
+    table may be empty.
     """
     items = saved(word_rows(benchmark, "item_id").where("n > 0").distinct())
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -56,3 +56,13 @@ def test_leaks(spark):
 def test_empty_tables(spark):
     assert tiling.leaks(frame(spark, []), bench(spark, [(1, "a b c d e")])).count() == 0
     assert tiling.leaks(frame(spark, awkward()), bench(spark, [])).count() == 0
+
+
+def test_long_repeated_and_clashing_rows(spark):
+    """A very long text, rows of one doc_id, null ids, and a benchmark whose other columns have the operator's own names."""
+    rng = random.Random(8)
+    item = words(rng, 30)
+    long = words(rng, 60_000) + " " + item + " " + words(rng, 60_000)
+    items = spark.createDataFrame([(1, item, 5, "x", 0.5), (None, item, 6, "y", 0.1)], "item_id long, text string, n long, words string, coverage double")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in tiling.leaks(frame(spark, [(1, long), (2, item), (2, item), (None, item), (3, item[:20])]), items).collect()), key=str)
+    assert got == sorted([(d, i) for d in (1, 2, 2, None) for i in (1, None)], key=str)
