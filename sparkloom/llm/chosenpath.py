@@ -169,14 +169,18 @@ def compare(key: int, side: np.ndarray, apart: bool, reps: np.ndarray, copies: n
 
     apart: only pairs of unlike `side` are compared (two blocks of one bucket).
     """
-    sizes = np.array([len(s) for s in sets], float)
-    linked = common_counts(sets) >= threshold / (1 + threshold) * (sizes[:, None] + sizes[None, :]) - 1e-9
+    n, sizes = len(reps), np.array([len(s) for s in sets], float)
+    common, linked = common_counts(sets), np.zeros((n, n), bool)
+    # a few rows at a time: whole tables of 64-bit numbers would be the largest thing in a task
+    rows = [slice(low, low + 256) for low in range(0, n, 256)]
+    for r in rows:
+        linked[r] = common[r] >= threshold / (1 + threshold) * (sizes[r, None] + sizes[None, :]) - 1e-9
+        if apart:
+            linked[r] &= side[r, None] != side[None, :]
+    del common
     np.fill_diagonal(linked, False)
-    if apart:
-        linked &= side[:, None] != side[None, :]
-    labels = np.arange(len(reps))
     if not linked.any():
-        return np.zeros(len(reps), np.int64), reps
+        return np.zeros(n, np.int64), reps
     touched = np.flatnonzero(linked.any(axis=1))
     earlier: dict[int, list[int]] = {}
     for i in touched.tolist():
@@ -184,17 +188,18 @@ def compare(key: int, side: np.ndarray, apart: bool, reps: np.ndarray, copies: n
             if k < key:
                 earlier.setdefault(k, []).append(i)
     met = [m for m in earlier.values() if len(m) > 1]
-    counted = linked
-    if met:
-        seen = np.zeros((len(reps), len(met)), np.float32)
-        for c, m in enumerate(met):
-            seen[m, c] = 1
-        counted = linked & ~(seen @ seen.T > 0)
-    links = counted @ copies.astype(np.int64)
-    rank = np.argsort(np.argsort(reps, kind="stable"), kind="stable")
-    labels = rank.copy()
+    seen = np.zeros((n, len(met)), np.float32)
+    for c, m in enumerate(met):
+        seen[m, c] = 1
+    links = np.zeros(n, np.int64)
+    for r in rows:
+        counted = linked[r] & ~(seen[r] @ seen.T > 0) if met else linked[r]
+        links[r] = counted @ copies
+    labels = np.argsort(np.argsort(reps, kind="stable"), kind="stable").astype(np.int32)
     while True:
-        new = np.minimum(labels, np.where(linked, labels[None, :], len(reps)).min(axis=1))
+        new = labels.copy()
+        for r in rows:
+            new[r] = np.minimum(labels[r], np.where(linked[r], labels[None, :], np.int32(n)).min(axis=1))
         if (new == labels).all():
             break
         labels = new
