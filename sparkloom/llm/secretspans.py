@@ -4,8 +4,8 @@ Built-in functions alone. Spans are in code points, the end exclusive. Every lon
 alphabet that holds it. Three statistics are compared with what ordinary words would give at that length: chi-squared
 distance from a uniform alphabet (words are far from it), the number of runs of one character class (words have few)
 and the size of the lag-one serial correlation of the character codes (that of a sequence is large). What ordinary words
-give is taken from the table itself: how often two letters are the same, how often the class changes within words, and
-the serial correlations of tokens of small letters alone. The three are standard scores for randomness, which may
+give is taken from the table itself: how often the class changes within words, and of tokens of small letters alone how
+often two are the same and their serial correlations. The three are standard scores for randomness, which may
 be negative, and are joined by Stouffer's rule. The false-discovery rate is held by Benjamini and Hochberg's step-up rule
 within each alphabet and band of lengths, over counts of all tokens of the table by p-value.
 """
@@ -25,10 +25,9 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "random"]
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Small letters alone, and marks between them: a token of words.
 WORDY = "^[a-z_/=+-]+$"
-#: Word-like tokens below which the serial correlations of a table say too little, and what is taken then: mean and spread of their sizes for independent characters.
+#: Word-like tokens below which those of a table say too little; serial correlations are then taken as those of independent characters: mean and spread of their sizes.
 LEAST_WORDY, SERIAL = 100, (0.8, 0.6)
 #: Matches that are placed at once.
 BLOCK = 256
@@ -126,21 +125,18 @@ class WordFigures:
     serial_spread: float = SERIAL[1]
 
 
-def letter_figures(texts: DataFrame) -> tuple[float, float]:
-    """(same, change) over all texts (column text); those of WordFigures where there are no letters.
+def class_changes(texts: DataFrame) -> float:
+    """The chance that a character of a word is of another class than the one before, over all texts (column text); that of WordFigures where there are no words.
 
-    `same` is that of natural languages at most: in a table of few letters a word of many is no secret.
+    A text's pairs of neighbours within words are taken as its length less two for each word.
     """
-    low, text = F.lower("text"), F.col("text")
-    counts = [F.sum(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).alias(c) for c in LETTERS]
-    runs = F.sum(F.regexp_count(text, F.lit("[A-Za-z0-9]+"))).alias("runs")
-    inner = F.sum(F.length(text) - F.length(F.translate(text, LETTERS + LETTERS.upper() + "0123456789", ""))).alias("inner")
-    changes = F.sum(F.regexp_count(text, F.lit("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"))).alias("changes")
-    row = texts.agg(*counts, runs, inner, changes).first()
-    letters = sum(row[c] or 0 for c in LETTERS)
-    pairs = (row["inner"] or 0) - (row["runs"] or 0)
-    same = sum((row[c] / letters) ** 2 for c in LETTERS) if letters else WordFigures.same
-    return min(same, WordFigures.same), min(max((row["changes"] or 0) / pairs, 0.001), 0.5) if pairs > 0 else WordFigures.change
+    text = F.col("text")
+    row = texts.agg(
+        F.sum(F.length(text)).alias("chars"), F.sum(F.regexp_count(text, F.lit("[A-Za-z0-9]+"))).alias("words"),
+        F.sum(F.regexp_count(text, F.lit("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"))).alias("changes"),
+    ).first()
+    pairs = (row["chars"] or 0) - 2 * (row["words"] or 0)
+    return min(max((row["changes"] or 0) / pairs, 0.001), 0.5) if pairs > 0 and row["words"] else WordFigures.change
 
 
 def joined_steps(test: Column, words: WordFigures) -> Column:
@@ -195,10 +191,13 @@ def find_secrets(docs: DataFrame, rate: float = 0.001) -> DataFrame:
     judged = F.transform(free, lambda t: F.struct(t["begin"].alias("begin"), t["kind"].alias("kind"), t["end"].alias("end"), band(t["end"] - t["begin"]).alias("band"), statistics(t["value"]).alias("test")))
     found = saved(scanned.select("doc_id", "base", judged.alias("tokens")))
     each = found.select(F.explode("tokens").alias("t")).select("t.band", "t.test")
-    words = WordFigures(*letter_figures(docs.select(text.alias("text"))))
-    wordy = each.where("test.wordy").agg(F.count("*").alias("n"), F.avg(F.abs("test.serial")).alias("mean"), F.stddev(F.abs("test.serial")).alias("spread")).first()
+    words = WordFigures(change=class_changes(docs.select(text.alias("text"))))
+    length = F.col("test.length")
+    same = (F.col("test.squares") - length) / (length * (length - 1))
+    wordy = each.where("test.wordy").agg(F.count("*").alias("n"), F.avg(same).alias("same"), F.avg(F.abs("test.serial")).alias("mean"), F.stddev(F.abs("test.serial")).alias("spread")).first()
     if wordy["n"] >= LEAST_WORDY:
-        words = replace(words, serial_mean=wordy["mean"], serial_spread=max(wordy["spread"], 0.1))
+        # no more than in natural languages: in a table of few letters a word of many is no secret
+        words = replace(words, same=min(wordy["same"], words.same), serial_mean=wordy["mean"], serial_spread=max(wordy["spread"], 0.1))
     least = thresholds(each.select("test.size", "band", joined_steps(F.col("test"), words).alias("steps")), rate)
     passes = lambda t: F.coalesce(*(F.when((t["test"]["size"] == s) & (t["band"] == b), joined_steps(t["test"], words) >= n) for (s, b), n in sorted(least.items())), F.lit(False))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", bare(F.filter("tokens", passes)))).alias("spans"))
