@@ -55,7 +55,7 @@ BROADCAST_WORDS = 1 << 18
 #: Distinct words that a task counts before it passes them on.
 COUNTED_AT_ONCE = 300_000
 #: Rounds, and steps of a task in a round: as many as keep a step between these numbers of tokens, 16 if both fit.
-ROUNDS, STEPS, STEP_TOKENS = 4, 16, (10_000, 32_000)
+ROUNDS, STEPS, STEP_TOKENS = 4, 16, (10_000, 16_000)
 #: Adagrad's rate, and the squared gradients that each weight is taken to have seen at first.
 RATE, START = 0.5, 1e-8
 BLOCK, FAN_IN = 4096, 64

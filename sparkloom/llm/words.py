@@ -1,7 +1,7 @@
 """Words and word shingles of Arrow text columns as numpy hashes.
 
 A word is a run of bytes outside `[\\x20\\x09-\\x0D]`, with A-Z lower-cased. Everything is computed over whole
-texts in slices of about a megabyte, so memory does not follow the batch size. Null texts count as empty.
+texts in slices of about a quarter of a megabyte, so memory does not follow the batch size. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
