@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, chosenpath, lines, maxent, packing, quality, secretspans, tiling, topk, toxicity
+from sparkloom.llm import chat, chosenpath, lines, maxent, packing, quality, secretspans, simhash, tiling, topk, toxicity
+from sparkloom.scratch import saved
 from sparkloom.tables import table
 
 #: Where the vocabulary lies on the machines; queries pass it on as a parameter.
@@ -109,6 +110,14 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secretspans.as_text(F.col("base")), 256).alias("base_sha256"), secretspans.as_text(F.col("spans")).alias("spans"))
 
 
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.edited_documents(table(spark, folder, "documents"))
+    rows = saved(rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"))
+    return simhash.with_classes(rows).select(
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -120,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op6_chat_format": OP6_SQL}
