@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, chosenpath, lines, maxent, packing, quality, secretspans, simhash, tiling, topk, toxicity
+from sparkloom.llm import chat, chosenpath, lines, maxent, packing, quality, secretspans, simhash, tiling, topk, toxicity, whitening
 from sparkloom.scratch import saved
 from sparkloom.tables import table
 
@@ -118,6 +118,10 @@ def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -130,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
     "op11_fingerprints": op11_fingerprints,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {"op4_line_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op6_chat_format": OP6_SQL}
