@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, chosenpath, lines, maxent, packing, quality, secretspans, simhash, tiling, topk, toxicity, whitening
+from sparkloom.llm import chat, chosenpath, lines, maxent, packing, quality, secretspans, simhash, tandem, tiling, topk, toxicity, whitening
 from sparkloom.scratch import saved
 from sparkloom.tables import table
 
@@ -118,6 +118,34 @@ def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, its words joined by one space; in every tenth document, by the hash of its doc_id, the words from some place on repeat."""
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("words")
+    rows = docs.select("doc_id", tandem.word_list("text").alias("words")).withColumns({"g": F.floor(h / 10), "chosen": (h % 10 == 0) & (n > 0)})
+    rows = rows.withColumn("a", F.when(F.col("chosen"), F.col("g") % n).otherwise(n).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform(F.slice("words", F.col("a") + 1, n), lambda w, i: F.get("words", F.col("a") + i % F.col("p")))
+    return rows.select("doc_id", F.array_join(F.when(F.col("chosen"), F.concat(F.slice("words", 1, F.col("a")), tail)).otherwise(F.col("words")), " ").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = tandem.repeated_runs(with_repeats(table(spark, folder, "documents")))
+    ahead = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]
+    order = lambda a, b: F.when(ahead(a, b) != 0, F.when(ahead(a, b) > 0, -1).otherwise(1)).when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.when(a["period"] < b["period"], -1).otherwise(1))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    best = F.get(F.array_sort("runs", order), 0)
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
 
@@ -134,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
     "op11_fingerprints": op11_fingerprints,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_whitening": op13_whitening,
 }
 
