@@ -18,6 +18,18 @@ def column_lineage(log: DataFrame) -> DataFrame:
     return state.select(*KEY, "last.*", "access_count", "first_seen", "last_seen")
 
 
+def from_relations(relations: DataFrame) -> DataFrame:
+    """method_id, table_name, column_name, operation, access_count: one fact for each column of each relation (source, table_name, operation, columns comma-joined).
+
+    Relations of mappers that no method uses (source `mapper:...`) are none; without columns a relation counts for `*`.
+    Of repeats of a column in a relation one stays, and relations of one method, table and operation add up.
+    """
+    names = F.array_distinct(F.filter(F.split(F.coalesce("columns", F.lit("")), ","), lambda c: c != ""))
+    named = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("*")))
+    rows = relations.where(~F.col("source").startswith("mapper:")).select(F.col("source").alias("method_id"), "table_name", F.explode(named).alias("column_name"), "operation")
+    return rows.groupBy("method_id", "table_name", "column_name", "operation").agg(F.count("*").alias("access_count"))
+
+
 def strongest(operation: Column) -> Column:
     """The aggregate DELETE over INSERT over UPDATE over SELECT."""
     has = lambda op: F.max((operation == op).cast("int")) == 1

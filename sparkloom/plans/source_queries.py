@@ -1,4 +1,4 @@
-"""Queries over Java and XML source texts, which Spark writes from the graph before it reads them back.
+"""Queries over Java and XML source files, which Spark writes to the shared folder from the graph before it scans them.
 
 Each part gives a class file with a constructor, overloaded methods, an accessor, a nested class and an enum, whose main
 method has its calls and uses its mappers; each residue gives an interface that those classes implement; each accessed table gives a mapper, a row type and a mapper XML file. What the scans read
@@ -10,12 +10,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.fixture import VIEWS, graph, views, with_views
-from sparkloom.operators import govern
+from sparkloom.operators import facts, govern
+from sparkloom.scratch import fresh_path, saved
+from sparkloom.sources import files as stored
 from sparkloom.sources import java, listings, mappers
 
 INTERFACES = 50
 
 
+def written(*parts, glob="*.java"):
+    """path, content of the files of all parts, written to a folder of their own and scanned from there, without those of tests."""
+    root = fresh_path(parts[0].sparkSession)
+    for files in parts:
+        stored.write_files(files, root)
+    return listings.without_tests(stored.read_files(parts[0].sparkSession, root, glob)).select("path", "content")
+
+
+def classes(spark, folder):
+    """path, content of the class files, read from storage; a tenth of them has a copy in a folder named test, which is not scanned."""
+    files = class_files(spark, folder)
+    tests = files.where("method_id % 10 = 0").withColumn("path", F.regexp_replace("path", "^src/", "src/test/"))
+    return written(files.unionByName(tests))
+
+
+def mapper_sources(spark, folder):
+    return written(mapper_files(spark, folder))
+
+
 def class_files(spark, folder):
     """path, content, app_id, method_id of the classes."""
     g = graph(spark, folder)
@@ -44,7 +65,7 @@ def class_files(spark, folder):
         F.lit("    public Helper getHelper() { return this.helper; }\n\n    static class Part {\n        int size(List<? extends Number> all) { for (Number n : all) { count(n); } return 0; }\n    }\n\n"),
         F.lit("    enum Mode { ON, OFF { int rank() { return 2; } }; int rank() { return 1; } }\n}\n"),
     )
-    return listings.java_files(rows.select(F.concat(F.lit("src/"), name, F.lit(".java")).alias("path"), content.alias("content"), "app_id", "method_id"))
+    return rows.select(F.concat(F.lit("src/"), name, F.lit(".java")).alias("path"), content.alias("content"), "app_id", "method_id")
 
 
 #: The main method's parameters as they are written and as types, and its return type, by method_id modulo their number.
@@ -75,7 +96,7 @@ def mapper_files(spark, folder):
     t = F.col("table_id")
     mapper = tables.select(F.concat(F.lit("src/S"), t, F.lit("Mapper.java")).alias("path"), F.concat(F.lit("package com.shop;\n@Mapper\npublic interface S"), t, F.lit("Mapper extends BaseMapper<S"), t, F.lit("Row> {}\n")).alias("content"))
     row = tables.select(F.concat(F.lit("src/S"), t, F.lit("Row.java")).alias("path"), F.concat(F.lit('package com.shop;\n@TableName("s_'), t, F.lit('")\npublic class S'), t, F.lit("Row {\n    private static final long serialVersionUID = 1L;\n    private Long id;\n    private String name"), t, F.lit(";\n    private Double acctbal;\n}\n")).alias("content"))
-    return listings.without_tests(mapper.unionByName(row))
+    return mapper.unionByName(row)
 
 
 def xml_files(spark, folder):
@@ -93,72 +114,108 @@ def xml_files(spark, folder):
 VIEWS.update(supplier_tables="SELECT DISTINCT CAST(s_suppkey % 40 AS INT) AS table_id FROM supplier")
 
 
-def _java_methods(spark, folder):
-    found = java.methods(class_files(spark, folder).select("path", "content"))
+def _shown(found):
     return found.select("class_name", "package", "signature", "return_type", F.array_join("param_types", ",").alias("params"), "is_abstract", "is_entry", "http_path", "http_method")
 
 
+def _java_methods(spark, folder):
+    return _shown(java.methods(classes(spark, folder)))
+
+
+def _java_unique_methods(spark, folder):
+    """Of the methods of one id, in whatever files, the first."""
+    return _shown(java.first_of_each(java.methods(classes(spark, folder))))
+
+
+def _java_batches(spark, folder):
+    """The methods as batches of files bring them, each batch written as it comes; a second scan of the same folder finds nothing new."""
+    root, state, out = (fresh_path(spark) for _ in range(3))
+    stored.write_files(class_files(spark, folder), root)
+
+    def each(files, number):
+        _shown(java.methods(files)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    for _ in range(2):
+        stored.scan_batches(spark, root, state, each, "*.java")
+    return spark.read.parquet(out).drop("batch")
+
+
+def _java_errors(spark, folder):
+    """Every app has a file that nests too deeply to be read; it costs itself alone."""
+    files = class_files(spark, folder)
+    deep = graph(spark, folder).methods.select("app_id").distinct().select(F.concat(F.lit("src/Deep"), "app_id", F.lit(".java")).alias("path"), F.concat(F.lit("class Deep { int x = "), F.repeat(F.lit("new A() { int x = "), 4000), F.lit("1;")).alias("content"))
+    scanned = saved(java.scan(written(files.select("path", "content").unionByName(deep))))
+    return scanned.groupBy("error").agg(F.count("*").alias("files"), F.min("path").alias("first_path"), F.sum(F.size("methods")).alias("methods"))
+
+
 def _entry_points(spark, folder):
-    return java.entry_points(class_files(spark, folder).select("path", "content"))
+    return java.entry_points(classes(spark, folder))
 
 
 def _java_calls(spark, folder):
-    found = java.calls(class_files(spark, folder).select("path", "content"))
+    found = java.calls(classes(spark, folder))
     return found.groupBy("caller", "scope", "name", "call_type", "kind").agg(F.count("*").alias("n"))
 
 
 def _java_hierarchy(spark, folder):
-    return java.hierarchy(class_files(spark, folder).select("path", "content"))
+    return java.hierarchy(classes(spark, folder))
 
 
 def _with_interfaces(spark, folder):
-    return class_files(spark, folder).select("path", "content").unionByName(interface_files(spark, folder))
+    return written(class_files(spark, folder), interface_files(spark, folder))
 
 
 def _java_metrics(spark, folder):
-    files = class_files(spark, folder)
-    return java.metrics(files.select("path", "content")).select("path", "lines", "comment_lines", "n_classes", "n_methods", "complexity")
+    return java.metrics(classes(spark, folder)).select("path", "lines", "comment_lines", "n_classes", "n_methods", "complexity")
 
 
 def _governance(spark, folder):
-    files = class_files(spark, folder)
-    metrics = java.metrics(files.select("path", "content")).join(files.select("path", "app_id"), "path")
+    app = F.regexp_extract("content", r"package com\.shop\.a(\d+);", 1).cast("int")
+    files = classes(spark, folder)
+    metrics = java.metrics(files).join(files.select("path", app.alias("app_id")), "path")
     repeated = graph(spark, folder).methods.select("app_id", F.concat(F.lit("m"), F.col("method_id") % 100).alias("signature"))
     return govern.by_app(metrics, repeated)
 
 
 def _mapper_usage(spark, folder):
-    return mappers.usage(class_files(spark, folder).select("path", "content"), mappers.discovered(mapper_files(spark, folder))).drop("package")
+    return mappers.usage(classes(spark, folder), mappers.discovered(mapper_sources(spark, folder))).drop("package")
 
 
 def _mapper_stubs(spark, folder):
-    found = mappers.discovered(mapper_files(spark, folder))
-    return mappers.stubs(found, mappers.usage(class_files(spark, folder).select("path", "content"), found))
+    found = mappers.discovered(mapper_sources(spark, folder))
+    return mappers.stubs(found, mappers.usage(classes(spark, folder), found))
 
 
 def _operations(spark, folder):
-    files = class_files(spark, folder).select("path", "content")
-    used = mappers.usage(files, mappers.discovered(mapper_files(spark, folder)))
+    files = classes(spark, folder)
+    used = mappers.usage(files, mappers.discovered(mapper_sources(spark, folder)))
     return mappers.operation_of_calls(java.calls(files), used).select("caller", "operation")
 
 
 def _mapper_relations(spark, folder):
     """Tables by method of each class, with operations of the methods that call mappers, and the mappers nobody uses."""
-    files = class_files(spark, folder).select("path", "content")
-    found = mappers.discovered(mapper_files(spark, folder))
-    used = mappers.usage(files, found)
-    methods = java.methods(files).select(F.concat_ws(":", "path", "signature").alias("method_id"), F.concat_ws(".", "package", "class_name").alias("class_name"))
-    by_method = mappers.operation_of_calls(java.calls(files).withColumn("caller", F.concat_ws(":", "path", "signature")), used)
+    files, found = classes(spark, folder), mappers.discovered(mapper_sources(spark, folder))
+    used, scanned = mappers.usage(files, found), saved(java.scan(files))
+    methods = java.methods_of(scanned).select(F.concat_ws(":", "path", "signature").alias("method_id"), F.concat_ws(".", "package", "class_name").alias("class_name"))
+    by_method = mappers.operation_of_calls(java.calls_of(scanned).withColumn("caller", F.concat_ws(":", "path", "signature")), used)
     return mappers.relations(methods, by_method.select(F.col("caller").alias("method_id"), "operation"), used, found)
 
 
 def _sql_relations(spark, folder):
-    """Relations of mapper XML, of entity annotations (none) and of mapper interfaces, together."""
-    return mappers.all_relations(mappers.xml_statements(xml_files(spark, folder)), mappers.from_annotations(mapper_files(spark, folder)), _mapper_relations(spark, folder))
+    """Relations of mapper XML and of mapper interfaces, together."""
+    return mappers.all_relations(mappers.xml_statements(written(xml_files(spark, folder), glob="*.xml")), _mapper_relations(spark, folder))
+
+
+def _relation_columns(spark, folder):
+    """The columns of all relations as facts: one per method, table and column, without mappers that no method uses."""
+    return facts.from_relations(_mapper_relations(spark, folder))
 
 
 QUERIES = {
     "java_methods": _java_methods,
+    "java_unique_methods": _java_unique_methods,
+    "java_scanned_batches": _java_batches,
+    "java_scan_errors": _java_errors,
     "java_entry_points": _entry_points,
     "java_calls": _java_calls,
     "java_hierarchy": _java_hierarchy,
@@ -168,13 +225,14 @@ QUERIES = {
     "governance": _governance,
     "governance_summary": lambda spark, folder: govern.summary(_governance(spark, folder)),
     "duplicate_rate": lambda spark, folder: govern.duplicate_rate(graph(spark, folder).methods.select("app_id", F.col("class_name").alias("signature"))),
-    "mapper_discovery": lambda spark, folder: mappers.discovered(mapper_files(spark, folder)),
+    "mapper_discovery": lambda spark, folder: mappers.discovered(mapper_sources(spark, folder)),
     "mapper_usage": _mapper_usage,
     "mapper_stubs": _mapper_stubs,
     "operation_inference": _operations,
     "mapper_relations": _mapper_relations,
     "sql_relations": _sql_relations,
-    "xml_statements": lambda spark, folder: mappers.xml_statements(xml_files(spark, folder)).select("source", "operation", "table_name"),
+    "relation_columns": _relation_columns,
+    "xml_statements": lambda spark, folder: mappers.xml_statements(written(xml_files(spark, folder), glob="*.xml")).select("source", "operation", "table_name"),
 }
 
 _ALL = ("methods", "calls", "accesses")
@@ -237,3 +295,11 @@ ORACLES = {
     "sql_relations": _sql(f"SELECT source, table_name, operation FROM ({_XML}) x UNION ALL SELECT source, table_name, operation FROM ({_PLUS}) p", _USAGE),
     "xml_statements": _sql(_XML),
 }
+
+ORACLES |= {
+    "java_scanned_batches": ORACLES["java_methods"],
+    "java_unique_methods": ORACLES["java_methods"].replace("false, false, NULL, NULL FROM spring", "false, false, NULL, NULL FROM (SELECT DISTINCT package FROM spring)").replace(", range(2)", ""),
+    "java_scan_errors": _sql("""SELECT NULL AS error, count(*) AS files, min(path) AS first_path, CAST(sum(n_methods) AS BIGINT) AS methods FROM metrics
+        UNION ALL SELECT 'nests too deeply', count(DISTINCT app_id), min(concat('src/Deep', app_id, '.java')), 0 FROM methods""", _FILES),
+    "relation_columns": _sql(f"""SELECT source AS method_id, table_name, unnest(string_split(columns, ',')) AS column_name, operation, CAST(1 AS BIGINT) AS access_count FROM ({_PLUS}) p WHERE NOT starts_with(source, 'mapper:')""", _USAGE),
+}

@@ -40,7 +40,7 @@ _METHOD = [
     ("class_name", pa.string()), ("class_annotations", _WORDS), ("name", pa.string()), ("return_type", pa.string()), ("params", pa.list_(pa.struct(_PARAM))),
     ("annotations", pa.list_(pa.struct(_NAMED))), ("line", pa.int32()), ("has_body", pa.bool_()), ("body", pa.string()), ("calls", pa.list_(pa.struct(_CALL))),
 ]
-_FILE = [("package", pa.string()), ("branches", pa.int64()), ("types", pa.list_(pa.struct(_TYPE))), ("methods", pa.list_(pa.struct(_METHOD)))]
+_FILE = [("error", pa.string()), ("package", pa.string()), ("branches", pa.int64()), ("types", pa.list_(pa.struct(_TYPE))), ("methods", pa.list_(pa.struct(_METHOD)))]
 
 
 def _ddl(kind: pa.DataType) -> str:
@@ -55,16 +55,16 @@ SCAN = "path string, " + ", ".join(f"{name} {_ddl(kind)}" for name, kind in _FIL
 
 
 def _read(text: str | None) -> tuple:
-    """A file that nests too deeply to be read, like an empty one, has nothing in it."""
+    """The values of _FILE; a file that can't be read says why, and has nothing in it."""
     try:
-        found = Scanner(text or "")
+        found, error = Scanner(text or ""), None
     except RecursionError:
-        found = Scanner("")
-    return found.package, found.branches(), found.types, found.methods
+        found, error = Scanner(""), "nests too deeply"
+    return error, found.package, found.branches(), found.types, found.methods
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """SCAN: a row for each file of path, content; a null content is empty."""
+    """SCAN: a row for each file of path, content; a null content is empty. error says why a file could not be read, and is null for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +106,8 @@ def _accessor(name: Column, n_params: Column, class_marks: Column, body: Column)
     return sets & (made | body.rlike(r"^this\.\w+ = \w+;$")) | gets & (made | body.rlike(r"^return this\.\w+;$"))
 
 
-def _methods(scanned: DataFrame) -> DataFrame:
+def methods_of(scanned: DataFrame) -> DataFrame:
+    """methods() and the calls of each, of files that are scanned already."""
     rows = scanned.select("path", "package", F.explode("methods").alias("m")).select("path", "package", "m.*")
     rows = rows.where(~_accessor(F.col("name"), F.size("params"), F.col("class_annotations"), F.col("body")))
     marks = F.transform("annotations", lambda a: a["name"])
@@ -127,21 +128,31 @@ def methods(files: DataFrame) -> DataFrame:
 
     Plain getters and setters are left out. id is package.class.name(types), to which an app is put in front.
     """
-    return _methods(scan(files)).drop("calls")
+    return methods_of(scan(files)).drop("calls")
 
 
 def entry_points(files: DataFrame) -> DataFrame:
     """class_name, signature, framework, type, path, verb, class_level: every detection of every method."""
-    return _methods(scan(files)).select("class_name", "signature", F.explode("entries").alias("e")).select("class_name", "signature", "e.*")
+    return methods_of(scan(files)).select("class_name", "signature", F.explode("entries").alias("e")).select("class_name", "signature", "e.*")
 
 
-def calls(files: DataFrame) -> DataFrame:
-    """path, class_name, caller, signature, scope, name, kind, line, expression, call_type: `call` (scope.name or this.name), `reference` (scope::name), `new`."""
-    rows = _methods(scan(files)).select("path", "class_name", F.col("name").alias("caller"), "signature", F.explode("calls").alias("c"))
+def first_of_each(found: DataFrame) -> DataFrame:
+    """Of the methods of one id (of methods()) the first by path, then by line."""
+    return found.groupBy("id").agg(F.min_by(F.struct(*found.columns), F.struct("path", "line")).alias("m")).select("m.*")
+
+
+def calls_of(scanned: DataFrame) -> DataFrame:
+    """calls() of files that are scanned already."""
+    rows = methods_of(scanned).select("path", "class_name", F.col("name").alias("caller"), "signature", F.explode("calls").alias("c"))
     outside = (F.col("kind") != "new") & F.col("scope").rlike(EXTERNAL_SCOPES)
     return rows.select("path", "class_name", "caller", "signature", "c.scope", "c.name", "c.kind", "c.line", "c.expression").withColumn("call_type", F.when(outside, "EXTERNAL").otherwise("INTERNAL"))
 
 
+def calls(files: DataFrame) -> DataFrame:
+    """path, class_name, caller, signature, scope, name, kind, line, expression, call_type: `call` (scope.name or this.name), `reference` (scope::name), `new`."""
+    return calls_of(scan(files))
+
+
 def _links(scanned: DataFrame) -> DataFrame:
     """child_package, child, parent (simple name), relation: implements (of classes) or extends (the first)."""
     found = _types(scanned).where("kind IN ('class', 'interface')").withColumnsRenamed({"package": "child_package", "class_name": "child", "parent": "extended"})
@@ -161,7 +172,7 @@ def package_override_edges(files: DataFrame) -> DataFrame:
     anywhere, of which each signature is taken from the smallest package.
     """
     scanned = saved(scan(files))
-    found = _methods(scanned).select("package", "class_name", "signature", "is_abstract").distinct()
+    found = methods_of(scanned).select("package", "class_name", "signature", "is_abstract").distinct()
     links = _links(scanned).select("child_package", "child", "parent").distinct()
     known = _types(scanned).select(F.col("package").alias("child_package"), F.col("class_name").alias("parent"), F.lit(True).alias("near")).distinct()
     above = found.where("is_abstract").select(F.col("package").alias("parent_package"), F.col("class_name").alias("parent"), "signature")

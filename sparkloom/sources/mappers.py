@@ -109,11 +109,6 @@ def xml_statements(files: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(".", "space", "s.id").alias("source"), xml_operation(F.col("s.tag")).alias("operation"), F.explode(tables).alias("table_name"), sql.alias("sql"))
 
 
-def from_annotations(files: DataFrame) -> DataFrame:
-    """source, table_name, operation of entity annotations: none are read, so an empty frame of the right columns."""
-    return files.sparkSession.createDataFrame([], "source string, table_name string, operation string")
-
-
 def all_relations(*parsers: DataFrame) -> DataFrame:
     """source, table_name, operation of all parsers, one after the other; what two of them find is there twice."""
     return reduce(DataFrame.unionByName, (p.select("source", "table_name", "operation") for p in parsers))
