@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators import bitreach
 from sparkloom.scratch import saved
 
 
 def reach(seeds: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """seed, node, depth: nodes within `most` edges of each seed (depth 0: itself), each at its least depth.
+    """seed, node, depth: nodes within `most` edges of each seed (depth 0: itself), each at its least depth; a row a pair.
 
-    seeds: seed, node; edges: a, b, followed from a to b. Every level joins the newly found nodes alone, and takes from
-    them what earlier levels have.
+    seeds: method_id; edges: a, b, followed from a to b.
     """
-    hops = edges.select("a", "b").distinct()
-    frontier = saved(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
-    found = frontier
-    for depth in range(1, most + 1):
-        new = frontier.join(hops, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
-        frontier = saved(new.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+    marks = bitreach.numbered(seeds)
+    found = reduce(DataFrame.unionByName, (new.withColumn("depth", F.lit(depth)) for depth, new, _ in bitreach.levels(marks, edges, most)))
+    return bitreach.unpacked(found).join(marks, ["block", "bit"]).select("seed", "node", "depth")
 
 
 def on_cycle(calls: DataFrame, most: int) -> DataFrame:
-    """method_id of the methods that reach themselves within `most` calls: the shortest closed walk repeats no call."""
-    hops = calls.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    # a method on a cycle both calls and is called
-    both = hops.join(hops.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-    both = saved(both.join(both.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-    walk = both.select(F.col("a").alias("start"), F.col("b").alias("at"))
-    closed = walk.where("start = at").select("start")
-    for _ in range(1, most):
-        walk = walk.join(both, F.col("at") == F.col("a")).select("start", F.col("b").alias("at")).distinct()
-        closed = closed.unionByName(walk.where("start = at").select("start"))
-    return closed.distinct().withColumnRenamed("start", "method_id")
+    """method_id of the methods that reach themselves within `most` calls: the shortest closed walk repeats no call.
+
+    Cycles of one and two calls are joins of the distinct calls. For those of three, each method's calls to and from methods
+    of higher degree (then id) are paired, and a pair whose ends call each other back is a cycle: every cycle is found at its
+    method of least degree alone, so a hub pairs few of its calls. Longer ones are reach from every method that calls and is called.
+    """
+    hops = saved(calls.select("src", "dst").distinct())
+    loops = hops.where("src = dst").select(F.col("src").alias("method_id"))
+    hops = hops.where("src <> dst")
+    if most > 3:
+        both = hops.select(F.col("src").alias("method_id")).intersect(hops.select(F.col("dst").alias("method_id")))
+        marks = bitreach.numbered(both)
+        back = hops.select(F.col("src").alias("b"), F.col("dst").alias("a"))
+        within = reduce(DataFrame.unionByName, (new for depth, new, _ in bitreach.levels(marks, back, most - 1) if depth))
+        # a seed lies on a cycle where a method that it calls is among those that reach it
+        called = hops.join(marks, F.col("src") == F.col("seed")).select("seed", "block", F.col("dst").alias("node"), bitreach.bit().alias("own"))
+        return loops.unionByName(called.join(within, ["block", "node"]).where("own & bits <> 0").select(F.col("seed").alias("method_id"))).distinct()
+    out = loops
+    if most > 1:
+        back = hops.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        out = out.unionByName(hops.join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("method_id")))
+    if most > 2:
+        ends = hops.select(F.explode(F.array("src", "dst")).alias("m")).groupBy("m").agg(F.count("*").alias("degree"))
+        ranked = hops.join(ends.select(F.col("m").alias("src"), F.col("degree").alias("src_degree")), "src").join(ends.select(F.col("m").alias("dst"), F.col("degree").alias("dst_degree")), "dst")
+        up = F.struct("src_degree", "src") < F.struct("dst_degree", "dst")
+        leaving = ranked.where(up).select(F.col("src").alias("at"), F.col("dst").alias("to"))
+        coming = ranked.where(~up).select(F.col("dst").alias("at"), F.col("src").alias("from"))
+        closing = hops.select(F.col("src").alias("to"), F.col("dst").alias("from"))
+        found = coming.join(leaving, "at").join(closing, ["to", "from"], "left_semi")
+        out = out.unionByName(found.select(F.explode(F.array("at", "to", "from")).alias("method_id")))
+    return out.distinct()
 
 
 def core(calls: DataFrame, rounds: int) -> DataFrame:
@@ -69,15 +84,17 @@ def closed_trails(calls: DataFrame, least: int, most: int) -> DataFrame:
 def upstream_entries(graph, starts: DataFrame, most: int = 6, per_start: int = 50) -> DataFrame:
     """start, entry, depth: entry methods of the start's app that reach it within `most` calls; at most `per_start` a start, by id.
 
-    What lies between may belong to any app.
+    What lies between may belong to any app. Starts are unpacked only at entries of their own app.
     """
+    marks = bitreach.numbered(starts)
     back = graph.calls.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    found = reach(starts.select(F.col("method_id").alias("seed"), F.col("method_id").alias("node")), back, most).where("depth > 0")
-    apps = graph.methods.select(F.col("method_id").alias("seed"), F.col("app_id").alias("seed_app"))
+    new = (rows.withColumn("depth", F.lit(depth)) for depth, rows, _ in bitreach.levels(marks, back, most))
+    found = reduce(DataFrame.unionByName, new).where("depth > 0")
+    apps = marks.join(graph.methods.select(F.col("method_id").alias("seed"), "app_id"), "seed").groupBy("block", "app_id").agg(F.bit_or(bitreach.bit()).alias("own"))
     entries = graph.methods.where("is_entry").select(F.col("method_id").alias("node"), "app_id")
-    hits = found.join(apps, "seed").join(entries, "node").where("app_id = seed_app")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("node")))
-    return ranked.where(F.col("rank") <= per_start).select(F.col("seed").alias("start"), F.col("node").alias("entry"), "depth")
+    hits = found.join(entries, "node").join(apps, ["block", "app_id"]).select("block", "node", "depth", F.expr("bits & own").alias("bits")).where("bits <> 0")
+    ranked = bitreach.unpacked(hits).withColumn("rank", F.row_number().over(Window.partitionBy("block", "bit").orderBy("node")))
+    return ranked.where(F.col("rank") <= per_start).join(marks, ["block", "bit"]).select(F.col("seed").alias("start"), F.col("node").alias("entry"), "depth")
 
 
 def impacted_endpoints(graph, facts: DataFrame) -> DataFrame:
@@ -96,11 +113,13 @@ def impacted_endpoints(graph, facts: DataFrame) -> DataFrame:
 def impact(graph, changed: DataFrame, most: int = 6, upstream: bool = True) -> DataFrame:
     """changed, n_methods, n_entries: how many methods a change reaches, upstream (who calls it) or downstream."""
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    edges = graph.calls.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    found = reach(changed.select(F.col("method_id").alias("seed"), F.col("method_id").alias("node")), edges, most).where("node <> seed")
+    marks, edges = bitreach.numbered(changed), graph.calls.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    *_, (_, _, every) = bitreach.levels(marks, edges, most)
     known = graph.methods.select(F.col("method_id").alias("node"), "is_entry")
-    counts = found.join(known, "node").groupBy("seed").agg(F.count("*").alias("n_methods"), F.count_if("is_entry").alias("n_entries"))
-    return counts.select(F.col("seed").alias("changed"), "n_methods", "n_entries")
+    sums = bitreach.counts(every.join(known, "node"), n_methods=F.lit(True), n_entries=F.col("is_entry"))
+    own = marks.join(known.withColumnRenamed("node", "seed"), "seed", "left")  # a method reaches itself, which does not count
+    less = lambda n, flag: (F.col(n) - F.coalesce(flag.cast("long"), F.lit(0))).alias(n)
+    return own.join(sums, ["block", "bit"]).select(F.col("seed").alias("changed"), less("n_methods", F.col("is_entry").isNotNull()), less("n_entries", F.col("is_entry"))).where("n_methods > 0")
 
 
 def trace(graph, entries: DataFrame, most: int = 10, target: DataFrame | None = None, hops: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -207,6 +207,14 @@ def _full_downstream(spark, folder):
     return traverse.impact(g, _entries(g), upstream=False)
 
 
+def _whole_impact(g):
+    return traverse.impact(g, g.accesses.where("operation <> 'SELECT'").select("method_id").distinct())
+
+
+def _whole_upstream(g):
+    return traverse.upstream_entries(g, g.accesses.select("method_id").distinct())
+
+
 def _rule_listing(spark, folder):
     """The registered rules with the number of their findings."""
     listed = spark.createDataFrame([(r.id, r.severity, r.category) for r in rules.RULES], "rule_id string, severity string, category string")
@@ -252,6 +260,9 @@ QUERIES = {
     "whole_topology": _whole(topology.topology),
     "whole_god_method": _whole(rules.god_method),
     "whole_n_plus_one": _whole(rules.n_plus_one),
+    "whole_impact": _whole(_whole_impact),
+    "whole_impact_downstream": _whole(lambda g: traverse.impact(g, _entries(g), upstream=False)),
+    "whole_upstream_entry_points": _whole(_whole_upstream),
     "whole_orphan_code": _whole(rules.orphan_code),
     "whole_layer_violation": _whole(rules.layer_violation),
     "full_trace_visit": _full_trace_visit,
@@ -376,3 +387,20 @@ ORACLES |= {
     "whole_layer_violation": with_whole_views(ORACLES["layer_violation"]),
     "whole_n_plus_one": with_whole_views(ORACLES["n_plus_one"]),
 }
+
+
+def _levels(seeds: str, a: str, b: str, most: int) -> str:
+    """found: seed, node, depth of the shortest ways, level by level over the distinct calls."""
+    steps = [f"hops AS MATERIALIZED (SELECT DISTINCT {a} AS a, {b} AS b FROM calls)", f"l0 AS MATERIALIZED (SELECT DISTINCT seed, seed AS node, 0 AS depth FROM ({seeds}) s)"]
+    for d in range(1, most + 1):
+        steps.append(f"l{d} AS MATERIALIZED (SELECT * FROM l{d - 1} UNION ALL SELECT seed, node, {d} FROM (SELECT DISTINCT seed, b AS node FROM l{d - 1} JOIN hops ON node = a WHERE depth = {d - 1}) n WHERE NOT EXISTS (SELECT 1 FROM l{d - 1} o WHERE o.seed = n.seed AND o.node = n.node))")
+    return ", ".join(steps) + f", found AS (SELECT * FROM l{most})"
+
+
+_REACHED = "SELECT seed AS changed, count(*) AS n_methods, count(*) FILTER (WHERE is_entry) AS n_entries FROM found JOIN methods ON node = method_id WHERE node <> seed GROUP BY seed"
+ORACLES |= {
+    "whole_impact": with_whole_views(_sql(_REACHED, _levels("SELECT method_id AS seed FROM accesses WHERE operation <> 'SELECT'", "dst", "src", 6))),
+    "whole_impact_downstream": with_whole_views(_sql(_REACHED, _levels("SELECT method_id AS seed FROM methods WHERE is_entry", "src", "dst", 6))),
+    "whole_upstream_entry_points": with_whole_views(_sql("""SELECT start, entry, depth FROM (SELECT r.seed AS start, r.node AS entry, r.depth, row_number() OVER (PARTITION BY r.seed ORDER BY r.node) AS n
+        FROM found r JOIN methods s ON r.seed = s.method_id JOIN methods e ON r.node = e.method_id WHERE r.depth > 0 AND e.is_entry AND e.app_id = s.app_id) x WHERE n <= 50""", _levels("SELECT method_id AS seed FROM accesses", "dst", "src", 6))),
+}

@@ -1,10 +1,11 @@
+import random
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.fixture import Graph
-from sparkloom.operators import traverse
+from sparkloom.operators import bitreach, traverse
 
 
 def graph_of(spark, calls, accesses=(), methods=None):
@@ -76,7 +77,7 @@ def test_cycles_and_reach(spark):
     assert {r[0] for r in traverse.on_cycle(g.calls, 3).collect()} == {1, 2, 3, 4}
     assert {r[0] for r in traverse.on_cycle(g.calls, 2).collect()} == {4}
     edges = g.calls.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    found = traverse.reach(spark.createDataFrame([(1, 1)], "seed long, node long"), edges, 2)
+    found = traverse.reach(spark.createDataFrame([(1,)], "method_id long"), edges, 2)
     assert {(r["node"], r["depth"]) for r in found.collect()} == {(1, 0), (2, 1), (3, 2)}
 
 
@@ -85,3 +86,59 @@ def test_endpoints_are_named_by_the_method_of_most_accesses(spark):
     facts = spark.createDataFrame([("t", "c", 2, 5), ("t", "c", 3, 9), ("t", "c", 4, 9), ("t", "d", 4, 1), ("t", "e", 1, 1)], "table_name string, column_name string, method_id long, access_count long")
     got = sorted(tuple(r) for r in traverse.impacted_endpoints(g, facts).collect())
     assert got == [("t", "c", 1, 3, 1), ("t", "d", 1, 4, 2)]
+
+
+def distances(calls, seed):
+    """Each method's least number of calls from the seed."""
+    near, queue = {seed: 0}, deque([seed])
+    while queue:
+        at = queue.popleft()
+        for c in calls:
+            if c[1] == at and c[2] not in near:
+                near[c[2]] = near[at] + 1
+                queue.append(c[2])
+    return near
+
+
+@pytest.mark.parametrize("together", [4096, 30])
+def test_reach_of_many_seeds_equals_walks_of_each(spark, monkeypatch, together):
+    """More seeds than one block holds, dense and sparse parts, seeds without calls and unknown ones; counts, entries and depths."""
+    monkeypatch.setattr(bitreach, "NUMBERED_AT_ONCE", together)
+    rng = random.Random(together)
+    calls = [(f"c{i}", rng.randrange(90), rng.randrange(90)) for i in range(220)] + [("x", 100, 101), ("y", 101, 102), ("z", 102, 200)]
+    methods = [(m, m % 3, m % 4 == 1, "C", f"m{m}()") for m in [*range(90), 100, 101, 102, 103]]
+    g = graph_of(spark, calls, (), methods)
+    seeds = [*range(90), 101, 103, 777]
+    frame = spark.createDataFrame([(s,) for s in seeds] * 2, "method_id long")
+    edges = g.calls.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    near = {s: {n: d for n, d in distances(calls, s).items() if d <= 3} for s in seeds}
+    assert sorted(tuple(r) for r in traverse.reach(frame, edges, 3).collect()) == sorted((s, n, d) for s in seeds for n, d in near[s].items())
+    known = {m[0]: m for m in methods}
+    want = []
+    for s in seeds:
+        others = [n for n in near[s] if n != s and n in known]
+        if others:
+            want.append((s, len(others), sum(known[n][2] for n in others)))
+    assert sorted(tuple(r) for r in traverse.impact(g, frame, 3, upstream=False).collect()) == sorted(want)
+    up = [(c[0], c[2], c[1]) for c in calls]
+    want = []
+    for s in seeds:
+        found = sorted((n, d) for n, d in distances(up, s).items() if 0 < d <= 6 and n in known and s in known and known[n][2] and known[n][1] == known[s][1])
+        want += [(s, n, d) for n, d in found[:5]]
+    assert sorted(tuple(r) for r in traverse.upstream_entries(g, frame, 6, 5).collect()) == sorted(want)
+    none = traverse.impact(g, frame.where("false"), 3)
+    assert none.count() == 0 == traverse.upstream_entries(g, frame.where("false")).count()
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4, 6])
+def test_methods_on_short_cycles(spark, most):
+    rng = random.Random(most)
+    for n, m in ((12, 18), (30, 45), (9, 40)):
+        calls = [(f"c{i}", rng.randrange(n), rng.randrange(n)) for i in range(m)] + [(f"h{i}", n + 1, i) for i in range(n)]
+        g = graph_of(spark, calls)
+        want = set()
+        for s in range(n + 2):
+            back = [distances(calls, c[2]).get(s, 99) + 1 for c in calls if c[1] == s]
+            if min(back, default=99) <= most:
+                want.add(s)
+        assert {r[0] for r in traverse.on_cycle(g.calls, most).collect()} == want
