@@ -25,15 +25,17 @@ def n_plus_one(graph: Graph, most: int = 3) -> DataFrame:
     return hits.join(graph.methods, "method_id").select("method_id", "signature", "class_name", "table_id", "operation")
 
 
-def circular_dep(graph: Graph, least: int = 2, most: int = 5) -> DataFrame:
-    """Closed trails of `least` to `most` calls, one row for each start, with the methods on the way."""
+def circular_dep(graph: Graph, least: int = 2, most: int = 5, first: int | None = None) -> DataFrame:
+    """Closed trails of `least` to `most` calls, one row for each start, with the methods on the way; all, or the `first` so many by start, length and way."""
     found = traverse.closed_trails(graph.calls, least, most)
+    if first is not None:
+        found = found.orderBy("start", "depth", "cycle").limit(first)
     return found.join(graph.methods, F.col("start") == F.col("method_id")).select("method_id", "signature", "class_name", "cycle", "depth")
 
 
 def orphan_code(graph: Graph) -> DataFrame:
     """Methods that nothing calls (a call of itself counts) and that are no entries."""
-    called = graph.calls.select(F.col("dst").alias("method_id"))
+    called = graph.calls.select(F.col("dst").alias("method_id")).distinct()
     return graph.methods.where("NOT is_entry").join(called, "method_id", "left_anti").select("method_id", "signature", "class_name")
 
 

@@ -63,22 +63,55 @@ def core(calls: DataFrame, rounds: int) -> DataFrame:
     return calls
 
 
+def closed_walks(calls: DataFrame, length: int) -> DataFrame:
+    """n0 .. n(length - 1), ways, turns: closed walks of `length` calls over methods, each from its least method on.
+
+    ways: the trails (no call twice) along the walk, where methods call each other more than once. turns: how many of its
+    starts, from the first on, are this row's; the walk comes again for the next visit of its least method. Methods are
+    structs of degree and id. The first half of a walk meets the second, so the longest walks that are held have half the calls; as all
+    methods of a walk follow its first in order of degree, a hub begins no walk through lesser methods.
+    """
+    ends = calls.select(F.explode(F.array("src", "dst")).alias("m")).groupBy("m").agg(F.count("*").alias("degree"))
+    node = lambda side: ends.select(F.col("m").alias(side), F.struct("degree", "m").alias(f"{side}_node"))
+    hops = calls.groupBy("src", "dst").agg(F.count("*").alias("many")).join(node("src"), "src").join(node("dst"), "dst")
+    hops = saved(hops.select(F.col("src_node").alias("a"), F.col("dst_node").alias("b"), "many"))
+    first, last = length - length // 2, length // 2
+    head = hops.where("b >= a").select(F.col("a").alias("n0"), F.col("b").alias("n1"), F.col("many").alias("m0"))
+    for i in range(1, first):
+        head = head.join(hops, (F.col(f"n{i}") == F.col("a")) & (F.col("b") >= F.col("n0"))).drop("a").withColumnsRenamed({"b": f"n{i + 1}", "many": f"m{i}"})
+    tail = hops.where("a >= b").select(F.col("b").alias("n0"), F.col("a").alias(f"n{length - 1}"), F.col("many").alias(f"m{length - 1}"))
+    for i in range(length - 2, length - 1 - last, -1):
+        tail = tail.join(hops, (F.col(f"n{i + 1}") == F.col("b")) & (F.col("a") >= F.col("n0"))).drop("b").withColumnsRenamed({"a": f"n{i}", "many": f"m{i}"})
+    walks = head.join(tail, ["n0", f"n{first}"]) if length > 1 else head.where("n0 = n1")
+    at = [F.col(f"n{i % length}") for i in range(length + 1)]
+    ways = F.lit(1).cast("long")
+    for i in range(length):
+        used = reduce(lambda x, y: x + y, (((at[j] == at[i]) & (at[j + 1] == at[i + 1])).cast("long") for j in range(i)), F.lit(0).cast("long"))
+        ways = ways * F.greatest(F.col(f"m{i}") - used, F.lit(0).cast("long"))
+    turns = F.coalesce(*(F.when(at[i] == at[0], i) for i in range(1, length)), F.lit(length))
+    return walks.withColumns({"ways": ways, "turns": turns}).where("ways > 0").select(*(f"n{i}" for i in range(length)), "ways", "turns")
+
+
 def closed_trails(calls: DataFrame, least: int, most: int) -> DataFrame:
-    """start, cycle, depth: every closed trail (no call twice) of `least` to `most` calls, once for each start.
+    """start, cycle, depth: every closed trail (no call twice) of `least` to `most` calls, once for each call that it may start with.
 
-    cycle: the methods on the way, joined by `>`. Trails grow a call at a time over the calls that can lie on a cycle.
+    cycle: the methods on the way, joined by `>`.
     """
+    hops, out = core(calls.select("call_id", "src", "dst"), 3), []
+    for depth in range(least, most + 1):
+        names = F.array(*(F.col(f"n{i}.m").cast("string") for i in range(depth)))
+        walks = closed_walks(hops, depth).select(names.alias("nodes"), F.explode(F.sequence(F.lit(1), "turns")).alias("turn"), "ways")
+        turned = F.concat(F.slice("nodes", F.col("turn"), F.lit(depth)), F.slice("nodes", F.lit(1), F.col("turn")))
+        rows = walks.select(turned.alias("nodes"), F.explode(F.sequence(F.lit(1).cast("long"), "ways")))
+        out.append(rows.select(F.get("nodes", F.lit(0)).cast("long").alias("start"), F.array_join("nodes", ">").alias("cycle"), F.lit(depth).alias("depth")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def trail_counts(calls: DataFrame, least: int, most: int) -> DataFrame:
+    """depth, trails: how many rows closed_trails() has of each number of calls, counted without making them."""
     hops = core(calls.select("call_id", "src", "dst"), 3)
-    walk = hops.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("call_id").alias("used"), F.array("src", "dst").alias("nodes"))
-    step = hops.select("call_id", F.col("src").alias("at"), F.col("dst").alias("to"))
-    out = None
-    for depth in range(2, most + 1):
-        grown = walk.join(step, "at").where(~F.array_contains("used", F.col("call_id")))
-        walk = saved(grown.select("start", F.col("to").alias("at"), F.concat("used", F.array("call_id")).alias("used"), F.concat("nodes", F.array("to")).alias("nodes")))
-        if depth >= least:
-            done = walk.where("start = at").select("start", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("cycle"), F.lit(depth).alias("depth"))
-            out = done if out is None else out.unionByName(done)
-    return out
+    sums = (closed_walks(hops, depth).agg(F.sum(F.col("ways") * F.col("turns")).alias("trails")).select(F.lit(depth).alias("depth"), F.coalesce("trails", F.lit(0)).cast("long").alias("trails")) for depth in range(least, most + 1))
+    return reduce(DataFrame.unionByName, sums)
 
 
 def upstream_entries(graph, starts: DataFrame, most: int = 6, per_start: int = 50) -> DataFrame:

@@ -260,6 +260,10 @@ QUERIES = {
     "whole_topology": _whole(topology.topology),
     "whole_god_method": _whole(rules.god_method),
     "whole_n_plus_one": _whole(rules.n_plus_one),
+    "circular_dep_first": _on(lambda g: rules.circular_dep(g, first=50)),
+    "circular_dep_counts": _on(lambda g: traverse.trail_counts(g.calls, 2, 5)),
+    "whole_circular_dep_first": _whole(lambda g: rules.circular_dep(g, first=50)),
+    "whole_circular_dep_counts": _whole(lambda g: traverse.trail_counts(g.calls, 2, 5)),
     "whole_impact": _whole(_whole_impact),
     "whole_impact_downstream": _whole(lambda g: traverse.impact(g, _entries(g), upstream=False)),
     "whole_upstream_entry_points": _whole(_whole_upstream),
@@ -404,3 +408,21 @@ ORACLES |= {
     "whole_upstream_entry_points": with_whole_views(_sql("""SELECT start, entry, depth FROM (SELECT r.seed AS start, r.node AS entry, r.depth, row_number() OVER (PARTITION BY r.seed ORDER BY r.node) AS n
         FROM found r JOIN methods s ON r.seed = s.method_id JOIN methods e ON r.node = e.method_id WHERE r.depth > 0 AND e.is_entry AND e.app_id = s.app_id) x WHERE n <= 50""", _levels("SELECT method_id AS seed FROM accesses", "dst", "src", 6))),
 }
+
+
+def _trails(length: int, what: str) -> str:
+    """Closed trails of `length` calls as one join of the numbered calls."""
+    joins = "".join(f" JOIN c c{i} ON c{i}.src = c{i - 1}.dst" + "".join(f" AND c{i}.n <> c{j}.n" for j in range(i)) + (" AND c0.src = c%d.dst" % i if i == length - 1 else "") for i in range(1, length))
+    return f"SELECT {what} FROM c c0{joins}"
+
+
+_NUMBERED = "c AS MATERIALIZED (SELECT src, dst, row_number() OVER () AS n FROM calls)"
+_COUNTED = " UNION ALL ".join(_trails(k, f"{k} AS depth, count(*) AS trails") for k in range(2, 6))
+_NAMED_TRAILS = " UNION ALL ".join(_trails(k, "c0.src AS start, concat(" + ", '>', ".join(f"c{i}.src" for i in range(k)) + f", '>', c0.src) AS cycle, {k} AS depth") for k in range(2, 6))
+_FIRST = f"SELECT m.method_id, m.signature, m.class_name, t.cycle, t.depth FROM (SELECT * FROM ({_NAMED_TRAILS}) a ORDER BY start, depth, cycle LIMIT 50) t JOIN methods m ON t.start = m.method_id"
+ORACLES |= {
+    "circular_dep_first": _sql(_FIRST, _NUMBERED),
+    "circular_dep_counts": _sql(_COUNTED, _NUMBERED),
+    "whole_circular_dep_first": with_whole_views(_sql(_FIRST, _NUMBERED)),
+    "whole_circular_dep_counts": with_whole_views(_sql(_COUNTED, _NUMBERED)),
+}

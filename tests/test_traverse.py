@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.fixture import Graph
-from sparkloom.operators import bitreach, traverse
+from sparkloom.operators import bitreach, rules, traverse
 
 
 def graph_of(spark, calls, accesses=(), methods=None):
@@ -142,3 +142,34 @@ def test_methods_on_short_cycles(spark, most):
             if min(back, default=99) <= most:
                 want.add(s)
         assert {r[0] for r in traverse.on_cycle(g.calls, most).collect()} == want
+
+
+def trails_by_hand(calls, least, most):
+    out = []
+
+    def grow(start, at, used, nodes):
+        if len(used) >= least and at == start:
+            out.append((start, ">".join(map(str, nodes)), len(used)))
+        if len(used) < most:
+            for c in calls:
+                if c[1] == at and c[0] not in used:
+                    grow(start, c[2], [*used, c[0]], [*nodes, c[2]])
+
+    for c in calls:
+        grow(c[1], c[2], [c[0]], [c[1], c[2]])
+    return sorted(out)
+
+
+def test_closed_trails_equal_walks_call_by_call(spark):
+    """Loops, methods that call each other more than once, walks that come by their start again; and their numbers."""
+    rng = random.Random(5)
+    for n, m in ((3, 9), (5, 14), (2, 6)):
+        calls = [(f"c{i}", rng.randrange(n), rng.randrange(n)) for i in range(m)]
+        g, want = graph_of(spark, calls), trails_by_hand(calls, 2, 5)
+        got = traverse.closed_trails(g.calls, 2, 5)
+        assert sorted((r["start"], r["cycle"], r["depth"]) for r in got.collect()) == want
+        counts = {r["depth"]: r["trails"] for r in traverse.trail_counts(g.calls, 2, 5).collect()}
+        assert counts == {d: sum(w[2] == d for w in want) for d in range(2, 6)}
+    assert {r["trails"] for r in traverse.trail_counts(g.calls.where("false"), 2, 3).collect()} == {0}
+    first = rules.circular_dep(g, first=4).collect()
+    assert sorted((r["method_id"], r["depth"], r["cycle"]) for r in first) == sorted((s, d, c) for s, c, d in want)[:4]
