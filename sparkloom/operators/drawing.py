@@ -38,16 +38,22 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def draw(graph: Graph, visits: DataFrame, followed: DataFrame, found: DataFrame) -> DataFrame:
+def draw(graph: Graph, visits: DataFrame, followed: DataFrame, found: DataFrame, view: str = "class") -> DataFrame:
     """seed, part (node, edge or combo), kind, json: everything that a trace shows, each node, edge and combo once a seed.
 
+    view: `class` and `service` show groups, every other one (`method`) has nodes and edges alone. Methods may have
+    package_name, return_type, http_path and line_number too; those that they lack are empty.
+
     followed: seed, call_id of the calls into other apps that the trace went along; other external calls of visited
     methods, unresolved or beyond the cap on hops, end in a placeholder.
     """
     known = visits.join(graph.methods, F.col("node") == F.col("method_id"))
     label = F.concat_ws(".", "class_name", "signature")
-    data = F.struct("signature", F.col("app_id").cast("string").alias("appId"))
-    combo = F.concat(F.lit("app:"), _text("app_id"))
+    field = lambda name: F.coalesce(_text(name), F.lit("")) if name in graph.methods.columns else F.lit("")
+    line = F.coalesce(F.col("line_number"), F.lit(0)) if "line_number" in graph.methods.columns else F.lit(0)
+    data = F.struct("signature", field("return_type").alias("returnType"), F.coalesce(_text("app_id"), F.lit("")).alias("appId"), field("http_path").alias("httpPath"), line.alias("lineNumber"))
+    owner = F.concat_ws(".", F.when(field("package_name") != "", field("package_name")), "class_name")
+    combo = F.coalesce(F.concat(F.lit("app:"), _text("app_id")), owner)
     fill = F.struct(F.when(F.col("is_entry"), ENTRY_FILL).otherwise(METHOD_FILL).alias("fill"))
 
     def row(rows: DataFrame, part: str, kind: str, **fields: Column) -> DataFrame:
@@ -67,10 +73,10 @@ def draw(graph: Graph, visits: DataFrame, followed: DataFrame, found: DataFrame)
     reached = followed.join(found, "call_id").join(graph.methods, F.col("dst") == F.col("method_id"))
     said = F.concat(F.lit("["), _text("app_id"), F.lit("] "), label)
     foreign = row(reached, "node", "METHOD", id=_text("method_id"), type=F.lit("METHOD"), label=said, comboId=combo, data=F.struct(F.col("app_id").cast("string").alias("appId"), "protocol", F.col("expression").alias("resolvedFrom")), style=_styled(FOREIGN))
-    classes = row(known, "combo", "CLASS", id=F.col("class_name"), type=F.lit("CLASS"), label=F.col("class_name"), collapsed=F.lit(False))
+    classes = row(known, "combo", "CLASS", id=owner, type=F.lit("CLASS"), label=F.col("class_name"), collapsed=F.lit(False))
     apps = row(reached, "combo", "APP", id=combo, type=F.lit("APP"), label=_text("app_id"), collapsed=F.lit(False))
     out = nodes
-    for more in (tables, uses, edges, holders, foreign, classes, apps):
+    for more in (tables, uses, edges, holders, foreign, *([classes, apps] if view in ("class", "service") else [])):
         out = out.unionByName(more)
     return out.distinct()
 

@@ -160,6 +160,24 @@ def trace(graph, entries: DataFrame, most: int = 10, target: DataFrame | None =
     return trace_with_hops(graph, entries, most, target, hops)[:2]
 
 
+def in_order(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with place and so_far, totals): the rows of a seed up to each one in the given order, and the crossing ones among them.
+
+    rows: seed, crosses, ...; totals: seed, total of the crossing ones. Rows are sorted by ranges of seed and order, so that many rows of
+    one seed lie in several tasks; each range counts its own, and sums over the ranges before come to that.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = saved(rows.repartitionByRange(parts, "seed", *order).withColumn("range", F.spark_partition_id()))
+    sums = saved(held.groupBy("seed", "range").agg(F.count("*").alias("n"), F.count_if("crosses").alias("c")))  # a row a seed, and one a range more
+    before = Window.partitionBy("seed").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select("seed", "range", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"earlier_{x}") for x in ("n", "c")))
+    own = Window.partitionBy("seed", "range").orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = held.withColumns({"place": F.row_number().over(own), "so_far": F.sum(F.col("crosses").cast("long")).over(upto)}).join(earlier, ["seed", "range"])
+    counted = out.withColumns({"place": F.col("place") + F.col("earlier_n"), "so_far": F.col("so_far") + F.col("earlier_c")})
+    return counted.drop("range", "earlier_n", "earlier_c"), sums.groupBy("seed").agg(F.sum("c").alias("total"))
+
+
 def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame | None = None, hops: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A breadth-first trace from every entry: (visits, paths, followed).
 
@@ -168,14 +186,15 @@ def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame
     later arrival, at any depth, ends a path. Arrivals beyond `most` calls are dropped without a path. Where `target`
     (seed, target) names a method, arrivals there end a path and it is not visited. Calls into other apps are followed
     for the first `hops` of them in order of visit, per seed; internal calls always. Ties inside a depth are in order
-    of the caller's rank, then call_id. most <= 0 counts as 10. followed: seed, call_id of the calls into other apps.
+    of the caller's rank, then call_id. most <= 0 counts as 10. followed: seed, call_id of the calls into other apps, of
+    methods at the last depth too, though nothing beyond it is visited.
     """
     most = most if most > 0 else 10
     goal = target if target is not None else entries.select(F.col("method_id").alias("seed"), F.lit(None).cast("long").alias("target"))
     owner = graph.methods.select(F.col("method_id").alias("m"), "app_id")
     calls = graph.calls.join(owner.select(F.col("m").alias("src"), F.col("app_id").alias("from_app")), "src").join(owner.select(F.col("m").alias("dst"), F.col("app_id").alias("to_app")), "dst")
     calls = saved(calls.select("call_id", "src", "dst", ((F.col("call_type") == "EXTERNAL") & (F.col("from_app") != F.col("to_app"))).alias("crosses"), (F.col("call_type") == "INTERNAL").alias("internal")))
-    level = entries.select(F.col("method_id").alias("seed"), F.col("method_id").alias("node"), F.array("method_id").alias("path"), F.lit(1).alias("rank"), F.lit(0).alias("crossed"))
+    level = entries.select(F.col("method_id").alias("seed"), F.col("method_id").alias("node"), F.array("method_id").alias("path"), F.lit(1).cast("long").alias("rank"), F.lit(0).alias("crossed"))
     level = level.join(goal, "seed", "left")
     visits = paths = followed = None
     for depth in range(most + 1):
@@ -198,14 +217,13 @@ def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame
         table = F.concat(F.lit("table:"), F.col("table_id").cast("string"))
         words = F.concat(said, F.array(table))
         paths = paths.unionByName(tables.select("seed", words.alias("path"), F.lit("table").alias("end")))
-        if depth == most:
-            break
-        order = Window.partitionBy("seed").orderBy("parent_rank", "call_id")
         out = fresh.withColumnRenamed("rank", "parent_rank").join(calls.where("internal OR crosses"), F.col("node") == F.col("src"))
-        so_far = F.sum(F.col("crosses").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        out = out.withColumn("so_far", so_far + F.col("crossed")).where(F.col("internal") | (F.col("so_far") <= hops))
-        went = out.where("crosses").select("seed", "call_id")
+        out, totals = in_order(out, ["parent_rank", "call_id"])
+        out = out.withColumn("so_far", F.col("so_far") + F.col("crossed")).where(F.col("internal") | (F.col("so_far") <= hops))
+        went = out.where("crosses").select("seed", "call_id")  # at the last depth too, where what they lead to is not visited
         followed = went if followed is None else followed.unionByName(went)
-        crossed = F.max(F.least("so_far", F.lit(hops))).over(Window.partitionBy("seed"))
-        level = out.withColumn("now", crossed).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.row_number().over(order).alias("rank"), F.col("now").cast("int").alias("crossed"), "target")
+        if depth == most:
+            break
+        crossed = F.least(F.col("crossed") + F.col("total"), F.lit(hops)).cast("int")
+        level = out.join(totals, "seed").select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.col("place").alias("rank"), crossed.alias("crossed"), "target")
     return visits, paths, followed

@@ -183,6 +183,8 @@ def _full_trace_target(spark, folder):
 def _resolved(spark, folder):
     """A trace from every entry whose external calls go where their expressions lead: graph, resolved calls, visits, paths, followed."""
     methods, calls, accesses, named, texts = views(spark, folder, "methods", "calls", "accesses", "named_methods", "call_texts")
+    path = F.when(F.col("is_entry"), F.concat(F.lit("/api/m"), "method_id"))
+    methods = methods.withColumns({"package_name": F.concat(F.lit("shop.a"), "app_id"), "return_type": F.lit("void"), "http_path": path, "line_number": (F.col("method_id") % 100).cast("int")})
     g, found = drawing.through_resolver(Graph(methods, calls, accesses), texts, named)
     return g, found, *traverse.trace_with_hops(g, _entries(g))
 
@@ -192,6 +194,12 @@ def _resolved_graph(spark, folder):
     return drawing.draw(g, visits, followed, found)
 
 
+def _resolved_methods(spark, folder):
+    """The method view: no groups."""
+    g, found, visits, _, followed = _resolved(spark, folder)
+    return drawing.draw(g, visits, followed, found, "method")
+
+
 def _resolved_raw(spark, folder):
     g, found, visits, paths, followed = _resolved(spark, folder)
     return drawing.raw(drawing.draw(g, visits, followed, found), paths)
@@ -277,6 +285,7 @@ QUERIES = {
     "full_trace_paths": _full_trace_paths,
     "full_trace_target": _full_trace_target,
     "resolved_trace_graph": _resolved_graph,
+    "resolved_trace_methods": _resolved_methods,
     "resolved_trace_raw": _resolved_raw,
     "full_impact": _full_impact,
     "full_impact_downstream": _full_downstream,

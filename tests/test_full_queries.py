@@ -148,6 +148,45 @@ def test_traces_through_the_resolver(spark):
     assert labels == {"A.entry()", "A.help()", "B.serve0()", "B.serve1()", "B.serve2()", "[b] B.serve0()", "[b] B.serve1()", "[b] B.serve2()", "unresolved:call:c4", "unresolved:call:c9", "table:7"}
     assert {j["id"] for part, _, j in drawn if part == "combo"} == {"A", "B", "app:b"}
     assert {j["target"] for part, kind, j in drawn if kind == "CALLS"} == {"2", "10", "11", "12", "call:c4", "call:c9"}
+    assert {tuple(j["data"].values()) for part, kind, j in drawn if part == "node" and j["label"] == "A.entry()"} == {("entry()", "", "a", "", 0)}
+    more = Graph(methods.selectExpr("*", "'p.q' AS package_name", "'int' AS return_type", "path AS http_path", "7 AS line_number"), g.calls, accesses)
+    richer = [(r["part"], json.loads(r["json"])) for r in drawing.draw(more, visits, followed, found).collect()]
+    assert {tuple(j["data"].values()) for part, j in richer if part == "node" and j["label"] == "A.entry()"} == {("entry()", "int", "a", "/a", 7)}
+    assert {j["id"] for part, j in richer if part == "combo"} == {"p.q.A", "p.q.B", "app:b"}
+    flat = drawing.draw(g, visits, followed, found, "method").select("part", "json").collect()
+    assert sorted(tuple(r) for r in flat) == sorted((part, r["json"]) for r in drawing.draw(g, visits, followed, found).collect() if (part := r["part"]) != "combo")
     assert [j["style"] for part, kind, j in drawn if kind == "CALLS" and j["target"] == "2"] == [{"stroke": "#666", "lineWidth": 1}]
     raw = drawing.raw(drawing.draw(g, visits, followed, found), paths).first()
     assert len(json.loads(raw["methods"])) == 10 and len(json.loads(raw["calls"])) == 6 and json.loads(raw["paths"]) == [["1", "11", "table:7"]]
+
+
+def test_calls_at_the_last_depth_are_resolved(spark):
+    """At the last depth a call into another app is followed and counted, though its target is not visited."""
+    import json
+
+    methods = spark.createDataFrame([(1, "a", True, "A", "m1()", "/a"), (2, "a", False, "A", "m2()", None), *((10 + i, "b", True, "B", f"s{i}()", f"/b{i}") for i in range(4))], "method_id long, app_id string, is_entry boolean, class_name string, signature string, path string")
+    texts = spark.createDataFrame([("c0", 1, "INTERNAL", "m2()"), *((f"c{i + 1}", 2, "EXTERNAL", f'rest.get("http://b/b{i}", x)') for i in range(4))], "call_id string, src long, call_type string, expression string")
+    calls = texts.selectExpr("call_id", "src", "CASE WHEN call_type = 'INTERNAL' THEN 2L END AS dst", "call_type", "1 AS line_number")
+    accesses = spark.createDataFrame([], "method_id long, table_id int, operation string")
+    g, found = drawing.through_resolver(Graph(methods, calls, accesses), texts, methods)
+    visits, _, followed = traverse.trace_with_hops(g, methods.where("method_id = 1").select("method_id"), most=1)
+    assert {(r["node"], r["depth"]) for r in visits.collect()} == {(1, 0), (2, 1)} and {r["call_id"] for r in followed.collect()} == {"c1", "c2", "c3"}
+    labels = {json.loads(r["json"])["label"] for r in drawing.draw(g, visits, followed, found).where("part = 'node'").collect()}
+    assert labels == {"A.m1()", "A.m2()", "[b] B.s0()", "[b] B.s1()", "[b] B.s2()", "unresolved:call:c4"}
+
+
+def test_order_of_one_large_seed_over_ranges(spark):
+    """Places and crossing calls of a seed that fills several ranges, beside small ones, are as in one sorted list."""
+    from pyspark.sql import functions as F
+
+    rows = [(7, i * 37 % 101, f"c{i % 3}{i}", i % 4 == 0) for i in range(400)] + [(s, s % 3, f"d{s}", True) for s in range(20, 40)]
+    got, totals = traverse.in_order(spark.createDataFrame(rows, "seed long, parent_rank long, call_id string, crosses boolean"), ["parent_rank", "call_id"])
+    want = []
+    for seed in {r[0] for r in rows}:
+        so_far = 0
+        for place, r in enumerate(sorted((r for r in rows if r[0] == seed), key=lambda r: r[1:3])):
+            so_far += r[3]
+            want.append((*r[:3], place + 1, so_far))
+    assert sorted(tuple(r) for r in got.select("seed", "parent_rank", "call_id", "place", "so_far").collect()) == sorted(want)
+    assert {r["seed"]: r["total"] for r in totals.collect()} == {s: sum(r[3] for r in rows if r[0] == s) for s in {r[0] for r in rows}}
+    assert got.where("seed = 7").select(F.count("*")).first()[0] == 400
