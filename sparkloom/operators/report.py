@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import facts
@@ -51,9 +51,8 @@ def table_prompts(state: DataFrame, as_of: Column, days: int) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in the given order."""
-    by = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
-    return rows.withColumn("nth", F.row_number().over(by)).where("nth = 1").drop("nth")
+    """The row of each key that is greatest by the given columns; tasks keep one row a key before anything is shuffled."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("last")).select("last.*")
 
 
 def as_messages(rows: DataFrame, key: str, first: str, topic: str = "lineage.access") -> DataFrame:

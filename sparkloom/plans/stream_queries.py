@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.fixture import views, with_views
-from sparkloom.operators import facts, report
+from sparkloom.operators import facts, report, scans
 from sparkloom.plans.fact_queries import AS_OF, DAYS, over_state
 from sparkloom.plans.text_queries import ORACLES as TEXTS
-from sparkloom.streaming import capture
+from sparkloom.plans.listing_queries import scan_events, scan_sql
+from sparkloom.streaming import capture, traces
+
+PARTS = 4
 
 
 def _captured_stream(spark, folder):
@@ -26,6 +29,30 @@ def _scan_history(spark, folder):
     return report.latest(views(spark, folder, "access_log")[0].select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"])
 
 
+def _timed(spark, folder):
+    """The events of scans with times that a watermark can follow."""
+    return scan_events(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain(rows, *times):
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+def _trace_states(spark, folder):
+    """The state of each scan, kept by a stream that gets the events in files; each batch puts out the scans that it changes."""
+    events = traces.in_files(_timed(spark, folder), PARTS)
+    found = traces.kept(traces.states(events), ["trace"])
+    order = [s for s in scans.EVENTS if s not in scans.TERMINAL]
+    said = F.array_join(F.array_compact(F.array(*(F.when(F.col("timings")[s].isNotNull(), F.concat_ws("=", F.lit(s), F.col("timings")[s].cast("string"))) for s in order))), ";")
+    found = _plain(found, "started", "updated", "finished")
+    return found.select("trace", "stage", scans.percent(F.col("stage"), F.col("files_done"), F.col("files")).alias("percent"), "files_done", "files", "n_events", "started", "updated", "finished", said.alias("timings"))
+
+
+def _scan_chains(spark, folder):
+    events = traces.with_end(_timed(spark, folder))
+    return _plain(traces.drained(traces.chains(traces.in_files(events, PARTS))), "requested_at")
+
+
 def _event_json(spark, folder):
     log = views(spark, folder, "access_log")[0]
     return report.as_messages(log.select("event_id", "user_id", "table_name", "operation"), "user_id", "event_id").select("topic", "key", "value")
@@ -41,6 +68,8 @@ QUERIES = {
     "capture_stream": lambda spark, folder: capture.column_access(_captured_stream(spark, folder)),
     "capture_tables": lambda spark, folder: capture.seen_tables(_captured_stream(spark, folder)),
     "progress_state": lambda spark, folder: capture.progress(capture.event_stream(spark, folder)),
+    "trace_state_stream": _trace_states,
+    "scan_chains": _scan_chains,
     "scan_history": _scan_history,
     "event_messages": _event_json,
     "report_prompts": _prompts,
@@ -67,3 +96,12 @@ ORACLES = {
         LEFT JOIN (SELECT table_name, string_agg(column_name, ', ' ORDER BY column_name) AS dead FROM (SELECT table_name, column_name FROM state GROUP BY table_name, column_name
           HAVING max(last_seen) < TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY) x GROUP BY table_name) d ON k.table_name = d.table_name"""),
 }
+
+_STEP = "{b}.trace = {a}.trace AND {b}.ts > {a}.ts AND {b}.ts <= {a}.ts + INTERVAL 12 HOUR"
+ORACLES |= {
+    "trace_state_stream": scan_sql("""SELECT trace, stage, CAST(CASE WHEN stage IN ('COMPLETED', 'FAILED') THEN 100 WHEN files = 0 THEN CASE stage WHEN 'FETCHING' THEN 5 WHEN 'ANALYZING' THEN 50 ELSE 80 END ELSE least(99, files_done * 100 // files) END AS INTEGER) AS percent,
+        files_done, files, n_events, started, updated, CASE WHEN stage IN ('COMPLETED', 'FAILED') THEN updated END AS finished, coalesce(timings, '') AS timings FROM state LEFT JOIN times USING (trace)"""),
+    "scan_chains": scan_sql(f"""SELECT r.trace, r.event_id AS requested, f.event_id AS fetched, a.event_id AS analyzed, e.event_id AS ended, r.ts AS requested_at, coalesce(e.stage, 'FAILED') AS outcome
+        FROM scans r JOIN scans f ON f.stage = 'ANALYZING' AND {_STEP.format(a="r", b="f")} JOIN scans a ON a.stage = 'SQL_PARSING' AND {_STEP.format(a="f", b="a")}
+        LEFT JOIN scans e ON e.stage IN ('COMPLETED', 'FAILED') AND {_STEP.format(a="a", b="e")} WHERE r.stage = 'FETCHING'"""),
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,6 @@ def java_files(files: DataFrame, named: list[str] | None = None) -> DataFrame:
     return without_tests(java) if named is None else java.where(F.col("path").isin(named))
 
 
-def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order, whatever the partitions; all columns stay."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("nth", F.row_number().over(by)).where("nth = 1").drop("nth")
+def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is least by the given columns, whatever the partitions; all columns stay. Tasks keep one row a key before anything is shuffled."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("first")).select("first.*")
