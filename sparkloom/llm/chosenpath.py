@@ -31,6 +31,8 @@ WIDTH, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.999, 3
 SMALL, BLOCK = 256, 2048
 #: Shingles of a block, about (32 MB): buckets of very long texts are cut to more blocks.
 BLOCK_SHINGLES = 4_000_000
+#: Bits of a shingle's hash that sets are compared by, a multiple of 8.
+BITS_KEPT = 48
 #: A null doc_id while it is worked on.
 NO_ID = -(2**63)
 _WHOLE = float(2**64)
@@ -78,8 +80,17 @@ def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield distinct_per_text(*shingles(w, WIDTH))
 
 
+def digests(values: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """h1, h2 (a 128-bit digest) and n (the size) of each set."""
+    out = []
+    for salt in (0, 0x51ED270B):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(salt)), dtype=np.uint64)])
+        out.append((sums[starts[1:]] - sums[starts[:-1]]).view(np.int64))
+    return [*out, np.diff(starts).astype(np.int64)]
+
+
 def sketches(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """doc_id, h1, h2 (a 128-bit digest of the set), n (its size), keys."""
+    """doc_id, h1, h2, n (of digests()), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +98,8 @@ def sketches(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
             for values, starts in _sets(batch.column(1)):
                 keys, at = first_keys(values, starts, runs, threshold)
                 out[3].append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64))))
-                for column, salt in zip(out, (0, 0x51ED270B), strict=False):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(salt)), dtype=np.uint64)])
-                    column.append((sums[starts[1:]] - sums[starts[:-1]]).view(np.int64))
-                out[2].append(np.diff(starts))
+                for column, digest in zip(out, digests(values, starts), strict=False):
+                    column.append(digest)
             if out[3]:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(c), pa.int64()) for c in out[:3]), pa.concat_arrays(out[3])], names=["doc_id", "h1", "h2", "n", "keys"])
 
@@ -98,26 +107,34 @@ def sketches(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Distinct numbers by their upper 40 bits, in rising order. Two sets of 20,000 take one shingle for another with chance 4e-4."""
-    upper = np.unique(values >> np.uint64(24))
-    return upper.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Distinct numbers by their upper BITS_KEPT bits, in rising order. Two sets of 20,000 take one shingle for another with chance 1.4e-6."""
+    upper = np.unique(values >> np.uint64(64 - BITS_KEPT))
+    return upper.view(np.uint8).reshape(-1, 8)[:, : BITS_KEPT // 8].tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    size = BITS_KEPT // 8
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
     return out.view(np.uint64).ravel()
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles: the packed set of each text."""
+    """h1, h2, n, shingles: the packed set of each text that has words; a task has each set once, so copies are not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int, int]] = set()
         for batch in batches:
-            rows = [packed(values[a:b]) for values, starts in _sets(batch.column(1)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["rep", "shingles"])
+            out: list[tuple] = []
+            for values, starts in _sets(batch.column(0)):
+                for i, digest in enumerate(zip(*(d.tolist() for d in digests(values, starts)), strict=True)):
+                    if digest[2] and digest not in known:
+                        known.add(digest)
+                        out.append((*digest, packed(values[starts[i] : starts[i + 1]])))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["h1", "h2", "n", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles binary")
+    return docs.select("text").mapInArrow(run, "h1 long, h2 long, n long, shingles binary")
 
 
 def children(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -242,20 +259,20 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     Two documents are linked if the Jaccard similarity of their sets of five-word runs (words as in `words`; a text of
     one to four words is one run) is at least `threshold`. n_links is the number of other documents a document is linked
     with, copies included; class_id is the least doc_id that links lead to, by any number of steps. A text without words
-    (null and empty ones too) is linked with none and is its own class. doc_id should be unique; a null one counts as
-    the smallest. Links of a pair at the threshold are found with chance `recall` at least, others with a higher one.
-    Rows of one doc_id count as copies or links of their own. A text of any length is taken whole. An empty table gives
+    (null and empty ones too) is linked with none and is its own class. A null doc_id counts as the smallest. Links of a pair at the threshold are found with chance `recall` at least, others with a higher one.
+    Rows of one doc_id, or of a null one, are documents of their own, whatever their texts. A text of any length is taken whole. An empty table gives
     an empty one; other columns are ignored, whatever their names.
     """
     runs = runs_for(recall, depth)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = saved(sketches(docs, runs, threshold))
-    sets_of = sketched.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
-    reps = saved(sets_of)
+    sets_of = sketched.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
+    reps = saved(sets_of.withColumn("rep", F.monotonically_increasing_id()))  # a set's own number, whatever ids its texts have
     level = shared_keys(reps.select("rep", F.explode(F.array_distinct("keys")).alias("key")))
     level = saved(level)
     active = level.select("rep").distinct()
-    sets = saved(set_rows(docs.join(active, docs["doc_id"] == active["rep"], "left_semi").dropDuplicates(["doc_id"])))
+    of = ["h1", "h2", "n"]
+    sets = saved(set_rows(docs).dropDuplicates(of).join(reps.join(active, "rep").select("rep", *of), of).select("rep", "shingles"))
     found = level.where(F.col("in_bucket") <= SMALL)
     for step in range(1, depth):
         large = level.where(F.col("in_bucket") > SMALL)
@@ -277,11 +294,13 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     links = saved(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(threshold), "rep long, root long, links long"))
     classes = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_rep = reps.select("h1", "h2", "n", "rep", "copies").join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    joined = sketched.select("doc_id", "h1", "h2", "n").join(by_rep, ["h1", "h2", "n"], "left")
+    linked = classes.withColumnRenamed("node", "rep").join(reps.select("rep", "least"), "rep")
+    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("class_least")), "component").select("rep", "class_least")
+    by_rep = reps.select(*of, "rep", "least", "copies").join(counts, "rep", "left").join(named, "rep", "left")
+    joined = sketched.select("doc_id", *of).join(by_rep, of, "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     return joined.select(
         real(F.col("doc_id")).alias("doc_id"),
-        real(F.coalesce("component", "rep", "doc_id")).alias("class_id"),
+        real(F.coalesce("class_least", "least", "doc_id")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
     )

@@ -55,6 +55,17 @@ def test_empty_null_ids_and_repeats(spark):
     assert got == [(5, 5, 1), (5, 5, 1), (None, None, 0)]
 
 
+def test_unlike_texts_of_one_id(spark):
+    """Two texts of one doc_id, and two without any, each with a near copy: links and classes go by text."""
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 90) for _ in range(4))
+    near = lambda text: " ".join(text.split()[:-2] + ["x", "y"])
+    rows = [(5, a), (5, b), (8, near(a)), (9, near(b)), (None, c), (None, d), (20, near(c)), (21, near(d)), (5, a.upper()), (30, words(rng, 50))]
+    got = sorted(map(tuple, chosenpath.similarity_classes(frame(spark, rows)).collect()), key=str)
+    want = [(5, 5, 2), (5, 5, 1), (8, 5, 2), (9, 5, 1), (None, None, 1), (None, None, 1), (20, None, 1), (21, None, 1), (5, 5, 2), (30, 30, 0)]
+    assert got == sorted(want, key=str)
+
+
 def test_runs_reach_the_recall():
     assert chosenpath.runs_for(0.999, 1) == 7 and chosenpath.runs_for(0.999, 3) > 7
 
