@@ -105,10 +105,10 @@ def xml_files(spark, folder):
     rows = g.accesses.join(g.methods.select("method_id", "app_id"), "method_id").select("table_id", "app_id", "method_id", "operation").distinct()
     t, m = F.col("table_id"), F.col("method_id")
     tag = F.lower("operation")
-    sql = F.when(F.col("operation") == "SELECT", F.concat(F.lit("SELECT * FROM s_"), t, F.lit(" <where> id = 1 </where>"))).when(F.col("operation") == "INSERT", F.concat(F.lit("INSERT INTO s_"), t, F.lit(" (a) VALUES (1)"))).when(F.col("operation") == "UPDATE", F.concat(F.lit("UPDATE s_"), t, F.lit(" SET a = 1"))).otherwise(F.concat(F.lit("DELETE\n  FROM s_"), t))
+    sql = F.when(F.col("operation") == "SELECT", F.lit('SELECT * <include refid="from"/> <where><if test="id != null">id &lt; 1</if> <foreach collection="ids" item="i" separator=",">OR id > #{i}</foreach></where>')).when(F.col("operation") == "INSERT", F.concat(F.lit("INSERT INTO s_"), t, F.lit(" (a) VALUES (1)"))).when(F.col("operation") == "UPDATE", F.concat(F.lit("UPDATE s_"), t, F.lit(" SET a = 1"))).otherwise(F.concat(F.lit("DELETE\n  FROM s_"), t))
     line = F.concat(F.lit("  <"), tag, F.lit(' id="m'), m, F.lit('">'), sql, F.lit("</"), tag, F.lit(">\n"))
     by = rows.groupBy("table_id", "app_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("lines"))
-    return by.select(F.concat(F.lit("mapper/a"), "app_id", F.lit("/S"), t, F.lit(".xml")).alias("path"), F.concat(F.lit('<?xml version="1.0"?>\n<mapper namespace="com.shop.a'), "app_id", F.lit(".S"), t, F.lit('Mapper">\n'), "lines", F.lit("</mapper>\n")).alias("content"))
+    return by.select(F.concat(F.lit("mapper/a"), "app_id", F.lit("/S"), t, F.lit(".xml")).alias("path"), F.concat(F.lit('<?xml version="1.0"?>\n<!DOCTYPE mapper PUBLIC "-//mapper//EN" "mapper.dtd">\n<mapper namespace="com.shop.a'), "app_id", F.lit(".S"), t, F.lit('Mapper">\n  <sql id="table">s_'), t, F.lit('</sql>\n  <sql id="from">FROM <include refid="table"></include> <!-- FROM none --></sql>\n'), "lines", F.lit("</mapper>\n")).alias("content"))
 
 
 VIEWS.update(supplier_tables="SELECT DISTINCT CAST(s_suppkey % 40 AS INT) AS table_id FROM supplier")
@@ -211,7 +211,16 @@ def _relation_columns(spark, folder):
     return facts.from_relations(_mapper_relations(spark, folder))
 
 
+def _xml_errors(spark, folder):
+    """Every app has a mapper file that breaks off in the middle; it costs itself alone."""
+    files = xml_files(spark, folder)
+    broken = files.where("path LIKE '%1.xml'").select(F.regexp_replace("path", r"\.xml$", "-broken.xml").alias("path"), F.regexp_replace("content", "</mapper>", "<select>").alias("content"))
+    found = mappers.xml_files(written(files.unionByName(broken), glob="*.xml"))
+    return found.groupBy("error").agg(F.count("*").alias("files"), F.sum(F.size("statements")).alias("statements"))
+
+
 QUERIES = {
+    "xml_errors": _xml_errors,
     "java_methods": _java_methods,
     "java_unique_methods": _java_unique_methods,
     "java_scanned_batches": _java_batches,
@@ -260,7 +269,8 @@ _PLUS = f"""SELECT concat('src/', u.class_name, '.java:', m.signature) AS source
         FROM used u JOIN (SELECT method_id, {_MAIN} AS signature, CASE WHEN bool_or(operation = 'INSERT') THEN 'INSERT' WHEN bool_or(operation = 'DELETE') THEN 'DELETE' WHEN bool_or(operation = 'UPDATE') THEN 'UPDATE' ELSE 'SELECT' END AS operation FROM methods d JOIN accesses a USING (method_id) GROUP BY method_id
           UNION ALL SELECT method_id, {_OVER}, 'SELECT' FROM methods) m ON u.method_id = m.method_id
         UNION ALL SELECT concat('mapper:S', table_id, 'Mapper'), concat('s_', table_id), 'SELECT', concat('acctbal,name', table_id), concat('S', table_id, 'Mapper') FROM supplier_tables WHERE concat('s_', table_id) NOT IN (SELECT table_name FROM used)"""
-_XML = """SELECT DISTINCT concat('com.shop.a', m.app_id, '.S', a.table_id, 'Mapper.m', a.method_id) AS source, a.operation, concat('s_', a.table_id) AS table_name FROM accesses a JOIN methods m ON a.method_id = m.method_id"""
+_XML = """SELECT DISTINCT concat('com.shop.a', m.app_id, '.S', a.table_id, 'Mapper.m', a.method_id) AS source, a.operation, concat('s_', a.table_id) AS table_name FROM accesses a JOIN methods m ON a.method_id = m.method_id
+  UNION ALL SELECT DISTINCT concat('com.shop.a', m.app_id, '.S', a.table_id, 'Mapper.from'), 'SELECT', concat('s_', a.table_id) FROM accesses a JOIN methods m ON a.method_id = m.method_id"""
 
 ORACLES = {
     "java_methods": _sql(f"""SELECT p AS class_name, package, {_MAIN} AS signature, CASE method_id % 2 WHEN 0 THEN 'String' ELSE 'Map<String, List<Integer>>' END AS return_type, CASE method_id % 3 WHEN 0 THEN 'Long,List<String>' WHEN 1 THEN 'Long,Map<String, Integer>' ELSE 'Long,List<String>[]' END AS params, false AS is_abstract, is_entry OR method_id % 13 = 0 OR method_id % 11 = 0 AS is_entry,
@@ -303,3 +313,5 @@ ORACLES |= {
         UNION ALL SELECT 'nests too deeply', count(DISTINCT app_id), min(concat('src/Deep', app_id, '.java')), 0 FROM methods""", _FILES),
     "relation_columns": _sql(f"""SELECT source AS method_id, table_name, unnest(string_split(columns, ',')) AS column_name, operation, CAST(1 AS BIGINT) AS access_count FROM ({_PLUS}) p WHERE NOT starts_with(source, 'mapper:')""", _USAGE),
 }
+ORACLES["xml_errors"] = _sql("""SELECT NULL AS error, count(*) AS files, CAST(sum(n) AS BIGINT) AS statements FROM (SELECT m.app_id, a.table_id, 2 + count(DISTINCT (a.method_id, a.operation)) AS n FROM accesses a JOIN methods m ON a.method_id = m.method_id GROUP BY m.app_id, a.table_id) f
+    UNION ALL SELECT 'no well-formed XML', count(DISTINCT (m.app_id, a.table_id)), 0 FROM accesses a JOIN methods m ON a.method_id = m.method_id WHERE a.table_id % 10 = 1""")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import names, sqltext
+from sparkloom.scratch import saved
 
 # How mappers, tables, fields and columns are declared, and the fields that are no columns.
 MAPPER = r"interface\s+(\w+)\s+extends\s+BaseMapper<\s*(\w+)\s*>"
@@ -17,7 +18,9 @@ PARAMETER = r"(\w+Mapper)\s+\w+\s*[,\)]"
 ROW_FIELD = r"private\s+\S+\s+(\w+)\s*;"
 CLASS = r"(?:class|interface|record)\s+(\w+)"
 SKIPPED = ["serialVersionUID", "id"]
-STATEMENT = r'(?s)<(\w+)\s+[^>]*?\bid="([^"]+)"[^>]*>(.*?)</\1>'
+TAG = r'</?[A-Za-z][\w.:-]*(?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|\'[^\']*\'))*\s*/?>'
+INCLUDE = r'<include\s[^>]*?refid\s*=\s*"([^"]+)"[^>]*?(?:/>|>\s*</include\s*>)'
+STATEMENTS = ["select", "insert", "update", "delete", "sql", "resultMap", "parameterMap"]
 INSERTS, UPDATES, DELETES = ["insert", "save"], ["update", "updatebyid"], ["delete", "deletebyid", "deletebatchids", "deletebymap"]
 
 
@@ -97,16 +100,71 @@ def xml_operation(tag: Column) -> Column:
     return F.when(t.isin("insert", "update", "delete"), F.upper(t)).otherwise("SELECT")
 
 
+#: Marks around the name of a fragment in a statement's text, and how far fragments may include others.
+OPEN, CLOSE, DEEP = "\u2983", "\u2984", 3
+_IDS = "struct<`_namespace`:string," + ",".join(f"`{t}`:array<struct<`_id`:string>>" for t in STATEMENTS) + ",`_corrupt_record`:string>"
+_BODIES = "struct<" + ",".join(f"`{t}`:array<string>" for t in STATEMENTS) + ">"
+
+
+def _statement(tag: str):
+    return lambda p: F.struct(F.lit(tag).alias("tag"), p["i"]["_id"].alias("id"), p["b"].alias("body"))
+
+
+def xml_files(files: DataFrame) -> DataFrame:
+    """path, space, statements (array of tag, id, body), error: the mapper XML files of `files` (path, content) as Spark's XML reader takes them.
+
+    Files whose path has no `mapper` in it, or another ending, are none. A file that is no well-formed XML has an error and
+    no statements. Bodies are the inner XML of each statement and `sql` fragment, with the names of included fragments
+    between marks; a doctype is left out unread.
+    """
+    files = files.where(F.col("path").contains("mapper") & F.col("path").endswith(".xml"))
+    text = F.regexp_replace(F.regexp_replace("content", r"(?s)<!DOCTYPE\b[^\[>]*(?:\[.*?\]\s*)?>", ""), INCLUDE, f"{OPEN}$1{CLOSE}")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = files.select("path", text.alias("text"))
+    rows = rows.select("path", F.from_xml("text", _IDS, options).alias("ids"), F.from_xml("text", _BODIES, options).alias("bodies"))
+    every = []
+    for tag in STATEMENTS:
+        pairs = F.arrays_zip(F.col(f"ids.{tag}").alias("i"), F.col(f"bodies.{tag}").alias("b"))
+        every.append(F.coalesce(F.transform(pairs, _statement(tag)), F.array().cast("array<struct<tag:string,id:string,body:string>>")))
+    bad = F.col("ids").isNull() | F.col("ids._corrupt_record").isNotNull()
+    found = F.when(bad, F.array().cast("array<struct<tag:string,id:string,body:string>>")).otherwise(F.concat(*every))
+    return rows.select("path", F.when(~bad, F.coalesce("ids._namespace", F.lit(""))).alias("space"), found.alias("statements"), F.when(bad, "no well-formed XML").alias("error"))
+
+
+def _plain(body: Column) -> Column:
+    """The text of inner XML without its tags and comments, blanks drawn together."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", " "), TAG, " "), r"\s+", " "))
+
+
+def _included(rows: DataFrame, fragments: DataFrame) -> DataFrame:
+    """`rows` (space, number, sql) with the text of each included fragment in place of its name, of the own file's space where the name has none; one of no such fragment is left out."""
+    parts = F.split("sql", f"[{OPEN}{CLOSE}]")  # every second part is a name
+    asked = rows.select("number", "space", F.posexplode(parts).alias("at", "part"))
+    name = F.when(F.col("part").contains("."), F.col("part")).otherwise(F.concat_ws(".", "space", "part"))
+    asked = asked.withColumn("name", F.when(F.col("at") % 2 == 1, name))
+    met = asked.join(fragments, "name", "left").withColumn("part", F.when(F.col("name").isNull(), F.col("part")).otherwise(F.coalesce("fragment", F.lit(""))))
+    joined = met.groupBy("number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]), "").alias("filled"))
+    return rows.join(joined, "number").withColumn("sql", F.trim(F.regexp_replace("filled", r"\s+", " "))).drop("filled")
+
+
 def xml_statements(files: DataFrame) -> DataFrame:
-    """source, operation, table_name, sql: statements of mapper XML files (path, content), a row for each table of each; files whose path has no `mapper` in it, or another ending, are none."""
-    files, text = files.where(F.col("path").contains("mapper") & F.col("path").endswith(".xml")), F.col("content")
-    got = lambda g: F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(g))
-    body = F.regexp_replace(text, r"(?s)^.*?<mapper\b[^>]*>", "")
-    zipped = F.arrays_zip(got(1).alias("tag"), got(2).alias("id"), got(3).alias("sql"))
-    rows = files.select(F.regexp_extract(text, r'<mapper\s+namespace="([^"]+)"', 1).alias("space"), body.alias("content")).select("space", F.explode(zipped).alias("s"))
-    sql = F.trim(F.regexp_replace(F.regexp_replace(F.col("s.sql"), r"<[^>]+>", " "), r"\s+", " "))
-    tables = F.array_distinct(F.regexp_extract_all(sql, F.lit(sqltext.PLAIN_TABLES), F.lit(1)))
-    return rows.select(F.concat_ws(".", "space", "s.id").alias("source"), xml_operation(F.col("s.tag")).alias("operation"), F.explode(tables).alias("table_name"), sql.alias("sql"))
+    """source, operation, table_name, sql: statements of mapper XML files (path, content), a row for each table of each.
+
+    Nested tags (`where`, `if`, `foreach`) add their text where they stand, and included fragments theirs, fragments of
+    fragments too (DEEP levels); fragments count as statements of their own. A file that can't be read costs itself alone.
+    """
+    rows = xml_files(files).select("path", "space", F.posexplode("statements").alias("nth", "s"))
+    rows = rows.select("space", F.col("s.tag").alias("tag"), F.col("s.id").alias("id"), _plain(F.col("s.body")).alias("sql"), F.struct("path", "nth").alias("number"))
+    rows = saved(rows)
+    fragments = rows.where("tag = 'sql'").groupBy(F.concat_ws(".", "space", "id").alias("name")).agg(F.min_by("sql", "number").alias("fragment"))
+    marked = F.col("sql").contains(OPEN)
+    for _ in range(DEEP):
+        if rows.where(marked).isEmpty():
+            break
+        rows = saved(_included(rows.where(marked), fragments).unionByName(rows.where(~marked)))
+    rows = rows.withColumn("sql", F.trim(F.regexp_replace(F.regexp_replace("sql", f"{OPEN}[^{CLOSE}]*{CLOSE}", " "), r"\s+", " ")))
+    tables = F.array_distinct(F.regexp_extract_all("sql", F.lit(sqltext.PLAIN_TABLES), F.lit(1)))
+    return rows.select(F.concat_ws(".", "space", "id").alias("source"), xml_operation(F.col("tag")).alias("operation"), F.explode(tables).alias("table_name"), "sql")
 
 
 def all_relations(*parsers: DataFrame) -> DataFrame:

@@ -96,6 +96,29 @@ def test_xml(spark):
     assert got == {("a.UserMapper.get", "SELECT", "users"), ("a.UserMapper.r", "SELECT", "maps")}
 
 
+def test_xml_nested_tags_includes_and_broken_files(spark):
+    """Text of nested tags stays in its place, fragments (of fragments, of other files, unknown ones) are filled in, a bad file costs itself alone."""
+    doctype = '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE mapper PUBLIC "-//mybatis.org//DTD Mapper 3.0//EN" "http://mybatis.org/dtd/mybatis-3-mapper.dtd">\n'
+    one = doctype + """<mapper namespace="a.M"><sql id="base">FROM users u <include refid="more"/></sql><sql id="more">JOIN roles r ON r.id &lt; u.id</sql>
+      <select id="get">SELECT u.id, <if test="x != null and y > 1">u.name</if> <include refid="base"/> <where><if test="a">u.id > 1</if><foreach collection="l" item="i" open="(" close=")">, #{i}</foreach></where></select>
+      <insert id="add"><selectKey keyProperty="id">SELECT max(id) FROM keys</selectKey>INSERT INTO users (id) VALUES (1)</insert>
+      <update id="set"><![CDATA[UPDATE users SET a = 1 WHERE b < 2 AND c > 3]]></update><delete id="all">DELETE FROM <!-- FROM hidden --> users</delete><select id="ns">SELECT 1 <include refid="b.N.far"/><include refid="none"/></select></mapper>"""
+    two = '<mapper namespace="b.N"><sql id="far">FROM elsewhere</sql><select id="empty"/></mapper>'
+    files = [("x/mapper/1.xml", one), ("x/mapper/2.xml", two), ("x/mapper/3.xml", one[:-9]), ("x/mapper/4.xml", "no xml"), ("x/mapper/5.xml", None), ("x/mapper/6.xml", "<other><select id='q'>SELECT 1 FROM t</select></other>")]
+    frame = spark.createDataFrame(files, "path string, content string")
+    errors = {r["path"][-5]: r["error"] for r in mappers.xml_files(frame).collect()}
+    assert errors["1"] is errors["2"] is errors["6"] is None and errors["3"] == errors["4"] == errors["5"] == "no well-formed XML"
+    got = {}
+    for r in mappers.xml_statements(frame).collect():
+        got.setdefault((r["source"], r["operation"]), (set(), r["sql"]))[0].add(r["table_name"])
+    assert {k: v[0] for k, v in got.items()} == {
+        ("a.M.base", "SELECT"): {"users", "roles"}, ("a.M.more", "SELECT"): {"roles"}, ("a.M.get", "SELECT"): {"users", "roles"}, ("a.M.add", "INSERT"): {"keys", "users"},
+        ("a.M.set", "UPDATE"): {"users"}, ("a.M.all", "DELETE"): {"users"}, ("a.M.ns", "SELECT"): {"elsewhere"}, ("b.N.far", "SELECT"): {"elsewhere"}, (".q", "SELECT"): {"t"},
+    }
+    assert got["a.M.get", "SELECT"][1] == "SELECT u.id, u.name FROM users u JOIN roles r ON r.id < u.id u.id > 1 , #{i}"
+    assert got["a.M.set", "UPDATE"][1] == "UPDATE users SET a = 1 WHERE b < 2 AND c > 3"
+
+
 def test_test_folders_are_not_scanned(spark):
     frame = spark.createDataFrame([("src/main/A.java", API), ("src/test/B.java", API), ("src/main/a.xml", "")], "path string, content string")
     assert [r["path"] for r in listings.java_files(frame).collect()] == ["src/main/A.java"]
