@@ -15,7 +15,28 @@ Columns without recent access: {{dead}}
 Say what a change of this table would touch, and what could be removed."""
 
 
-TEMPLATES = {"table": TABLE_PROMPT}
+#: The prompts for columns that may go, and for what a change of columns touches.
+DEAD_COLUMNS_PROMPT = """## Columns of {{table}} that may be unused
+Columns: {{columns}}
+Findings so far: {{findings}}
+Name the columns that nobody reads, that carry an old name or that are only written, what removing each would risk, and which must stay for audits."""
+FIELD_IMPACT_PROMPT = """## What a change of {{table}} touches
+Columns: {{columns}}
+Methods: {{methods}}
+Endpoints above them: {{endpoints}}
+Findings so far: {{findings}}
+For each column say how many methods and endpoints a change would reach, how risky that is, and what to test before it."""
+GOVERNANCE_PROMPT = """## Duties of {{table}}
+Columns: {{columns}}
+Methods: {{methods}}
+Endpoints above them: {{endpoints}}
+One way down to it: {{call_chain}}
+Findings so far: {{findings}}
+Say whether the table does too much, what could be split off, how far a change would reach, and which columns are open to too many."""
+
+TEMPLATES = {"table": TABLE_PROMPT, "dead_column_analysis": DEAD_COLUMNS_PROMPT, "field_impact_analysis": FIELD_IMPACT_PROMPT, "table_governance": GOVERNANCE_PROMPT}
+#: The prefix of topics.
+TOPIC = "lineage."
 
 
 def template(name: str) -> str:
@@ -50,6 +71,13 @@ def table_prompts(state: DataFrame, as_of: Column, days: int) -> DataFrame:
     return rows.select("table_name", fill(template("table"), values).alias("prompt"))
 
 
+def named_prompts(name: str, rows: DataFrame) -> DataFrame:
+    """table, name, prompt: a template filled from columns of its names, a prompt for each row; lists are joined by commas, nulls are empty."""
+    kinds = dict(rows.dtypes)
+    values = {c: F.array_join(c, ", ") if kinds[c].startswith("array") else F.col(c) for c in rows.columns}
+    return rows.select("table", F.lit(name).alias("name"), fill(template(name), values).alias("prompt"))
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is greatest by the given columns; tasks keep one row a key before anything is shuffled."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("last")).select("last.*")
@@ -59,3 +87,9 @@ def as_messages(rows: DataFrame, key: str, first: str, topic: str = "lineage.acc
     """topic, key, value: rows as keyed JSON messages, ready for a message sink."""
     columns = [first, *(c for c in rows.columns if c != first)]
     return rows.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*columns)).alias("value"))
+
+
+def event_messages(events: DataFrame) -> DataFrame:
+    """topic, key, value of the events of scans (trace, event_id, ts, event, ...): a topic for each class of event, keyed by trace; events without a class are none."""
+    columns = ["trace", "event_id", *(c for c in events.columns if c not in ("trace", "event_id", "event"))]
+    return events.where("event IS NOT NULL").select(F.concat(F.lit(TOPIC), "event").alias("topic"), F.col("trace").alias("key"), F.to_json(F.struct(*columns)).alias("value"))

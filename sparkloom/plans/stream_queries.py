@@ -9,6 +9,8 @@ from sparkloom.operators import facts, report, scans
 from sparkloom.plans.fact_queries import AS_OF, DAYS, over_state
 from sparkloom.plans.text_queries import ORACLES as TEXTS
 from sparkloom.plans.listing_queries import scan_events, scan_sql
+from sparkloom.scratch import fresh_path
+from sparkloom.sources import messages
 from sparkloom.streaming import capture, traces
 
 PARTS = 4
@@ -53,6 +55,23 @@ def _scan_chains(spark, folder):
     return _plain(traces.drained(traces.chains(traces.in_files(events, PARTS))), "requested_at")
 
 
+def _published(spark, folder):
+    """The events that count, published by class; a second time under the same name, which adds nothing."""
+    events = scans.log_of(scan_events(spark, folder)).select("trace", "event_id", "stage", "files_done", "event")
+    root = fresh_path(spark)
+    for _ in range(2):
+        messages.publish(report.event_messages(events), root, "scan")
+    return messages.published(spark, root)
+
+
+def _published_stream(spark, folder):
+    """All events as a stream brings them, published by class, batch by batch."""
+    events = traces.in_files(_timed(spark, folder), PARTS).withColumn("event", scans.event_of(F.col("stage"))).drop("ts", "files")
+    root = fresh_path(spark)
+    messages.publish(report.event_messages(events), root, "scan")
+    return messages.published(spark, root).groupBy("topic", "key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.get_json_object("value", "$.event_id").cast("long"))), ",").alias("events"))
+
+
 def _event_json(spark, folder):
     log = views(spark, folder, "access_log")[0]
     return report.as_messages(log.select("event_id", "user_id", "table_name", "operation"), "user_id", "event_id").select("topic", "key", "value")
@@ -70,6 +89,8 @@ QUERIES = {
     "progress_state": lambda spark, folder: capture.progress(capture.event_stream(spark, folder)),
     "trace_state_stream": _trace_states,
     "scan_chains": _scan_chains,
+    "published_events": _published,
+    "published_stream": _published_stream,
     "scan_history": _scan_history,
     "event_messages": _event_json,
     "report_prompts": _prompts,
@@ -105,3 +126,8 @@ ORACLES |= {
         FROM scans r JOIN scans f ON f.stage = 'ANALYZING' AND {_STEP.format(a="r", b="f")} JOIN scans a ON a.stage = 'SQL_PARSING' AND {_STEP.format(a="f", b="a")}
         LEFT JOIN scans e ON e.stage IN ('COMPLETED', 'FAILED') AND {_STEP.format(a="a", b="e")} WHERE r.stage = 'FETCHING'"""),
 }
+_TOPIC = "concat('lineage.', CASE stage WHEN 'FETCHING' THEN 'ScanRequested' WHEN 'ANALYZING' THEN 'CodeFetched' WHEN 'SQL_PARSING' THEN 'CodeAnalyzed' WHEN 'COMPLETED' THEN 'ScanCompleted' ELSE 'ProcessFailed' END)"
+ORACLES |= {
+    "published_events": scan_sql(f"""SELECT {_TOPIC} AS topic, trace AS key, concat('{{"trace":"', trace, '","event_id":', event_id, ',"stage":"', stage, '","files_done":', files_done, '}}') AS value FROM counted"""),
+    "published_stream": scan_sql(f"SELECT {_TOPIC} AS topic, trace AS key, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS events FROM scans GROUP BY ALL"),
+}
