@@ -123,6 +123,22 @@ def views(spark: SparkSession, folder: str, *names: str, **given: DataFrame) ->
     return [scope.put(name, scope.sql(VIEWS[name])) for name in names]
 
 
+def whole_definitions() -> dict[str, str]:
+    """The definitions of calls and accesses over every line item, as whole_graph() has them."""
+    every = {name: VIEWS[name].rsplit(" WHERE l_quantity", 1)[0] for name in ("calls", "accesses")}
+    return {
+        "calls": f"""
+        SELECT concat(call_id, '-', CAST(row_number() OVER (PARTITION BY call_id ORDER BY src, dst, call_type, line_number) AS VARCHAR(20))) AS call_id, src, dst, call_type, line_number FROM ({every["calls"]}) every""",
+        "accesses": every["accesses"],
+    }
+
+
+def whole_views(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    """views() whose calls and accesses take every line item."""
+    scope, definitions = tables(spark, folder, "part", "lineitem", "events", "supplier"), VIEWS | whole_definitions()
+    return [scope.put(name, scope.sql(definitions[name])) for name in names]
+
+
 def with_views(sql: str, *names: str) -> str:
     """`sql` after the named view definitions, as one statement."""
     return "WITH RECURSIVE " + ", ".join(f"{name} AS ({VIEWS[name]})" for name in names) + " " + sql
@@ -130,7 +146,5 @@ def with_views(sql: str, *names: str) -> str:
 
 def with_whole_views(sql: str) -> str:
     """A statement of with_views() over the calls and accesses of every line item, as whole_graph() has them."""
-    calls = VIEWS["calls"].rsplit(" WHERE l_quantity", 1)[0]
-    numbered = f"""
-        SELECT concat(call_id, '-', row_number() OVER (PARTITION BY call_id ORDER BY src, dst, call_type, line_number)) AS call_id, src, dst, call_type, line_number FROM ({calls}) every"""
-    return sql.replace(VIEWS["calls"], numbered).replace(VIEWS["accesses"], VIEWS["accesses"].rsplit(" WHERE l_quantity", 1)[0])
+    whole = whole_definitions()
+    return sql.replace(VIEWS["calls"], whole["calls"]).replace(VIEWS["accesses"], whole["accesses"])

@@ -50,6 +50,14 @@ def containing(wanted: DataFrame, held: DataFrame, window: int = 6) -> DataFrame
     return rare.join(keys, "key").where(F.contains("whole", "text")).select("text", "whole")
 
 
+def entries(methods: DataFrame, app: int | str | None = None) -> DataFrame:
+    """method_id, app_id, signature, http_path, http_method, class_name of the entry methods of an app; None or `%` means all."""
+    found = methods.where("is_entry")
+    if app is not None and app != "%":
+        found = found.where(F.col("app_id") == app)
+    return found.select("method_id", "app_id", "signature", F.col("path").alias("http_path"), "http_method", "class_name")
+
+
 def by_id(wanted: DataFrame, methods: DataFrame) -> DataFrame:
     """The methods whose full_id is one of `wanted` (full_id)."""
     return methods.join(wanted.select("full_id").distinct(), "full_id", "left_semi")

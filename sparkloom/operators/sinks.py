@@ -16,7 +16,12 @@ def upsert(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def append_run(rows: DataFrame, path: str, run: str) -> None:
     """Add the rows of one run to the table at `path`; a run that is written again replaces itself."""
-    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+    append_runs(rows.withColumn("run", F.lit(run)), path)
+
+
+def append_runs(rows: DataFrame, path: str, by: str = "run") -> None:
+    """Add rows to the table at `path`, which lies in a folder for each value of `by`; the values that the rows have are replaced, others stay."""
+    rows.write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:

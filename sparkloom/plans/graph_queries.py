@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.fixture import Graph, graph, views, whole_graph, with_views, with_whole_views
-from sparkloom.operators import drawing, rules, sinks, topology, traverse
+from sparkloom.operators import drawing, report, rules, sinks, topology, traverse
+from sparkloom.scratch import fresh_path, saved
 
 TRACE_DEPTH = 3
 
@@ -223,6 +224,34 @@ def _whole_upstream(g):
     return traverse.upstream_entries(g, g.accesses.select("method_id").distinct())
 
 
+def _kept_findings(spark, folder):
+    """Findings of every app, appended run by run; the runs of the even apps are written again, which changes nothing. Newest of each app and rule read back."""
+    g, path = graph(spark, folder), fresh_path(spark)
+    found = saved(rules.findings(g).join(g.methods.select("method_id", "app_id"), "method_id").withColumn("created", F.col("method_id")))
+    sinks.append_runs(found, path, "app_id")
+    sinks.append_runs(found.where("app_id % 2 = 0"), path, "app_id")
+    top = sinks.newest_of_each(sinks.history(spark, path), ["app_id", "rule_id"], 3, [F.desc("created"), F.asc("title"), F.asc("description")])
+    return top.select(F.col("app_id").cast("int"), "rule_id", "method_id", "title", "description")
+
+
+def _kept_reports(spark, folder):
+    """A prompt of each app's findings by rule, appended as a run an app, a second time for app 1; read back with how many there are."""
+    g, path = graph(spark, folder), fresh_path(spark)
+    found = rules.findings(g).join(g.methods.select("method_id", "app_id"), "method_id")
+    lines = found.groupBy("app_id").agg(F.array_sort(F.collect_set("rule_id")).alias("findings"), F.array_sort(F.collect_set(F.col("method_id"))).alias("ids"))
+    rows = lines.select(F.concat(F.lit("app "), "app_id").alias("table"), F.lit("all").alias("columns"), F.transform("ids", lambda i: i.cast("string")).alias("methods"), F.lit("none").alias("endpoints"), "findings")
+    prompts = saved(report.named_prompts("field_impact_analysis", rows).withColumnRenamed("table", "run"))
+    sinks.append_runs(prompts, path)
+    sinks.append_runs(prompts.where("run = 'app 1'"), path)
+    return sinks.history(spark, path).select("run", "name", "prompt")
+
+
+def _own_rule(spark, folder):
+    """A rule of one's own beside two that are built in: methods that write more than one table."""
+    rule = rules.Rule("many-writes", "LOW", "architecture", rules.many_writes, "Writes in {class_name}.{signature}", "Writes {n_tables} tables.", "Write one table a method.")
+    return rules.findings(graph(spark, folder), ["orphan-code", "layer-violation", "many-writes"], own=[rule]).select("rule_id", "severity", "method_id", "title", "description")
+
+
 def _rule_listing(spark, folder):
     """The registered rules with the number of their findings."""
     listed = spark.createDataFrame([(r.id, r.severity, r.category) for r in rules.RULES], "rule_id string, severity string, category string")
@@ -245,6 +274,9 @@ QUERIES = {
     "layer_violation": _on(rules.layer_violation),
     "findings": _findings,
     "findings_of_apps": _findings_of_apps,
+    "findings_kept": _kept_findings,
+    "reports_kept": _kept_reports,
+    "findings_of_own_rule": _own_rule,
     "findings_of_app": lambda spark, folder: rules.findings(graph(spark, folder), app=3).select("rule_id", "method_id", "title", "description"),
     "methods_upsert": _upserted,
     "apps_to_scan": _to_scan,
@@ -268,6 +300,10 @@ QUERIES = {
     "whole_topology": _whole(topology.topology),
     "whole_god_method": _whole(rules.god_method),
     "whole_n_plus_one": _whole(rules.n_plus_one),
+    "whole_neighbours": _whole(lambda g: g.calls.join(g.methods, F.col("dst") == F.col("method_id")).select("call_id", "src", "dst", "signature", "class_name")),
+    "whole_callers": _whole(lambda g: g.calls.join(g.methods, F.col("src") == F.col("method_id")).select("call_id", "src", "dst", "signature", "class_name")),
+    "whole_method_accesses": _whole(lambda g: g.methods.join(g.accesses, "method_id").select("method_id", "signature", "table_id", "operation")),
+    "whole_scan_stats": _whole(topology.scan_stats),
     "circular_dep_first": _on(lambda g: rules.circular_dep(g, first=50)),
     "circular_dep_counts": _on(lambda g: traverse.trail_counts(g.calls, 2, 5)),
     "whole_circular_dep_first": _whole(lambda g: rules.circular_dep(g, first=50)),
@@ -435,3 +471,18 @@ ORACLES |= {
     "whole_circular_dep_first": with_whole_views(_sql(_FIRST, _NUMBERED)),
     "whole_circular_dep_counts": with_whole_views(_sql(_COUNTED, _NUMBERED)),
 }
+
+_NEWEST = "SELECT {0}, rule_id, method_id, title, description FROM (SELECT f.*, m.app_id, row_number() OVER (PARTITION BY m.app_id, f.rule_id ORDER BY f.method_id DESC, title, description) AS nth FROM found f JOIN methods m ON f.method_id = m.method_id) x WHERE nth <= 3"
+_PROMPT = report.FIELD_IMPACT_PROMPT.replace("'", "''").split("{{")
+_FILLED = "concat('" + _PROMPT[0] + "', " + ", ".join({"table": "concat('app ', app_id)", "columns": "'all'", "methods": "ids", "endpoints": "'none'", "findings": "rules"}[p.split("}}")[0]] + ", '" + p.split("}}")[1] + "'" for p in _PROMPT[1:]) + ")"
+ORACLES |= {
+    "findings_kept": _sql(_NEWEST.format("app_id"), _CYCLE, _TRAILS, _rendered()),
+    "reports_kept": _sql(f"SELECT concat('app ', app_id) AS run, 'field_impact_analysis' AS name, {_FILLED} AS prompt FROM (SELECT m.app_id, string_agg(DISTINCT f.rule_id, ', ' ORDER BY f.rule_id) AS rules, array_to_string(list_sort(list(DISTINCT f.method_id)), ', ') AS ids FROM found f JOIN methods m ON f.method_id = m.method_id GROUP BY m.app_id) r", _CYCLE, _TRAILS, _rendered()),
+    "findings_of_own_rule": _sql("""SELECT rule_id, severity, method_id, title, description FROM found WHERE rule_id IN ('orphan-code', 'layer-violation')
+        UNION ALL SELECT 'many-writes', 'LOW', m.method_id, concat('Writes in ', class_name, '.', signature), concat('Writes ', n, ' tables.') FROM (SELECT method_id, count(DISTINCT table_id) AS n FROM accesses WHERE operation <> 'SELECT' GROUP BY method_id HAVING count(DISTINCT table_id) > 1) w JOIN methods m ON w.method_id = m.method_id""", _CYCLE, _TRAILS, _rendered()),
+    "whole_neighbours": with_whole_views(ORACLES["neighbours"]),
+    "whole_callers": with_whole_views(ORACLES["callers"]),
+    "whole_method_accesses": with_whole_views(ORACLES["method_accesses"]),
+    "whole_scan_stats": with_whole_views(_sql("""SELECT m.app_id, m.entries, m.methods, coalesce(c.n, 0) AS relations, coalesce(a.n, 0) AS sql_relations, coalesce(a.t, 0) AS tables FROM (SELECT app_id, count(*) FILTER (WHERE is_entry) AS entries, count(*) AS methods FROM methods GROUP BY app_id) m
+        LEFT JOIN (SELECT app_id, count(*) AS n FROM calls JOIN methods ON src = method_id GROUP BY app_id) c ON m.app_id = c.app_id LEFT JOIN (SELECT o.app_id, count(*) AS n, count(DISTINCT table_id) AS t FROM accesses x JOIN methods o ON x.method_id = o.method_id GROUP BY o.app_id) a ON m.app_id = a.app_id""")),
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.fixture import VIEWS, views, with_views
+from sparkloom.fixture import VIEWS, views, whole_views, with_views, with_whole_views
 from sparkloom.operators import resolve
 
 VIEWS.update(
@@ -28,11 +28,11 @@ VIEWS.update(
 _NAMED = ("methods", "calls", "accesses", "named_methods")
 
 
-def _query(operator, *names):
+def _query(operator, *names, of=views):
     """A query of `operator` over the last of the named views and the named methods."""
 
     def query(spark, folder):
-        found = views(spark, folder, *_NAMED, *names)
+        found = of(spark, folder, *_NAMED, *names)
         return operator(found[-1], found[len(_NAMED) - 1])
 
     return query
@@ -60,6 +60,24 @@ QUERIES = {
     "callers_resolved": _query(resolve.resolve_callers, "raw_callers"),
 }
 
+def _entries(app=None):
+    """Entry methods, of all apps or one, with path and verb."""
+    return lambda named, _: resolve.entries(named.withColumn("http_method", F.lit("GET")), app)
+
+
+#: Queries over the calls and accesses of every line item.
+WHOLE = {
+    "calls_resolved": (resolve.resolve_calls, "raw_calls"),
+    "callers_resolved": (resolve.resolve_callers, "raw_callers"),
+    "accesses_exact": (resolve.accesses_exact, "raw_accesses"),
+    "access_tables": (lambda raw, methods: resolve.access_tables(raw), "raw_accesses"),
+    "accesses_prefix": (resolve.accesses_prefix, "raw_accesses"),
+    "external_resolved": (_external_only, "call_texts"),
+}
+QUERIES |= {f"whole_{name}": _query(operator, view, of=whole_views) for name, (operator, view) in WHOLE.items()}
+QUERIES |= {"entry_projection": _query(_entries()), "entry_projection_of_app": _query(_entries(3))}
+
+
 def _sql(sql: str, *names: str) -> str:
     return with_views(sql, *_NAMED, *names)
 
@@ -91,3 +109,6 @@ ORACLES = {
         UNION ALL SELECT call_id, min(m.method_id), 'prefix' FROM raw_callers r JOIN named_methods m ON starts_with(m.signature, regexp_extract(source, '([^.(]*)\\(', 1)) WHERE source NOT IN (SELECT full_id FROM named_methods) GROUP BY call_id""", "raw_callers"),
     "method_lookup": _sql("SELECT left(signature, 2) AS name, min(method_id) AS method_id FROM named_methods GROUP BY 1"),
 }
+ORACLES |= {f"whole_{name}": with_whole_views(ORACLES[name]) for name in WHOLE}
+_PROJECTED = "SELECT method_id, app_id, signature, path AS http_path, 'GET' AS http_method, class_name FROM named_methods WHERE is_entry"
+ORACLES |= {"entry_projection": _sql(_PROJECTED), "entry_projection_of_app": _sql(_PROJECTED + " AND app_id = 3")}
