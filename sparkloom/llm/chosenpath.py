@@ -90,7 +90,7 @@ def digests(values: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """doc_id, h1, h2, n (of digests()), keys."""
+    """doc_id, mark (the text's hash), h1, h2, n (of digests()), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +101,9 @@ def sketches(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
                 for column, digest in zip(out, digests(values, starts), strict=False):
                     column.append(digest)
             if out[3]:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(c), pa.int64()) for c in out[:3]), pa.concat_arrays(out[3])], names=["doc_id", "h1", "h2", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.concatenate(c), pa.int64()) for c in out[:3]), pa.concat_arrays(out[3])], names=["doc_id", "mark", "h1", "h2", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, h1 long, h2 long, n long, keys array<long>")
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -120,21 +120,14 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """h1, h2, n, shingles: the packed set of each text that has words; a task has each set once, so copies are not shuffled."""
+    """rep, shingles: the packed set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[tuple[int, int, int]] = set()
         for batch in batches:
-            out: list[tuple] = []
-            for values, starts in _sets(batch.column(0)):
-                for i, digest in enumerate(zip(*(d.tolist() for d in digests(values, starts)), strict=True)):
-                    if digest[2] and digest not in known:
-                        known.add(digest)
-                        out.append((*digest, packed(values[starts[i] : starts[i + 1]])))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["h1", "h2", "n", "shingles"])
+            rows = [packed(values[a:b]) for values, starts in _sets(batch.column(1)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["rep", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "h1 long, h2 long, n long, shingles binary")
+    return docs.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
 
 
 def children(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -264,15 +257,17 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     an empty one; other columns are ignored, whatever their names.
     """
     runs = runs_for(recall, depth)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     sketched = saved(sketches(docs, runs, threshold))
-    sets_of = sketched.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
-    reps = saved(sets_of.withColumn("rep", F.monotonically_increasing_id()))  # a set's own number, whatever ids its texts have
+    sets_of = sketched.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("carrier"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
+    # a set has a number of its own, whatever ids its texts have; the text of the least id (then hash) carries it
+    reps = saved(sets_of.select("h1", "h2", "n", "copies", "keys", F.col("carrier.doc_id").alias("least"), F.col("carrier.mark").alias("mark"), F.monotonically_increasing_id().alias("rep")))
     level = shared_keys(reps.select("rep", F.explode(F.array_distinct("keys")).alias("key")))
     level = saved(level)
     active = level.select("rep").distinct()
     of = ["h1", "h2", "n"]
-    sets = saved(set_rows(docs).dropDuplicates(of).join(reps.join(active, "rep").select("rep", *of), of).select("rep", "shingles"))
+    carriers = reps.join(active, "rep").select("rep", F.col("least").alias("doc_id"), "mark")
+    sets = saved(set_rows(docs.join(carriers, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])))
     found = level.where(F.col("in_bucket") <= SMALL)
     for step in range(1, depth):
         large = level.where(F.col("in_bucket") > SMALL)
