@@ -1,19 +1,20 @@
-"""Secret spans: three fixed patterns, and tokens that a battery of randomness tests sets apart from words.
+"""Secret spans: three fixed patterns, and tokens that a battery of randomness tests sets apart from identifiers.
 
 Built-in functions alone. Spans are in code points, the end exclusive. Every long token is assigned the narrowest
-alphabet that holds it. Three statistics are compared with what ordinary words would give at that length: chi-squared
-distance from a uniform alphabet (words are far from it), the number of runs of one character class (words have few)
-and the size of the lag-one serial correlation of the character codes (that of a sequence is large). What ordinary words
-give is taken from the table itself: how often the class changes within words, and of tokens of small letters alone how
-often two are the same and their serial correlations. The three are standard scores for randomness, which may
-be negative, and are joined by Stouffer's rule. The false-discovery rate is held by Benjamini and Hochberg's step-up rule
-within each alphabet and band of lengths, over counts of all tokens of the table by p-value.
+encoding (hex, base32, base64) that holds it. Three statistics are taken by encoding: chi-squared distance from uniform use of its
+alphabet, runs of one character class, and the size of the lag-one serial correlation of the character codes. The
+hypothesis that a discovery rejects is that of an ordinary token: an identifier joined from words, whose letters are far
+from uniform, whose class changes where a word begins, and whose correlation is that of words. What mixed-case
+identifiers are like is taken from all such tokens of the table together with a fixed stock of them, so small tables
+go by the stock and large ones by their own; hex and base32 go by words of those letters. Each statistic is a standard score against that, with the spread
+between identifiers beside that within one. The three are joined by Stouffer's rule with weights, and the false-discovery rate is held
+by Benjamini and Hochberg's step-up rule within each alphabet and band of lengths, over counts of all tokens of the table by p-value.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +26,10 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "random"]
-#: Small letters alone, and marks between them: a token of words.
-WORDY = "^[a-z_/=+-]+$"
-#: Word-like tokens below which those of a table say too little; serial correlations are then taken as those of independent characters: mean and spread of their sizes.
-LEAST_WORDY, SERIAL = 100, (0.8, 0.6)
+#: Words, capital or not, acronyms, short numbers and marks: a token that is made of these alone is an identifier. Random text of 20 characters is hardly ever one.
+PIECE = r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[A-Z](?=[A-Z][a-z])|[0-9]{1,4}(?![0-9])|[_/=+-]"
+#: Weights of the chi-squared, runs and serial scores: the last one tells sequences apart, but hardly words.
+WEIGHTS = (2.0, 2.0, 1.0)
 #: Matches that are placed at once.
 BLOCK = 256
 #: p-values are counted in steps of this factor.
@@ -111,45 +112,64 @@ def statistics(token: Column) -> Column:
     joint = sums["xy"] - m * (2 * sums["x"] - first - last) + (length - 1) * m * m
     serial = F.coalesce(F.try_divide(joint, sums["xx"] - length * m * m), F.lit(0.0)) * F.sqrt(length)
     return F.struct(
-        alphabet(token).alias("size"), length.alias("length"), squares.alias("squares"), F.length(inner).cast("double").alias("inner"), runs.alias("runs"), serial.alias("serial"), token.rlike(WORDY).alias("wordy")
+        alphabet(token).alias("size"), length.alias("length"), squares.alias("squares"), F.length(inner).cast("double").alias("inner"), runs.alias("runs"), serial.alias("serial"), ((F.regexp_replace(token, PIECE, "") == "") & token.rlike("[a-z][A-Z]")).alias("wordy")
     )
 
 
 @dataclass(frozen=True)
-class WordFigures:
-    """What ordinary words of a table are like: the chance that two letters are the same, that a character is of another class than the one before, and mean and spread of the size of serial correlations."""
+class Ordinary:
+    """What ordinary tokens of an encoding are like: the chance that two characters are the same, and that one is of another class than the one before, and how far both differ between tokens; mean and spread of the size of serial correlations."""
 
-    same: float = 0.07
-    change: float = 0.06
-    serial_mean: float = SERIAL[0]
-    serial_spread: float = SERIAL[1]
+    same: float
+    same_spread: float
+    change: float
+    change_spread: float
+    serial_mean: float = 0.8
+    serial_spread: float = 0.6
 
 
-def class_changes(texts: DataFrame) -> float:
-    """The chance that a character of a word is of another class than the one before, over all texts (column text); that of WordFigures where there are no words.
+#: By size of the alphabet: words of hex letters and numbers, words of capitals, identifiers of mixed case; and how many tokens of the table weigh as much as the last.
+STOCK = {16: Ordinary(0.14, 0.01, 0.1, 0.05), 32: Ordinary(0.068, 0.008, 0.06, 0.04), 64: Ordinary(0.056, 0.008, 0.27, 0.05)}
+STOCK_TOKENS = 200
 
-    A text's pairs of neighbours within words are taken as its length less two for each word.
-    """
-    text = F.col("text")
-    row = texts.agg(
-        F.sum(F.length(text)).alias("chars"), F.sum(F.regexp_count(text, F.lit("[A-Za-z0-9]+"))).alias("words"),
-        F.sum(F.regexp_count(text, F.lit("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"))).alias("changes"),
+
+def ordinary(tests: DataFrame) -> dict[int, Ordinary]:
+    """STOCK with the identifiers among `tests` (test) added to those of mixed case, by numbers of tokens; one row reaches the driver."""
+    length, test = F.col("test.length"), F.col("test")
+    same = (test["squares"] - length) / (length * (length - 1))
+    pairs = F.greatest(test["inner"] - 1, F.lit(1.0))
+    change, size = (test["runs"] - 1) / pairs, F.abs(test["serial"])
+    within = change * (1 - change) / pairs
+    row = tests.where("test.wordy AND test.size = 64").agg(
+        F.count("*").alias("n"), *(F.avg(x).alias(name) for name, x in (("same", same), ("change", change), ("serial", size), ("within", within))),
+        *(F.var_pop(x).alias(f"{name}_var") for name, x in (("same", same), ("change", change), ("serial", size))),
     ).first()
-    pairs = (row["chars"] or 0) - 2 * (row["words"] or 0)
-    return min(max((row["changes"] or 0) / pairs, 0.001), 0.5) if pairs > 0 and row["words"] else WordFigures.change
+    stock, n = STOCK[64], row["n"]
+    if not n:
+        return STOCK
+    mix = lambda own, fixed: (n * own + STOCK_TOKENS * fixed) / (n + STOCK_TOKENS)
+    apart = lambda var, inside, fixed: math.sqrt(mix(max(var - inside, 0.0), fixed**2))
+    # chance and spread within a token are part of its score already
+    shape = Ordinary(
+        mix(row["same"], stock.same), max(apart(row["same_var"], 2 * row["same"] / 600, stock.same_spread), stock.same_spread / 2),
+        mix(row["change"], stock.change), max(apart(row["change_var"], row["within"], stock.change_spread), stock.change_spread / 2),
+        mix(row["serial"], stock.serial_mean), max(math.sqrt(mix(row["serial_var"], stock.serial_spread**2)), stock.serial_spread / 2),
+    )
+    return STOCK | {64: shape}
 
 
-def joined_steps(test: Column, words: WordFigures) -> Column:
-    """The joined p-value of a token's statistics, as -log(p) in steps; many steps mean little like words."""
+def joined_steps(test: Column, words: dict[int, Ordinary]) -> Column:
+    """The joined p-value of a token's statistics, as -log(p) in steps; many steps mean little like an ordinary token."""
+    of = lambda name: F.coalesce(*(F.when(test["size"] == size, getattr(w, name)) for size, w in words.items()))
     size, length = test["size"], test["length"]
-    excess = size * words.same - 1
+    excess = size * of("same") - 1
     chi = size * test["squares"] / length - length
-    z_chi = ((size - 1 + length * excess) - chi) / F.sqrt(2 * (size - 1) + 4 * length * F.greatest(excess, F.lit(0.1)))
+    z_chi = ((size - 1 + length * excess) - chi) / F.sqrt(2 * (size - 1) + 4 * length * F.greatest(excess, F.lit(0.1)) + F.pow(size * length * of("same_spread"), F.lit(2.0)))
     pairs = F.greatest(test["inner"] - 1, F.lit(1.0))
-    z_runs = (test["runs"] - (pairs * words.change + 1.5)) / F.sqrt(pairs * words.change * (1 - words.change))
-    z_serial = (words.serial_mean - F.abs(test["serial"])) / words.serial_spread
+    z_runs = ((test["runs"] - 1) / pairs - of("change")) / F.sqrt(of("change") * (1 - of("change")) / pairs + F.pow(of("change_spread"), F.lit(2.0)))
+    z_serial = (of("serial_mean") - F.abs(test["serial"])) / of("serial_spread")
     bound = lambda z: F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
-    z = (bound(z_chi) + bound(z_runs) + bound(z_serial)) / math.sqrt(3)
+    z = sum(w * bound(z) for w, z in zip(WEIGHTS, (z_chi, z_runs, z_serial), strict=True)) / math.sqrt(sum(w * w for w in WEIGHTS))
     return F.least(F.floor(-F.log(normal_below(-z)) * STEPS_PER_E), F.lit(MOST_STEPS)).cast("int")
 
 
@@ -191,13 +211,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.001) -> DataFrame:
     judged = F.transform(free, lambda t: F.struct(t["begin"].alias("begin"), t["kind"].alias("kind"), t["end"].alias("end"), band(t["end"] - t["begin"]).alias("band"), statistics(t["value"]).alias("test")))
     found = saved(scanned.select("doc_id", "base", judged.alias("tokens")))
     each = found.select(F.explode("tokens").alias("t")).select("t.band", "t.test")
-    words = WordFigures(change=class_changes(docs.select(text.alias("text"))))
-    length = F.col("test.length")
-    same = (F.col("test.squares") - length) / (length * (length - 1))
-    wordy = each.where("test.wordy").agg(F.count("*").alias("n"), F.avg(same).alias("same"), F.avg(F.abs("test.serial")).alias("mean"), F.stddev(F.abs("test.serial")).alias("spread")).first()
-    if wordy["n"] >= LEAST_WORDY:
-        # no more than in natural languages: in a table of few letters a word of many is no secret
-        words = replace(words, same=min(wordy["same"], words.same), serial_mean=wordy["mean"], serial_spread=max(wordy["spread"], 0.1))
+    words = ordinary(each)
     least = thresholds(each.select("test.size", "band", joined_steps(F.col("test"), words).alias("steps")), rate)
     passes = lambda t: F.coalesce(*(F.when((t["test"]["size"] == s) & (t["band"] == b), joined_steps(t["test"], words) >= n) for (s, b), n in sorted(least.items())), F.lit(False))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", bare(F.filter("tokens", passes)))).alias("spans"))
