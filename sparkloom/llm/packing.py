@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Pieces in a partition, about; it bounds a task's memory.
 PIECES_PER_PARTITION = 20_000
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 400_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", row long, sequence_id long, offset long, open boolean"
 
