@@ -1,24 +1,58 @@
-"""Resolution of textual call and access targets to methods, as equi-joins.
+"""Resolution of textual call and access targets to methods.
 
-A prefix test becomes a join on all prefixes of the longer side, a suffix test one on the suffixes of the lengths that
+A prefix test becomes a join by ranges of sorted texts, a suffix test one on the suffixes of the lengths that
 occur, and a substring test one on windows of a few characters, checked afterwards.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import names
 from sparkloom.scratch import saved
 
+#: Texts of the sample that places the cuts of ranges, by partition, and the greatest character.
+TEXTS_A_RANGE, LAST = 64, "\U0010ffff"
+
+
+def _begun(key: tuple, names: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """All pairs of a name and a text of one range that begins with it: in sorted texts they follow each other."""
+    texts = np.sort(held["whole"].to_numpy(object)) if len(held) else np.zeros(0, object)
+    asked = names["name"].to_numpy(object)
+    low = [bisect_left(texts, n) for n in asked]
+    high = [bisect_right(texts, n + LAST, lo=a) for n, a in zip(asked, low, strict=True)]
+    many = np.subtract(high, low) if len(asked) else np.zeros(0, int)
+    return pd.DataFrame({"name": np.repeat(asked, many), "whole": np.concatenate([texts[a:b] for a, b in zip(low, high, strict=True)]) if len(asked) else asked})
+
+
+def beginnings(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """name, whole: all pairs of a `name` of `wanted` and a `whole` of `held` that starts with it, each once.
+
+    Texts are dealt to ranges in their order, by cuts from a bounded sample; a name goes to the ranges from itself to its
+    last continuation, one or two unless it is very short. Every text takes part once, however many names it has. An
+    empty name is none.
+    """
+    spark = held.sparkSession
+    wanted, held = wanted.select("name").where("name <> ''").distinct(), saved(held.select("whole").where("whole IS NOT NULL").distinct())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, held.count() // (parts * TEXTS_A_RANGE))
+    some = sorted(r[0] for r in held.where(F.pmod(F.xxhash64("whole"), F.lit(every)) == 0).collect())  # TEXTS_A_RANGE a partition, about
+    cuts = F.lit([some[len(some) * i // parts] for i in range(1, parts)] if some else []).cast("array<string>")
+    place = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
+    names = wanted.select("name", F.explode(F.sequence(place(F.col("name")), place(F.concat("name", F.lit(LAST))))).alias("part"))
+    texts = held.select("whole", place(F.col("whole")).alias("part"))
+    return names.groupBy("part").cogroup(texts.groupBy("part")).applyInPandas(_begun, "name string, whole string")
+
 
 def by_prefix(wanted: DataFrame, methods: DataFrame, most: int | None = 50) -> DataFrame:
     """name, method_id, app_id: for each name the first `most` methods, by id, whose signature starts with it."""
-    wanted = wanted.select("name").where("name <> ''").distinct()
-    lengths = [r[0] for r in wanted.select(F.length("name")).distinct().collect()]  # lengths of names: a few dozen
-    starts = F.array_distinct(F.array(*(F.substring("signature", 1, n) for n in lengths))) if lengths else F.array().cast("array<string>")
-    found = wanted.join(methods.select("method_id", "app_id", F.explode(starts).alias("name")), "name")
+    pairs = beginnings(wanted, methods.select(F.col("signature").alias("whole")))
+    found = pairs.join(methods.select("method_id", "app_id", F.col("signature").alias("whole")), "whole").drop("whole")
     if most is None:
         return found
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("method_id"))).where(F.col("nth") <= most).drop("nth")

@@ -86,3 +86,17 @@ def test_templates_and_apps(spark):
     document = report.as_document(state.where("method_id = 1").select("table_name", "app_id"), "table_name").first()["document"]
     assert document == '{\n  "table_name" : "t",\n  "app_id" : 1\n}'
     assert sinks.apps_to_scan(spark.createDataFrame([(1,), (2,)], "app_id int"), spark.createDataFrame([(1, True), (2, False)], "app_id int, is_entry boolean")).select(F.collect_list("app_id")).first()[0] == [2]
+
+
+def test_beginnings_equal_all_pairs(spark):
+    """Names that are texts, nest, repeat, are empty or go beyond all texts; texts of other scripts; no names and no texts."""
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abé\U0001f600z") for _ in range(rng.randint(0, 6))) for _ in range(300)] + [None]
+    names = ["".join(rng.choice("abé\U0001f600z") for _ in range(rng.randint(0, 3))) for _ in range(60)] + ["zzzzzzzzz", texts[0]]
+    held = spark.createDataFrame([(t,) for t in texts], "whole string")
+    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [tuple(r) for r in resolve.beginnings(wanted, held).collect()]
+    assert sorted(got) == sorted((n, t) for n in set(names) if n for t in set(texts) if t is not None and t.startswith(n))
+    assert resolve.beginnings(wanted.where("false"), held).count() == 0 == resolve.beginnings(wanted, held.where("false")).count()
