@@ -57,7 +57,19 @@ def _name_parts(spark, folder):
     return methods.withColumn("id", full).select("method_id", names.app_of(F.col("id")).alias("app"), name.alias("name"), names.class_of(F.col("id")).alias("class"), names.signature_of(F.col("id")).alias("sig"), sqltext.operation_of_name(name).alias("operation"))
 
 
+#: Names that databases give themselves, by user_id.
+PRODUCTS = {"MySQL": "MYSQL", "PostgreSQL": "POSTGRESQL", "DB2/LINUXX8664": "DB2", "Oracle": "ORACLE", "Microsoft SQL Server": "SQLSERVER", "H2": "GENERIC", "mysql community": "MYSQL"}
+
+
+def _products(spark, folder):
+    """The type of database of each capture by the name of its product."""
+    captured = views(spark, folder, "access_log", "captured_sql")[1]
+    product = F.element_at(F.array(*map(F.lit, PRODUCTS)), (F.col("user_id") % len(PRODUCTS) + 1).cast("int"))
+    return captured.select("event_id", product.alias("product"), sqltext.db_type_of_product(product).alias("db_type"))
+
+
 QUERIES = {
+    "sql_products": _products,
     "sql_tables": _captured(lambda sql, url: {"tables": _joined(sqltext.table_names(sql))}),
     "sql_operation": _captured(lambda sql, url: {"operation": sqltext.operation(sql)}),
     "sql_columns": _captured(lambda sql, url: {"columns": _joined(F.transform(sqltext.column_refs(sql), _refs))}),
@@ -115,3 +127,4 @@ ORACLES = {
     "rpc_method": _calls("CASE WHEN expression LIKE '%dubbo%' THEN regexp_extract(expression, '\\.([^.(]*)\\([^.]*$', 1) END AS method"),
     "name_parts": with_views(f"SELECT method_id, concat('app-', app_id) AS app, concat(b, 'm', method_id) AS name, replace(class_name, ' ', '_') AS class, concat(b, signature) AS sig, o AS operation FROM methods JOIN (VALUES {', '.join(f"({i}, '{b}', '{o}')" for i, (b, o) in enumerate(BEGINNINGS.items()))}) x(i, b, o) ON method_id % {len(BEGINNINGS)} = i", "methods"),
 }
+ORACLES["sql_products"] = "SELECT event_id, CASE user_id % 7 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PRODUCTS)) + " END AS product, CASE user_id % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(PRODUCTS.values())) + " END AS db_type FROM events"
