@@ -203,6 +203,8 @@ class Scanner:
         """The expression that ends before the dot (or ::) at this place."""
         i = end - 1
         while i >= 0:
+            if self.at(i) == "}" and self.at(self.match.get(i, i) - 1) == ")":  # an anonymous class
+                i = self.match[i] - 1
             if self.at(i) in (")", "]"):
                 i = self.match.get(i, i)
                 if _is_name(self.at(i - 1) or " ") and self.at(i - 1) not in NO_CALLS - {"this", "super"}:

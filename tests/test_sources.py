@@ -200,3 +200,9 @@ def test_mappers_taken_by_constructors_and_by_class_names(spark):
     none = spark.createDataFrame([], "method_id long, operation string")
     rows = mappers.relations(methods.where("method_id = 4"), none, used, found)
     assert [(r["source"], r["columns"]) for r in rows.collect()] == [("mapper:OMapper", "name")] and mappers.without_stubs(rows).count() == 0
+
+
+def test_calls_after_an_anonymous_class(spark):
+    text = "class A { void m() { new Thread(run) { public void run() { go(); } }.start(); list.map(x -> { f(x); }).get(); } }"
+    rows = java.calls(spark.createDataFrame([("A.java", text)], "path string, content string")).where("kind = 'call'").collect()
+    assert {r["name"]: r["scope"] for r in rows if r["caller"] == "m"} == {"start": "new Thread(run) { public void run() { go(); } }", "go": "this", "map": "list", "f": "this", "get": "list.map(x -> { f(x); })"}
