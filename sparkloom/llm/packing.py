@@ -26,8 +26,8 @@ from sparkloom.scratch import saved
 CAPACITY = 2048
 #: Pieces in a partition, about; it bounds a task's memory.
 PIECES_PER_PARTITION = 20_000
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose ids a task keeps at most.
+CACHE_WORDS = 200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", row long, sequence_id long, offset long, open boolean"
 
@@ -145,6 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                         column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.ids.clear()  # the worker may serve other stages next
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, PIECE_SCHEMA)
 
