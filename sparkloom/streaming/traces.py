@@ -6,6 +6,7 @@ these streams come to on a finished table.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,13 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkloom.operators import scans
-from sparkloom.scratch import fresh_path
+from sparkloom.scratch import fresh_path, saved
 from sparkloom.streaming.capture import run_once
 
 EVENT = "struct<ts:timestamp,event_id:long,stage:string,files_done:int,files:int>"
-STATE = f"stage string, files_done int, files int, n_events long, started timestamp, updated timestamp, late long, timings map<string,long>, pending array<{EVENT}>"
+TRACE = f"struct<trace:string,stage:string,files_done:int,files:int,n_events:long,started:timestamp,updated:timestamp,late:long,timings:map<string,long>,pending:array<{EVENT}>,deadline:long>"
+STATE = f"traces array<{TRACE}>"
 OUT = "trace string, stage string, files_done int, files int, n_events long, started timestamp, updated timestamp, finished timestamp, timed_out boolean, late long, timings map<string,long>"
+MILLISECOND = dt.timedelta(milliseconds=1)
 EMPTY = (None, None, None, 0, None, None, 0, {}, [])
+#: Groups that traces are dealt to: a call of the state's function costs much more than a trace.
+GROUPS = 1024
+#: Rows of a file of `in_files`, about.
+FILE_ROWS = 500_000
 
 
 def folded(state: tuple, events: list[tuple]) -> tuple:
@@ -31,7 +38,7 @@ def folded(state: tuple, events: list[tuple]) -> tuple:
         if stage in scans.TERMINAL:
             break
         if stage is not None and stage != now:
-            timings[stage] = int((ts - updated) / pd.Timedelta(milliseconds=1) // 1)
+            timings[stage] = int((ts - updated) // MILLISECOND)
         elif stage is not None:
             timings.pop(stage, None)  # a stage is timed from its last event
         timings.pop(now, None)
@@ -42,40 +49,58 @@ def folded(state: tuple, events: list[tuple]) -> tuple:
 
 def _kept(timeout_ms: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else EMPTY
-        pending = [tuple(e) for e in now[8]]
-        if state.hasTimedOut:
-            final = folded(now, sorted(pending))
-            state.remove()
-            yield _row(key[0], final, True)
-            return
-        mark, late = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms"), now[6]
-        for frame in frames:
-            for e in frame[["ts", "event_id", "stage", "files_done", "files"]].itertuples(index=False):
-                if now[5] is not None and e.ts < now[5]:
+        held = {t[0]: (tuple(t[1:10]), t[10]) for t in state.get[0]} if state.exists else {}
+        mark_ms, arrived, rows = state.getCurrentWatermarkMs(), {}, []
+        mark = pd.Timestamp(mark_ms, unit="ms").to_pydatetime()
+        for frame in () if state.hasTimedOut else frames:
+            whole = lambda c: [None if pd.isna(x) else int(x) for x in c]
+            for trace, *event in zip(frame["trace"], (t.to_pydatetime() for t in frame["ts"]), map(int, frame["event_id"]), frame["stage"], whole(frame["files_done"]), whole(frame["files"]), strict=True):
+                arrived.setdefault(trace, []).append(tuple(event))
+        for trace, events in arrived.items():
+            now = held[trace][0] if trace in held else EMPTY
+            pending, late = [tuple(e) for e in now[8]], now[6]
+            for e in events:
+                if now[5] is not None and e[0] < now[5]:
                     late += 1  # what it would change has been settled
                 else:
-                    pending.append((e.ts.to_pydatetime(), int(e.event_id), e.stage, *(None if pd.isna(x) else int(x) for x in (e.files_done, e.files))))
-        pending.sort(key=lambda e: e[:2])
-        settled = [e for e in pending if pd.Timestamp(e[0]) < mark]
-        base = (*folded(now, settled)[:6], late, folded(now, settled)[7], [])
-        pending = pending[len(settled) :]
-        state.update((*base[:8], pending))
-        seen = folded(base, pending)
-        if timeout_ms is not None and seen[0] not in scans.TERMINAL:
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(seen[5]).timestamp() * 1000) + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        yield _row(key[0], seen, False)
+                    pending.append(e)
+            pending.sort(key=lambda e: e[:2])
+            settled = [e for e in pending if e[0] < mark]
+            pending = pending[len(settled) :]
+            base = folded(now, settled)
+            base = (*base[:6], late, base[7], pending)
+            seen, deadline = folded(base, pending), None
+            if timeout_ms is not None and seen[0] not in scans.TERMINAL:
+                deadline = max(int(pd.Timestamp(seen[5]).timestamp() * 1000) + timeout_ms, mark_ms + 1)
+            held[trace] = base, deadline
+            rows.append((trace, seen, False))
+        for trace in [t for t, (_, deadline) in held.items() if deadline is not None and deadline < mark_ms]:
+            now = held.pop(trace)[0]
+            rows.append((trace, folded(now, sorted(tuple(e) for e in now[8])), True))
+        if held:
+            state.update(([(t, *now, deadline) for t, (now, deadline) in held.items()],))
+            deadlines = [deadline for _, deadline in held.values() if deadline is not None]
+            if deadlines:
+                state.setTimeoutTimestamp(max(min(deadlines), mark_ms + 1))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield _rows(rows)
 
     return run
 
 
-def _row(trace: str, state: tuple, timed_out: bool) -> pd.DataFrame:
-    stage, done, files, n, started, updated, late, timings, _ = state
-    ended = stage in scans.TERMINAL
-    out = {"trace": trace, "stage": "FAILED" if timed_out and not ended else stage, "files_done": done, "files": files, "n_events": n, "started": started, "updated": updated, "finished": updated if ended else None, "timed_out": timed_out and not ended, "late": late, "timings": timings}
-    frame = pd.DataFrame([out])
+def _rows(found: list[tuple[str, tuple, bool]]) -> pd.DataFrame:
+    """OUT of traces, their states, and whether they have timed out."""
+    out = []
+    for trace, (stage, done, files, n, started, updated, late, timings, _), timed_out in found:
+        ended = stage in scans.TERMINAL
+        out.append((trace, "FAILED" if timed_out and not ended else stage, done, files, n, started, updated, updated if ended else None, timed_out and not ended, late, timings))
+    frame = pd.DataFrame(out, columns=["trace", "stage", "files_done", "files", "n_events", "started", "updated", "finished", "timed_out", "late", "timings"])
     for c in ("started", "updated", "finished"):
         frame[c] = pd.to_datetime(frame[c])
+    for c in ("files_done", "files"):
+        frame[c] = frame[c].astype("Int32")
     return frame
 
 
@@ -85,22 +110,33 @@ def states(events: DataFrame, delay: str = "1 hour", timeout_ms: int | None = No
     Events are settled in order of ts, event_id once the watermark (`delay` behind the newest) has passed them; those after it
     wait in the state and count for the row that is put out. An event older than what is settled counts as late and changes
     nothing else. With `timeout_ms`, a trace that has not ended so long after its last event is put out as FAILED, timed_out,
-    when the watermark passes that, and its state goes.
+    when the watermark passes that, and its state goes. The states of a GROUPS-th of the traces are kept and called together.
     """
     rows = events.select("trace", "event_id", "ts", "stage", "files_done", "files").withWatermark("ts", delay)
     wait = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy("trace").applyInPandasWithState(_kept(timeout_ms), OUT, STATE, "update", wait)
+    return rows.withColumn("dealt", F.pmod(F.xxhash64("trace"), F.lit(GROUPS)).cast("int")).groupBy("dealt").applyInPandasWithState(_kept(timeout_ms), OUT, STATE, "update", wait)
 
 
-def in_files(rows: DataFrame, parts: int, order: str = "ts") -> DataFrame:
-    """`rows` as a stream of `parts` files, one a batch, in order of time: what a topic of a broker would bring."""
+def in_files(rows: DataFrame, parts: int, order: str = "ts", file_rows: int = FILE_ROWS) -> DataFrame:
+    """`rows` as a stream of `parts` batches in order of time: what a topic of a broker would bring.
+
+    A batch is a file, or as many as every part has shares of about `file_rows` rows; the rows are made once.
+    """
     spark, root = rows.sparkSession, fresh_path(rows.sparkSession)
-    cuts = rows.select(F.percentile_approx(F.unix_micros(order), [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
+    held = saved(rows)
+    shares = 1 + held.count() // (parts * file_rows)
+    cuts = held.select(F.percentile_approx(F.unix_micros(order), [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
     part = F.size(F.filter(F.lit(cuts[: parts - 1]).cast("array<long>"), lambda c: c < F.unix_micros(order)))
-    dealt = rows.withColumn("_part", part)
+    dealt = held.withColumns({"_part": part, "_share": F.pmod(F.xxhash64(*(c for c, kind in held.dtypes if not kind.startswith("map"))), F.lit(shares)).cast("int")})
+    if shares > 1 and dealt.groupBy("_part").agg(F.countDistinct("_share").alias("n")).where(F.col("n") < shares).count():
+        shares, dealt = 1, dealt.withColumn("_share", F.lit(0))  # a part of few unlike rows: batches would take files of two parts
     for i in range(parts):
-        dealt.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        own = dealt.where(F.col("_part") == i).drop("_part")
+        if shares > 1:
+            own.repartition(shares, "_share").write.partitionBy("_share").mode("append").parquet(root)
+        else:
+            own.drop("_share").coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", shares).parquet(root).select(rows.columns)
 
 
 def kept(stream: DataFrame, keys: list[str]) -> DataFrame:
