@@ -27,9 +27,7 @@ def n_plus_one(graph: Graph, most: int = 3) -> DataFrame:
 
 def circular_dep(graph: Graph, least: int = 2, most: int = 5, first: int | None = None) -> DataFrame:
     """Closed trails of `least` to `most` calls, one row for each start, with the methods on the way; all, or the `first` so many by start, length and way."""
-    found = traverse.closed_trails(graph.calls, least, most)
-    if first is not None:
-        found = found.orderBy("start", "depth", "cycle").limit(first)
+    found = traverse.closed_trails(graph.calls, least, most) if first is None else traverse.first_trails(graph.calls, least, most, first)
     return found.join(graph.methods, F.col("start") == F.col("method_id")).select("method_id", "signature", "class_name", "cycle", "depth")
 
 

@@ -107,6 +107,51 @@ def closed_trails(calls: DataFrame, least: int, most: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _trails_between(hops: DataFrame, own: str, least: int, most: int) -> DataFrame:
+    """The rows of closed_trails() whose start fulfils `own`, a condition on `start`.
+
+    The first half of a trail, from its start on, meets the second, from its end back.
+    """
+    heads = [saved(hops.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("nodes"), F.array("call_id").alias("ids")).where(own))]
+    tails = [saved(hops.select(F.col("dst").alias("start"), F.col("src").alias("at"), F.array("src").alias("nodes"), F.array("call_id").alias("ids")).where(own))]
+    fresh = ~F.array_contains("ids", F.col("call_id"))
+    while len(heads) < most - most // 2:
+        heads.append(saved(heads[-1].join(hops, (F.col("at") == F.col("src")) & fresh).select("start", F.col("dst").alias("at"), F.concat("nodes", F.array("src")).alias("nodes"), F.concat("ids", F.array("call_id")).alias("ids"))))
+    while len(tails) < most // 2:
+        tails.append(saved(tails[-1].join(hops, (F.col("at") == F.col("dst")) & fresh).select("start", F.col("src").alias("at"), F.concat(F.array("src"), F.col("nodes")).alias("nodes"), F.concat(F.array("call_id"), F.col("ids")).alias("ids"))))
+    out = []
+    for depth in range(least, most + 1):
+        head = heads[depth - depth // 2 - 1]
+        if depth > 1:
+            tail = tails[depth // 2 - 1].select("start", "at", F.col("nodes").alias("back"), F.col("ids").alias("back_ids"))
+            nodes = head.join(tail, ["start", "at"]).where(~F.arrays_overlap("ids", "back_ids")).select("start", F.concat("nodes", "back").alias("nodes"))
+        else:
+            nodes = head.where("at = start").select("start", "nodes")
+        way = F.array_join(F.concat("nodes", F.array("start")).cast("array<string>"), ">")
+        out.append(nodes.select("start", way.alias("cycle"), F.lit(depth).alias("depth")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def first_trails(calls: DataFrame, least: int, most: int, first: int) -> DataFrame:
+    """The `first` so many rows of closed_trails() by start, length and way, found from the least starts on.
+
+    Few starts are looked at first, then more at a time, until there are enough trails or no starts: trails of other starts are not made.
+    """
+    hops, found, below, many, n = core(calls.select("call_id", "src", "dst"), 3), [], None, 4, 0
+    while True:
+        left = hops if below is None else hops.where(F.col("src") > below)
+        last = left.select("src").distinct().orderBy("src").limit(many).agg(F.max("src")).first()[0]
+        if last is None and found:
+            break
+        own = "false" if last is None else f"start <= {last}" if below is None else f"start > {below} AND start <= {last}"
+        found.append(saved(_trails_between(hops, own, least, most).orderBy("start", "depth", "cycle").limit(first - n)))
+        n += found[-1].count()
+        if n >= first or last is None:
+            break
+        below, many = last, many * 8
+    return reduce(DataFrame.unionByName, found)
+
+
 def trail_counts(calls: DataFrame, least: int, most: int) -> DataFrame:
     """depth, trails: how many rows closed_trails() has of each number of calls, counted without making them."""
     hops = core(calls.select("call_id", "src", "dst"), 3)
