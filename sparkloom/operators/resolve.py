@@ -20,6 +20,8 @@ from sparkloom.scratch import saved
 TEXTS_A_RANGE, LAST = 64, "\U0010ffff"
 #: Methods of a class that a task pairs at once, about.
 CLASS_BLOCK = 2000
+#: Calls of one source that are too many for one task, and texts of a range.
+OFTEN, RANGE_TEXTS = 100_000, 50_000
 
 
 def _begun(key: tuple, names: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -41,8 +43,9 @@ def beginnings(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """
     spark = held.sparkSession
     wanted, held = wanted.select("name").where("name <> ''").distinct(), saved(held.select("whole").where("whole IS NOT NULL").distinct())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = max(1, held.count() // (parts * TEXTS_A_RANGE))
+    many = held.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // RANGE_TEXTS)
+    every = max(1, many // (parts * TEXTS_A_RANGE))
     some = sorted(r[0] for r in held.where(F.pmod(F.xxhash64("whole"), F.lit(every)) == 0).collect())  # TEXTS_A_RANGE a partition, about
     cuts = F.lit([some[len(some) * i // parts] for i in range(1, parts)] if some else []).cast("array<string>")
     place = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
@@ -101,9 +104,14 @@ def by_id(wanted: DataFrame, methods: DataFrame) -> DataFrame:
 
 def resolve_callers(raw: DataFrame, methods: DataFrame) -> DataFrame:
     """call_id, src, how of raw calls (call_id, source): the method of that full_id, else the first by id, of any app, whose signature starts with the source's name."""
-    exact = raw.join(methods.select(F.col("method_id").alias("src"), F.col("full_id").alias("source")), "source").select("call_id", "src", F.lit("exact").alias("how"))
-    rest = raw.join(exact, "call_id", "left_anti").withColumn("name", names.method_name(F.col("source")))
-    return exact.unionByName(rest.join(by_prefix(rest, methods, 1), "name").select("call_id", F.col("method_id").alias("src"), F.lit("prefix").alias("how")))
+    sources = saved(raw.groupBy("source").agg(F.count("*").alias("n")).where("source IS NOT NULL"))
+    exact = sources.join(methods.select(F.col("method_id").alias("src"), F.col("full_id").alias("source")), "source").select("source", "src", F.lit("exact").alias("how"))
+    rest = sources.join(exact, "source", "left_anti").withColumn("name", names.method_name(F.col("source")))
+    known = saved(exact.unionByName(rest.join(by_prefix(rest, methods, 1), "name").select("source", F.col("method_id").alias("src"), F.lit("prefix").alias("how"))))
+    # a source of very many calls would be one task's: the few such are looked up where the calls lie
+    often = F.broadcast(sources.where(F.col("n") > OFTEN).select("source"))
+    seldom = raw.join(often, "source", "left_anti").join(known, "source")
+    return seldom.unionByName(raw.join(F.broadcast(known.join(often, "source", "left_semi")), "source")).select("call_id", "src", "how")
 
 
 def resolve_calls(raw: DataFrame, methods: DataFrame) -> DataFrame:
