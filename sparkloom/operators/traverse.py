@@ -243,18 +243,17 @@ def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame
     level = level.join(goal, "seed", "left")
     visits = paths = followed = None
     for depth in range(most + 1):
-        level = saved(level)
         at_goal = F.coalesce(F.col("node") == F.col("target"), F.lit(False))
         said = F.col("path").cast("array<string>").alias("path")
-        ended = level.where(at_goal).select("seed", said, F.lit("target").alias("end"))
-        rest = level.where(~at_goal).withColumn("nth", F.row_number().over(Window.partitionBy("seed", "node").orderBy("rank")))
+        met = level.withColumn("nth", F.row_number().over(Window.partitionBy("seed", "node").orderBy("rank")))
         if visits is not None:
-            rest = rest.join(visits.select("seed", "node", F.lit(True).alias("old")), ["seed", "node"], "left")
+            met = met.join(visits.select("seed", "node", F.lit(True).alias("old")), ["seed", "node"], "left")
         else:
-            rest = rest.withColumn("old", F.lit(None).cast("boolean"))
-        rest = rest.withColumn("fresh", F.col("old").isNull() & (F.col("nth") == 1))
-        ended = ended.unionByName(rest.where("NOT fresh").select("seed", said, F.lit("seen").alias("end")))
-        fresh = saved(rest.where("fresh").select("seed", "node", "path", "rank", "crossed", "target"))
+            met = met.withColumn("old", F.lit(None).cast("boolean"))
+        end = F.when(at_goal, "target").when(F.col("old").isNotNull() | (F.col("nth") > 1), "seen")
+        met = saved(met.withColumn("end", end).select("seed", "node", "path", "rank", "crossed", "target", "end"))
+        ended = met.where("end IS NOT NULL").select("seed", said, "end")
+        fresh = met.where("end IS NULL").drop("end")
         new = fresh.select("seed", "node", F.lit(depth).alias("depth"), "rank")
         visits = new if visits is None else visits.unionByName(new)
         paths = ended if paths is None else paths.unionByName(ended)
