@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.names import half_up
@@ -15,16 +15,22 @@ def duplicate_rate(methods: DataFrame) -> DataFrame:
     return rows.select("app_id", "n_methods", half_up(F.col("extra") * 100.0 / F.col("n_methods")).alias("duplication_rate"))
 
 
+def _coverage() -> Column:
+    return half_up(F.col("comment_lines") * 100.0 / F.col("lines"))
+
+
 def comment_coverage(metrics: DataFrame) -> DataFrame:
     """app_id, lines, comment_lines, comment_coverage (percent) from per-file metrics."""
     rows = metrics.groupBy("app_id").agg(F.sum("lines").alias("lines"), F.sum("comment_lines").alias("comment_lines"))
-    return rows.withColumn("comment_coverage", half_up(F.col("comment_lines") * 100.0 / F.col("lines")))
+    return rows.withColumn("comment_coverage", _coverage())
 
 
 def by_app(metrics: DataFrame, methods: DataFrame) -> DataFrame:
     """app_id, class_count, method_count, complexity, duplication_rate, comment_coverage."""
-    sums = metrics.groupBy("app_id").agg(F.sum("n_classes").alias("class_count"), F.sum("n_methods").alias("method_count"), F.sum("complexity").alias("complexity"))
-    return sums.join(duplicate_rate(methods).drop("n_methods"), "app_id").join(comment_coverage(metrics).select("app_id", "comment_coverage"), "app_id")
+    # one pass over the metrics, which may be read off every file
+    sums = metrics.groupBy("app_id").agg(F.sum("n_classes").alias("class_count"), F.sum("n_methods").alias("method_count"), F.sum("complexity").alias("complexity"), F.sum("lines").alias("lines"), F.sum("comment_lines").alias("comment_lines"))
+    rows = sums.join(duplicate_rate(methods).drop("n_methods"), "app_id")
+    return rows.select("app_id", "class_count", "method_count", "complexity", "duplication_rate", _coverage().alias("comment_coverage"))
 
 
 def summary(apps: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.scratch import saved
 from sparkloom.sources.javascan import Scanner
@@ -54,25 +55,31 @@ def _ddl(kind: pa.DataType) -> str:
 SCAN = "path string, " + ", ".join(f"{name} {_ddl(kind)}" for name, kind in _FILE)
 
 
-def _read(text: str | None) -> tuple:
+def _read(text: str | None, calls: bool = True) -> tuple:
     """The values of _FILE; a file that can't be read says why, and has nothing in it."""
     try:
-        found, error = Scanner(text or ""), None
+        found, error = Scanner(text or "", calls), None
     except RecursionError:
         found, error = Scanner(""), "nests too deeply"
     return error, found.package, found.branches(), found.types, found.methods
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """SCAN: a row for each file of path, content; a null content is empty. error says why a file could not be read, and is null for others."""
+def scan(files: DataFrame, calls: bool = True) -> DataFrame:
+    """SCAN, and what other columns `files` has: a row for each file of path, content; a null content is empty. error says why a file could not be read, and is null for others.
+
+    Without `calls` those of methods are empty, which takes less time.
+    """
+    kept = [c for c in files.columns if c not in ("path", "content")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_read(text) for text in batch.column(1).to_pylist()]
+            rows = [_read(text, calls) for text in batch.column(1).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [[] for _ in _FILE]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, (_, t) in zip(columns, _FILE, strict=True))], names=["path", *(n for n, _ in _FILE)])
+            found = [pa.array(list(c), t) for c, (_, t) in zip(columns, _FILE, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[2:]], names=["path", *(n for n, _ in _FILE), *kept])
 
-    return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, SCAN)
+    rows = files.select(F.col("path").cast("string"), F.col("content").cast("string"), *(F.col(f"`{c}`") for c in kept))
+    return rows.mapInArrow(run, StructType([*StructType.fromDDL(SCAN).fields, *(rows.schema[c] for c in kept)]))
 
 
 def _types(scanned: DataFrame) -> DataFrame:
@@ -82,7 +89,7 @@ def _types(scanned: DataFrame) -> DataFrame:
 
 def types(files: DataFrame) -> DataFrame:
     """path, package, class_name, kind, line, annotations, parent (first extended), interfaces (array): every type of each file."""
-    return _types(scan(files))
+    return _types(scan(files, calls=False))
 
 
 def _entries(class_marks: Column, marks: Column, path: Column, verb: Column, class_name: Column, name: Column) -> Column:
@@ -128,12 +135,12 @@ def methods(files: DataFrame) -> DataFrame:
 
     Plain getters and setters are left out. id is package.class.name(types), to which an app is put in front.
     """
-    return methods_of(scan(files)).drop("calls")
+    return methods_of(scan(files, calls=False)).drop("calls")
 
 
 def entry_points(files: DataFrame) -> DataFrame:
     """class_name, signature, framework, type, path, verb, class_level: every detection of every method."""
-    return methods_of(scan(files)).select("class_name", "signature", F.explode("entries").alias("e")).select("class_name", "signature", "e.*")
+    return methods_of(scan(files, calls=False)).select("class_name", "signature", F.explode("entries").alias("e")).select("class_name", "signature", "e.*")
 
 
 def first_of_each(found: DataFrame) -> DataFrame:
@@ -155,14 +162,17 @@ def calls(files: DataFrame) -> DataFrame:
 
 def _links(scanned: DataFrame) -> DataFrame:
     """child_package, child, parent (simple name), relation: implements (of classes) or extends (the first)."""
-    found = _types(scanned).where("kind IN ('class', 'interface')").withColumnsRenamed({"package": "child_package", "class_name": "child", "parent": "extended"})
-    a = found.where("kind = 'class'").select("child_package", "child", F.explode("interfaces").alias("parent"), F.lit("implements").alias("relation"))
-    return a.unionByName(found.where("extended IS NOT NULL").select("child_package", "child", F.col("extended").alias("parent"), F.lit("extends").alias("relation")))
+    found = _types(scanned).where("kind IN ('class', 'interface')").select(F.col("package").alias("child_package"), F.col("class_name").alias("child"), "kind", F.col("parent").alias("extended"), "interfaces")
+    link = lambda parent, relation: F.struct(parent.alias("parent"), F.lit(relation).alias("relation"))
+    implemented = F.when(F.col("kind") == "class", F.transform("interfaces", lambda i: link(i, "implements"))).otherwise(F.array())
+    extended = F.when(F.col("extended").isNotNull(), F.array(link(F.col("extended"), "extends"))).otherwise(F.array())
+    # one pass: a union of both would read every file twice
+    return found.select("child_package", "child", F.explode(F.concat(implemented, extended)).alias("l")).select("child_package", "child", "l.*")
 
 
 def hierarchy(files: DataFrame) -> DataFrame:
     """child, parent (simple names), relation: implements or extends."""
-    return _links(scan(files)).select("child", "parent", "relation")
+    return _links(scan(files, calls=False)).select("child", "parent", "relation")
 
 
 def package_override_edges(files: DataFrame) -> DataFrame:
@@ -171,7 +181,7 @@ def package_override_edges(files: DataFrame) -> DataFrame:
     A parent is the type of that name in the child's package; where the package has none, the types of that name
     anywhere, of which each signature is taken from the smallest package.
     """
-    scanned = saved(scan(files))
+    scanned = saved(scan(files, calls=False))
     found = methods_of(scanned).select("package", "class_name", "signature", "is_abstract").distinct()
     links = _links(scanned).select("child_package", "child", "parent").distinct()
     known = _types(scanned).select(F.col("package").alias("child_package"), F.col("class_name").alias("parent"), F.lit(True).alias("near")).distinct()
@@ -190,11 +200,10 @@ def override_edges(files: DataFrame) -> DataFrame:
     return package_override_edges(files).select("parent_class", "child_class", "signature")
 
 
-def metrics(files: DataFrame) -> DataFrame:
-    """path, lines, comment_lines, n_classes (interfaces too), n_methods (accessors too), complexity: if, for, while, catch, switch entries and conditional expressions."""
+def metrics(files: DataFrame, *more: str) -> DataFrame:
+    """path, lines, comment_lines, n_classes (interfaces too), n_methods (accessors too), complexity: if, for, while, catch, switch entries and conditional expressions; and the columns of `files` that `more` names."""
     rows = F.split("content", "\n")
     comment = F.size(F.filter(rows, lambda x: F.trim(x).rlike(r"^(//|/\*|\*)")))
-    base = files.select("path", F.size(rows).cast("long").alias("lines"), comment.cast("long").alias("comment_lines"))
+    scanned = scan(files.select("path", "content", F.size(rows).cast("long").alias("lines"), comment.cast("long").alias("comment_lines"), *more), calls=False)
     kinds = F.filter("types", lambda t: t["kind"].isin("class", "interface"))
-    counts = scan(files).select("path", F.size(kinds).cast("long").alias("n_classes"), F.size("methods").cast("long").alias("n_methods"), F.col("branches").alias("complexity"))
-    return base.join(counts, "path")
+    return scanned.select("path", "lines", "comment_lines", F.size(kinds).cast("long").alias("n_classes"), F.size("methods").cast("long").alias("n_methods"), F.col("branches").alias("complexity"), *more)
