@@ -159,20 +159,43 @@ def trail_counts(calls: DataFrame, least: int, most: int) -> DataFrame:
     return reduce(DataFrame.unionByName, sums)
 
 
+#: Entries of each app that upstream_entries() follows first at least, and how many times more at least in each later round.
+ENTRIES_FIRST, ENTRIES_MORE = 64, 8
+
+
 def upstream_entries(graph, starts: DataFrame, most: int = 6, per_start: int = 50) -> DataFrame:
     """start, entry, depth: entry methods of the start's app that reach it within `most` calls; at most `per_start` a start, by id.
 
-    What lies between may belong to any app. Starts are unpacked only at entries of their own app.
+    What lies between may belong to any app. Entries are followed down to the starts, those of least id in each app first, and in
+    each round as many more as the starts that lack some seem to need: where most entries reach most starts, few are followed. The
+    first round goes by the mean number of calls of a method.
     """
-    marks = bitreach.numbered(starts)
-    back = graph.calls.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    new = (rows.withColumn("depth", F.lit(depth)) for depth, rows, _ in bitreach.levels(marks, back, most))
-    found = reduce(DataFrame.unionByName, new).where("depth > 0")
-    apps = marks.join(graph.methods.select(F.col("method_id").alias("seed"), "app_id"), "seed").groupBy("block", "app_id").agg(F.bit_or(bitreach.bit()).alias("own"))
-    entries = graph.methods.where("is_entry").select(F.col("method_id").alias("node"), "app_id")
-    hits = found.join(entries, "node").join(apps, ["block", "app_id"]).select("block", "node", "depth", F.expr("bits & own").alias("bits")).where("bits <> 0")
-    ranked = bitreach.unpacked(hits).withColumn("rank", F.row_number().over(Window.partitionBy("block", "bit").orderBy("node")))
-    return ranked.where(F.col("rank") <= per_start).join(marks, ["block", "bit"]).select(F.col("seed").alias("start"), F.col("node").alias("entry"), "depth")
+    apps = graph.methods.where("app_id IS NOT NULL").select(F.col("method_id").alias("start"), "app_id")
+    left = saved(starts.select(F.col("method_id").alias("start")).distinct().join(apps, "start").withColumn("n", F.lit(0).cast("long")))
+    entries = graph.methods.where("is_entry").select(F.col("app_id").alias("seed"), "method_id", F.lit(False).alias("crosses"))
+    entries = saved(in_order(entries, ["method_id"])[0].select(F.col("seed").alias("app_id"), F.col("method_id").alias("entry"), "place"))
+    edges = graph.calls.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    last, n_methods = entries.agg(F.max("place")).first()[0] or 0, max(graph.methods.count(), 1)
+    reached = min(sum((edges.count() / n_methods) ** depth for depth in range(1, most + 1)), n_methods)
+    low, many, out = 0, min(max(ENTRIES_FIRST, int(per_start * n_methods / max(reached, 1))), max(last, 1)), []
+    while not out or low < last:
+        some = entries.where((F.col("place") > low) & (F.col("place") <= low + many)).join(left.select("app_id").distinct(), "app_id", "left_semi")
+        low += many
+        marks = bitreach.numbered(some.select(F.col("entry").alias("method_id")))
+        new = (rows.withColumn("depth", F.lit(depth)) for depth, rows, _ in bitreach.levels(marks, edges, most))
+        found = reduce(DataFrame.unionByName, new).where("depth > 0").join(left.withColumnRenamed("start", "node"), "node")
+        own = marks.join(some, F.col("seed") == F.col("entry")).groupBy("block", "app_id").agg(F.bit_or(bitreach.bit()).alias("own"))
+        hits = found.join(own, ["block", "app_id"]).select("block", "node", "n", "depth", F.expr("bits & own").alias("bits")).where("bits <> 0")
+        pairs = bitreach.unpacked(hits).join(marks, ["block", "bit"]).select(F.col("node").alias("start"), F.col("seed").alias("entry"), "depth", "n")
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy("entry")))
+        out.append(saved(ranked.where(F.col("rank") <= per_start - F.col("n")).select("start", "entry", "depth")))
+        more = out[-1].groupBy("start").agg(F.count("*").alias("more"))
+        left = saved(left.join(more, "start", "left").select("start", "app_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")).where(F.col("n") < per_start))
+        lacking, had = left.agg(F.count("*"), F.sum("n")).first()
+        if not lacking:
+            break
+        many = max(many * ENTRIES_MORE, low * per_start * lacking // had) if had else last
+    return reduce(DataFrame.unionByName, out)
 
 
 def impacted_endpoints(graph, facts: DataFrame) -> DataFrame:
