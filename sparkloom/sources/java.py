@@ -8,6 +8,7 @@ their own, and methods of anonymous classes belong to the type around them.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,9 +74,13 @@ def scan(files: DataFrame, calls: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_read(text, calls) for text in batch.column(1).to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [[] for _ in _FILE]
-            found = [pa.array(list(c), t) for c, (_, t) in zip(columns, _FILE, strict=True)]
+            gc.disable()  # rows hold no cycles; the collector would go over all of a batch again and again
+            try:
+                rows = [_read(text, calls) for text in batch.column(1).to_pylist()]
+                columns = zip(*rows, strict=True) if rows else [[] for _ in _FILE]
+                found = [pa.array(list(c), t) for c, (_, t) in zip(columns, _FILE, strict=True)]
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[2:]], names=["path", *(n for n, _ in _FILE), *kept])
 
     rows = files.select(F.col("path").cast("string"), F.col("content").cast("string"), *(F.col(f"`{c}`") for c in kept))
