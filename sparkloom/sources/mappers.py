@@ -67,10 +67,11 @@ def relations(methods: DataFrame, operations: DataFrame, used: DataFrame, found:
 
     methods: method_id, class_name; operations: method_id, operation (SELECT where a method has none).
     """
-    hits = mappers_of(methods, used).join(operations, "method_id", "left")
+    held = saved(mappers_of(methods, used))  # asked twice
+    hits = held.join(operations, "method_id", "left")
     columns = found.select("table_name", "mapper", "columns")
     rows = hits.join(columns, ["table_name", "mapper"], "left").select(F.col("method_id").cast("string").alias("source"), "table_name", F.coalesce("operation", F.lit("SELECT")).alias("operation"), "columns", "mapper")
-    unused = found.join(hits.select("table_name").distinct(), "table_name", "left_anti")
+    unused = found.join(held.select("table_name").distinct(), "table_name", "left_anti")
     return rows.unionByName(unused.select(F.concat(F.lit("mapper:"), "mapper").alias("source"), "table_name", F.lit("SELECT").alias("operation"), "columns", "mapper"))
 
 
@@ -87,6 +88,7 @@ def stubs(found: DataFrame, used: DataFrame) -> DataFrame:
 def operation_of_calls(calls: DataFrame, used: DataFrame) -> DataFrame:
     """path, caller, operation: for methods that call mappers, INSERT over DELETE over UPDATE over SELECT by the called names."""
     scopes = used.select(F.explode(F.array("variable", names.simple_name(F.col("mapper")))).alias("scope")).where("scope IS NOT NULL").distinct()
+    calls = saved(calls.select("path", "caller", "scope", "name"))  # asked twice: files would be scanned again
     signatures = calls.join(scopes, "scope").select("name").distinct()
     hits = calls.join(signatures, "name")
     name = F.lower("name")
