@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,17 +213,68 @@ def impacted_endpoints(graph, facts: DataFrame) -> DataFrame:
 
 
 def impact(graph, changed: DataFrame, most: int = 6, upstream: bool = True) -> DataFrame:
-    """changed, n_methods, n_entries: how many methods a change reaches, upstream (who calls it) or downstream."""
+    """changed, n_methods, n_entries: how many methods a change reaches, upstream (who calls it) or downstream.
+
+    Where methods have so many calls that nearly all are reached one call earlier, most changes are counted by _reaching_all().
+    """
     a, b = ("dst", "src") if upstream else ("src", "dst")
-    marks, edges = bitreach.numbered(changed), graph.calls.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    *_, (_, _, every) = bitreach.levels(marks, edges, most)
+    seeds = saved(changed.select("method_id").distinct())
+    hops = saved(graph.calls.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     known = graph.methods.select(F.col("method_id").alias("node"), "is_entry")
+    n_methods = max(known.count(), 1)
+    if most < 2 or (hops.count() / n_methods) ** (most - 1) < n_methods * log(n_methods):
+        return _impact_of(known, seeds, hops, most)
+    counted = _reaching_all(known, seeds, hops, most)
+    return counted.unionByName(_impact_of(known, seeds.join(counted.select(F.col("changed").alias("method_id")), "method_id", "left_anti"), hops, most)).where("n_methods > 0")
+
+
+def _impact_of(known: DataFrame, seeds: DataFrame, hops: DataFrame, most: int) -> DataFrame:
+    """impact() by the bits of every seed."""
+    marks = bitreach.numbered(seeds)
+    *_, (_, _, every) = bitreach.levels(marks, hops, most)
     sums = bitreach.counts(every.join(known, "node"), n_methods=F.lit(True), n_entries=F.col("is_entry"))
     own = marks.join(known.withColumnRenamed("node", "seed"), "seed", "left")  # a method reaches itself, which does not count
     less = lambda n, flag: (F.col(n) - F.coalesce(flag.cast("long"), F.lit(0))).alias(n)
     return own.join(sums, ["block", "bit"]).select(F.col("seed").alias("changed"), less("n_methods", F.col("is_entry").isNotNull()), less("n_entries", F.col("is_entry"))).where("n_methods > 0")
 
 
+#: Of the hubs of _reaching_all() one in so many may miss a method that it takes for common.
+MISSING = 16
+
+
+def _reaching_all(known: DataFrame, seeds: DataFrame, hops: DataFrame, most: int) -> DataFrame:
+    """Rows of impact(), those of no methods too, for the seeds that surely reach all common methods.
+
+    Each seed names the most reached method that it hops to, its hub, of which those that several name are
+    followed. What nearly all of these reach one hop earlier is common. A seed that hops to a hub that reaches all common methods does so too, and beyond these there are but the
+    strays: the few others that anything hops to, which are followed back from. The rest of the seeds is left to others.
+    """
+    arrivals = hops.groupBy("b").agg(F.count("*").alias("n"))
+    near = hops.join(seeds, F.col("a") == F.col("method_id"), "left_semi")
+    votes = near.join(arrivals, "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("method_id"))
+    marks = bitreach.numbered(votes.groupBy("method_id").count().where("count > 1"), bitreach.WIDTH * bitreach.WORDS)
+    words = [f"w{i}" for i in range(bitreach.WORDS)]
+    every = bitreach.wide_reach(marks, hops, most - 1)
+    met = every.groupBy("node").agg(F.sum(reduce(lambda x, y: x + y, (F.bit_count(w) for w in words))).alias("n"))
+    ever = saved(known.join(arrivals.select(F.col("b").alias("node")), "node").join(met, "node", "left").withColumn("common", F.coalesce("n", F.lit(0)) * MISSING >= F.lit(marks.count() * (MISSING - 1))))
+    common = ever.where("common").select("node")
+    n_common, n_entries = ever.where("common").agg(F.count("*"), F.coalesce(F.sum(F.col("is_entry").cast("long")), F.lit(0))).first()
+    strays = ever.where("NOT common")
+    if strays.count() * 8 > n_common:
+        return known.where("false").select(F.col("node").alias("changed"), F.lit(0).cast("long").alias("n_methods"), F.lit(0).cast("long").alias("n_entries"))
+    whole = every.join(common, "node", "left_semi").groupBy("block").agg(F.count("*").alias("rows"), F.array(*(F.bit_and(w) for w in words)).alias("bits")).where(F.col("rows") == n_common)
+    reaches = F.expr(f"shiftright(bits[int(bit div {bitreach.WIDTH})], bit % {bitreach.WIDTH}) & 1") == 1
+    hubs = marks.join(whole, "block").where(reaches).select(F.col("seed").alias("b"))
+    sure = saved(near.join(hubs, "b", "left_semi").select(F.col("a").alias("seed")).distinct())
+    follow = bitreach.numbered(strays.select(F.col("node").alias("method_id")))
+    *_, (_, _, back) = bitreach.levels(follow, hops.select(F.col("b").alias("a"), F.col("a").alias("b")), most)
+    entries = follow.join(strays, F.col("seed") == F.col("node")).where("is_entry").groupBy("block").agg(F.bit_or(bitreach.bit()).alias("entries"))
+    more = back.join(entries, "block", "left").groupBy(F.col("node").alias("seed")).agg(F.sum(F.bit_count("bits")).alias("more"), F.sum(F.bit_count(F.expr("bits & coalesce(entries, 0L)"))).alias("more_entries"))
+    own = sure.join(ever.select(F.col("node").alias("seed"), "is_entry"), "seed", "left").join(more, "seed", "left")  # a method that is reached does not count for itself
+    total = lambda n, plus, flag: F.lit(n).cast("long") + F.coalesce(plus, F.lit(0)) - F.coalesce(flag.cast("long"), F.lit(0))
+    return own.select(F.col("seed").alias("changed"), total(n_common, "more", F.col("is_entry").isNotNull()).alias("n_methods"), total(n_entries, "more_entries", F.col("is_entry")).alias("n_entries"))
+
+
 def trace(graph, entries: DataFrame, most: int = 10, target: DataFrame | None = None, hops: int = 3) -> tuple[DataFrame, DataFrame]:
     """(visits, paths) of trace_with_hops()."""
     return trace_with_hops(graph, entries, most, target, hops)[:2]

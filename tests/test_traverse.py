@@ -173,3 +173,24 @@ def test_closed_trails_equal_walks_call_by_call(spark):
     assert {r["trails"] for r in traverse.trail_counts(g.calls.where("false"), 2, 3).collect()} == {0}
     first = rules.circular_dep(g, first=4).collect()
     assert sorted((r["method_id"], r["depth"], r["cycle"]) for r in first) == sorted((s, d, c) for s, c, d in want)[:4]
+
+
+@pytest.mark.parametrize("strays", [0, 3, 40])
+def test_impact_of_many_calls_is_counted_by_hubs(spark, monkeypatch, strays):
+    """Every seed's bits over all calls took too long where nearly all methods are reached; now few hubs show what is reached."""
+    rng = random.Random(strays)
+    n = 150
+    calls = [(f"c{i}", rng.randrange(n), rng.randrange(n)) for i in range(n * 12)]
+    calls += [(f"s{i}", n + i, n + i + 1) for i in range(strays)] + [("in", n, 5), ("out", 7, 400), ("to", 7, 401), ("loose", 500, 501)]
+    methods = [(m, 0, m % 4 == 1, "C", f"m{m}()") for m in [*range(n + strays + 1), 401, 500, 501, 600]]
+    g = graph_of(spark, calls, (), methods)
+    seeds = [*range(n + strays + 1), 400, 500, 600, 777]
+    counted, plain = [], traverse._impact_of
+    monkeypatch.setattr(traverse, "_impact_of", lambda known, left, *more: counted.append(left.count()) or plain(known, left, *more))
+    frame = spark.createDataFrame([(s,) for s in seeds] * 2, "method_id long")
+    known = {m[0]: m[2] for m in methods}
+    for upstream in (False, True):
+        near = {s: [m for m, d in distances([(c[0], c[2], c[1]) for c in calls] if upstream else calls, s).items() if 0 < d <= 4 and m in known] for s in seeds}
+        want = sorted((s, len(f), sum(known[m] for m in f)) for s, f in near.items() if f)
+        assert sorted(tuple(r) for r in traverse.impact(g, frame, 4, upstream).collect()) == want
+    assert max(counted) <= len(seeds) - n * 3 // 4 if strays < 20 else True
