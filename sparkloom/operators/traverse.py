@@ -64,13 +64,14 @@ def core(calls: DataFrame, rounds: int) -> DataFrame:
     return calls
 
 
-def closed_walks(calls: DataFrame, length: int) -> DataFrame:
+def closed_walks(calls: DataFrame, length: int, trails: bool = True) -> DataFrame:
     """n0 .. n(length - 1), ways, turns: closed walks of `length` calls over methods, each from its least method on.
 
     ways: the trails (no call twice) along the walk, where methods call each other more than once. turns: how many of its
     starts, from the first on, are this row's; the walk comes again for the next visit of its least method. Methods are
     structs of degree and id. The first half of a walk meets the second, so the longest walks that are held have half the calls; as all
-    methods of a walk follow its first in order of degree, a hub begins no walk through lesser methods.
+    methods of a walk follow its first in order of degree, a hub begins no walk through lesser methods. Without `trails` walks that
+    no trail goes along are there too.
     """
     ends = calls.select(F.explode(F.array("src", "dst")).alias("m")).groupBy("m").agg(F.count("*").alias("degree"))
     node = lambda side: ends.select(F.col("m").alias(side), F.struct("degree", "m").alias(f"{side}_node"))
@@ -85,12 +86,9 @@ def closed_walks(calls: DataFrame, length: int) -> DataFrame:
         tail = tail.join(hops, (F.col(f"n{i + 1}") == F.col("b")) & (F.col("a") >= F.col("n0"))).drop("b").withColumnsRenamed({"a": f"n{i}", "many": f"m{i}"})
     walks = head.join(tail, ["n0", f"n{first}"]) if length > 1 else head.where("n0 = n1")
     at = [F.col(f"n{i % length}") for i in range(length + 1)]
-    ways = F.lit(1).cast("long")
-    for i in range(length):
-        used = reduce(lambda x, y: x + y, (((at[j] == at[i]) & (at[j + 1] == at[i + 1])).cast("long") for j in range(i)), F.lit(0).cast("long"))
-        ways = ways * F.greatest(F.col(f"m{i}") - used, F.lit(0).cast("long"))
+    ways = _ways([F.col(f"m{i}") for i in range(length)], at, length)
     turns = F.coalesce(*(F.when(at[i] == at[0], i) for i in range(1, length)), F.lit(length))
-    return walks.withColumns({"ways": ways, "turns": turns}).where("ways > 0").select(*(f"n{i}" for i in range(length)), "ways", "turns")
+    return walks.withColumns({"ways": ways, "turns": turns}).where("ways > 0" if trails else "true").select(*(f"n{i}" for i in range(length)), "ways", "turns")
 
 
 def closed_trails(calls: DataFrame, least: int, most: int) -> DataFrame:
@@ -153,10 +151,108 @@ def first_trails(calls: DataFrame, least: int, most: int, first: int) -> DataFra
     return reduce(DataFrame.unionByName, found)
 
 
+#: Rows of walks back that a task of _first_returns() looks up in at most, about.
+LOOKED_UP = 2_000_000
+
+
+def _ranked(calls: DataFrame) -> DataFrame:
+    """a, b, many: the numbers of the methods of all calls, in order of degree and then id, and how many calls lead from a to b."""
+    ends = calls.select(F.explode(F.array("src", "dst")).alias("m")).groupBy("m").agg(F.count("*").alias("degree"))
+    one = ends.select(F.lit(0).alias("seed"), F.lit(False).alias("crosses"), "m", "degree")
+    place = saved(in_order(one, ["degree", "m"])[0].select("m", F.col("place").alias("nth")))
+    side = lambda old, new: place.select(F.col("m").alias(old), F.col("nth").alias(new))
+    hops = calls.groupBy("src", "dst").agg(F.count("*").alias("many"))
+    return saved(hops.join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("a", "b", "many"))
+
+
+def _first_returns(hops: DataFrame, most: int) -> DataFrame:
+    """a, length, walks: closed walks of up to `most` hops from a on that come by later methods alone, and by `a` at their end; most <= 5.
+
+    Only the ends of half walks are held, no methods on the way. Walks out meet walks back by both ends, in so many parts that each looks
+    up few rows.
+    """
+    up, down = hops.where("b > a"), hops.where("a > b")
+    out = {1: up.select(F.col("a").alias("n0"), F.col("b").alias("at"), F.col("many").alias("ways"))}
+    back = {1: down.select(F.col("b").alias("n0"), F.col("a").alias("at"), F.col("many").alias("ways"))}
+    step = hops.select("a", "b", "many")
+    if most > 2:
+        out[2] = saved(out[1].join(step, (F.col("at") == F.col("a")) & (F.col("b") > F.col("n0"))).select("n0", F.col("b").alias("at"), (F.col("ways") * F.col("many")).alias("ways")))
+    if most > 3:
+        back[2] = saved(back[1].join(step, (F.col("at") == F.col("b")) & (F.col("a") > F.col("n0"))).select("n0", F.col("a").alias("at"), (F.col("ways") * F.col("many")).alias("ways")).groupBy("n0", "at").agg(F.sum("ways").alias("ways")))
+    if most > 4:
+        out[3] = out[2].join(step, (F.col("at") == F.col("a")) & (F.col("b") > F.col("n0"))).select("n0", F.col("b").alias("at"), (F.col("ways") * F.col("many")).alias("ways"))
+    found = [hops.where("a = b").select("a", F.lit(1).alias("length"), F.col("many").alias("walks"))]
+    for length in range(2, most + 1):
+        ends = back[length // 2].withColumnRenamed("ways", "rest")
+        parts = max(int(hops.sparkSession.conf.get("spark.sql.shuffle.partitions")), ends.count() // LOOKED_UP)
+        pairs = out[length - length // 2].repartition(parts, "n0", "at").join(ends.repartition(parts, "n0", "at").hint("shuffle_hash"), ["n0", "at"])
+        found.append(pairs.groupBy(F.col("n0").alias("a")).agg(F.sum(F.col("ways") * F.col("rest")).alias("walks")).select("a", F.lit(length).alias("length"), "walks"))
+    return saved(reduce(DataFrame.unionByName, found))
+
+
+def _repeating(hops: DataFrame, most: int) -> dict[int, DataFrame]:
+    """By length, n0 .. n(length - 1): the closed walks of up to `most` hops that take a hop more than once, from each of their starts; most <= 5.
+
+    A hop comes again at once, where it leads from a method to itself, or after the hop back.
+    """
+    loops = hops.where("a = b").select(F.col("a").alias("u"))
+    pairs = hops.select(F.col("a").alias("u"), F.col("b").alias("v")).join(hops.select(F.col("b").alias("u"), F.col("a").alias("v")), ["u", "v"], "left_semi")
+    ways = {2: loops.select("u", F.col("u").alias("n1")), 3: loops.select("u", F.col("u").alias("n1"), F.col("u").alias("n2"))}
+    if most > 3:
+        ways[4] = pairs.select("u", "v", F.col("u").alias("x"), F.col("v").alias("y")).unionByName(pairs.join(loops, "u", "left_semi").select("u", F.col("u").alias("v"), F.col("u").alias("x"), F.col("v").alias("y")))
+    if most > 4:
+        calls = hops.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        three = [F.col(f"n{i}.m") for i in range(3)]
+        turned = [F.struct(*(three[(i + k) % 3].alias(n) for i, n in enumerate("uvx"))) for k in range(3)]
+        round_ = saved(closed_walks(calls, 3, trails=False).select(F.explode(F.array(*turned)).alias("w")).select("w.*").distinct())
+        ways[5] = round_.join(pairs, ["u", "v"], "left_semi").select("u", "v", F.col("u").alias("n2"), F.col("v").alias("n3"), "x").unionByName(round_.join(loops, "u", "left_semi").select("u", F.col("u").alias("v"), F.col("u").alias("n2"), F.col("v").alias("n3"), "x"), allowMissingColumns=True)
+    out = {}
+    for length, rows in ways.items():
+        if length <= most:
+            all_ = F.array(*(F.struct(*(F.col(rows.columns[(i + k) % length]).alias(f"n{i}") for i in range(length))) for k in range(length)))
+            out[length] = rows.select(F.explode(all_).alias("w")).select("w.*").distinct()
+    return out
+
+
+def _ways(many: list, at: list, length: int):
+    """How many trails go along a closed walk: a call that is taken is gone."""
+    ways = F.lit(1).cast("long")
+    for i in range(length):
+        used = reduce(lambda x, y: x + y, (((at[j] == at[i]) & (at[j + 1] == at[i + 1])).cast("long") for j in range(i)), F.lit(0).cast("long"))
+        ways = ways * F.greatest(many[i] - used, F.lit(0).cast("long"))
+    return ways
+
+
 def trail_counts(calls: DataFrame, least: int, most: int) -> DataFrame:
-    """depth, trails: how many rows closed_trails() has of each number of calls, counted without making them."""
+    """depth, trails: how many rows closed_trails() has of each number of calls, counted without making them.
+
+    Up to five calls these are all closed walks, put together from walks that first return to their least method, without what
+    those that take a hop again have too many; longer ones are counted walk by walk.
+    """
     hops = core(calls.select("call_id", "src", "dst"), 3)
-    sums = (closed_walks(hops, depth).agg(F.sum(F.col("ways") * F.col("turns")).alias("trails")).select(F.lit(depth).alias("depth"), F.coalesce("trails", F.lit(0)).cast("long").alias("trails")) for depth in range(least, most + 1))
+    short = min(most, 5)
+    sums = [closed_walks(hops, depth).agg(F.sum(F.col("ways") * F.col("turns")).alias("trails")).select(F.lit(depth).alias("depth"), F.coalesce("trails", F.lit(0)).cast("long").alias("trails")) for depth in range(max(least, 6), most + 1)]
+    if least > short:
+        return reduce(DataFrame.unionByName, sums)
+    ranked = _ranked(hops)
+    first = _first_returns(ranked, short).groupBy("a").pivot("length", list(range(1, short + 1))).agg(F.sum("walks"))
+    f = {t: F.coalesce(F.col(str(t)), F.lit(0)) for t in range(1, short + 1)}
+    closed = {0: F.lit(1).cast("long")}
+    for n in range(1, short):
+        closed[n] = reduce(lambda x, y: x + y, (f[t] * closed[n - t] for t in range(1, n + 1)))
+    depths = range(max(least, 1), short + 1)
+    totals = first.agg(*(F.coalesce(F.sum(reduce(lambda x, y: x + y, (F.lit(t) * f[t] * closed[depth - t] for t in range(1, depth + 1)))), F.lit(0)).cast("long").alias(str(depth)) for depth in depths))
+    again = _repeating(ranked, short)
+    for depth in depths:
+        total = totals.select(F.col(str(depth)).alias("total"))
+        if depth in again:
+            rows = again[depth]
+            for i in range(depth):
+                rows = rows.join(ranked.select(F.col("a").alias(f"n{i}"), F.col("b").alias("to"), F.col("many").alias(f"m{i}")).withColumnRenamed("to", f"n{(i + 1) % depth}"), [f"n{i}", f"n{(i + 1) % depth}"]) if depth > 1 else rows
+            many = [F.col(f"m{i}") for i in range(depth)]
+            excess = reduce(lambda x, y: x * y, many) - _ways(many, [F.col(f"n{i % depth}") for i in range(depth + 1)], depth)
+            total = total.crossJoin(rows.agg(F.coalesce(F.sum(excess), F.lit(0)).alias("excess"))).select((F.col("total") - F.col("excess")).alias("total"))
+        sums.append(total.select(F.lit(depth).alias("depth"), F.col("total").cast("long").alias("trails")))
     return reduce(DataFrame.unionByName, sums)
 
 

@@ -194,3 +194,14 @@ def test_impact_of_many_calls_is_counted_by_hubs(spark, monkeypatch, strays):
         want = sorted((s, len(f), sum(known[m] for m in f)) for s, f in near.items() if f)
         assert sorted(tuple(r) for r in traverse.impact(g, frame, 4, upstream).collect()) == want
     assert max(counted) <= len(seeds) - n * 3 // 4 if strays < 20 else True
+
+
+def test_trails_are_counted_without_walks_of_five(spark, monkeypatch):
+    """Walks of five calls, with all methods on the way, were too many; loops, pairs and repeated calls still count rightly."""
+    made, walks = [], traverse.closed_walks
+    monkeypatch.setattr(traverse, "closed_walks", lambda calls, length, *more, **named: made.append(length) or walks(calls, length, *more, **named))
+    rng = random.Random(11)
+    calls = [(f"c{i}", rng.randrange(5), rng.randrange(5)) for i in range(13)] + [("l1", 2, 2), ("l2", 2, 2), ("p", 1, 3), ("q", 3, 1), ("q2", 3, 1)]
+    want = trails_by_hand(calls, 1, 5)
+    got = {r["depth"]: r["trails"] for r in traverse.trail_counts(graph_of(spark, calls).calls, 1, 5).collect()}
+    assert got == {d: sum(w[2] == d for w in want) for d in range(1, 6)} and max(made) <= 3
