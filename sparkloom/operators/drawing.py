@@ -65,6 +65,7 @@ def draw(graph: Graph, visits: DataFrame, followed: DataFrame, found: DataFrame,
     tables = row(hits, "node", "TABLE", id=table, type=F.lit("TABLE"), label=table, data=F.struct("operation"))
     uses = row(hits, "edge", "ACCESSES", source=_text("method_id"), target=table, type=F.lit("ACCESSES"), style=_styled(ACCESS))
     calls = visits.join(graph.calls, F.col("node") == F.col("src")).join(followed.withColumn("went", F.lit(True)), ["seed", "call_id"], "left")
+    calls = saved(calls.select("seed", "call_id", "src", "dst", "call_type", "went"))  # edges and placeholders are made of it
     outside = F.col("call_type") == "EXTERNAL"
     target = F.coalesce(F.when(~outside | F.col("went"), _text("dst")), F.concat(F.lit("call:"), "call_id"))
     stroke = F.when(outside, _styled({"stroke": EXTERNAL_STROKE, "lineWidth": 2, "strokeDasharray": DASHES})).otherwise(F.struct(F.lit(INTERNAL_STROKE).alias("stroke"), F.lit(1).alias("lineWidth"), F.lit(None).cast("array<int>").alias("strokeDasharray")))

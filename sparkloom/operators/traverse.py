@@ -412,7 +412,7 @@ def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame
     calls = saved(calls.select("call_id", "src", "dst", ((F.col("call_type") == "EXTERNAL") & (F.col("from_app") != F.col("to_app"))).alias("crosses"), (F.col("call_type") == "INTERNAL").alias("internal")))
     level = entries.select(F.col("method_id").alias("seed"), F.col("method_id").alias("node"), F.array("method_id").alias("path"), F.lit(1).cast("long").alias("rank"), F.lit(0).alias("crossed"))
     level = level.join(goal, "seed", "left")
-    visits = paths = followed = None
+    visits = paths = followed = visited = None
     for depth in range(most + 1):
         at_goal = F.coalesce(F.col("node") == F.col("target"), F.lit(False))
         said = F.col("path").cast("array<string>").alias("path")
@@ -428,10 +428,8 @@ def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame
         new = fresh.select("seed", "node", F.lit(depth).alias("depth"), "rank")
         visits = new if visits is None else visits.unionByName(new)
         paths = ended if paths is None else paths.unionByName(ended)
-        tables = fresh.join(graph.accesses, F.col("node") == F.col("method_id"))
-        table = F.concat(F.lit("table:"), F.col("table_id").cast("string"))
-        words = F.concat(said, F.array(table))
-        paths = paths.unionByName(tables.select("seed", words.alias("path"), F.lit("table").alias("end")))
+        went_by = fresh.select("seed", "node", said)
+        visited = went_by if visited is None else visited.unionByName(went_by)
         out = fresh.withColumnRenamed("rank", "parent_rank").join(calls.where("internal OR crosses"), F.col("node") == F.col("src"))
         out, totals = in_order(out, ["parent_rank", "call_id"])
         out = out.withColumn("so_far", F.col("so_far") + F.col("crossed")).where(F.col("internal") | (F.col("so_far") <= hops))
@@ -441,4 +439,7 @@ def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame
             break
         crossed = F.least(F.col("crossed") + F.col("total"), F.lit(hops)).cast("int")
         level = out.join(totals, "seed").select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.col("place").alias("rank"), crossed.alias("crossed"), "target")
-    return visits, paths, followed
+    # one join for all depths: accesses are read once
+    hits = visited.join(graph.accesses, F.col("node") == F.col("method_id"))
+    words = F.concat("path", F.array(F.concat(F.lit("table:"), F.col("table_id").cast("string"))))
+    return visits, paths.unionByName(hits.select("seed", words.alias("path"), F.lit("table").alias("end"))), followed

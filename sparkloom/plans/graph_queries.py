@@ -187,7 +187,8 @@ def _resolved(spark, folder):
     path = F.when(F.col("is_entry"), F.concat(F.lit("/api/m"), "method_id"))
     methods = methods.withColumns({"package_name": F.concat(F.lit("shop.a"), "app_id"), "return_type": F.lit("void"), "http_path": path, "line_number": (F.col("method_id") % 100).cast("int")})
     g, found = drawing.through_resolver(Graph(methods, calls, accesses), texts, named)
-    return g, found, *traverse.trace_with_hops(g, _entries(g))
+    visits, paths, followed = traverse.trace_with_hops(g, _entries(g))
+    return g, found, saved(visits), paths, saved(followed)  # drawing reads both several times
 
 
 def _resolved_graph(spark, folder):

@@ -205,3 +205,12 @@ def test_trails_are_counted_without_walks_of_five(spark, monkeypatch):
     want = trails_by_hand(calls, 1, 5)
     got = {r["depth"]: r["trails"] for r in traverse.trail_counts(graph_of(spark, calls).calls, 1, 5).collect()}
     assert got == {d: sum(w[2] == d for w in want) for d in range(1, 6)} and max(made) <= 3
+
+
+def test_accesses_are_joined_once_for_all_depths(spark):
+    """A join for each depth read all accesses as often as a trace is deep."""
+    g = graph_of(spark, CALLS, ACCESSES)
+    paths = traverse.trace(g, g.methods.where("is_entry").select("method_id"), 6)[1]
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert sorted((">".join(r["path"]), r["end"]) for r in paths.collect()) == by_hand(CALLS, ACCESSES, 1, 6)[1]
