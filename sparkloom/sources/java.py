@@ -186,8 +186,12 @@ def package_override_edges(files: DataFrame) -> DataFrame:
     A parent is the type of that name in the child's package; where the package has none, the types of that name
     anywhere, of which each signature is taken from the smallest package.
     """
-    scanned = saved(scan(files, calls=False))
-    found = methods_of(scanned).select("package", "class_name", "signature", "is_abstract").distinct()
+    plain = lambda m: _accessor(m["name"], F.size(m["params"]), m["class_annotations"], m["body"])
+    kinds = lambda m: F.array_join(F.transform(m["params"], lambda p: p["type"]), ", ")
+    said = lambda m: F.struct(m["class_name"].alias("class_name"), F.concat(m["name"], F.lit("("), kinds(m), F.lit(")")).alias("signature"), (~m["has_body"]).alias("is_abstract"))
+    # what edges are made of is kept, not all of a scan
+    scanned = saved(scan(files, calls=False).select("path", "package", "types", F.transform(F.filter("methods", lambda m: ~plain(m)), said).alias("methods")))
+    found = scanned.select("package", F.explode("methods").alias("m")).select("package", "m.*").distinct()
     links = _links(scanned).select("child_package", "child", "parent").distinct()
     known = _types(scanned).select(F.col("package").alias("child_package"), F.col("class_name").alias("parent"), F.lit(True).alias("near")).distinct()
     above = found.where("is_abstract").select(F.col("package").alias("parent_package"), F.col("class_name").alias("parent"), "signature")
