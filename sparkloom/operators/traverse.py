@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import bitreach
+from sparkloom.operators import bitreach, returns
 from sparkloom.scratch import saved
 
 
@@ -57,10 +57,15 @@ def on_cycle(calls: DataFrame, most: int) -> DataFrame:
 
 
 def core(calls: DataFrame, rounds: int) -> DataFrame:
-    """The calls left when those from methods nobody calls, and to methods that call nobody, go, `rounds` times: all that cycles use."""
+    """The calls left when those from methods nobody calls, and to methods that call nobody, go, `rounds` times or until none does: all that cycles use."""
+    n = None
     for _ in range(rounds):
         calls = calls.join(calls.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         calls = saved(calls.join(calls.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        left = calls.count()
+        if left == n:
+            break
+        n = left
     return calls
 
 
@@ -151,57 +156,33 @@ def first_trails(calls: DataFrame, least: int, most: int, first: int) -> DataFra
     return reduce(DataFrame.unionByName, found)
 
 
-#: Rows of walks back that a task of _first_returns() looks up in at most, about.
-LOOKED_UP = 2_000_000
-
-
-def _ranked(calls: DataFrame) -> DataFrame:
-    """a, b, many: the numbers of the methods of all calls, in order of degree and then id, and how many calls lead from a to b."""
-    ends = calls.select(F.explode(F.array("src", "dst")).alias("m")).groupBy("m").agg(F.count("*").alias("degree"))
+def _ranked(hops: DataFrame) -> DataFrame:
+    """a, b, many of src, dst, many: the methods as numbers from 0 on in order of degree and then id."""
+    ends = hops.select(F.explode(F.array("src", "dst")).alias("m"), "many").groupBy("m").agg(F.sum("many").alias("degree"))
     one = ends.select(F.lit(0).alias("seed"), F.lit(False).alias("crosses"), "m", "degree")
-    place = saved(in_order(one, ["degree", "m"])[0].select("m", F.col("place").alias("nth")))
+    place = saved(in_order(one, ["degree", "m"])[0].select("m", (F.col("place") - 1).alias("nth")))
     side = lambda old, new: place.select(F.col("m").alias(old), F.col("nth").alias(new))
-    hops = calls.groupBy("src", "dst").agg(F.count("*").alias("many"))
     return saved(hops.join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("a", "b", "many"))
 
 
-def _first_returns(hops: DataFrame, most: int) -> DataFrame:
-    """a, length, walks: closed walks of up to `most` hops from a on that come by later methods alone, and by `a` at their end; most <= 5.
-
-    Only the ends of half walks are held, no methods on the way. Walks out meet walks back by both ends, in so many parts that each looks
-    up few rows.
-    """
-    up, down = hops.where("b > a"), hops.where("a > b")
-    out = {1: up.select(F.col("a").alias("n0"), F.col("b").alias("at"), F.col("many").alias("ways"))}
-    back = {1: down.select(F.col("b").alias("n0"), F.col("a").alias("at"), F.col("many").alias("ways"))}
-    step = hops.select("a", "b", "many")
-    if most > 2:
-        out[2] = saved(out[1].join(step, (F.col("at") == F.col("a")) & (F.col("b") > F.col("n0"))).select("n0", F.col("b").alias("at"), (F.col("ways") * F.col("many")).alias("ways")))
-    if most > 3:
-        back[2] = saved(back[1].join(step, (F.col("at") == F.col("b")) & (F.col("a") > F.col("n0"))).select("n0", F.col("a").alias("at"), (F.col("ways") * F.col("many")).alias("ways")).groupBy("n0", "at").agg(F.sum("ways").alias("ways")))
-    if most > 4:
-        out[3] = out[2].join(step, (F.col("at") == F.col("a")) & (F.col("b") > F.col("n0"))).select("n0", F.col("b").alias("at"), (F.col("ways") * F.col("many")).alias("ways"))
-    found = [hops.where("a = b").select("a", F.lit(1).alias("length"), F.col("many").alias("walks"))]
-    for length in range(2, most + 1):
-        ends = back[length // 2].withColumnRenamed("ways", "rest")
-        parts = max(int(hops.sparkSession.conf.get("spark.sql.shuffle.partitions")), ends.count() // LOOKED_UP)
-        pairs = out[length - length // 2].repartition(parts, "n0", "at").join(ends.repartition(parts, "n0", "at").hint("shuffle_hash"), ["n0", "at"])
-        found.append(pairs.groupBy(F.col("n0").alias("a")).agg(F.sum(F.col("ways") * F.col("rest")).alias("walks")).select("a", F.lit(length).alias("length"), "walks"))
-    return saved(reduce(DataFrame.unionByName, found))
-
-
 def _repeating(hops: DataFrame, most: int) -> dict[int, DataFrame]:
     """By length, n0 .. n(length - 1): the closed walks of up to `most` hops that take a hop more than once, from each of their starts; most <= 5.
 
     A hop comes again at once, where it leads from a method to itself, or after the hop back.
     """
-    loops = hops.where("a = b").select(F.col("a").alias("u"))
-    pairs = hops.select(F.col("a").alias("u"), F.col("b").alias("v")).join(hops.select(F.col("b").alias("u"), F.col("a").alias("v")), ["u", "v"], "left_semi")
+    loops = saved(hops.where("a = b").select(F.col("a").alias("u")))
+    pairs = saved(hops.select(F.col("a").alias("u"), F.col("b").alias("v")).join(hops.select(F.col("b").alias("u"), F.col("a").alias("v")), ["u", "v"], "left_semi"))
     ways = {2: loops.select("u", F.col("u").alias("n1")), 3: loops.select("u", F.col("u").alias("n1"), F.col("u").alias("n2"))}
     if most > 3:
         ways[4] = pairs.select("u", "v", F.col("u").alias("x"), F.col("v").alias("y")).unionByName(pairs.join(loops, "u", "left_semi").select("u", F.col("u").alias("v"), F.col("u").alias("x"), F.col("v").alias("y")))
     if most > 4:
-        calls = hops.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        # what a closed walk of three has beside a method that is in a pair or has a hop to itself
+        some = saved(loops.select(F.col("u").alias("m"), F.lit(True).alias("own")).unionByName(pairs.select(F.col("u").alias("m"), F.lit(False).alias("own"))).groupBy("m").agg(F.bool_or("own").alias("own")))
+        beside = lambda x, y: hops.join(some.where("own").withColumnRenamed("m", x), x, "left_semi").select(F.col(y).alias("m"))
+        at = lambda x, rows: rows.select(F.col("m").alias(x), F.lit(True).alias(f"at_{x}")).distinct()
+        marked = hops.select("a", "b").join(at("a", some), "a", "left").join(at("b", some), "b", "left")
+        marked = marked.where("at_a OR at_b").select("a", "b").unionByName(hops.select("a", "b").join(at("a", beside("a", "b")), "a", "left_semi").join(at("b", beside("b", "a")), "b", "left_semi"))
+        calls = saved(marked.distinct().select(F.col("a").alias("src"), F.col("b").alias("dst")))
         three = [F.col(f"n{i}.m") for i in range(3)]
         turned = [F.struct(*(three[(i + k) % 3].alias(n) for i, n in enumerate("uvx"))) for k in range(3)]
         round_ = saved(closed_walks(calls, 3, trails=False).select(F.explode(F.array(*turned)).alias("w")).select("w.*").distinct())
@@ -210,7 +191,7 @@ def _repeating(hops: DataFrame, most: int) -> dict[int, DataFrame]:
     for length, rows in ways.items():
         if length <= most:
             all_ = F.array(*(F.struct(*(F.col(rows.columns[(i + k) % length]).alias(f"n{i}") for i in range(length))) for k in range(length)))
-            out[length] = rows.select(F.explode(all_).alias("w")).select("w.*").distinct()
+            out[length] = saved(rows.select(F.explode(all_).alias("w")).select("w.*").distinct())
     return out
 
 
@@ -229,13 +210,16 @@ def trail_counts(calls: DataFrame, least: int, most: int) -> DataFrame:
     Up to five calls these are all closed walks, put together from walks that first return to their least method, without what
     those that take a hop again have too many; longer ones are counted walk by walk.
     """
-    hops = core(calls.select("call_id", "src", "dst"), 3)
-    short = min(most, 5)
-    sums = [closed_walks(hops, depth).agg(F.sum(F.col("ways") * F.col("turns")).alias("trails")).select(F.lit(depth).alias("depth"), F.coalesce("trails", F.lit(0)).cast("long").alias("trails")) for depth in range(max(least, 6), most + 1)]
+    short, sums = min(most, 5), []
+    if most > 5:
+        hops = core(calls.select("call_id", "src", "dst"), 3)
+        sums = [closed_walks(hops, depth).agg(F.sum(F.col("ways") * F.col("turns")).alias("trails")).select(F.lit(depth).alias("depth"), F.coalesce("trails", F.lit(0)).cast("long").alias("trails")) for depth in range(max(least, 6), most + 1)]
     if least > short:
         return reduce(DataFrame.unionByName, sums)
-    ranked = _ranked(hops)
-    first = _first_returns(ranked, short).groupBy("a").pivot("length", list(range(1, short + 1))).agg(F.sum("walks"))
+    ranked = _ranked(core(saved(calls.groupBy("src", "dst").agg(F.count("*").alias("many"))), 3))
+    n = (ranked.agg(F.max(F.greatest("a", "b"))).first()[0] or 0) + 1
+    first = returns.first_returns(ranked, n, short).groupBy("a").pivot("length", list(range(1, short + 1))).agg(F.sum("walks"))
+    first = saved(first)  # it stands in the sum of every depth
     f = {t: F.coalesce(F.col(str(t)), F.lit(0)) for t in range(1, short + 1)}
     closed = {0: F.lit(1).cast("long")}
     for n in range(1, short):
@@ -243,6 +227,9 @@ def trail_counts(calls: DataFrame, least: int, most: int) -> DataFrame:
     depths = range(max(least, 1), short + 1)
     totals = first.agg(*(F.coalesce(F.sum(reduce(lambda x, y: x + y, (F.lit(t) * f[t] * closed[depth - t] for t in range(1, depth + 1)))), F.lit(0)).cast("long").alias(str(depth)) for depth in depths))
     again = _repeating(ranked, short)
+    if again:  # walks stand there from each of their starts
+        at = saved(reduce(DataFrame.unionByName, (rows.select(F.col("n0").alias("m")) for rows in again.values())).distinct())
+        ranked = saved(ranked.join(at.withColumnRenamed("m", "a"), "a", "left_semi").join(at.withColumnRenamed("m", "b"), "b", "left_semi"))
     for depth in depths:
         total = totals.select(F.col(str(depth)).alias("total"))
         if depth in again:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.fixture import Graph
-from sparkloom.operators import bitreach, rules, traverse
+from sparkloom.operators import bitreach, edgefiles, returns, rules, traverse
 
 
 def graph_of(spark, calls, accesses=(), methods=None):
@@ -207,6 +207,34 @@ def test_trails_are_counted_without_walks_of_five(spark, monkeypatch):
     assert got == {d: sum(w[2] == d for w in want) for d in range(1, 6)} and max(made) <= 3
 
 
+@pytest.mark.parametrize(("held", "at_once", "kept"), [(2_000_000, 1 << 18, 48_000_000), (40, 7, 0)])
+def test_closed_walks_are_counted_without_shuffles(spark, monkeypatch, held, at_once, kept):
+    """Walks of three calls were shuffled, thousands a method; now each task looks up those of its own methods, a few at a time."""
+    monkeypatch.setattr(returns, "HELD_WALKS", held)
+    monkeypatch.setattr(returns, "AT_ONCE", at_once)
+    monkeypatch.setattr(edgefiles, "HELD_EDGES", kept)
+    rng, n = random.Random(held), 14
+    hops = {(rng.randrange(n), rng.randrange(n)): rng.randrange(1, 4) for _ in range(60)} | {(0, i): 1 for i in range(n)} | {(i, 0): 2 for i in range(n)}
+    frame = spark.createDataFrame([(a, b, m) for (a, b), m in hops.items()], "a long, b long, many long")
+    found = returns.first_returns(frame, n, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    want = {}
+    for start in range(n):
+        walks = {start: 1}
+        for length in range(1, 6):
+            far = {}
+            for at, ways in walks.items():
+                for (a, b), many in hops.items():
+                    if a == at and b >= start:
+                        far[b] = far.get(b, 0) + ways * many
+            if start in far:
+                want[start, length] = far.pop(start)
+            walks = far
+    assert {(r["a"], r["length"]): r["walks"] for r in found.collect()} == want
+    assert [p for p in edgefiles.pieces(edgefiles.stored(frame.where("false"), "a", "b", "many"))] == []
+
+
 def test_accesses_are_joined_once_for_all_depths(spark):
     """A join for each depth read all accesses as often as a trace is deep."""
     g = graph_of(spark, CALLS, ACCESSES)
