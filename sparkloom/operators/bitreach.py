@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from sparkloom.scratch import saved
 
 WIDTH = 64
-#: Numbers in a row of wide_reach().
-WORDS = 16
 #: Seeds that are numbered together, about.
 NUMBERED_AT_ONCE = 4096
 
@@ -56,20 +54,6 @@ def levels(seeds: DataFrame, edges: DataFrame, most: int) -> Iterator[tuple[int,
             return
 
 
-def wide_reach(seeds: DataFrame, hops: DataFrame, most: int) -> DataFrame:
-    """block, node, w0 .. w15: all that seeds reach within `most` hops, WORDS * WIDTH seeds a row; for reach so dense that most bits get set.
-
-    seeds: seed, block, bit, numbered so wide; hops: a, b, distinct.
-    """
-    words = [f"w{i}" for i in range(WORDS)]
-    own = (F.when(F.floor(F.col("bit") / WIDTH) == i, F.expr(f"shiftleft(1L, bit % {WIDTH})")).otherwise(F.lit(0).cast("long")) for i in range(WORDS))
-    state = saved(seeds.select("block", F.col("seed").alias("node"), *(o.alias(w) for o, w in zip(own, words, strict=True))).groupBy("block", "node").agg(*(F.bit_or(w).alias(w) for w in words)))
-    for _ in range(most):
-        sent = state.join(hops, F.col("node") == F.col("a")).select("block", F.col("b").alias("node"), *words)
-        state = saved(state.unionByName(sent).groupBy("block", "node").agg(*(F.bit_or(w).alias(w) for w in words)))
-    return state
-
-
 def unpacked(rows: DataFrame) -> DataFrame:
     """`rows` (bits, ...) with `bit` in place of bits, a row for each bit that is set."""
     set_ = F.filter(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)

@@ -8,7 +8,8 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import bitreach, returns
+from sparkloom.operators import bitreach, blockreach, returns
+from sparkloom.operators.places import in_order
 from sparkloom.scratch import saved
 
 
@@ -298,7 +299,8 @@ def impacted_endpoints(graph, facts: DataFrame) -> DataFrame:
 def impact(graph, changed: DataFrame, most: int = 6, upstream: bool = True) -> DataFrame:
     """changed, n_methods, n_entries: how many methods a change reaches, upstream (who calls it) or downstream.
 
-    Where methods have so many calls that nearly all are reached one call earlier, most changes are counted by _reaching_all().
+    Where methods have so many calls that nearly all are reached one call earlier, most changes are counted by _reaching_all(), the
+    others block by block in tasks.
     """
     a, b = ("dst", "src") if upstream else ("src", "dst")
     seeds = saved(changed.select("method_id").distinct())
@@ -307,55 +309,51 @@ def impact(graph, changed: DataFrame, most: int = 6, upstream: bool = True) -> D
     n_methods = max(known.count(), 1)
     if most < 2 or (hops.count() / n_methods) ** (most - 1) < n_methods * log(n_methods):
         return _impact_of(known, seeds, hops, most)
-    counted = _reaching_all(known, seeds, hops, most)
-    return counted.unionByName(_impact_of(known, seeds.join(counted.select(F.col("changed").alias("method_id")), "method_id", "left_anti"), hops, most)).where("n_methods > 0")
-
-
-def _impact_of(known: DataFrame, seeds: DataFrame, hops: DataFrame, most: int) -> DataFrame:
-    """impact() by the bits of every seed."""
-    marks = bitreach.numbered(seeds)
-    *_, (_, _, every) = bitreach.levels(marks, hops, most)
-    sums = bitreach.counts(every.join(known, "node"), n_methods=F.lit(True), n_entries=F.col("is_entry"))
-    own = marks.join(known.withColumnRenamed("node", "seed"), "seed", "left")  # a method reaches itself, which does not count
+    dense = blockreach.numbered(hops, known)
+    counted = saved(_reaching_all(known, seeds, dense, most))
+    return counted.unionByName(_impact_of(known, seeds.join(counted.select(F.col("changed").alias("method_id")), "method_id", "left_anti"), hops, most, dense)).where("n_methods > 0")
+
+
+def _impact_of(known: DataFrame, seeds: DataFrame, hops: DataFrame, most: int, dense: blockreach.Numbered | None = None) -> DataFrame:
+    """impact() by the bits of every seed, which tasks of their own follow where that is `dense`."""
+    if dense:
+        numbers = dense.of(seeds)
+        sums = blockreach.counts(dense, numbers, most).join(dense.nodes, "node").select(F.col("id").alias("seed"), "n_methods", "n_entries")
+        own = sums.join(known.withColumnRenamed("node", "seed"), "seed", "left")
+    else:
+        marks = bitreach.numbered(seeds)
+        *_, (_, _, every) = bitreach.levels(marks, hops, most)
+        sums = bitreach.counts(every.join(known, "node"), n_methods=F.lit(True), n_entries=F.col("is_entry"))
+        own = marks.join(known.withColumnRenamed("node", "seed"), "seed", "left").join(sums, ["block", "bit"])
     less = lambda n, flag: (F.col(n) - F.coalesce(flag.cast("long"), F.lit(0))).alias(n)
-    return own.join(sums, ["block", "bit"]).select(F.col("seed").alias("changed"), less("n_methods", F.col("is_entry").isNotNull()), less("n_entries", F.col("is_entry"))).where("n_methods > 0")
-
-
-#: Of the hubs of _reaching_all() one in so many may miss a method that it takes for common.
-MISSING = 16
+    # a method reaches itself, which does not count
+    return own.select(F.col("seed").alias("changed"), less("n_methods", F.col("is_entry").isNotNull()), less("n_entries", F.col("is_entry"))).where("n_methods > 0")
 
 
-def _reaching_all(known: DataFrame, seeds: DataFrame, hops: DataFrame, most: int) -> DataFrame:
-    """Rows of impact(), those of no methods too, for the seeds that surely reach all common methods.
+def _reaching_all(known: DataFrame, seeds: DataFrame, dense: blockreach.Numbered, most: int) -> DataFrame:
+    """Rows of impact(), those of no methods too, for the seeds that surely reach all but strays.
 
-    Each seed names the most reached method that it hops to, its hub, of which those that several name are
-    followed. What nearly all of these reach one hop earlier is common. A seed that hops to a hub that reaches all common methods does so too, and beyond these there are but the
-    strays: the few others that anything hops to, which are followed back from. The rest of the seeds is left to others.
+    Each seed names the method that most seeds hop to of those that it hops to, its hub, of which those that several name are
+    followed, one hop less far. A seed that hops to a hub that reaches all but strays does so too. Strays, what some of these hubs
+    do not reach, are followed back from. The rest of the seeds is left to others.
     """
-    arrivals = hops.groupBy("b").agg(F.count("*").alias("n"))
-    near = hops.join(seeds, F.col("a") == F.col("method_id"), "left_semi")
-    votes = near.join(arrivals, "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("method_id"))
-    marks = bitreach.numbered(votes.groupBy("method_id").count().where("count > 1"), bitreach.WIDTH * bitreach.WORDS)
-    words = [f"w{i}" for i in range(bitreach.WORDS)]
-    every = bitreach.wide_reach(marks, hops, most - 1)
-    met = every.groupBy("node").agg(F.sum(reduce(lambda x, y: x + y, (F.bit_count(w) for w in words))).alias("n"))
-    ever = saved(known.join(arrivals.select(F.col("b").alias("node")), "node").join(met, "node", "left").withColumn("common", F.coalesce("n", F.lit(0)) * MISSING >= F.lit(marks.count() * (MISSING - 1))))
-    common = ever.where("common").select("node")
-    n_common, n_entries = ever.where("common").agg(F.count("*"), F.coalesce(F.sum(F.col("is_entry").cast("long")), F.lit(0))).first()
-    strays = ever.where("NOT common")
-    if strays.count() * 8 > n_common:
+    near = dense.hops.join(dense.of(seeds).withColumnRenamed("node", "a"), "a", "left_semi")
+    arrivals = near.groupBy("b").agg(F.count("*").alias("n"))
+    best = F.max(F.col("n") * (1 << 31) + F.col("b"))  # numbers of nodes are smaller
+    votes = near.join(arrivals, "b").groupBy("a").agg(F.pmod(best, F.lit(1 << 31)).alias("node"))
+    hubs = saved(votes.groupBy("node").count().where("count > 1").select("node"))
+    met = saved(blockreach.hubs(dense, hubs, most - 1))
+    strays = saved(met.where("NOT good").select("node").distinct())
+    sure = saved(near.join(met.where("good").select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct())
+    if strays.count() >= sure.count():  # no less than to follow the seeds
         return known.where("false").select(F.col("node").alias("changed"), F.lit(0).cast("long").alias("n_methods"), F.lit(0).cast("long").alias("n_entries"))
-    whole = every.join(common, "node", "left_semi").groupBy("block").agg(F.count("*").alias("rows"), F.array(*(F.bit_and(w) for w in words)).alias("bits")).where(F.col("rows") == n_common)
-    reaches = F.expr(f"shiftright(bits[int(bit div {bitreach.WIDTH})], bit % {bitreach.WIDTH}) & 1") == 1
-    hubs = marks.join(whole, "block").where(reaches).select(F.col("seed").alias("b"))
-    sure = saved(near.join(hubs, "b", "left_semi").select(F.col("a").alias("seed")).distinct())
-    follow = bitreach.numbered(strays.select(F.col("node").alias("method_id")))
-    *_, (_, _, back) = bitreach.levels(follow, hops.select(F.col("b").alias("a"), F.col("a").alias("b")), most)
-    entries = follow.join(strays, F.col("seed") == F.col("node")).where("is_entry").groupBy("block").agg(F.bit_or(bitreach.bit()).alias("entries"))
-    more = back.join(entries, "block", "left").groupBy(F.col("node").alias("seed")).agg(F.sum(F.bit_count("bits")).alias("more"), F.sum(F.bit_count(F.expr("bits & coalesce(entries, 0L)"))).alias("more_entries"))
-    own = sure.join(ever.select(F.col("node").alias("seed"), "is_entry"), "seed", "left").join(more, "seed", "left")  # a method that is reached does not count for itself
-    total = lambda n, plus, flag: F.lit(n).cast("long") + F.coalesce(plus, F.lit(0)) - F.coalesce(flag.cast("long"), F.lit(0))
-    return own.select(F.col("seed").alias("changed"), total(n_common, "more", F.col("is_entry").isNotNull()).alias("n_methods"), total(n_entries, "more_entries", F.col("is_entry")).alias("n_entries"))
+    lacking = blockreach.lacking(dense, strays, most).groupBy("node").agg(F.sum("methods").alias("less"), F.sum("entries").alias("less_entries"))
+    n_methods, n_entries = dense.facts.where("arrives").agg(F.coalesce(F.sum("methods"), F.lit(0)), F.coalesce(F.sum("entries"), F.lit(0))).first()
+    ever = known.join(dense.nodes.select(F.col("id").alias("node"), F.col("node").alias("nth")), "node").join(dense.facts.where("arrives").select(F.col("node").alias("nth")), "nth", "left_semi")
+    own = sure.join(lacking, "node", "left").join(dense.nodes, "node").select(F.col("id").alias("seed"), "less", "less_entries")
+    own = own.join(ever.select(F.col("node").alias("seed"), "is_entry"), "seed", "left")  # a method that is reached does not count for itself
+    total = lambda n, less, flag: F.lit(n).cast("long") - F.coalesce(less, F.lit(0)) - F.coalesce(flag.cast("long"), F.lit(0))
+    return own.select(F.col("seed").alias("changed"), total(n_methods, "less", F.col("is_entry").isNotNull()).alias("n_methods"), total(n_entries, "less_entries", F.col("is_entry")).alias("n_entries"))
 
 
 def trace(graph, entries: DataFrame, most: int = 10, target: DataFrame | None = None, hops: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -363,24 +361,6 @@ def trace(graph, entries: DataFrame, most: int = 10, target: DataFrame | None =
     return trace_with_hops(graph, entries, most, target, hops)[:2]
 
 
-def in_order(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(`rows` with place and so_far, totals): the rows of a seed up to each one in the given order, and the crossing ones among them.
-
-    rows: seed, crosses, ...; totals: seed, total of the crossing ones. Rows are sorted by ranges of seed and order, so that many rows of
-    one seed lie in several tasks; each range counts its own, and sums over the ranges before come to that.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = saved(rows.repartitionByRange(parts, "seed", *order).withColumn("range", F.spark_partition_id()))
-    sums = saved(held.groupBy("seed", "range").agg(F.count("*").alias("n"), F.count_if("crosses").alias("c")))  # a row a seed, and one a range more
-    before = Window.partitionBy("seed").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = sums.select("seed", "range", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"earlier_{x}") for x in ("n", "c")))
-    own = Window.partitionBy("seed", "range").orderBy(*order)
-    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = held.withColumns({"place": F.row_number().over(own), "so_far": F.sum(F.col("crosses").cast("long")).over(upto)}).join(earlier, ["seed", "range"])
-    counted = out.withColumns({"place": F.col("place") + F.col("earlier_n"), "so_far": F.col("so_far") + F.col("earlier_c")})
-    return counted.drop("range", "earlier_n", "earlier_c"), sums.groupBy("seed").agg(F.sum("c").alias("total"))
-
-
 def trace_with_hops(graph, entries: DataFrame, most: int = 10, target: DataFrame | None = None, hops: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A breadth-first trace from every entry: (visits, paths, followed).
 

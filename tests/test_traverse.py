@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.fixture import Graph
-from sparkloom.operators import bitreach, edgefiles, returns, rules, traverse
+from sparkloom.operators import bitreach, blockreach, edgefiles, returns, rules, traverse
 
 
 def graph_of(spark, calls, accesses=(), methods=None):
@@ -207,6 +207,35 @@ def test_trails_are_counted_without_walks_of_five(spark, monkeypatch):
     assert got == {d: sum(w[2] == d for w in want) for d in range(1, 6)} and max(made) <= 3
 
 
+def test_blocks_of_seeds_reach_what_walks_reach(spark, monkeypatch):
+    """Bits of all hubs by all methods were written and shuffled level by level; a task now follows a block of them by itself."""
+    monkeypatch.setattr(blockreach, "STATE_BYTES", 8)
+    rng, n = random.Random(3), 150
+    calls = [(f"c{i}", rng.randrange(n), rng.randrange(n)) for i in range(n * 6)] + [(f"h{i}", i, 7) for i in range(n)] + [("s", 7, 900), ("t", 900, 901), ("w", 901, 902)]
+    known = [(m, m % 4 == 1) for m in [*range(n), 900, 901, 5, 5]] + [(902, None), (903, True)]
+    hops = spark.createDataFrame([c[1:] for c in calls] + [(None, 3), (4, None)], "a long, b long").distinct()
+    dense = blockreach.numbered(hops, spark.createDataFrame(known, "node long, is_entry boolean"))
+    assert dense.width == 64
+    number = {r["id"]: r["node"] for r in dense.nodes.collect()}
+    name = {v: k for k, v in number.items()}
+    every = dense.of(spark.createDataFrame([(m,) for m in [*number, 1234, None]], "method_id long"))
+    assert sorted(name[r["node"]] for r in every.collect()) == sorted({c[1] for c in calls})
+    near = {s: {m for m, d in distances(calls, s).items() if d <= 3} for s in number}
+    got = {name[r["node"]]: (r["n_methods"], r["n_entries"]) for r in blockreach.counts(dense, every, 3).collect()}
+    assert got == {s: (sum(k[0] in near[s] for k in known), sum(k[0] in near[s] and bool(k[1]) for k in known)) for s in {c[1] for c in calls}}
+    met = blockreach.hubs(dense, every, 3).collect()
+    good, strays = {name[r["node"]] for r in met if r["good"]}, {name[r["node"]] for r in met if not r["good"]}
+    ever = {c[2] for c in calls} & {k[0] for k in known}
+    assert good and strays < ever and all(ever - near[h] <= strays for h in good)
+    targets = spark.createDataFrame([(number[t],) for t in [*range(0, n, 2), 901, 902]], "node int")
+    less = {}
+    for r in blockreach.lacking(dense, targets, 3).collect():
+        old = less.get(name[r["node"]], (0, 0))
+        less[name[r["node"]]] = (old[0] + r["methods"], old[1] + r["entries"])
+    missed = {s: [k for k in known if k[0] in {*range(0, n, 2), 901, 902} - near[s]] for s in number}
+    assert {s: m for s, m in less.items() if any(m)} == {s: (len(m), sum(bool(k[1]) for k in m)) for s, m in missed.items() if m}
+
+
 @pytest.mark.parametrize(("held", "at_once", "kept"), [(2_000_000, 1 << 18, 48_000_000), (40, 7, 0)])
 def test_closed_walks_are_counted_without_shuffles(spark, monkeypatch, held, at_once, kept):
     """Walks of three calls were shuffled, thousands a method; now each task looks up those of its own methods, a few at a time."""
